@@ -1,0 +1 @@
+"""Every job of this library is a full batch overwrite; there are no streaming operators."""
