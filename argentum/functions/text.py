@@ -35,11 +35,16 @@ _WRITTEN = rf"(?:1er|\d{{1,2}})\s+{_MONTH}(?:\s+\d{{4}})?"
 _MONTH_YEAR = rf"{_MONTH}\s+\d{{4}}"
 
 #: Absolute forms first; a written date may lack its year, a written month its day.
-DATE_PATTERN = rf"(?i)\b(?:{_ISO}|{_NUMERIC}|{_WRITTEN}|{_MONTH_YEAR})\b"
+#: The lookaheads let the matcher skip most words at their first letter.
+DATE_PATTERN = (
+    rf"(?i)\b(?:(?=\d)(?:{_ISO}|{_NUMERIC}|{_WRITTEN})|(?=[jfmasond]){_MONTH_YEAR})\b"
+)
 #: Separator lines and the like, left out of normalised snippets.
 POLLUTION_PATTERN = r"^[=_*#~\-]{4,}\s*$"
+_POLLUTED = r"[=_*#~\-]{4}"
 #: A neighbour token that makes a date part of a table of values.
-NUMBER_PATTERN = r"^\d+(?:[.,]\d+)*$"
+NUMBER_PATTERN = r"^\d+(?:[.,]\d+)*\s*$"
+_BLANKS = " \t\n\x0b\f\r"
 TOKEN_PATTERN = r"\S+\s*"
 SENTENCE_END = r"[.!?]+\s*$|\n"
 
@@ -52,49 +57,62 @@ def month_number(text: Column) -> Column:
     return number
 
 
+def _parse_rare(variant: Column, note_year: Column) -> Column:
+    """ISO, two-digit-year and written forms."""
+    words = F.split(variant, r"\s+")
+    first, last = F.element_at(words, 1), F.element_at(words, -1)
+    day = F.regexp_extract(first, r"^\d{1,2}", 0)
+    year = F.when(last.rlike(r"^\d{4}$"), last).otherwise(note_year)
+    written = F.concat_ws(
+        "/",
+        year,
+        month_number(variant).cast("string"),
+        F.when(day == "", "1").otherwise(day),
+    )
+    parts = F.split(variant, r"[/.\-]")
+    century = F.when(F.element_at(parts, -1) >= "69", "19").otherwise("20")
+    short = F.concat(
+        century, F.element_at(parts, -1), F.lit("/"), F.try_element_at(parts, F.lit(2)), F.lit("/"), F.element_at(parts, 1)
+    )
+    numbers = (
+        F.when(variant.rlike(rf"^{_ISO}$"), F.translate(variant, "-", "/"))
+        .when(variant.rlike(rf"^{_NUMERIC}$"), short)
+        .when(year.isNotNull(), written)
+    )
+    return F.try_to_timestamp(numbers, F.lit("yyyy/M/d"))
+
+
 def parse_date(variant: Column, note_datetime: Column | None = None) -> Column:
     """A mention as timestamp, null when it is no calendar date.
 
     Two-digit years count as 2000-2068 or 1969-1999. A missing day is the first of the
-    month; a missing year is the year of the note, and null without one.
+    month; a missing year is the year of the note, and null without one. The common
+    numeric form has a short path; the rest is bound as a lambda, which keeps the
+    generated code of the row loop small enough to be compiled.
     """
-    numbers = lambda i: F.regexp_extract(variant, r"(\d+)\D+(\d+)\D+(\d+)", i)
-    short = numbers(3)
-    year4 = F.when(F.length(short) == 4, short).otherwise(
-        F.when(short >= "69", F.concat(F.lit("19"), short)).otherwise(F.concat(F.lit("20"), short))
-    )
-    numeric = F.concat_ws("/", numbers(1), numbers(2), year4)
-    iso = F.concat_ws("/", numbers(3), numbers(2), numbers(1))
-
-    day = F.regexp_extract(variant, r"(?i)^(\d{1,2})(?:er)?\s", 1)
-    year = F.regexp_extract(variant, r"(\d{4})$", 1)
     note_year = F.year(note_datetime).cast("string") if note_datetime is not None else F.lit(None).cast("string")
-    written = F.concat(
-        F.when(day == "", "1").otherwise(day),
-        F.lit("/"),
-        month_number(variant).cast("string"),
-        F.lit("/"),
-        F.when(year == "", note_year).otherwise(year),
-    )
-    parts = (
-        F.when(variant.rlike(rf"^{_ISO}$"), iso)
-        .when(variant.rlike(rf"^{_NUMERIC}$"), numeric)
-        .otherwise(written)
+    common = F.try_to_timestamp(F.translate(variant, ".-", "//"), F.lit("d/M/yyyy"))
+    return F.when(variant.rlike(r"^\d{1,2}[/.\-]\d{1,2}[/.\-]\d{4}$"), common).otherwise(
+        let(F.struct(variant.alias("v"), note_year.alias("y")), lambda s: _parse_rare(s["v"], s["y"]))
     )
-    return F.try_to_timestamp(parts, F.lit("d/M/yyyy"))
 
 
 def _tokens(text: Column, normalise: bool) -> Column:
     pieces = F.regexp_extract_all(text, F.lit(TOKEN_PATTERN), F.lit(0))
-    return F.filter(pieces, lambda t: ~t.rlike(POLLUTION_PATTERN)) if normalise else pieces
+    if not normalise:
+        return pieces
+    # most gaps hold no pollution at all: look once before testing every token
+    clean = F.filter(pieces, lambda t: ~t.rlike(POLLUTION_PATTERN))
+    return F.when(text.rlike(_POLLUTED), clean).otherwise(pieces)
 
 
 def _lead(text: Column) -> Column:
-    return F.regexp_extract(text, r"^\s*", 0)
+    """Leading whitespace."""
+    return F.substring(text, F.lit(1), F.length(text) - F.length(F.ltrim(text, F.lit(_BLANKS))))
 
 
 def _is_number(token: Column) -> Column:
-    return F.regexp_replace(token, r"\s+$", "").rlike(NUMBER_PATTERN)
+    return token.rlike(NUMBER_PATTERN)
 
 
 def _cut(text: Column, pattern: str, body) -> Column:
@@ -161,7 +179,7 @@ def _excluded_flags(hits: Column, tokens: Column) -> Column:
 
 def _window(before: Column, mention: Column, after: Column) -> list[Column]:
     """Snippet without trailing whitespace, and the mention's offsets in it."""
-    text = F.regexp_replace(F.concat(before, mention, after), r"\s+$", "")
+    text = F.rtrim(F.concat(before, mention, after), F.lit(_BLANKS))
     start = F.length(before)
     return [
         text.alias("span"),

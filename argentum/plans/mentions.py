@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from argentum.functions.columns import localise
 from argentum.functions.text import CODE_PARTS, CODE_PATTERN, DATE_PATTERN, find_codes, mentions, parse_date
-from argentum.session import broadcast_if_small
+from argentum.session import broadcast_if_small, spread_small
 
 
 def extract_mentions(
@@ -24,12 +24,12 @@ def extract_mentions(
 ) -> DataFrame:
     """One row per date mention of `note_text`, with its snippet; columns `keep` are carried along.
 
-    A narrow job: every note is read once and nothing is shuffled. With
-    `ignore_excluded` a date beside a number gets no parsed value.
+    A narrow job: every note is read once and, unless the input is a handful of files,
+    nothing is shuffled. With `ignore_excluded` a date beside a number gets no parsed value.
     """
     carried = [c for c in keep if c in notes.columns]
     dated = "note_datetime" in notes.columns
-    found = notes.select(
+    found = spread_small(notes).select(
         *carried,
         *([F.col("note_datetime").alias("_note_datetime")] if dated else []),
         # the outer form: the inner one would add a filter that extracts a second time

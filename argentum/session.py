@@ -65,6 +65,15 @@ def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFra
     return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
 
 
+def spread_small(df: DataFrame) -> DataFrame:
+    """Spread the rows of an input with fewer files than cores, for work that is heavy per row.
+
+    Large datasets have more files than cores and are left alone: no shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if 0 < len(df.inputFiles()) < cores else df
+
+
 def literal_table(spark: SparkSession, rows: list, schema: str) -> DataFrame:
     """Rows written in the program as a DataFrame, broadcast when their number allows it."""
     df = spark.createDataFrame(rows, schema)

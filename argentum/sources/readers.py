@@ -54,11 +54,17 @@ def filtered_read(
 
 def rows_per_file(df: DataFrame) -> DataFrame:
     """Row count of every file of a dataset, empty files included."""
+    # listed paths and metadata paths differ in the slashes after the scheme
+    plain = lambda c: F.regexp_replace(c, "^file:/+", "/")
     files = df.sparkSession.createDataFrame([(f,) for f in df.inputFiles()], "file_path string")
     counts = df.groupBy(F.col("_metadata.file_path").alias("file_path")).agg(
         F.count("*").alias("n_rows")
     )
-    return files.join(counts, "file_path", "left").na.fill(0, subset=["n_rows"])
+    return (
+        files.withColumn("file_path", plain("file_path"))
+        .join(counts.withColumn("file_path", plain("file_path")), "file_path", "left")
+        .na.fill(0, subset=["n_rows"])
+    )
 
 
 def first_file(df: DataFrame) -> DataFrame:

@@ -268,6 +268,13 @@ class Tables:
 
         return extract_mentions(self.notes)
 
+    @cached_property
+    def staged_mentions(self) -> DataFrame:
+        """Mentions as the table their own job would write, for queries that read them twice."""
+        from argentum.session import stage
+
+        return stage(self.mentions, "mentions")
+
     @cached_property
     def logits(self) -> DataFrame:
         z = F.transform(F.slice("embedding", 1, 3), lambda x: x.cast("double") * 4)

@@ -1 +1,117 @@
-"""Queries."""
+"""Date mentions in free text."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from argentum.functions.text import find_spans
+from argentum.plans.align import count_mentions, mentioned_once
+from argentum.plans.mentions import extract_mentions
+from driver_queries.inputs import MENTIONS, NOTES, mention_cte
+from driver_queries.registry import query, with_
+
+OFFSETS = "note_id, person_id, lexical_variant, date_dt, text_start_char, text_end_char"
+
+
+@query("mentions_offsets", with_(NOTES, MENTIONS, f"SELECT {OFFSETS} FROM mentions WHERE date_dt IS NOT NULL"))
+def mentions_offsets(t):
+    return t.mentions.select(*OFFSETS.split(", "))
+
+
+@query(
+    "mentions_excluded",
+    with_(NOTES, MENTIONS, f"SELECT {OFFSETS} FROM mentions WHERE excluded"),
+)
+def mentions_excluded(t):
+    found = extract_mentions(t.notes, drop_na=False)
+    return found.filter("date_dt is null").select(*OFFSETS.split(", "))
+
+
+CONTEXT = "note_id, text_start_char, span, span_start_char, span_end_char"
+
+
+@query(
+    "mentions_context",
+    with_(NOTES, MENTIONS, f"SELECT {CONTEXT}, substr(span, span_start_char + 1, 10) AS inside FROM mentions WHERE NOT excluded"),
+)
+def mentions_context(t):
+    inside = F.substring(F.col("span"), F.col("span_start_char") + 1, F.lit(10)).alias("inside")
+    return t.mentions.select(*CONTEXT.split(", "), inside)
+
+
+@query(
+    "mentions_short_context",
+    with_(NOTES, mention_cte(4, 6), f"SELECT {CONTEXT} FROM mentions WHERE NOT excluded"),
+)
+def mentions_short_context(t):
+    return extract_mentions(t.notes, 4, 6).select(*CONTEXT.split(", "))
+
+
+@query("mentions_sentence")
+def mentions_sentence(t):
+    return extract_mentions(t.notes, 1, 1, mode="sentence", attr="TEXT").select(*CONTEXT.split(", "))
+
+
+@query("mentions_lower_case")
+def mentions_lower_case(t):
+    return extract_mentions(t.notes, 10, 10, attr="LOWER").select(*CONTEXT.split(", "))
+
+
+DOCUMENT_PATTERN = r"\b\d{1,2}[/.\-]\d{1,2}[/.\-](?:\d{4}|\d{2})\b"
+
+
+@query(
+    "mentions_in_documents",
+    rf"""WITH parts AS (
+  SELECT doc_id, text, regexp_extract_all(text, '{DOCUMENT_PATTERN}') AS hits,
+         string_split_regex(text, '{DOCUMENT_PATTERN}') AS gaps FROM documents),
+spots AS (SELECT doc_id, text, hits, gaps, k FROM parts, unnest(range(1, len(hits) + 1)) AS u(k))
+SELECT doc_id, hits[k] AS lexical_variant,
+  CAST(list_sum(list_transform(gaps[1:k], lambda g: length(g))) + coalesce(list_sum(list_transform(hits[1:k - 1], lambda h: length(h))), 0)
+    AS INTEGER) AS text_start_char FROM spots""",
+)
+def mentions_in_documents(t):
+    spans = find_spans(F.col("text"), DOCUMENT_PATTERN)
+    found = t["documents"].select("doc_id", F.explode_outer(spans).alias("m")).filter("m is not null")
+    return found.select("doc_id", "m.lexical_variant", "m.text_start_char")
+
+
+@query(
+    "number_spans_in_documents",
+    r"""WITH parts AS (
+  SELECT doc_id, regexp_extract_all(text, '\d+') AS hits, string_split_regex(text, '\d+') AS gaps FROM documents),
+spots AS (SELECT doc_id, hits, gaps, k FROM parts, unnest(range(1, len(hits) + 1)) AS u(k))
+SELECT doc_id, hits[k] AS lexical_variant,
+  CAST(list_sum(list_transform(gaps[1:k], lambda g: length(g))) + coalesce(list_sum(list_transform(hits[1:k - 1], lambda h: length(h))), 0)
+    AS INTEGER) AS text_start_char FROM spots""",
+)
+def number_spans_in_documents(t):
+    spans = find_spans(F.col("text"), r"\d+")
+    found = t["documents"].select("doc_id", F.explode_outer(spans).alias("m")).filter("m is not null")
+    return found.select("doc_id", "m.lexical_variant", "m.text_start_char")
+
+
+@query(
+    "mention_counts",
+    with_(
+        NOTES,
+        MENTIONS,
+        """SELECT note_id, text_start_char, date_dt, count(*) OVER (PARTITION BY note_id, date_dt) AS count_date
+FROM mentions WHERE date_dt IS NOT NULL""",
+    ),
+)
+def mention_counts(t):
+    return count_mentions(t.staged_mentions).select("note_id", "text_start_char", "date_dt", "count_date")
+
+
+@query(
+    "mentions_once_per_note",
+    with_(
+        NOTES,
+        MENTIONS,
+        """SELECT note_id, text_start_char, date_dt, span FROM mentions WHERE date_dt IS NOT NULL
+QUALIFY count(*) OVER (PARTITION BY note_id, date_dt) = 1""",
+    ),
+)
+def mentions_once_per_note(t):
+    return mentioned_once(t.mentions).select("note_id", "text_start_char", "date_dt", "span")

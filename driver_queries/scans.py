@@ -1 +1,225 @@
-"""Queries."""
+"""Scans, reads and lookups."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from argentum.functions.columns import decode, parse_or_drop, replace_missing_letters, to_zone
+from argentum.operators.joins import lookup
+from argentum.session import literal_table
+from argentum.sources.fixed_values import DISCHARGE_MODE, SEX, VISIT_TYPE
+from argentum.sources.readers import filtered_read, first_file, read_codes, rows_per_file, table_location
+from argentum.sources.tables import enrich_care_sites, one_row_per_note, scan
+from driver_queries.inputs import CODE_LIST, CONDITIONS, NOTES
+from driver_queries.registry import query, with_
+
+
+@query(
+    "scan_normalised_codes",
+    with_(
+        CONDITIONS,
+        """SELECT person_id, visit_occurrence_id, 'L' || visit_occurrence_id AS condition_occurrence_id,
+  condition_start_datetime, condition_source_value, condition_status_source_value, cdm_source FROM conditions""",
+    ),
+)
+def scan_normalised_codes(t):
+    raw = t.conditions.select(
+        F.col("person_id").alias("patient_num"),
+        F.col("visit_occurrence_id").alias("encounter_num"),
+        F.concat(F.lit("L"), "visit_occurrence_id").alias("instance_num"),
+        F.col("condition_start_datetime").alias("start_date"),
+        F.concat(F.lit("CIM10:"), "condition_source_value").alias("concept_cd"),
+        F.col("condition_status_source_value").alias("tval_char"),
+        F.col("cdm_source").alias("sourcesystem_cd"),
+    )
+    return scan(raw, "icd10")
+
+
+@query(
+    "scan_stay_groups",
+    """SELECT CAST(o_custkey AS VARCHAR) AS person_id, CAST(o_orderkey AS VARCHAR) AS visit,
+  o_orderdate AS incurred_datetime, substr(o_orderpriority, 1, 20) AS drg_source_value,
+  substr(o_orderpriority, 3, 1) AS letter_ghm FROM orders""",
+)
+def scan_stay_groups(t):
+    raw = t["orders"].select(
+        F.col("o_custkey").cast("string").alias("patient_num"),
+        F.col("o_orderkey").cast("string").alias("encounter_num"),
+        F.lit("-").alias("instance_num"),
+        F.col("o_orderdate").alias("start_date"),
+        F.concat(F.lit("GHM:"), "o_orderpriority").alias("concept_cd"),
+        F.col("o_orderstatus").alias("sourcesystem_cd"),
+    )
+    return scan(
+        raw,
+        "cost",
+        rename_cols={"visit_occurrence_id": "visit"},
+        select_cols=["person_id", "visit", "incurred_datetime", "drg_source_value", "letter_ghm"],
+    )
+
+
+@query(
+    "scan_documents_one_per_note",
+    """SELECT note_id, arg_min(note_title, doc_id) AS note_title, min(doc_id) AS first_doc FROM (
+  SELECT source || '-' || lang || '-' || CAST(n_chars AS VARCHAR) AS note_id, text AS note_title, doc_id FROM documents)
+GROUP BY note_id""",
+)
+def scan_documents_one_per_note(t):
+    key = F.concat_ws("-", "source", "lang", F.col("n_chars").cast("string"))
+    docs = t["documents"].select(key.alias("note_id"), F.col("text").alias("note_title"), F.col("doc_id").alias("first_doc"))
+    return one_row_per_note(docs, ["first_doc"])
+
+
+@query(
+    "care_site_enriched",
+    """SELECT DISTINCT substr('UFR:' || lpad(CAST(s_nationkey AS VARCHAR), 3, '0'), 5, 3) AS care_site_source_value,
+  coalesce(n_name, 'INCONNU') AS care_site_name, coalesce(r_name, 'INCONNU') AS cd_long_gh
+FROM supplier LEFT JOIN (SELECT * FROM nation JOIN region ON n_regionkey = r_regionkey WHERE r_regionkey <> 2)
+  ON s_nationkey = n_nationkey""",
+)
+def care_site_enriched(t):
+    names = (
+        t["nation"]
+        .join(t["region"].filter("r_regionkey <> 2"), F.col("n_regionkey") == F.col("r_regionkey"))
+        .select(
+            F.lpad(F.col("n_nationkey").cast("string"), 3, "0").alias("care_site_source_value"),
+            F.col("n_name").alias("care_site_name"),
+            F.col("r_name").alias("cd_long_gh"),
+        )
+    )
+    raw = t["supplier"].select(
+        F.concat(F.lit("UFR:"), F.lpad(F.col("s_nationkey").cast("string"), 3, "0")).alias("location_cd"),
+        F.lit("visit").alias("encounter_num"),
+    )
+    return enrich_care_sites(scan(raw, "care_site").select("care_site_source_value"), names)
+
+
+@query(
+    "filtered_projected_read",
+    """SELECT o_orderkey, o_custkey, o_orderdate + INTERVAL 0 HOUR AS o_orderdate FROM orders
+WHERE o_orderpriority IN ('1-URGENT', '5-LOW') AND o_orderpriority NOT IN ('5-LOW', '2-HIGH')""",
+)
+def filtered_projected_read(t):
+    return filtered_read(
+        t["orders"],
+        keep=["1-URGENT", "5-LOW"],
+        avoid=["5-LOW", "2-HIGH"],
+        key="o_orderpriority",
+        columns=["o_orderkey", "o_custkey", "o_orderdate"],
+    )
+
+
+@query(
+    "filtered_read_by_table",
+    """SELECT o_custkey, count(*) AS n FROM orders
+WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_mktsegment IN ('BUILDING', 'MACHINERY'))
+  AND o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_acctbal < 0) GROUP BY o_custkey""",
+)
+def filtered_read_by_table(t):
+    persons = t["customer"].withColumnRenamed("c_custkey", "o_custkey")
+    kept = filtered_read(
+        t["orders"],
+        keep=persons.filter(F.col("c_mktsegment").isin("BUILDING", "MACHINERY")),
+        avoid=persons.filter("c_acctbal < 0"),
+        key="o_custkey",
+        columns=["o_custkey"],
+    )
+    return kept.groupBy("o_custkey").agg(F.count("*").alias("n"))
+
+
+@query("rows_per_file", "SELECT 'lineitem.parquet' AS file_name, count(*) AS n_rows FROM lineitem")
+def rows_per_file_query(t):
+    counts = rows_per_file(t["lineitem"])
+    return counts.select(F.element_at(F.split("file_path", "/"), -1).alias("file_name"), "n_rows")
+
+
+@query("peek_first_file", "SELECT o_orderkey, o_orderdate FROM orders")
+def peek_first_file(t):
+    return first_file(t["orders"]).select("o_orderkey", "o_orderdate")
+
+
+@query("table_location")
+def table_location_query(t):
+    name = "argentum_orders"
+    t.spark.sql(f"CREATE TABLE IF NOT EXISTS {name} USING parquet LOCATION '{t.folder}/orders.parquet'")
+    return table_location(t.spark, name)
+
+
+@query(
+    "code_list_any_flag",
+    with_(
+        CODE_LIST,
+        """SELECT "Code", min("Libelle") AS "Libelle" FROM code_list WHERE coalesce(Exerese_abdo_pelvien, Exerese_ORL,
+  Exerese_thoracique, Exerese_sein, Exerese_estomac, Exerese_foie, Exerese_oesophage, Exerese_pancreas, Exerese_rectum,
+  Omentectomie_laparo, Omentectomie_coelio, Autres_resections_coelio) IS NOT NULL GROUP BY "Code" """,
+    ),
+)
+def code_list_any_flag(t):
+    return read_codes(t.code_list)
+
+
+@query(
+    "code_value_decode",
+    """SELECT o_orderkey,
+  CASE o_orderstatus WHEN 'O' THEN 'Ext' END AS visit_type,
+  CASE substr(o_orderpriority, 3, 1) WHEN 'M' THEN 'm' ELSE '?' END AS sex,
+  CASE CASE o_orderpriority WHEN '1-URGENT' THEN '6-DC' WHEN '2-HIGH' THEN 'M' ELSE o_orderpriority END
+    WHEN '6-DC' THEN '03' WHEN 'M' THEN 'Non Renseigné' END AS discharge FROM orders""",
+)
+def code_value_decode(t):
+    mode = F.when(F.col("o_orderpriority") == "1-URGENT", "6-DC").when(F.col("o_orderpriority") == "2-HIGH", "M")
+    return t["orders"].select(
+        "o_orderkey",
+        decode("o_orderstatus", VISIT_TYPE).alias("visit_type"),
+        decode(F.substring("o_orderpriority", 3, 1), SEX, "?").alias("sex"),
+        decode(F.coalesce(mode, F.col("o_orderpriority")), DISCHARGE_MODE).alias("discharge"),
+    )
+
+
+@query(
+    "lookup_with_fill",
+    """SELECT o_orderkey, coalesce(CASE o_orderpriority WHEN '1-URGENT' THEN 1 WHEN '2-HIGH' THEN 2 END, 0) AS rank
+FROM orders""",
+)
+def lookup_with_fill(t):
+    ranks = literal_table(t.spark, [("1-URGENT", 1), ("2-HIGH", 2)], "o_orderpriority string, rank int")
+    return lookup(t["orders"], ranks, "o_orderpriority", {"rank": 0}).select("o_orderkey", "rank")
+
+
+@query(
+    "timestamps_in_zone",
+    """SELECT event_id, timezone('Europe/Paris', timezone('UTC', ts)) AS ts FROM events""",
+)
+def timestamps_in_zone(t):
+    return to_zone(t["events"].select("event_id", "ts"), "Europe/Paris")
+
+
+@query(
+    "parse_or_drop",
+    r"""SELECT event_id, CAST(try_strptime(s, '%Y-%m-%d') AS TIMESTAMP) AS day FROM (
+  SELECT event_id, CASE WHEN event_type = 'error' THEN 'not a date' WHEN event_type = 'view' THEN '2024-02-30'
+    ELSE strftime(ts, '%Y-%m-%d') END AS s FROM events) WHERE try_strptime(s, '%Y-%m-%d') IS NOT NULL""",
+)
+def parse_or_drop_query(t):
+    text = (
+        F.when(F.col("event_type") == "error", "not a date")
+        .when(F.col("event_type") == "view", "2024-02-30")
+        .otherwise(F.date_format("ts", "yyyy-MM-dd"))
+    )
+    return parse_or_drop(t["events"].select("event_id", text.alias("day")), "day", "yyyy-MM-dd")
+
+
+@query("missing_letters", "SELECT doc_id, translate(text, 'üö', 'uo') AS text FROM documents")
+def missing_letters(t):
+    return t["documents"].select("doc_id", replace_missing_letters("text").alias("text"))
+
+
+@query(
+    "note_columns_renamed",
+    with_(NOTES, "SELECT note_id AS id, person_id AS person, note_class_source_value AS class, 'silver' AS set FROM notes"),
+)
+def note_columns_renamed(t):
+    renamed = t.notes.withColumnsRenamed(
+        {"note_id": "id", "person_id": "person", "note_class_source_value": "class"}
+    )
+    return renamed.select("id", "person", "class", F.lit("silver").alias("set"))
