@@ -20,13 +20,15 @@ def mentions_offsets(t):
 
 @query(
     "mentions_excluded",
-    with_(NOTES, MENTIONS, f"SELECT {OFFSETS} FROM mentions WHERE excluded"),
+    with_(NOTES, MENTIONS, "SELECT note_id, lexical_variant, text_start_char, text_end_char FROM mentions WHERE excluded"),
 )
 def mentions_excluded(t):
     found = extract_mentions(t.notes, drop_na=False)
-    return found.filter("date_dt is null").select(*OFFSETS.split(", "))
+    return found.filter("date_dt is null").select("note_id", "lexical_variant", "text_start_char", "text_end_char")
 
 
+#: The pattern of tokens that only the normalised attribute drops.
+POLLUTED = "'^[=_*#~\\-]{4,}\\s*$'"
 CONTEXT = "note_id, text_start_char, span, span_start_char, span_end_char"
 
 
@@ -52,7 +54,14 @@ def mentions_sentence(t):
     return extract_mentions(t.notes, 1, 1, mode="sentence", attr="TEXT").select(*CONTEXT.split(", "))
 
 
-@query("mentions_lower_case")
+@query(
+    "mentions_lower_case",
+    with_(
+        NOTES,
+        mention_cte(10, 10).replace(POLLUTED, "'^$'"),
+        """SELECT note_id, text_start_char, lower(span) AS span, span_start_char, span_end_char FROM mentions WHERE NOT excluded""",
+    ),
+)
 def mentions_lower_case(t):
     return extract_mentions(t.notes, 10, 10, attr="LOWER").select(*CONTEXT.split(", "))
 

@@ -59,7 +59,7 @@ def last_non_null_query(t):
 
 @query(
     "previous_event_gap",
-    """SELECT o_custkey, CAST(d AS TIMESTAMP) AS d, gap, gap IS NULL OR gap > 100 AS new_case FROM (
+    """SELECT o_custkey, CAST(d AS TIMESTAMP) AS d, CAST(gap AS VARCHAR) AS gap, gap IS NULL OR gap > 100 AS new_case FROM (
   SELECT o_custkey, d, date_diff('day', lag(d) OVER (PARTITION BY o_custkey ORDER BY d), d) AS gap
   FROM (SELECT DISTINCT o_custkey, o_orderdate AS d FROM orders))""",
 )
@@ -69,12 +69,12 @@ def previous_event_gap(t):
     # distinct days first: a customer then has at most one row per calendar day
     days = t["orders"].select("o_custkey", F.col("o_orderdate").alias("d")).distinct()
     previous = F.lag("d").over(Window.partitionBy("o_custkey").orderBy("d"))
-    gap = F.datediff("d", previous).cast("long")
-    return days.withColumn("gap", gap).withColumn("new_case", flag_new_case(F.col("gap"), 100))
+    flagged = days.withColumn("gap", F.datediff("d", previous))
+    return flagged.withColumns({"new_case": flag_new_case(F.col("gap"), 100), "gap": F.col("gap").cast("string")})
 
 
 ASOF_INPUT = """p AS (SELECT event_id, user_id, ts FROM events WHERE event_type = 'purchase'),
-s AS (SELECT user_id, ts AS signup_ts, max(event_id) AS signup_id FROM events WHERE event_type = 'signup' GROUP BY ALL)"""
+s AS (SELECT user_id, ts AS signup_ts, CAST(max(event_id) AS VARCHAR) AS signup_id FROM events WHERE event_type = 'signup' GROUP BY ALL)"""
 
 
 def asof_query(t, **options):
@@ -83,7 +83,7 @@ def asof_query(t, **options):
         "user_id", F.col("ts").alias("signup_ts"), F.col("event_id").alias("signup_id")
     )
     return asof(probes, known, "user_id", "ts", "signup_ts", "signup_id", **options).select(
-        "event_id", "user_id", "ts", "signup_ts", "signup_id"
+        "event_id", "user_id", "ts", "signup_ts", F.col("signup_id").cast("string").alias("signup_id")
     )
 
 
@@ -144,13 +144,13 @@ ONCE = """once AS (SELECT * FROM mentions WHERE date_dt IS NOT NULL QUALIFY coun
         NOTES,
         MENTIONS,
         KNOWN,
-        """SELECT note_id, text_start_char, date_dt, known_date, label FROM mentions LEFT JOIN known
+        """SELECT note_id, text_start_char, date_dt, known_date, CAST(label AS VARCHAR) AS label FROM mentions LEFT JOIN known
   ON mentions.person_id = known.person_id AND date_dt = known_date WHERE date_dt IS NOT NULL""",
     ),
 )
 def asof_exact_query(t):
     joined = asof(t.mentions, t.known, "person_id", "date_dt", "known_date", "label", tolerance_seconds=0)
-    return joined.select("note_id", "text_start_char", "date_dt", "known_date", "label")
+    return joined.select("note_id", "text_start_char", "date_dt", "known_date", F.col("label").cast("string").alias("label"))
 
 
 @query(
