@@ -1,9 +1,11 @@
-"""Date mentions, context windows and coded strings in free text, as native expressions.
+"""Dates, matched spans and coded strings in free text: patterns and native expressions.
 
 Spark returns regex matches but not their positions. A text is therefore cut into the
 matches and the gaps around them: `gap_0 match_0 gap_1 ... match_m-1 gap_m`; positions
-are running sums of their lengths. Tokens are whitespace-delimited pieces that keep
-their trailing whitespace; a date mention is always one token of its own.
+are running sums of their lengths.
+
+Tokens are whitespace-delimited pieces that keep their trailing whitespace; a date
+mention is always one token of its own.
 """
 
 from __future__ import annotations
@@ -29,22 +31,20 @@ MONTHS = [
     "d[ée]cembre",
 ]
 _MONTH = "(?:" + "|".join(MONTHS) + ")"
-_ISO = r"\d{4}-\d{1,2}-\d{1,2}"
-_NUMERIC = r"\d{1,2}[/.\-]\d{1,2}[/.\-](?:\d{4}|\d{2})"
-_WRITTEN = rf"(?:1er|\d{{1,2}})\s+{_MONTH}(?:\s+\d{{4}})?"
-_MONTH_YEAR = rf"{_MONTH}\s+\d{{4}}"
+_ISO = r"[0-9]{4}-[0-9]{1,2}-[0-9]{1,2}"
+_NUMERIC = r"[0-9]{1,2}[/.\-][0-9]{1,2}[/.\-](?:[0-9]{4}|[0-9]{2})"
+_WRITTEN = rf"(?:1er|[0-9]{{1,2}})\s+{_MONTH}(?:\s+[0-9]{{4}})?"
+_MONTH_YEAR = rf"{_MONTH}\s+[0-9]{{4}}"
 
 #: Absolute forms first; a written date may lack its year, a written month its day.
 #: The lookaheads let the matcher skip most words at their first letter.
 DATE_PATTERN = (
-    rf"(?i)\b(?:(?=\d)(?:{_ISO}|{_NUMERIC}|{_WRITTEN})|(?=[jfmasond]){_MONTH_YEAR})\b"
+    rf"(?i)\b(?:(?=[0-9])(?:{_ISO}|{_NUMERIC}|{_WRITTEN})|(?=[jfmasond]){_MONTH_YEAR})\b"
 )
 #: Separator lines and the like, left out of normalised snippets.
 POLLUTION_PATTERN = r"^[=_*#~\-]{4,}\s*$"
-_POLLUTED = r"[=_*#~\-]{4}"
 #: A neighbour token that makes a date part of a table of values.
 NUMBER_PATTERN = r"^\d+(?:[.,]\d+)*\s*$"
-_BLANKS = " \t\n\x0b\f\r"
 TOKEN_PATTERN = r"\S+\s*"
 SENTENCE_END = r"[.!?]+\s*$|\n"
 
@@ -91,30 +91,13 @@ def parse_date(variant: Column, note_datetime: Column | None = None) -> Column:
     generated code of the row loop small enough to be compiled.
     """
     note_year = F.year(note_datetime).cast("string") if note_datetime is not None else F.lit(None).cast("string")
-    common = F.try_to_timestamp(F.translate(variant, ".-", "//"), F.lit("d/M/yyyy"))
+    slashes = F.replace(F.replace(variant, F.lit("."), F.lit("/")), F.lit("-"), F.lit("/"))
+    common = F.try_to_timestamp(slashes, F.lit("d/M/yyyy"))
     return F.when(variant.rlike(r"^\d{1,2}[/.\-]\d{1,2}[/.\-]\d{4}$"), common).otherwise(
         let(F.struct(variant.alias("v"), note_year.alias("y")), lambda s: _parse_rare(s["v"], s["y"]))
     )
 
 
-def _tokens(text: Column, normalise: bool) -> Column:
-    pieces = F.regexp_extract_all(text, F.lit(TOKEN_PATTERN), F.lit(0))
-    if not normalise:
-        return pieces
-    # most gaps hold no pollution at all: look once before testing every token
-    clean = F.filter(pieces, lambda t: ~t.rlike(POLLUTION_PATTERN))
-    return F.when(text.rlike(_POLLUTED), clean).otherwise(pieces)
-
-
-def _lead(text: Column) -> Column:
-    """Leading whitespace."""
-    return F.substring(text, F.lit(1), F.length(text) - F.length(F.ltrim(text, F.lit(_BLANKS))))
-
-
-def _is_number(token: Column) -> Column:
-    return token.rlike(NUMBER_PATTERN)
-
-
 def _cut(text: Column, pattern: str, body) -> Column:
     """Bind the matches of a pattern and the gaps around them, each evaluated once."""
     return let(
@@ -160,132 +143,6 @@ def find_spans(text: Column, pattern: str) -> Column:
     return _cut(text, pattern, spans)
 
 
-def _excluded_flags(hits: Column, tokens: Column) -> Column:
-    """Per mention: a neighbour token is a number (a date next to a date counts as one)."""
-    last = F.size(hits) - 1
-
-    def flag(k: Column) -> Column:
-        left, right = _item(tokens, k), _item(tokens, k + 1)
-        from_left = F.when(F.size(left) > 0, _is_number(F.try_element_at(left, F.lit(-1)))).otherwise(
-            (k > 0) & F.coalesce(F.try_element_at(hits, F.greatest(k, F.lit(1))).rlike(r"\d$"), F.lit(False))
-        )
-        from_right = F.when(F.size(right) > 0, _is_number(F.try_element_at(right, F.lit(1)))).otherwise(
-            (k < last) & F.coalesce(F.try_element_at(hits, k + 2).rlike(r"^\d"), F.lit(False))
-        )
-        return from_left | from_right
-
-    return F.transform(_range(F.size(hits)), flag)
-
-
-def _window(before: Column, mention: Column, after: Column) -> list[Column]:
-    """Snippet without trailing whitespace, and the mention's offsets in it."""
-    text = F.rtrim(F.concat(before, mention, after), F.lit(_BLANKS))
-    start = F.length(before)
-    return [
-        text.alias("span"),
-        start.alias("span_start_char"),
-        (start + F.length(mention)).alias("span_end_char"),
-    ]
-
-
-def mentions(
-    text: Column,
-    n_before: int = 30,
-    n_after: int = 45,
-    ignore_excluded: bool = True,
-    attr: str = "NORM",
-    pattern: str = DATE_PATTERN,
-    mode: str = "token",
-) -> Column:
-    """Array of structs, one per mention: variant, offsets, excluded flag, snippet, offsets in it.
-
-    `mode` counts the window in tokens or in sentences. With `ignore_excluded`, other
-    excluded dates leave the snippet and are not counted. `attr`: TEXT keeps the text,
-    NORM drops pollution tokens, LOWER lower-cases the snippet.
-    """
-    attr = attr.upper()
-    if mode not in ("token", "sentence") or attr not in ("TEXT", "NORM", "LOWER"):
-        raise ValueError(f"unknown mode or attribute: {mode}, {attr}")
-    normalise = attr == "NORM"
-
-    def with_tokens(hits: Column, gaps: Column) -> Column:
-        leads = F.transform(gaps, _lead)
-        tokens = F.transform(gaps, lambda g: _tokens(g, normalise))
-        return let(leads, lambda ld: let(tokens, lambda tk: with_flags(hits, gaps, ld, tk)))
-
-    def with_flags(hits: Column, gaps: Column, leads: Column, tokens: Column) -> Column:
-        return let(_excluded_flags(hits, tokens), lambda ex: with_stream(hits, gaps, leads, tokens, ex))
-
-    def with_stream(hits, gaps, leads, tokens, excluded) -> Column:
-        in_stream = lambda k: ~_item(excluded, k) if ignore_excluded else F.lit(True)
-        # the whitespace after a mention belongs to it, as for any token
-        piece = lambda k: F.concat(_item(hits, k), _item(leads, k + 1))
-        segments = F.transform(
-            _range(F.size(gaps)),
-            lambda k: F.when(
-                k < F.size(hits),
-                F.concat(
-                    _item(tokens, k),
-                    F.when(in_stream(k), F.array(F.concat(F.try_element_at(hits, k + 1), F.try_element_at(leads, k + 2))))
-                    .otherwise(F.array().cast("array<string>")),
-                ),
-            ).otherwise(_item(tokens, k)),
-        )
-        ends = _running(
-            F.zip_with(gaps, hits, lambda g, h: F.coalesce(F.length(g), F.lit(0)) + F.coalesce(F.length(h), F.lit(0)))
-        )
-
-        def rows(stream: Column, starts: Column, char_ends: Column, sentences: Column | None) -> Column:
-            def row(k: Column) -> Column:
-                hit = _item(hits, k)
-                kept = F.when(in_stream(k), 1).otherwise(0)
-                # number of stream tokens ahead of the mention
-                ahead = _item(starts, k) + F.size(_item(tokens, k))
-                if mode == "token":
-                    first = F.greatest(ahead - n_before, F.lit(0))
-                    n_next = F.lit(n_after)
-                else:
-                    at_sentence = _item(sentences, ahead)
-                    first = F.size(F.filter(sentences, lambda s: s < at_sentence - n_before))
-                    upto = F.size(F.filter(sentences, lambda s: s <= at_sentence + n_after))
-                    n_next = F.greatest(F.least(upto, F.size(stream)) - ahead - kept, F.lit(0))
-                before = F.array_join(F.slice(stream, first + 1, F.greatest(ahead - first, F.lit(0))), "")
-                after = F.concat(
-                    _item(leads, k + 1), F.array_join(F.slice(stream, ahead + kept + 1, n_next), "")
-                )
-                lower = F.lower if attr == "LOWER" else (lambda c: c)
-                return F.struct(
-                    hit.alias("lexical_variant"),
-                    (_item(char_ends, k + 1) - F.length(hit)).alias("text_start_char"),
-                    _item(char_ends, k + 1).alias("text_end_char"),
-                    _item(excluded, k).alias("excluded"),
-                    *_window(lower(before), lower(hit), lower(after)),
-                )
-
-            return F.transform(_range(F.size(hits)), row)
-
-        def finish(segs: Column) -> Column:
-            return let(
-                F.flatten(segs),
-                lambda stream: let(
-                    _running(F.transform(segs, F.size)),
-                    lambda starts: let(
-                        ends,
-                        lambda char_ends: rows(stream, starts, char_ends, None)
-                        if mode == "token"
-                        else let(
-                            _running(F.transform(stream, lambda t: F.when(t.rlike(SENTENCE_END), 1).otherwise(0))),
-                            lambda sentences: rows(stream, starts, char_ends, sentences),
-                        ),
-                    ),
-                ),
-            )
-
-        return let(segments, finish)
-
-    return _cut(text, pattern, with_tokens)
-
-
 # fixed values: (first character counted from 1, length) of the parts of a pathology code
 CODE_PARTS = {
     "sampling_mode": (1, 1),

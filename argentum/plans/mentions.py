@@ -2,12 +2,59 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from argentum.functions.columns import localise
-from argentum.functions.text import CODE_PARTS, CODE_PATTERN, DATE_PATTERN, find_codes, mentions, parse_date
-from argentum.session import broadcast_if_small, spread_small
+from argentum.functions.snippets import find_mentions
+from argentum.functions.text import CODE_PARTS, CODE_PATTERN, DATE_PATTERN, find_codes, parse_date
+from argentum.session import broadcast_if_small
+
+MENTION_FIELDS = T.StructType(
+    [
+        T.StructField("lexical_variant", T.StringType()),
+        T.StructField("text_start_char", T.IntegerType()),
+        T.StructField("text_end_char", T.IntegerType()),
+        T.StructField("excluded", T.BooleanType()),
+        T.StructField("span", T.StringType()),
+        T.StructField("span_start_char", T.IntegerType()),
+        T.StructField("span_end_char", T.IntegerType()),
+    ]
+)
+_ARROW_TYPES = [pa.string(), pa.int32(), pa.int32(), pa.bool_(), pa.string(), pa.int32(), pa.int32()]
+#: Snippet characters per output batch, so that dense texts do not build up in a worker.
+BATCH_CHARS = 16_000_000
+
+
+def _mention_batches(pattern: str, carried: list[str], options: tuple):
+    """The Arrow job: batches of notes in, batches of mentions out."""
+
+    def flush(batch: pa.RecordBatch, rows: list[int], found: list[tuple]) -> pa.RecordBatch:
+        columns = [batch.column(c).take(pa.array(rows, pa.int32())) for c in carried]
+        columns += [pa.array(v, t) for v, t in zip(zip(*found), _ARROW_TYPES)]
+        return pa.RecordBatch.from_arrays(columns, names=[*carried, *MENTION_FIELDS.names])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        compiled = re.compile(pattern)
+        for batch in batches:
+            rows, found, size = [], [], 0
+            for row, text in enumerate(batch.column("note_text")):
+                for mention in find_mentions(text.as_py() or "", compiled, *options):
+                    rows.append(row)
+                    found.append(mention)
+                    size += len(mention.span)
+                    if size > BATCH_CHARS:
+                        yield flush(batch, rows, found)
+                        rows, found, size = [], [], 0
+            if found:
+                yield flush(batch, rows, found)
+
+    return run
 
 
 def extract_mentions(
@@ -24,31 +71,35 @@ def extract_mentions(
 ) -> DataFrame:
     """One row per date mention of `note_text`, with its snippet; columns `keep` are carried along.
 
-    A narrow job: every note is read once and, unless the input is a handful of files,
-    nothing is shuffled. With `ignore_excluded` a date beside a number gets no parsed value.
+    `mode` counts the window in tokens or in sentences. With `ignore_excluded` a date beside
+    a number gets no parsed value and leaves the snippets of other dates. `attr`: TEXT keeps
+    the text, NORM drops pollution tokens, LOWER lower-cases the snippet.
+
+    A narrow job without a shuffle: every note is read once, and only the carried columns
+    and the text travel to the Arrow workers.
     """
-    carried = [c for c in keep if c in notes.columns]
+    attr = attr.upper()
+    if mode not in ("token", "sentence") or attr not in ("TEXT", "NORM", "LOWER"):
+        raise ValueError(f"unknown mode or attribute: {mode}, {attr}")
     dated = "note_datetime" in notes.columns
-    found = spread_small(notes).select(
-        *carried,
-        *([F.col("note_datetime").alias("_note_datetime")] if dated else []),
-        # the outer form: the inner one would add a filter that extracts a second time
-        F.explode_outer(
-            mentions(F.col("note_text"), n_before, n_after, ignore_excluded, attr, pattern, mode)
-        ).alias("_m"),
-    ).filter("_m is not null")
-    parsed = localise(parse_date(F.col("_m.lexical_variant"), F.col("_note_datetime") if dated else None), tz)
+    carried = [*[c for c in keep if c in notes.columns], *(["note_datetime"] if dated else [])]
+    narrow = notes.filter(F.col("note_text").isNotNull()).select(*dict.fromkeys(carried), "note_text")
+    schema = T.StructType([narrow.schema[c] for c in dict.fromkeys(carried)] + MENTION_FIELDS.fields)
+    job = _mention_batches(pattern, list(dict.fromkeys(carried)), (n_before, n_after, ignore_excluded, attr, mode))
+    found = narrow.mapInArrow(job, schema)
+
+    parsed = localise(parse_date(F.col("lexical_variant"), F.col("note_datetime") if dated else None), tz)
     if ignore_excluded:
-        parsed = F.when(~F.col("_m.excluded"), parsed)
+        parsed = F.when(~F.col("excluded"), parsed)
     out = found.select(
-        *carried,
-        "_m.lexical_variant",
+        *[c for c in keep if c in notes.columns],
+        "lexical_variant",
         parsed.alias("date_dt"),
-        "_m.text_start_char",
-        "_m.text_end_char",
-        "_m.span",
-        "_m.span_start_char",
-        "_m.span_end_char",
+        "text_start_char",
+        "text_end_char",
+        "span",
+        "span_start_char",
+        "span_end_char",
     )
     return out.dropna(subset=["date_dt"]) if drop_na else out
 

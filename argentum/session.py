@@ -66,7 +66,7 @@ def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFra
 
 
 def spread_small(df: DataFrame) -> DataFrame:
-    """Spread the rows of an input with fewer files than cores, for work that is heavy per row.
+    """Spread the rows of an input with fewer files than cores, ahead of work that is heavy per row.
 
     Large datasets have more files than cores and are left alone: no shuffle.
     """

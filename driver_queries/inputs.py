@@ -10,6 +10,7 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from argentum.session import spread_small
 from argentum.sources.fixed_values import SURGERY_FLAGS
 
 FAMILIES = {"alpha": ["B01", "B021", "B011"], "beta": ["B03", "B045"], "gamma": ["B05", "B0", "B062"]}
@@ -209,7 +210,11 @@ class Tables:
             lit(" selon le protocole habituel du service."),
             F.when(priority == "4-NOT SPECIFIED", " FICHIER PDF SCAN").otherwise(""),
         )
-        return self["orders"].select(
+        # one small file would leave all text work to one core
+        orders = spread_small(
+            self["orders"].select("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority")
+        )
+        return orders.select(
             F.col("o_orderkey").cast("string").alias("note_id"),
             F.col("o_custkey").cast("string").alias("person_id"),
             F.col("o_orderkey").cast("string").alias("visit_occurrence_id"),
