@@ -63,6 +63,9 @@ def match_dates(
     labelled = "label" in known.columns
     known = parse_or_drop(known, date).withColumn(date, localise(date, tz))
     mentions = mentions.withColumn("date_dt", localise(F.col("date_dt").cast("timestamp"), tz))
+    if tolerance_seconds != 0:
+        # the general as-of join reads the mentions twice
+        mentions = stage(mentions, "probes")
     aligned = asof(
         mentions, known, "person_id", "date_dt", date, "label" if labelled else None, direction, tolerance_seconds
     )
@@ -162,14 +165,22 @@ def align(
     `extract_mentions`). The number of negatives is the multiplier times the matches with
     label 1; fewer when fewer exist, unless `strict`. A `set` column of `texts` comes first.
 
-    The labelled mentions feed four passes (matches, their count, weights, candidates), so
-    they are staged once.
+    Snippets are wide and most mentions lie in notes without a match, so counting and
+    matching run on keys and dates only; snippets join the surviving rows. The labelled
+    mentions feed four passes (matches, their count, weights, candidates) and are staged.
     """
     if mentions is None:
         if texts is None:
             raise ValueError("either texts or mentions are needed")
-        mentions = extract_mentions(texts, **mention_options)
-    aligned = match_dates(mentioned_once(mentions), known, date, direction, tolerance_seconds, threshold, tz)
+        mentions = stage(extract_mentions(texts, **mention_options), "mentions")
+    keys = [*MENTION_KEYS, "date_dt"]
+    narrow = mentioned_once(mentions.select(*keys, "person_id"))
+    # the raw date identifies the row again after localisation
+    matched = match_dates(narrow.withColumn("_raw", F.col("date_dt")), known, date, direction, tolerance_seconds, threshold, tz)
+    wide = mentions.select(
+        *MENTION_KEYS, F.col("date_dt").alias("_raw"), "lexical_variant", "span", "span_start_char", "span_end_char"
+    )
+    aligned = matched.join(wide, [*MENTION_KEYS, "_raw"]).drop("_raw")
     aligned = stage(aligned.withColumn("label", F.col("label").cast("int")), "aligned")
 
     matches = drop_repeated_spans(aligned.filter("label <> 0"))

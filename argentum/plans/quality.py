@@ -12,6 +12,7 @@ from argentum.operators.joins import assert_unique, attach, join_spans, keep_key
 from argentum.operators.metrics import binary_scores, error_counts
 from argentum.operators.ranking import dense_id
 from argentum.plans.mentions import extract_mentions
+from argentum.session import stage
 
 
 def gold_labels(annotations: DataFrame) -> DataFrame:
@@ -44,7 +45,8 @@ def gold_examples(
     if note_dates is not None:
         check = "one_to_one" if validate else None
         texts = attach(texts, note_dates, ["note_id"], validate=check)
-    found = extract_mentions(texts, **mention_options)
+    # checked and joined: two passes over the mentions of the annotated notes
+    found = stage(extract_mentions(texts, **mention_options), "found")
     labelled = join_spans(
         found, gold.drop("lexical_variant"), validate="one_to_one" if validate else None
     )

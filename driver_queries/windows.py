@@ -170,7 +170,8 @@ WHERE date_dt > TIMESTAMP '1930-01-01' AND matched_date_in_doc > 0""",
     ).replace("AS matched_date_in_doc", "::BIGINT AS matched_date_in_doc"),
 )
 def match_dates_within_days(t):
-    aligned = match_dates(mentioned_once(t.mentions), t.known, tolerance_seconds=5 * 86_400)
+    narrow = t.mentions.select("note_id", "person_id", "date_dt", "text_start_char")
+    aligned = match_dates(mentioned_once(narrow), t.known, tolerance_seconds=5 * 86_400)
     return aligned.select("note_id", "text_start_char", "date_dt", "known_date", "label", "matched_date_in_doc")
 
 
