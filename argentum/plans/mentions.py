@@ -43,8 +43,8 @@ def _mention_batches(pattern: str, carried: list[str], options: tuple):
         compiled = re.compile(pattern)
         for batch in batches:
             rows, found, size = [], [], 0
-            for row, text in enumerate(batch.column("note_text")):
-                for mention in find_mentions(text.as_py() or "", compiled, *options):
+            for row, text in enumerate(batch.column("note_text").to_pylist()):
+                for mention in find_mentions(text, compiled, *options):
                     rows.append(row)
                     found.append(mention)
                     size += len(mention.span)
