@@ -28,13 +28,17 @@ def join_code_family(events: DataFrame, families: DataFrame, code: str = "condit
 
 
 def keep_keys(df: DataFrame, keys: DataFrame, on: list[str]) -> DataFrame:
-    """Rows whose key occurs in `keys` (no duplicates added, hot keys split by the adaptive join)."""
-    return df.join(keys.select(*on), on, "left_semi")
+    """Rows whose key occurs in `keys`.
+
+    Distinct keys combine ahead of the shuffle and keep its partitioning, so a hot key
+    weighs nothing on that side; on the other, the adaptive join splits it.
+    """
+    return df.join(keys.select(*on).distinct(), on, "left_semi")
 
 
 def exclude_keys(df: DataFrame, keys: DataFrame, on: list[str]) -> DataFrame:
     """Rows whose key does not occur in `keys`."""
-    return df.join(keys.select(*on), on, "left_anti")
+    return df.join(keys.select(*on).distinct(), on, "left_anti")
 
 
 def lookup(df: DataFrame, dim: DataFrame, on: str, fill: dict | None = None) -> DataFrame:

@@ -4,20 +4,22 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 
 def value_counts(df: DataFrame, columns: list[str], by: list[str] | None = None, normalize: bool = False) -> DataFrame:
     """Rows per value, optionally within `by` groups and as a share of the group.
 
-    Shares divide by totals over the counted values, never over raw rows.
+    Totals add up the counted values, never raw rows, and join the counts by group: a
+    group with many values is not gathered in one task.
     """
     by = by or []
     counts = df.groupBy(*by, *columns).agg(F.count("*").alias("n"))
     if not normalize:
         return counts
-    total = F.sum("n").over(Window.partitionBy(*by))
-    return counts.select(*by, *columns, (F.col("n") / total).alias("share"))
+    if not by:
+        return counts.select(*columns, (F.col("n") / counts.agg(F.sum("n")).scalar()).alias("share"))
+    totals = counts.groupBy(*by).agg(F.sum("n").alias("_total"))
+    return counts.join(totals, by).select(*by, *columns, (F.col("n") / F.col("_total")).alias("share"))
 
 
 def distinct_count(df: DataFrame, column: str, exact: bool = True) -> DataFrame:

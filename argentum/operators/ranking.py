@@ -43,11 +43,35 @@ def dense_id(df: DataFrame, order: list[Column], name: str = "text_id") -> DataF
     return ranked.select(name, *[c for c in ranked.columns if c != name])
 
 
+def cut_at(ranked: DataFrame, positions: list[int], names: list[str]) -> dict[int, Column]:
+    """The sort keys at a few positions of a ranked table, as one literal tuple each."""
+    rows = ranked.filter(F.col("_rank").isin(positions)).select("_rank", *names).collect()
+    typed = lambda r, c: F.lit(r[c]).cast(ranked.schema[c].dataType).alias(c)
+    return {r["_rank"]: F.struct(*[typed(r, c) for c in names]) for r in rows}
+
+
+def key_names(order: list[Column]) -> list[str]:
+    return [f"_key{i}" for i in range(len(order))]
+
+
+def not_above(order: list[Column], cut: Column) -> Column:
+    """Rows whose sort keys, compared as one tuple, are at most `cut`."""
+    return F.struct(*[c.alias(name) for c, name in zip(order, key_names(order))]) <= cut
+
+
 def take_lowest(df: DataFrame, order: list[Column], n: int) -> DataFrame:
-    """Exactly the `n` lowest rows in a total order (fewer when there are fewer rows)."""
+    """Exactly the `n` lowest rows in a total ascending order (fewer when there are fewer rows).
+
+    For a large `n` only the sort keys are ranked; the key at position n - 1 then becomes a
+    filter, so the rows themselves, often wide with text, are never sorted or moved.
+    """
     if n <= SMALL_N:
         return df.orderBy(*order).limit(max(n, 0))
-    return global_rank(df, order, "_rank").filter(F.col("_rank") < n).drop("_rank")
+    names = key_names(order)
+    keys = df.select(*[c.alias(name) for c, name in zip(order, names)])
+    ranked = global_rank(keys, [F.col(name) for name in names], "_rank")
+    cut = cut_at(ranked, [n - 1], names)
+    return df.filter(not_above(order, cut[n - 1])) if cut else df
 
 
 def percentiles(df: DataFrame, column: str, shares: list[float], key: str) -> list[float]:

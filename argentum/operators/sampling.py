@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from argentum.functions.columns import order_hash, unit_interval
-from argentum.operators.ranking import global_rank, take_lowest
+from argentum.operators.ranking import cut_at, global_rank, key_names, not_above, take_lowest
 from argentum.operators.windows import keep_first_by
 
 
@@ -64,21 +64,30 @@ def first_per_class(df: DataFrame, label: str, order: list[Column], n: int) -> D
 def balance_to_class(df: DataFrame, label: str, target: int, keys: list[str], seed: int = 0) -> DataFrame:
     """Cut every class to the size of class `target`; a negative target keeps all rows.
 
-    Classes hold large parts of the table, so no window runs per class: one global order
-    by (class, hash) gives positions, and each class starts where the smaller ones end.
+    Classes hold large parts of the table, so no window runs per class: one global order of
+    the keys by (class, hash) gives positions, each class starts where the one before ends,
+    and the key at the last kept position of a class becomes its filter.
     """
     if target < 0:
         return df
-    sizes = {r[label]: r["count"] for r in df.groupBy(label).count().collect()}
+    sizes = {r[label]: r["count"] for r in df.filter(F.col(label).isNotNull()).groupBy(label).count().collect()}
     quota = sizes.get(target, 0)
-    ranked = global_rank(df, [F.col(label), *hash_order(keys, seed)], "_rank")
-    keep, start = F.lit(False), 0
-    # nulls sort first and belong to no class
-    start += sizes.pop(None, 0)
+    if quota == 0:
+        return df.limit(0)
+    order = hash_order(keys, seed)
+    names = key_names(order)
+    narrow = df.filter(F.col(label).isNotNull()).select(label, *[c.alias(n) for c, n in zip(order, names)])
+    ranked = global_rank(narrow, [F.col(label), *[F.col(n) for n in names]], "_rank")
+    starts, start = {}, 0
     for value in sorted(sizes):
-        keep = keep | ((F.col("_rank") >= start) & (F.col("_rank") < start + min(quota, sizes[value])))
+        starts[value] = start
         start += sizes[value]
-    return ranked.filter(keep).drop("_rank")
+    large = [v for v in sizes if sizes[v] > quota]
+    cuts = cut_at(ranked, [starts[v] + quota - 1 for v in large], names)
+    keep = F.col(label).isin([v for v in sizes if v not in large])
+    for value in large:
+        keep = keep | ((F.col(label) == value) & not_above(order, cuts[starts[value] + quota - 1]))
+    return df.filter(keep)
 
 
 def split_by_share(df: DataFrame, keys: list[str], share: float, seed: int = 0) -> tuple[DataFrame, DataFrame]:

@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 from argentum.functions.columns import localise
 from argentum.functions.snippets import find_mentions
 from argentum.functions.text import CODE_PARTS, CODE_PATTERN, DATE_PATTERN, find_codes, parse_date
-from argentum.session import broadcast_if_small
+from argentum.session import is_small
 
 MENTION_FIELDS = T.StructType(
     [
@@ -126,13 +126,13 @@ def pathology_codes(
     rows = rows.withColumns({prefix + name: F.substring(code, *span) for name, span in parts.items()})
     if decode is None:
         return rows
-    dim = broadcast_if_small(decode)
+    small = is_small(decode)
     for name in parts:
-        axis = dim.filter(F.col("axis") == name).select(
+        axis = decode.filter(F.col("axis") == name).select(
             F.col("code").alias(prefix + name), F.col("label").alias("_label")
         )
         rows = (
-            rows.join(F.broadcast(axis) if dim is not decode else axis, prefix + name, "left")
+            rows.join(F.broadcast(axis) if small else axis, prefix + name, "left")
             .withColumn(prefix + name, F.col("_label"))
             .drop("_label")
         )

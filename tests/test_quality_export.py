@@ -43,6 +43,7 @@ def test_counts(spark, rows):
     df = spark.createDataFrame([("a", 1), ("a", 1), ("b", 2)], "g string, v int")
     assert rows(value_counts(df, ["v"], ["g"], normalize=True)) == [("a", 1, 1.0), ("b", 2, 1.0)]
     assert rows(value_counts(df, ["v"])) == [(1, 2), (2, 1)]
+    assert rows(value_counts(df, ["v"], normalize=True)) == [(1, pytest.approx(2 / 3)), (2, pytest.approx(1 / 3))]
     assert distinct_count(df, "v").first()[0] == 2 and distinct_count(df, "v", exact=False).first()[0] == 2
 
 

@@ -86,6 +86,7 @@ def test_classes(numbers):
     counts = lambda x: {r.label: r["count"] for r in x.groupBy("label").count().collect()}
     assert counts(balance_to_class(df, "label", 1, ["id"])) == {0: 30, 1: 30, 2: 10}
     assert counts(balance_to_class(df, "label", 2, ["id"])) == {0: 10, 1: 10, 2: 10}
+    assert balance_to_class(df, "label", 9, ["id"]).count() == 0
     assert balance_to_class(df, "label", -1, ["id"]).count() == 500
     assert counts(first_per_class(df, "label", [F.col("id")], 7)) == {0: 7, 1: 7, 2: 7}
     rest, share = split_by_share(df, ["id"], 0.2)
