@@ -86,10 +86,16 @@ def drop_repeated_spans(df: DataFrame) -> DataFrame:
     )
 
 
-def proximity_weight(mentions: DataFrame, scale: float = 1500.0) -> DataFrame:
+def place(mentions: DataFrame) -> DataFrame:
+    """Add `position`, the middle of the mention in its text."""
+    return mentions.withColumn("position", midpoint("text_start_char", "text_end_char"))
+
+
+def proximity_weight(mentions: DataFrame, matches: DataFrame | None = None, scale: float = 1500.0) -> DataFrame:
     """Add `p` to the unmatched mentions: the sum of normal densities around the note's matches.
 
-    Matches collapse to (position, count) within stretches so long that a match two
+    `matches` are the placed mentions with a label other than 0, by default those of
+    `mentions`. They collapse to (position, count) within stretches so long that a match two
     stretches away has density 0 exactly. A mention then meets the positions of its own
     and the two adjacent stretches only, a number bounded by `scale` however long the
     note is and however many matches it has.
@@ -97,7 +103,8 @@ def proximity_weight(mentions: DataFrame, scale: float = 1500.0) -> DataFrame:
     width = float(ZERO_DENSITY * scale)
     stretch = F.floor(F.col("position") / width)
     near = (
-        mentions.filter("label <> 0")
+        (mentions if matches is None else matches)
+        .filter("label <> 0")
         .groupBy("note_id", "position")
         .agg(F.count("*").alias("n"))
         .select(
@@ -124,16 +131,17 @@ def proximity_weight(mentions: DataFrame, scale: float = 1500.0) -> DataFrame:
     )
 
 
-def proximity_negatives(aligned: DataFrame, n: int, seed: int = 0, scale: float = 1500.0) -> DataFrame:
-    """`n` unmatched mentions, likelier near a match of the same note."""
-    placed = aligned.withColumn("position", midpoint("text_start_char", "text_end_char"))
-    candidates = drop_repeated_spans(proximity_weight(placed, scale))
-    return weighted_sample(candidates, MENTION_KEYS, "p", n, seed)
+def proximity_negatives(
+    distinct: DataFrame, aligned: DataFrame, n: int, seed: int = 0, scale: float = 1500.0
+) -> DataFrame:
+    """`n` unmatched mentions, likelier near a match of the same note (repeated spans included)."""
+    weighted = proximity_weight(place(distinct), place(aligned), scale)
+    return weighted_sample(weighted, MENTION_KEYS, "p", n, seed)
 
 
-def uniform_negatives(aligned: DataFrame, n: int, seed: int = 0, **_: object) -> DataFrame:
+def uniform_negatives(distinct: DataFrame, aligned: DataFrame, n: int, seed: int = 0, **_: object) -> DataFrame:
     """`n` unmatched mentions, all equally likely."""
-    return uniform_sample(drop_repeated_spans(aligned.filter("label = 0")), MENTION_KEYS, n, seed)
+    return uniform_sample(distinct.filter("label = 0"), MENTION_KEYS, n, seed)
 
 
 NEGATIVES: dict[str, Callable[..., DataFrame]] = {
@@ -165,9 +173,11 @@ def align(
     `extract_mentions`). The number of negatives is the multiplier times the matches with
     label 1; fewer when fewer exist, unless `strict`. A `set` column of `texts` comes first.
 
+    `negatives` names a rule or is a callable (distinct, aligned, n, seed, scale) -> rows.
+
     Snippets are wide and most mentions lie in notes without a match, so counting and
-    matching run on keys and dates only; snippets join the surviving rows. The labelled
-    mentions feed four passes (matches, their count, weights, candidates) and are staged.
+    matching run on keys and dates only; snippets join the surviving rows. Two tables feed
+    several passes and are staged: all labelled mentions, and those with distinct spans.
     """
     if mentions is None:
         if texts is None:
@@ -183,13 +193,14 @@ def align(
     aligned = matched.join(wide, [*MENTION_KEYS, "_raw"]).drop("_raw")
     aligned = stage(aligned.withColumn("label", F.col("label").cast("int")), "aligned")
 
-    matches = drop_repeated_spans(aligned.filter("label <> 0"))
-    n = matches.filter("label = 1").count() * false_examples_multiplier
+    distinct = stage(drop_repeated_spans(aligned), "distinct")
+    n = distinct.filter("label = 1").count() * false_examples_multiplier
     draw = NEGATIVES[negatives] if isinstance(negatives, str) else negatives
-    sampled = draw(aligned, n=n, seed=seed, scale=scale)
+    sampled = draw(distinct, aligned=aligned, n=n, seed=seed, scale=scale)
     if strict and sampled.count() < n:
         raise ValueError(f"fewer than {n} unmatched mentions to draw from")
 
+    matches = distinct.filter("label <> 0")
     examples = matches.unionByName(sampled, allowMissingColumns=True).drop("date_dt", "count_date", date)
     examples = dense_id(examples, [F.col("label").desc(), *[F.col(c) for c in MENTION_KEYS]], "text_id")
     if mask_dates:

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from argentum.functions.columns import mask_span, midpoint
-from argentum.plans.align import align, drop_repeated_spans, match_dates, mentioned_once, proximity_weight
+from argentum.functions.columns import mask_span
+from argentum.plans.align import align, drop_repeated_spans, match_dates, mentioned_once, place, proximity_weight
+from argentum.session import stage
 from driver_queries.inputs import KNOWN, MENTIONS, NOTES
 from driver_queries.registry import query, with_
 
@@ -61,11 +62,8 @@ def align_positives(t):
     with_(NOTES, MENTIONS, KNOWN, ALIGNED, WEIGHTS, "SELECT note_id, text_start_char, round(p * 1000, 9) AS p FROM weights"),
 )
 def proximity_weights(t):
-    from argentum.session import stage
-
     aligned = stage(match_dates(mentioned_once(t.mentions), t.known), "aligned")
-    placed = aligned.withColumn("position", midpoint("text_start_char", "text_end_char"))
-    return proximity_weight(placed).select("note_id", "text_start_char", F.round(F.col("p") * 1000, 9).alias("p"))
+    return proximity_weight(place(aligned)).select("note_id", "text_start_char", F.round(F.col("p") * 1000, 9).alias("p"))
 
 
 @query(
@@ -81,7 +79,7 @@ def align_proximity(t):
     with_(NOTES, MENTIONS, KNOWN, ALIGNED, MATCHES, CANDIDATES, UNIFORM.format(k=2), EXAMPLES, FINAL),
 )
 def align_uniform(t):
-    return align(t.known, mentions=t.mentions, negatives="uniform", false_examples_multiplier=2).select(*COLUMNS)
+    return align(t.known, mentions=t.staged_mentions, negatives="uniform", false_examples_multiplier=2).select(*COLUMNS)
 
 
 @query(
