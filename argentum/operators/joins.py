@@ -133,12 +133,14 @@ def asof(
     )
     wanted = probes.filter(F.col(left_on).isNotNull()).select(key, F.col(left_on).alias("_ts"))
     empty = F.lit(None).cast(points.schema["_known"].dataType)
+    events = points.withColumn("_probe", F.lit(False)).unionByName(
+        wanted.select(key, "_ts", empty.alias("_known"), F.lit(True).alias("_probe"))
+    )
+    bucketed = F.date_trunc(bucket, instant).alias("_bucket")
     timeline = (
-        points.withColumn("_probe", F.lit(False))
-        .unionByName(wanted.select(key, "_ts", empty.alias("_known"), F.lit(True).alias("_probe")))
-        .groupBy(key, "_ts")
+        events.groupBy(key, "_ts")
         .agg(F.max("_known").alias("_known"), F.max("_probe").alias("_probe"))
-        .withColumn("_bucket", F.date_trunc(bucket, instant))
+        .select("*", bucketed)
     )
 
     def neighbour(side: str) -> tuple[DataFrame, Column, Column]:
@@ -146,7 +148,7 @@ def asof(
         edge = F.max("_known") if side == "backward" else F.min("_known")
         before = Window.partitionBy(key).orderBy(order("_bucket")).rowsBetween(Window.unboundedPreceding, -1)
         carried = (
-            timeline.groupBy(key, "_bucket")
+            events.groupBy(key, bucketed)
             .agg(edge.alias("_edge"))
             .select(key, "_bucket", F.last("_edge", ignorenulls=True).over(before).alias(f"_from_{side}"))
         )

@@ -49,7 +49,27 @@ def mentions_short_context(t):
     return extract_mentions(t.notes, 4, 6).select(*CONTEXT.split(", "))
 
 
-@query("mentions_sentence")
+#: A sentence ends after punctuation and whitespace, or at a line break.
+_SENTENCES = r"regexp_extract_all({}, '(?s)[.!?]+\s+|[ \t]*\n\s*|.+?(?:[.!?]+\s+|[ \t]*\n\s*|$)')"
+_STRIPPED = r"regexp_replace({}, '(Score 3 )\d{{2}}/\d{{2}}/\d{{4}}\s*', '\1', 'g')"
+SENTENCES = rf"""sentences AS (
+  SELECT note_id, text_start_char, lexical_variant, {_STRIPPED.format('l')} AS cl,
+    {_SENTENCES.format(_STRIPPED.format('l'))} AS lp, {_SENTENCES.format(_STRIPPED.format('r'))} AS rp FROM windows WHERE NOT excluded),
+bounded AS (
+  SELECT *, array_to_string(lp[greatest(len(lp) - CASE WHEN regexp_matches(cl, '([.!?]+\s+|\n\s*)$') THEN 0 ELSE 1 END, 1):], '') AS before,
+    array_to_string(rp[1:2], '') AS after FROM sentences)"""
+
+
+@query(
+    "mentions_sentence",
+    with_(
+        NOTES,
+        MENTIONS,
+        SENTENCES,
+        r"""SELECT note_id, CAST(text_start_char AS INTEGER) AS text_start_char, regexp_replace(before || lexical_variant || after, '\s+$', '') AS span,
+  CAST(length(before) AS INTEGER) AS span_start_char, CAST(length(before) + 10 AS INTEGER) AS span_end_char FROM bounded""",
+    ),
+)
 def mentions_sentence(t):
     return extract_mentions(t.notes, 1, 1, mode="sentence", attr="TEXT").select(*CONTEXT.split(", "))
 

@@ -140,7 +140,7 @@ def peek_first_file(t):
 
 @query("table_location")
 def table_location_query(t):
-    name = "argentum_orders"
+    name = "argentum_orders_" + "".join(c if c.isalnum() else "_" for c in t.folder)
     t.spark.sql(f"CREATE TABLE IF NOT EXISTS {name} USING parquet LOCATION '{t.folder}/orders.parquet'")
     return table_location(t.spark, name)
 

@@ -5,8 +5,8 @@ from conftest import SMALL
 import __spark_entry__ as entry
 from tools.check_oracle import TABLES, frame
 
-#: Registered without SQL: the sentence window (checked against fixtures) and a catalog property.
-WITHOUT_SQL = {"mentions_sentence", "table_location"}
+#: Registered without SQL: a property of the catalog.
+WITHOUT_SQL = {"table_location"}
 SMOKE = [
     "cohort_new_cases",
     "documents_of_persons",
