@@ -54,3 +54,17 @@ def test_query_equals_sql(spark, con, name):
 def test_no_nested_loops(spark, name):
     plan = entry.queries()[name](spark, SMALL)._jdf.queryExecution().executedPlan().toString()
     assert "NestedLoop" not in plan and "CartesianProduct" not in plan
+
+
+@pytest.mark.parametrize("name", ["first_note", "last_note", "first_rows_per_class", "align_positives"])
+def test_ranks_are_limited_ahead_of_the_shuffle(spark, name):
+    plan = entry.queries()[name](spark, SMALL)._jdf.queryExecution().executedPlan().toString()
+    assert "Partial" in plan and plan.count("WindowGroupLimit") == 2
+
+
+def test_extraction_does_not_shuffle(spark):
+    from argentum.plans.mentions import extract_mentions
+
+    notes = spark.read.parquet(f"{SMALL}/documents.parquet").selectExpr("doc_id AS note_id", "source AS person_id", "text AS note_text")
+    plan = extract_mentions(notes)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "lang" not in plan
