@@ -16,6 +16,7 @@ from argentum.plans.quality import (
     score,
     silver_quality,
 )
+from argentum.session import stage
 from driver_queries.inputs import LOGITS, MENTIONS, NOTES
 from driver_queries.registry import query, with_
 
@@ -70,7 +71,8 @@ WHERE m.date_dt IS NOT NULL""",
 def gold_merge(t):
     texts = t.notes.drop("person_id", "note_datetime")
     note_dates = t.notes.select("note_id", "person_id", "note_datetime")
-    examples = gold_examples(annotations(t), texts, note_dates)
+    # annotations are a table of their own: several passes check and join them
+    examples = gold_examples(stage(annotations(t), "annotations"), texts, note_dates)
     return examples.select("set", "text_id", "note_id", "person_id", "text_start_char", "label", "date_dt", "masked_span")
 
 
