@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import sys
 import tempfile
 import uuid
 
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,7 +23,12 @@ BROADCAST_ROWS = 200_000
 
 
 def pin(spark: SparkSession) -> SparkSession:
-    """Pin the settings that results and plans rely on."""
+    """Pin the settings that results and plans rely on.
+
+    Functions of the package travel to Python workers by value, so that workers need no copy
+    of the package on their path.
+    """
+    cloudpickle.register_pickle_by_value(sys.modules[__package__])
     for key, value in PINNED.items():
         spark.conf.set(key, value)
     return spark
