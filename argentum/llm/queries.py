@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from argentum.llm import chat, packing, quality, sharding, token_counts
+from argentum.llm import chat, decontaminate, packing, quality, sharding, token_counts
 from argentum.session import pin
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -106,3 +106,25 @@ def packing_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op9_sharding")
 def sharding_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(table(spark, sf_dir, "documents")).withColumn("grown_shard", F.lit(None).cast("int"))
+
+
+_WORDS_RE = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+_LEAKS_SQL = rf"""
+WITH b AS (SELECT coalesce(item_id::VARCHAR, '') AS item, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{_WORDS_RE}') AS w FROM benchmark),
+g AS (SELECT DISTINCT item, array_to_string(w[i:i + 9], ' ') AS win, least(10, len(w)) AS n FROM (SELECT item, w, unnest(range(1, greatest(2, len(w) - 8))) AS i FROM b WHERE len(w) > 0)),
+d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{_WORDS_RE}') AS w FROM documents),
+x AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS i FROM d),
+s AS (SELECT x.doc_id, x.i, k.n, string_agg(x.word, ' ') OVER (PARTITION BY x.doc_id, k.n ORDER BY x.i ROWS BETWEEN CURRENT ROW AND 9 FOLLOWING) AS ten,
+  count(*) OVER (PARTITION BY x.doc_id, k.n ORDER BY x.i ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS rest FROM x, (SELECT DISTINCT n FROM g) AS k),
+o AS (SELECT s.doc_id, s.i, s.n, g.item FROM s JOIN g ON s.n = g.n AND s.rest >= s.n AND g.win = array_to_string(string_split(s.ten, ' ')[1:s.n], ' ')),
+h AS (SELECT doc_id, count(DISTINCT j) AS n FROM (SELECT doc_id, unnest(range(i, i + n)) AS j FROM o) GROUP BY doc_id),
+t AS (SELECT doc_id, count(*) AS n, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, item FROM o) GROUP BY doc_id)
+SELECT d.doc_id, len(d.w)::BIGINT AS n_words, coalesce(h.n, 0)::BIGINT AS n_hit, coalesce(t.n, 0)::BIGINT AS n_items,
+  sha256(coalesce(t.items, '')) AS items_sha256, coalesce(h.n, 0) > 0 AS contaminated
+FROM d LEFT JOIN h USING (doc_id) LEFT JOIN t USING (doc_id)
+"""
+
+
+@query("op2_benchmark_decontamination", _LEAKS_SQL)
+def decontamination_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.digest(decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
