@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from argentum.llm import chat, decontaminate, packing, quality, sharding, token_counts
+from argentum.llm import chat, decontaminate, licenses, packing, quality, sharding, token_counts
 from argentum.session import pin
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -128,3 +128,8 @@ FROM d LEFT JOIN h USING (doc_id) LEFT JOIN t USING (doc_id)
 @query("op2_benchmark_decontamination", _LEAKS_SQL)
 def decontamination_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.digest(decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
+
+
+@query("op1_license_scan")
+def license_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan_licenses(table(spark, sf_dir, "documents")).drop("spans")
