@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from argentum.llm import chat, decontaminate, licenses, packing, quality, sharding, token_counts
+from argentum.llm import chat, decontaminate, html_text, licenses, packing, quality, sharding, token_counts
 from argentum.session import pin
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -133,3 +133,8 @@ def decontamination_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op1_license_scan")
 def license_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan_licenses(table(spark, sf_dir, "documents")).drop("spans")
+
+
+@query("op6_html_extraction")
+def html_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages"))
