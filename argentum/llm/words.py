@@ -14,8 +14,10 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+#: Rows and bytes that Spark hands to a worker at once; with the blocks they bound a task's memory.
+BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": "2000", "spark.sql.execution.arrow.maxBytesPerBatch": str(8 << 20)}
 #: Text bytes that a task looks at together; a longer text is a block of its own.
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 1 << 20
 
 
 def _separators(keep: bytes | None, drop: bytes | None) -> np.ndarray:
@@ -133,6 +135,8 @@ def map_blocks(docs: DataFrame, make: Callable[[Iterator[pa.RecordBatch]], Itera
     def run(batches):
         return make(block for batch in batches for block in blocks(batch, column))
 
+    for setting, most in BATCH.items():
+        docs.sparkSession.conf.set(setting, most)
     return docs.mapInArrow(run, schema)
 
 
