@@ -156,18 +156,19 @@ def _search(docs: DataFrame, items, window: int, key: str, text: str, shard_symb
     return map_blocks(docs.select(key, text), make, f"`{key}` {kind}, n_words long, spans array<struct<start:long,end:long>>, items array<string>", text)
 
 
+def merged(spans: list[dict] | None) -> list[dict]:
+    """Word ranges as disjoint ranges in order."""
+    out: list[dict] = []
+    for s in sorted(spans or [], key=lambda x: x["start"]):
+        if out and s["start"] <= out[-1]["end"]:
+            out[-1]["end"] = max(out[-1]["end"], s["end"])
+        else:
+            out.append({"start": s["start"], "end": s["end"]})
+    return out
+
+
 def _united(spans: pd.Series) -> pd.Series:
-    """Arrays of spans as arrays of disjoint spans."""
-    out = []
-    for found in spans:
-        merged: list[dict] = []
-        for s in sorted(found, key=lambda x: x["start"]):
-            if merged and s["start"] <= merged[-1]["end"]:
-                merged[-1]["end"] = max(merged[-1]["end"], s["end"])
-            else:
-                merged.append({"start": s["start"], "end": s["end"]})
-        out.append(merged)
-    return pd.Series(out)
+    return pd.Series([merged(x) for x in spans])
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", window: int = WINDOW, shard_symbols: int = SHARD_SYMBOLS, block: int = BLOCK) -> DataFrame:
@@ -194,7 +195,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", te
 
 
 def remove_spans(docs: DataFrame, text: str, cut: str, separators: np.ndarray) -> DataFrame:
-    """Replace `text` by what is left without the word ranges in column `cut`, which goes; white space around stays.
+    """Replace `text` by what is left without the word ranges in column `cut`, which may overlap; the column goes, white space stays.
 
     Texts without a range stay as they are, null included.
     """
@@ -206,7 +207,7 @@ def remove_spans(docs: DataFrame, text: str, cut: str, separators: np.ndarray) -
             data, offsets = flat(texts)
             words = Words(data, offsets, separators)
             raw, out = data.tobytes(), texts.to_pylist()
-            for k, spans in enumerate(ranges_of):
+            for k, spans in enumerate(map(merged, ranges_of)):
                 if spans:
                     kept, at, first = [], int(offsets[k]), int(words.first[k])
                     for s in spans:

@@ -74,6 +74,9 @@ class TreeBuilder(HTMLParser):
         self.open = [self.root]
         self.n_open: dict[str, int] = {}
 
+    def updatepos(self, i: int, j: int) -> int:
+        return j  # line numbers of tags aren't needed
+
     def _pop(self) -> None:
         self.n_open[self.open.pop().tag] -= 1
 
@@ -154,19 +157,19 @@ class Flow:
                 self._end_line(keep_empty=True)
                 self._add(line)
             return
-        words = _SPACE.split(data)
-        for k, word in enumerate(words):
-            if k:
-                self.word_space()
-            if word:
-                self._add(word)
+        data = _SPACE.sub(" ", data)
+        if data.startswith(" "):
+            self.word_space()
+        self._add(data.strip(" "))
+        if data.endswith(" "):
+            self.word_space()
 
     def _add(self, word: str) -> None:
         if word:
             if self.space:
                 self.parts.append(" ")
             self.parts.append(word)
-        self.space = False
+            self.space = False
 
     def _put(self, line: str) -> None:
         if self.gap and self.lines:

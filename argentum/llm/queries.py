@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from argentum.llm import chat, decontaminate, html_text, licenses, packing, quality, sharding, token_counts
+from argentum.llm import chat, decontaminate, html_text, licenses, packing, quality, sharding, substrings, token_counts
 from argentum.session import pin
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -138,3 +138,8 @@ def license_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op6_html_extraction")
 def html_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(table(spark, sf_dir, "pages"))
+
+
+@query("op5_substring_dedup")
+def substring_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.digest(table(spark, sf_dir, "documents"))
