@@ -7,7 +7,7 @@ windows have equal minimizers, so they meet in one shard, whatever document they
 
 1. Every task emits the segments of its documents as narrow rows.
 2. Dealt by minimizer and sorted, equal segments stand together: all but the first are repeats
-   as a whole. Segments whose minimizer has no second, different segment are settled here.
+   as a whole. Segments whose minimizer occurs once in one distinct segment are settled here.
 3. What is left gets its words back. Every shard builds an FM-index of its segments in document
    order and streams them against it: backward search over the wavelet tree gives each
    window's matching statistics, and a window that occurs twice or more is located. Windows
@@ -48,11 +48,11 @@ SAMPLE, COMMON = 16, 32
 MOST_COMMON = 50_000
 
 
-def minimizers(words: Words, prints: np.ndarray, window: int = WINDOW, k: int = K, last: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """(first word, minimizer) of every window; values in `last` (sorted) rank behind all others."""
+def minimizers(words: Words, prints: np.ndarray, window: int = WINDOW, k: int = K, last: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(first word, minimizer) of every window, and the hash of every k words; values in `last` (sorted) rank behind all others."""
     n = len(prints) - window + 1
     if n <= 0:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.uint64)
     grams = np.zeros(len(prints) - k + 1, np.uint64)
     for i in range(k):
         grams = grams * np.uint64(0x9E3779B97F4A7C15) + prints[i : i + len(grams)]
@@ -69,14 +69,14 @@ def minimizers(words: Words, prints: np.ndarray, window: int = WINDOW, k: int =
     if wide < runs:
         least = np.minimum(least[: len(least) - (runs - wide)], least[runs - wide :])
     starts = np.flatnonzero(words.text[:n] == words.text[window - 1 :])
-    return starts, least[starts]
+    return starts, least[starts], grams
 
 
-def _segments(words: Words, prints: np.ndarray, window: int, k: int, last: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(minimizer, first word, windows, fingerprint of all words) of each segment."""
-    starts, least = minimizers(words, prints, window, k, last)
+def _segments(words: Words, prints: np.ndarray, window: int, k: int, last: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(minimizer, first word, windows, fingerprint of all words, whether the minimizer recurs) of each segment."""
+    starts, least, grams = minimizers(words, prints, window, k, last)
     if not len(starts):
-        return (np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64))
+        return (np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, bool))
     fresh = np.append(True, (least[1:] != least[:-1]) | (starts[1:] != starts[:-1] + 1))
     at = np.flatnonzero(fresh)
     n = np.diff(np.append(at, len(starts)))
@@ -87,7 +87,9 @@ def _segments(words: Words, prints: np.ndarray, window: int, k: int, last: np.nd
     total = np.append(np.uint64(0), np.cumsum(prints * up[:-1]))
     down = np.multiply.accumulate(np.append(np.uint64(1), np.full(len(prints), np.uint64(pow(int(base), -1, 1 << 64)))))
     whole = mix((total[first + n + window - 1] - total[first]) * down[first] + n.astype(np.uint64))
-    return least[at], first, n, whole
+    inside = n + window - k
+    met = np.add.reduceat((grams[ranges(first, inside)] == np.repeat(least[at], inside)).astype(np.int64), np.cumsum(inside) - inside)
+    return least[at], first, n, whole, met > 1
 
 
 def common_minimizers(docs: DataFrame, text: str, window: int = WINDOW, k: int = K) -> np.ndarray:
@@ -96,7 +98,7 @@ def common_minimizers(docs: DataFrame, text: str, window: int = WINDOW, k: int =
     def count(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in parts:
             words = Words(*flat(block.column(0)), SPACED)
-            _, least = minimizers(words, words.fingerprints(), window, k)
+            _, least, _ = minimizers(words, words.fingerprints(), window, k)
             values, n = np.unique(least[np.append(True, least[1:] != least[:-1])] if len(least) else least, return_counts=True)
             often = n > 1
             yield pa.RecordBatch.from_arrays([pa.array(values[often].view(np.int64)), pa.array(n[often])], names=["value", "n"])
@@ -108,7 +110,7 @@ def common_minimizers(docs: DataFrame, text: str, window: int = WINDOW, k: int =
 
 
 def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by minimizer, segment, document and start: mark repeats (`again`), drop lone first segments.
+    """Rows sorted by minimizer, segment, document and start: mark repeats (`again`), drop lone first segments in which no window can recur.
 
     What is carried from batch to batch is one row.
     """
@@ -129,7 +131,7 @@ def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = rows.column(0).to_numpy()
         left = np.append(held is not None and held_has_other, own[1:] == own[:-1])[: len(own)]
         right = np.append(own[1:] == own[:-1], False)[: len(own)]
-        emit = left | right
+        emit = left | right | rows.column(6).to_numpy(zero_copy_only=False)
         repeats = batch.take(pa.array(np.flatnonzero(again & ~copy)))
         if repeats.num_rows:
             yield pa.RecordBatch.from_arrays([*repeats.columns, pa.array(np.ones(repeats.num_rows, bool))], names=[*repeats.schema.names, "again"])
@@ -138,7 +140,7 @@ def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             done = rows.take(pa.array(np.flatnonzero(emit[:-1])))
             if done.num_rows:
                 yield pa.RecordBatch.from_arrays([*done.columns, pa.array(np.zeros(done.num_rows, bool))], names=[*done.schema.names, "again"])
-    if held is not None and held_has_other:
+    if held is not None and (held_has_other or held.column(6)[0].as_py()):
         yield pa.RecordBatch.from_arrays([*held.columns, pa.array([False])], names=[*held.schema.names, "again"])
 
 
@@ -211,12 +213,12 @@ def repeated_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", win
     def cut(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in parts:
             words = Words(*flat(block.column(2)), SPACED)
-            h, first, n, whole = _segments(words, words.fingerprints(), window, k, last.value)
+            h, first, n, whole, recurs = _segments(words, words.fingerprints(), window, k, last.value)
             doc = words.text[first]
-            columns = [pa.array(h.view(np.int64)), pa.array(whole.view(np.int64)), block.column(0).take(pa.array(doc)), block.column(1).take(pa.array(doc)), pa.array((first - words.first[doc]).astype(np.int32)), pa.array(n.astype(np.int32))]
-            yield pa.RecordBatch.from_arrays(columns, names=["h", "seg", "doc", "th", "start", "n"])
+            columns = [pa.array(h.view(np.int64)), pa.array(whole.view(np.int64)), block.column(0).take(pa.array(doc)), block.column(1).take(pa.array(doc)), pa.array((first - words.first[doc]).astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(recurs)]
+            yield pa.RecordBatch.from_arrays(columns, names=["h", "seg", "doc", "th", "start", "n", "recurs"])
 
-    rows = f"h long, seg long, doc {kind}, th long, start int, n int"
+    rows = f"h long, seg long, doc {kind}, th long, start int, n int, recurs boolean"
     segments = map_blocks(own, cut, rows, "body").repartition("h").sortWithinPartitions("h", "seg", "doc", "th", "start")
     settled = stage(segments.mapInArrow(_settle, f"{rows}, again boolean"), "segments")
 
