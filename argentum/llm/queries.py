@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from argentum.llm import chat, decontaminate, html_text, licenses, packing, quality, sharding, substrings, token_counts
+from argentum.llm import chat, decontaminate, html_text, licenses, ngram_join, packing, quality, sharding, substrings, token_counts
 from argentum.session import pin
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -143,3 +143,8 @@ def html_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op5_substring_dedup")
 def substring_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.digest(table(spark, sf_dir, "documents"))
+
+
+@query("op4_ngram_jaccard_join")
+def ngram_join_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.link_classes(table(spark, sf_dir, "documents"))
