@@ -127,9 +127,9 @@ def _prefixes(last, kind: str):
             wanted = np.where(new, wanted, 0)
             entries = values[ranges(np.cumsum(sizes) - sizes, wanted)].view(np.int64)
             prefix = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(wanted)), pa.int32()), pa.array(entries))
-            yield pa.RecordBatch.from_arrays([block.column(0), pa.array(names), pa.array(sizes), prefix], names=["doc", "sid", "n", "prefix"])
+            yield pa.RecordBatch.from_arrays([block.column(0), block.column(2), pa.array(names), pa.array(sizes), prefix], names=["doc", "th", "sid", "n", "prefix"])
 
-    return make, f"doc {kind}, sid long, n long, prefix array<bigint>"
+    return make, f"doc {kind}, th long, sid long, n long, prefix array<bigint>"
 
 
 def needed_alone(size):
@@ -307,12 +307,12 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
 
-def link_classes(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Key, n_shingles and component_id (least key that links reach) per document row."""
+def _classes(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """Key, n_shingles, component_id and th (hash of the text) per document row."""
     kind = docs.schema[key].dataType.simpleString()
     last = docs.sparkSession.sparkContext.broadcast(common_shingles(docs, text))
     make, schema = _prefixes(last, kind)
-    sets = stage(map_blocks(docs.select(key, text), make, schema, text), "sets")
+    sets = stage(map_blocks(docs.select(key, text, F.xxhash64(text).alias("th")), make, schema, text), "sets")
 
     entries = sets.where("size(prefix) > 0").select("sid", "n", F.posexplode("prefix").alias("pos", "token"))
     entries = entries.select("token", "sid", F.col("n").cast("int").alias("n"), "pos").repartition("token").sortWithinPartitions("token", "sid")
@@ -337,7 +337,7 @@ def link_classes(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
     led = leaders.drop("n").join(leaders.groupBy("leader").agg(F.count("*").alias("followers"), F.ceil(F.sum("n") / GROUP).cast("int").alias("parts")).where("followers > 1"), "leader")
     wanted = led.select("sid", "leader", "parts").join(pairs.select(F.explode(F.array("a", "b")).alias("sid")).distinct(), "sid", "full")
     named = sets.groupBy("sid").agg(F.min("doc").alias("doc"))
-    wanted = wanted.join(named, "sid").where(F.col("doc").isNotNull())
+    wanted = wanted.join(named, "sid").alias("w")
 
     def fetch(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in parts:
@@ -348,7 +348,7 @@ def link_classes(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
             rows = block.take(pa.array(right))
             yield pa.RecordBatch.from_arrays([*rows.columns[:3], pa.array(raw, pa.binary())], names=["sid", "leader", "parts", "shingles"])
 
-    texts = docs.select(F.col(key).alias("doc"), F.col(text).alias("body")).join(wanted, "doc").select("sid", "leader", "parts", "body")
+    texts = docs.select(F.col(key).alias("doc"), F.col(text).alias("body")).alias("t").join(wanted, F.col("t.doc").eqNullSafe(F.col("w.doc"))).select("sid", "leader", "parts", "body")
     contents = stage(map_blocks(texts, fetch, "sid long, leader long, parts int, shingles binary", "body"), "shingles")
 
     part = F.pmod(F.xxhash64("sid"), F.col("parts")).cast("int")
@@ -364,12 +364,24 @@ def link_classes(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
     across = pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(_verify, "a long, b long")
 
     roots = connected(inside.unionByName(across))
-    rooted = sets.select("doc", "sid", "n").join(roots, F.col("sid") == F.col("node"), "left").select("doc", "n", F.coalesce("root", "sid").alias("root"))
+    rooted = sets.select("doc", "th", "sid", "n").join(roots, F.col("sid") == F.col("node"), "left").select("doc", "th", "n", F.coalesce("root", "sid").alias("root"))
     least = rooted.where("n > 0").groupBy("root").agg(F.min("doc").alias("least"))
-    return rooted.join(least, "root", "left").select(F.col("doc").alias(key), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("doc")).alias("component_id"))
+    component = F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("doc"))
+    return rooted.join(least, "root", "left").select(F.col("doc").alias(key), F.col("n").alias("n_shingles"), component.alias("component_id"), "th")
+
+
+def link_classes(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """Key, n_shingles and component_id (least key that links reach) per document row."""
+    return _classes(docs, key, text).drop("th")
 
 
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Documents without those that link, by any chain, to one of a smaller key; repeated rows of the kept key are one."""
-    classes = link_classes(docs, key, text).where(F.col(key) == F.col("component_id")).select(key).distinct()
-    return docs.join(classes, key, "left_semi").dropDuplicates([key])
+    """One row of each class of linked documents: the one of the least key.
+
+    Documents without shingles are classes of their own. Of rows that repeat a key, one stays.
+    """
+    own = F.struct(*[docs[c] for c in docs.columns])
+    rows = docs.select(F.col(key).alias("doc"), F.xxhash64(text).alias("th"), own.alias("row"))
+    kept = _classes(docs, key, text).where(F.col(key).eqNullSafe(F.col("component_id"))).groupBy(F.col(key).alias("kept")).agg(F.min("th").alias("kept_th"))
+    same = F.col("doc").eqNullSafe(F.col("kept")) & (F.col("th") == F.col("kept_th"))
+    return rows.join(kept, same, "left_semi").dropDuplicates(["doc", "th"]).select("row.*")

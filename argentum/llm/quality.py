@@ -141,6 +141,12 @@ def verdicts(ledger_rows: DataFrame, policy: Policy = DEFAULT) -> DataFrame:
     return ledger_rows.withColumns({"base_failed": fails(BASE), "kept": ~fails(BASE) & ~fails(policy)})
 
 
+def keep(docs: DataFrame, policy: Policy = DEFAULT, text: str = "text") -> DataFrame:
+    """The documents that pass the base rules and the policy, with their own columns only."""
+    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), F.col(text).alias("body"))
+    return verdicts(ledger(rows, "body"), policy).where("kept").select("row.*")
+
+
 def ablations(ledger_rows: DataFrame, policy: Policy = DEFAULT) -> DataFrame:
     """Per rule of the policy: documents that fail it, fail it alone, and would be kept without it.
 

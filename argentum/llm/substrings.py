@@ -248,17 +248,18 @@ def repeated_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", win
 
 
 def _with_spans(docs: DataFrame, key: str, text: str, window: int) -> DataFrame:
-    """Documents with the column `_spans` (null without repeats)."""
-    spans = repeated_spans(docs, key, text, window)
-    own = docs.withColumn("_th", F.xxhash64(key, text))
-    same = own[key].eqNullSafe(spans["doc"]) & (own["_th"] == spans["th"])
-    return own.join(spans, same, "left").withColumnRenamed("spans", "_spans").drop("doc", "th", "_th")
+    """`row` (struct of all columns), text as `body`, and `spans` (null without repeats)."""
+    spans = repeated_spans(docs, key, text, window).alias("s")
+    row = F.struct(*[docs[c] for c in docs.columns])
+    own = docs.select(row.alias("row"), F.col(key).alias("doc"), F.xxhash64(key, text).alias("th"), F.col(text).alias("body")).alias("o")
+    same = F.col("o.doc").eqNullSafe(F.col("s.doc")) & (F.col("o.th") == F.col("s.th"))
+    return own.join(spans, same, "left").select("row", F.col("o.doc").alias("doc"), "body", "spans")
 
 
 def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int = WINDOW) -> DataFrame:
     """Documents without the repeated words; white space between the words that stay is kept."""
-    found = _with_spans(docs, key, text, window)
-    return remove_spans(found, text, "_spans", SPACED)
+    cut = remove_spans(_with_spans(docs, key, text, window).drop("doc"), "body", "spans", SPACED)
+    return cut.select(*[F.col("body").alias(c) if c == text else F.col("row")[c].alias(c) for c in docs.columns])
 
 
 def digest(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int = WINDOW) -> DataFrame:
@@ -280,5 +281,5 @@ def digest(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int
                 digests.append(hashlib.sha256(b" ".join(words)).hexdigest())
             yield pa.RecordBatch.from_arrays([block.column(0), pa.array(total, pa.int64()), pa.array(removed, pa.int64()), pa.array(digests, pa.string())], names=[key, "n_words", "n_removed", "kept_sha256"])
 
-    found = _with_spans(docs.select(key, text), key, text, window)
-    return map_blocks(found.select(key, text, "_spans"), make, f"`{key}` {kind}, n_words long, n_removed long, kept_sha256 string", text)
+    found = _with_spans(docs.select(key, text), key, text, window).select("doc", "body", "spans")
+    return map_blocks(found, make, f"`{key}` {kind}, n_words long, n_removed long, kept_sha256 string", "body")
