@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from argentum.llm.fm_index import FIRST, SEPARATOR, FMIndex
-from argentum.llm.words import ALNUM, LOWER, Words, flat, map_blocks
+from argentum.llm.words import ALNUM, LOWER, Words, flat, map_blocks, ranges
 from argentum.session import stage
 
 WINDOW = 10
@@ -97,13 +97,14 @@ class Shard:
         self.words += len(prints)
         self.symbols += int(keep.sum())
 
-    def occurrences(self, phrases: Phrases) -> Iterator[tuple[int, int, np.ndarray]]:
-        """(phrase, length, first word of each occurrence)."""
+    def occurrences(self, phrases: Phrases) -> Iterator[tuple[np.ndarray, int, np.ndarray]]:
+        """(phrase of each occurrence, their length, first word of each), by length."""
         index, place = FMIndex(np.concatenate(self.text)), np.concatenate(self.place)
         for start, patterns in phrases.by_length:
             left, right = index.search(patterns)
-            for k in np.flatnonzero(right > left):
-                yield start + int(k), patterns.shape[1], place[index.locate(np.arange(left[k], right[k]))]
+            found = np.repeat(np.arange(len(patterns)), right - left)
+            if len(found):
+                yield start + found, patterns.shape[1], place[index.locate(ranges(left, right - left))]
 
 
 def _spans(hit: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -121,10 +122,11 @@ def _answers(shard: Shard, phrases: Phrases, key: str) -> pa.RecordBatch:
     ends = np.cumsum(n_words)
     change = np.zeros(shard.words + 1, np.int64)
     pairs = set()
-    for phrase, length, starts in shard.occurrences(phrases):
+    for found, length, starts in shard.occurrences(phrases):
         np.add.at(change, starts, 1)
         np.add.at(change, starts + length, -1)
-        for doc in np.unique(np.searchsorted(ends, starts, side="right")).tolist():
+        joint = np.unique(np.searchsorted(ends, starts, side="right") * len(phrases.items) + found)
+        for doc, phrase in zip((joint // len(phrases.items)).tolist(), (joint % len(phrases.items)).tolist(), strict=True):
             pairs.update((doc, item) for item in phrases.items[phrase])
     begin, stop = _spans(np.cumsum(change)[:-1] > 0, ends)
     doc = np.searchsorted(ends, begin, side="right")
@@ -173,27 +175,82 @@ def _united(spans: pd.Series) -> pd.Series:
 
 def contamination(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", window: int = WINDOW, shard_symbols: int = SHARD_SYMBOLS, block: int = BLOCK) -> DataFrame:
     """Key, n_words, spans (array of word ranges to remove) and items (sorted item_ids with an occurring window) per document row."""
-    spark = docs.sparkSession
-    named = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
-    size = named.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    blocks = max(1, -(-size // block))
-
-    def phrases(n: int):
-        rows = named if blocks == 1 else named.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == n)
-        return spark.sparkContext.broadcast([tuple(r) for r in rows.collect()])  # one block of the query set
-
+    blocks, items = _items(docs.sparkSession, benchmark, block)
     if blocks == 1:
-        return _search(docs, phrases(0), window, key, text, shard_symbols)
+        return _search(docs, items(0), window, key, text, shard_symbols)
     rows = stage(docs.select(F.col(key), F.monotonically_increasing_id().alias("_row"), F.col(text)), "numbered")
     found = None
     for n in range(blocks):
-        part = stage(_search(rows.select("_row", text), phrases(n), window, "_row", text, shard_symbols), "block")
+        part = stage(_search(rows.select("_row", text), items(n), window, "_row", text, shard_symbols), "block")
         found = part if found is None else found.unionByName(part)
     joined = found.groupBy("_row").agg(F.first("n_words").alias("n_words"), F.flatten(F.collect_list("spans")).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
     unite = F.pandas_udf(_united, "array<struct<start:long,end:long>>")
     return rows.select("_row", key).join(joined.withColumn("spans", unite("spans")), "_row").drop("_row")
 
 
+def _items(spark, benchmark: DataFrame, block: int):
+    """Number of blocks of the benchmark, and a function that broadcasts the items of one."""
+    named = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
+    size = named.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    blocks = max(1, -(-size // block))
+
+    def items(n: int):
+        rows = named if blocks == 1 else named.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == n)
+        return spark.sparkContext.broadcast([tuple(r) for r in rows.collect()])  # one block of the query set
+
+    return blocks, items
+
+
+def remove_leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", window: int = WINDOW, shard_symbols: int = SHARD_SYMBOLS, block: int = BLOCK) -> DataFrame:
+    """Documents without the words inside occurrences of benchmark windows; blocks of the benchmark are applied one after the other."""
+    blocks, items = _items(docs.sparkSession, benchmark, block)
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
+    place = docs.columns.index(text)
+
+    def cutter(told):
+        def make(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            phrases, shard, waiting = Phrases(told.value, window), Shard(), []
+
+            def answer() -> Iterator[pa.RecordBatch]:
+                spans, at = _answers(shard, phrases, "row").column(2), 0
+                for block in waiting:
+                    left = cut_texts(block.column(place), spans.slice(at, block.num_rows).to_pylist(), ALNUM)
+                    at += block.num_rows
+                    yield pa.RecordBatch.from_arrays([left if k == place else c for k, c in enumerate(block.columns)], names=block.schema.names)
+
+            for part in parts:
+                words, prints = words_of(part.column(place))
+                shard.add(part.column(place).is_null(), words, prints, phrases)
+                waiting.append(part)
+                if shard.symbols >= shard_symbols:
+                    yield from answer()
+                    shard, waiting = Shard(), []
+            if waiting:
+                yield from answer()
+
+        return make
+
+    for n in range(blocks):
+        docs = map_blocks(docs, cutter(items(n)), schema, text)
+    return docs
+
+
+def cut_texts(texts: pa.Array, spans_of: list[list[dict] | None], separators: np.ndarray) -> pa.Array:
+    """Texts without the given word ranges."""
+    data, offsets = flat(texts)
+    words = Words(data, offsets, separators)
+    raw, out = data.tobytes(), texts.to_pylist()
+    for k, spans in enumerate(map(merged, spans_of)):
+        if spans:
+            kept, at, first = [], int(offsets[k]), int(words.first[k])
+            for s in spans:
+                kept.append(raw[at : words.start[first + s["start"]]])
+                at = int(words.end[first + s["end"] - 1])
+            kept.append(raw[at : offsets[k + 1]])
+            out[k] = b"".join(kept).decode("utf-8", "replace")
+    return pa.array(out, pa.string())
+
+
 def remove_spans(docs: DataFrame, text: str, cut: str, separators: np.ndarray) -> DataFrame:
     """Replace `text` by what is left without the word ranges in column `cut`, which may overlap; the column goes, white space stays.
 
@@ -203,20 +260,9 @@ def remove_spans(docs: DataFrame, text: str, cut: str, separators: np.ndarray) -
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in parts:
-            texts, ranges_of = block.column(block.schema.get_field_index(text)), block.column(block.schema.get_field_index(cut)).to_pylist()
-            data, offsets = flat(texts)
-            words = Words(data, offsets, separators)
-            raw, out = data.tobytes(), texts.to_pylist()
-            for k, spans in enumerate(map(merged, ranges_of)):
-                if spans:
-                    kept, at, first = [], int(offsets[k]), int(words.first[k])
-                    for s in spans:
-                        kept.append(raw[at : words.start[first + s["start"]]])
-                        at = int(words.end[first + s["end"] - 1])
-                    kept.append(raw[at : offsets[k + 1]])
-                    out[k] = b"".join(kept).decode("utf-8", "replace")
-            columns = [pa.array(out, pa.string()) if name == text else block.column(i) for i, name in enumerate(block.schema.names) if name != cut]
-            yield pa.RecordBatch.from_arrays(columns, names=[x for x in block.schema.names if x != cut])
+            left = cut_texts(block.column(block.schema.get_field_index(text)), block.column(block.schema.get_field_index(cut)).to_pylist(), separators)
+            names = [x for x in block.schema.names if x != cut]
+            yield pa.RecordBatch.from_arrays([left if x == text else block.column(block.schema.get_field_index(x)) for x in names], names=names)
 
     return map_blocks(docs, run, schema, text)
 
