@@ -161,7 +161,7 @@ def _search(docs: DataFrame, items, window: int, key: str, text: str, shard_symb
 def merged(spans: list[dict] | None) -> list[dict]:
     """Word ranges as disjoint ranges in order."""
     out: list[dict] = []
-    for s in sorted(spans or [], key=lambda x: x["start"]):
+    for s in sorted(() if spans is None else spans, key=lambda x: x["start"]):
         if out and s["start"] <= out[-1]["end"]:
             out[-1]["end"] = max(out[-1]["end"], s["end"])
         else:

@@ -113,6 +113,8 @@ class TreeBuilder(HTMLParser):
 
     def handle_endtag(self, tag):
         if not self.n_open.get(tag):
+            if tag == "p":  # a stray end tag stands for an empty paragraph
+                self.open[-1].children.append(Node("p", {}))
             return
         stop = SCOPE if tag not in SCOPE else frozenset(("table",)) - {tag}
         for k in range(len(self.open) - 1, 0, -1):
