@@ -6,14 +6,15 @@ come last; two sets that link share a few shingles among the first of both (thei
 
 1. The index: prefix entries (shingle, set, size, position) are dealt by shingle. Lists of one
    set are dropped.
-2. Every set follows the least set that it shares enough prefix entries with. The sets that
-   follow one leader are compared in one place, where their shingles are brought once.
-3. There, answers are derived incrementally: each set is kept as its difference from the most
+2. Every set follows the least set that it shares enough prefix entries with. Pairs of sets with
+   different leaders are read from the lists. Entries are sorted by size and position, so that
+   whole blocks that can't reach the threshold are skipped; pairs that share too few entries
+   are dropped.
+3. Sets that followers and pairs connect are compared in one place, where their shingles are
+   brought once; a place that is too large for a task is compared by pairs of parts.
+4. There, answers are derived incrementally: each set is kept as its difference from the most
    central one. Linked to that, the answers of any two sets that share no difference follow.
    Only sets that don't link to it look up others, through lists of shared differences.
-4. Pairs of different leaders are read from the lists. Entries are sorted by size and position,
-   so that whole blocks that can't reach the threshold are skipped; pairs that share too few
-   entries are dropped, and the others are verified on whole sets.
 
 Common shingles are looked for in a sample; they change how work is dealt, never the result.
 
@@ -42,7 +43,7 @@ SHARED = 3
 #: Documents looked at for common shingles: one in so many, and in how many of them a shingle is common.
 SAMPLE, COMMON = 16, 12
 MOST_COMMON = 200_000
-#: Shingles of one leader's sets that are compared at once; larger groups are compared by pairs of parts.
+#: Shingles of the sets that are compared at once; larger places are compared by pairs of parts.
 GROUP = 2_000_000
 
 
@@ -237,7 +238,7 @@ def _postings(key: np.ndarray, of: np.ndarray, n_keys: int, n_sets: int) -> tupl
 
 
 def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by (leader, part, part): links inside each group."""
+    """Rows sorted by (place, part, part): links inside each group."""
     key, members = None, []
 
     def links() -> pa.RecordBatch:
@@ -245,11 +246,11 @@ def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return pa.RecordBatch.from_arrays([pa.array([a for a, _ in found], pa.int64()), pa.array([b for _, b in found], pa.int64())], names=["a", "b"])
 
     for batch in batches:
-        for leader, one, two, sid, raw in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            if key is not None and (leader, one, two) != key:
+        for place, one, two, sid, raw in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if key is not None and (place, one, two) != key:
                 yield links()
                 members = []
-            key = (leader, one, two)
+            key = (place, one, two)
             if not members or members[-1][0] != sid:
                 members.append((sid, np.frombuffer(raw, np.uint64)))
     if members:
@@ -297,16 +298,6 @@ def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from run(rows)
 
 
-def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs with their shingles: those that link."""
-    for batch in batches:
-        keep = []
-        for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-            one, two = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-            keep.append(bool(enough(len(np.intersect1d(one, two, assume_unique=True)), len(one), len(two))))
-        yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
-
-
 def _classes(docs: DataFrame, key: str, text: str) -> DataFrame:
     """Key, n_shingles, component_id and th (hash of the text) per document row."""
     kind = docs.schema[key].dataType.simpleString()
@@ -333,11 +324,13 @@ def _classes(docs: DataFrame, key: str, text: str) -> DataFrame:
     pairs = banded.mapInArrow(_pairs, "a long, b long, least long").groupBy("a", "b").agg(F.count("*").alias("n"), F.max("least").alias("least")).where("n >= least").select("a", "b")
     pairs = stage(pairs, "pairs")
 
-    # the sets that are compared get their shingles, once
-    led = leaders.drop("n").join(leaders.groupBy("leader").agg(F.count("*").alias("followers"), F.ceil(F.sum("n") / GROUP).cast("int").alias("parts")).where("followers > 1"), "leader")
-    wanted = led.select("sid", "leader", "parts").join(pairs.select(F.explode(F.array("a", "b")).alias("sid")).distinct(), "sid", "full")
-    named = sets.groupBy("sid").agg(F.min("doc").alias("doc"))
-    wanted = wanted.join(named, "sid").alias("w")
+    # sets that may link, directly or by a chain, are compared in one place: they get their shingles once
+    follows = leaders.where("sid <> leader").select(F.col("sid").alias("a"), F.col("leader").alias("b"))
+    places = connected(follows.unionByName(pairs))
+    named = sets.groupBy("sid").agg(F.min("doc").alias("doc"), F.first("n").alias("n"))
+    wanted = places.join(named, F.col("node") == F.col("sid")).select("sid", "doc", "n", F.col("root").alias("place"))
+    parts = wanted.groupBy("place").agg(F.ceil(F.sum("n") / GROUP).cast("int").alias("parts"))
+    wanted = wanted.join(parts, "place").alias("w")
 
     def fetch(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in parts:
@@ -346,24 +339,16 @@ def _classes(docs: DataFrame, key: str, text: str) -> DataFrame:
             ends = np.cumsum(sizes)
             raw = [values[ends[i] - sizes[i] : ends[i]].tobytes() for i in right.tolist()]
             rows = block.take(pa.array(right))
-            yield pa.RecordBatch.from_arrays([*rows.columns[:3], pa.array(raw, pa.binary())], names=["sid", "leader", "parts", "shingles"])
-
-    texts = docs.select(F.col(key).alias("doc"), F.col(text).alias("body")).alias("t").join(wanted, F.col("t.doc").eqNullSafe(F.col("w.doc"))).select("sid", "leader", "parts", "body")
-    contents = stage(map_blocks(texts, fetch, "sid long, leader long, parts int, shingles binary", "body"), "shingles")
+            yield pa.RecordBatch.from_arrays([*rows.columns[:3], pa.array(raw, pa.binary())], names=["sid", "place", "parts", "shingles"])
 
+    texts = docs.select(F.col(key).alias("doc"), F.col(text).alias("body")).alias("t").join(wanted, F.col("t.doc").eqNullSafe(F.col("w.doc"))).select("sid", "place", "parts", "body")
+    contents = map_blocks(texts, fetch, "sid long, place long, parts int, shingles binary", "body")
     part = F.pmod(F.xxhash64("sid"), F.col("parts")).cast("int")
-    grouped = contents.where(F.col("leader").isNotNull()).withColumn("part", part)
-    grouped = grouped.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    grouped = grouped.select("leader", F.least("part", "other").alias("one"), F.greatest("part", "other").alias("two"), "sid", "shingles")
-    grouped = grouped.repartition("leader", "one", "two").sortWithinPartitions("leader", "one", "two", "sid")
-    inside = grouped.mapInArrow(_groups, "a long, b long")
-
-    plain = contents.select("sid", "shingles").dropDuplicates(["sid"])
-    left = plain.select(F.col("sid").alias("a"), F.col("shingles").alias("x"))
-    right = plain.select(F.col("sid").alias("b"), F.col("shingles").alias("y"))
-    across = pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(_verify, "a long, b long")
-
-    roots = connected(inside.unionByName(across))
+    grouped = contents.withColumn("part", part).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    grouped = grouped.select("place", F.least("part", "other").alias("one"), F.greatest("part", "other").alias("two"), "sid", "shingles")
+    grouped = grouped.repartition("place", "one", "two").sortWithinPartitions("place", "one", "two", "sid")
+
+    roots = connected(grouped.mapInArrow(_groups, "a long, b long"))
     rooted = sets.select("doc", "th", "sid", "n").join(roots, F.col("sid") == F.col("node"), "left").select("doc", "th", "n", F.coalesce("root", "sid").alias("root"))
     least = rooted.where("n > 0").groupBy("root").agg(F.min("doc").alias("least"))
     component = F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("doc"))
