@@ -95,5 +95,9 @@ def flag_new_case(gap_days: Column, clean_days: int) -> Column:
     return F.when(gap_days <= clean_days, False).otherwise(True)
 
 
-def relabel(df: DataFrame, column: str, old: str, new: str) -> DataFrame:
-    return df.replace(old, new, subset=[column])
+def flatten_nested(df: DataFrame, column: str) -> Column:
+    """All elements of an array of arrays of any depth, in order; null arrays have none."""
+    kind, value = df.schema[column].dataType, F.col(column)
+    while isinstance(kind, T.ArrayType) and isinstance(kind.elementType, T.ArrayType):
+        kind, value = kind.elementType, F.flatten(F.filter(value, lambda x: x.isNotNull()))
+    return value

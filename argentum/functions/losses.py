@@ -8,6 +8,8 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -175,29 +177,27 @@ def mean_loss(df: DataFrame, value: str = "loss", label: str = "label", weight:
     )
 
 
-def determinant(matrix: list[list[Column]]) -> Column:
-    """Determinant of a small square matrix of columns, by expansion along the first row."""
-    if len(matrix) == 1:
-        return matrix[0][0]
-    value = F.lit(0.0)
-    for j, head in enumerate(matrix[0]):
-        minor = determinant([row[:j] + row[j + 1 :] for row in matrix[1:]])
-        value = value + head * minor if j % 2 == 0 else value - head * minor
-    return value
+def _dmi_of_table(num_classes: int):
+    """Task over the one row that holds the K x K sums."""
+
+    def run(batches):
+        for batch in batches:
+            for cells in batch.column(0).to_pylist():
+                table = np.zeros((num_classes, num_classes))
+                for cell in cells or []:
+                    table[cell["i"], cell["j"]] = cell["total"]
+                yield pa.RecordBatch.from_arrays([pa.array([-np.log(abs(np.linalg.det(table)) + 0.001)])], names=["loss"])
+
+    return run
 
 
 def dmi_loss(df: DataFrame, logits: str, label: str, num_classes: int) -> DataFrame:
-    """-log(|det(Y' P)| + 0.001) over the whole table: one K x K aggregate, K at most 6."""
-    if num_classes > 6:
-        raise ValueError("the determinant is written out for at most 6 classes")
+    """-log(|det(Y' P)| + 0.001) over the whole table, for any number of classes.
+
+    The K x K sums combine ahead of the shuffle; the determinant is taken on their one row.
+    """
     from argentum.functions.probability import softmax
 
-    cells = [[f"_{i}_{j}" for j in range(num_classes)] for i in range(num_classes)]
-    sums = [
-        F.sum(F.when(F.col(label) == i, at(F.col("_p"), F.lit(j))).otherwise(0.0)).alias(cells[i][j])
-        for i in range(num_classes)
-        for j in range(num_classes)
-    ]
-    table = df.select(label, softmax(F.col(logits)).alias("_p")).agg(*sums)
-    det = determinant([[F.col(c) for c in row] for row in cells])
-    return table.select((-F.log(F.abs(det) + 0.001)).alias("loss"))
+    each = df.select(F.col(label).cast("int").alias("i"), F.posexplode(softmax(F.col(logits))).alias("j", "p"))
+    cells = each.filter(F.col("i").between(0, num_classes - 1) & (F.col("j") < num_classes)).groupBy("i", "j").agg(F.sum("p").alias("total"))
+    return cells.agg(F.collect_list(F.struct("i", "j", "total"))).mapInArrow(_dmi_of_table(num_classes), "loss double")

@@ -111,12 +111,28 @@ def _range(n: Column) -> Column:
     return F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
 
 
+def _sums(sizes: Column) -> Column:
+    """Sums up to and with each element; copies its array per element, so for short arrays."""
+    add = lambda acc, n: F.concat(acc, F.array(F.coalesce(F.element_at(F.when(F.size(acc) > 0, acc), -1), F.lit(0)) + n))
+    return F.aggregate(sizes, F.array().cast("array<int>"), add)
+
+
 def _running(sizes: Column) -> Column:
-    """Sums of the elements before each position, with the grand total last."""
-    start = F.array(F.lit(0))
-    return F.aggregate(
-        sizes, start, lambda acc, n: F.concat(acc, F.array(F.element_at(acc, -1) + n))
-    )
+    """Sums of the elements before each position, with the grand total last.
+
+    In blocks of about the square root of the length, so that a long text isn't copied per match.
+    """
+
+    def of_blocks(width: Column) -> Column:
+        blocks = F.transform(_range(F.ceil(F.size(sizes) / width).cast("int")), lambda b: _sums(F.slice(sizes, b * width + 1, width)))
+
+        def shifted(parts: Column) -> Column:
+            totals = F.concat(F.array(F.lit(0)), _sums(F.transform(parts, lambda x: F.element_at(x, -1))))
+            return let(totals, lambda t: F.flatten(F.transform(parts, lambda x, b: F.transform(x, lambda v: v + F.get(t, b)))))
+
+        return F.concat(F.array(F.lit(0)), let(blocks, shifted))
+
+    return let(F.ceil(F.sqrt(F.size(sizes).cast("double"))).cast("int"), of_blocks)
 
 
 def _item(values: Column, i: Column) -> Column:

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from argentum.functions.columns import code_prefixes
+from argentum.session import stage
 
 MICROS = 1_000_000
 
@@ -111,81 +111,59 @@ def asof(
     value: str | None = None,
     direction: str = "backward",
     tolerance_seconds: float | None = None,
-    bucket: str = "day",
 ) -> DataFrame:
     """As-of join: per probe the nearest known instant of its key in one direction.
 
     Keeps every probe. Adds `right_on` and `value` (or a `_value` flag), null without a
     match. Ties on the known side go to the highest value; `nearest` prefers the earlier.
 
-    No probe meets more than one known row, and no task holds a hot key: both sides
-    collapse to distinct (key, instant) first, windows run inside (key, time bucket), and
-    only one summary row per bucket carries the neighbours across buckets.
+    No probe meets more than one known row, and no task holds a hot key: both sides, read
+    once, collapse to one timeline of distinct (key, instant) rows. It is sorted over all
+    tasks and written; a piece is what one task of the sort wrote of a key, so a busy key, or
+    a busy day of it, has several. Windows run inside pieces, and one summary row per piece
+    carries the neighbours across.
     """
     if direction not in ("backward", "forward", "nearest"):
         raise ValueError(f"unknown direction: {direction}")
     if tolerance_seconds == 0:
         return asof_exact(probes, known, key, left_on, right_on, value)
 
-    instant = F.col("_ts")
-    points = known_points(known, key, right_on, value).select(
-        key, F.col(right_on).alias("_ts"), F.struct(F.col(right_on).alias("_ts"), "_value").alias("_known")
-    )
-    wanted = probes.filter(F.col(left_on).isNotNull()).select(key, F.col(left_on).alias("_ts"))
-    empty = F.lit(None).cast(points.schema["_known"].dataType)
-    events = points.withColumn("_probe", F.lit(False)).unionByName(
-        wanted.select(key, "_ts", empty.alias("_known"), F.lit(True).alias("_probe"))
-    )
-    bucketed = F.date_trunc(bucket, instant).alias("_bucket")
-    timeline = (
-        events.groupBy(key, "_ts")
-        .agg(F.max("_known").alias("_known"), F.max("_probe").alias("_probe"))
-        .select("*", bucketed)
-    )
+    points = known.filter(F.col(right_on).isNotNull()).select(key, F.col(right_on).cast("timestamp").alias("_ts"), F.lit(True).alias("_is_known"), (F.col(value) if value else F.lit(True)).alias("_value"))
+    empty = F.lit(None).cast(points.schema["_value"].dataType)
+    wanted = probes.filter(F.col(left_on).isNotNull()).select(key, F.col(left_on).cast("timestamp").alias("_ts"), F.lit(False).alias("_is_known"), empty.alias("_value"))
+    merged = points.unionByName(wanted).groupBy(key, "_ts").agg(F.max("_is_known").alias("_is_known"), F.max("_value").alias("_value"), F.min("_is_known").alias("_no_probe"))
+    timeline = stage(merged.orderBy(key, "_ts").withColumn("_piece", F.spark_partition_id()), "timeline")
 
-    def neighbour(side: str) -> tuple[DataFrame, Column, Column]:
-        order = (lambda c: F.col(c).asc()) if side == "backward" else (lambda c: F.col(c).desc())
-        edge = F.max("_known") if side == "backward" else F.min("_known")
-        before = Window.partitionBy(key).orderBy(order("_bucket")).rowsBetween(Window.unboundedPreceding, -1)
-        carried = (
-            events.groupBy(key, bucketed)
-            .agg(edge.alias("_edge"))
-            .select(key, "_bucket", F.last("_edge", ignorenulls=True).over(before).alias(f"_from_{side}"))
-        )
-        upto = Window.partitionBy(key, "_bucket").orderBy(order("_ts")).rowsBetween(Window.unboundedPreceding, 0)
-        inside = F.last("_known", ignorenulls=True).over(upto)
-        return carried, inside, F.col(f"_from_{side}")
-
-    sides = ["backward", "forward"] if direction == "nearest" else [direction]
-    found = timeline
+    at_known = F.when(F.col("_is_known"), F.col("_ts"))
+    sides = {"backward": ["backward"], "forward": ["forward"], "nearest": ["backward", "forward"]}[direction]
+    edges, carried, inside = [], [], {}
     for side in sides:
-        carried, inside, outside = neighbour(side)
-        found = (
-            found.join(carried, [key, "_bucket"])
-            .withColumn(f"_{side}", F.coalesce(inside, outside))
-            .drop(f"_from_{side}")
-        )
-    micros = lambda c: F.unix_micros(c.cast("timestamp"))
-    gap = lambda side: F.abs(micros(F.col(f"_{side}._ts")) - micros(instant))
+        back = side == "backward"
+        edges += [(F.max if back else F.min)(at_known).alias(f"_edge_{side}"), (F.max_by if back else F.min_by)("_value", at_known).alias(f"_edge_value_{side}")]
+        order = (lambda c: F.col(c).asc()) if side == "backward" else (lambda c: F.col(c).desc())
+        before = Window.partitionBy(key).orderBy(order("_piece")).rowsBetween(Window.unboundedPreceding, -1)
+        edge = F.when(F.col(f"_edge_{side}").isNotNull(), F.struct(F.col(f"_edge_{side}").alias("_ts"), F.col(f"_edge_value_{side}").alias("_value")))
+        carried.append(F.last(edge, ignorenulls=True).over(before).alias(f"_from_{side}"))
+        upto = Window.partitionBy(key, "_piece").orderBy(order("_ts")).rowsBetween(Window.unboundedPreceding, 0)
+        own = F.when(F.col("_is_known"), F.struct("_ts", "_value"))
+        inside[f"_in_{side}"] = F.last(own, ignorenulls=True).over(upto)
+    summary = timeline.groupBy(key, "_piece").agg(*edges).select(key, "_piece", *carried)
+    found = timeline.withColumns(inside).filter(~F.col("_no_probe")).join(summary, [key, "_piece"])
+    found = found.withColumns({f"_{side}": F.coalesce(f"_in_{side}", f"_from_{side}") for side in sides})
+    micros = lambda c: F.unix_micros(F.col(c))
+    gap = lambda side: F.abs(micros(f"_{side}._ts") - micros("_ts"))
     if direction == "nearest":
         later = F.col("_backward").isNull() | (gap("forward") < gap("backward"))
         match = F.when(later & F.col("_forward").isNotNull(), F.col("_forward")).otherwise(F.col("_backward"))
     else:
         match = F.col(f"_{direction}")
-    found = found.filter("_probe").select(key, "_ts", match.alias("_match")).filter("_match is not null")
+    found = found.select(key, "_ts", match.alias("_match")).filter("_match is not null")
     if tolerance_seconds is not None:
-        found = found.filter(
-            F.abs(micros(F.col("_match._ts")) - micros(instant)) <= int(tolerance_seconds * MICROS)
-        )
+        found = found.filter(F.abs(micros("_match._ts") - micros("_ts")) <= int(tolerance_seconds * MICROS))
     result = found.select(
         key,
-        instant.alias(left_on),
-        F.col("_match._ts").alias(right_on),
+        F.col("_ts").cast(probes.schema[left_on].dataType).alias(left_on),
+        F.col("_match._ts").cast(known.schema[right_on].dataType).alias(right_on),
         F.col("_match._value").alias(value or "_value"),
     )
     return probes.join(result, [key, left_on], "left")
-
-
-def same_type(df: DataFrame, column: str, like: T.DataType) -> DataFrame:
-    """Cast a join key to the type of the other side."""
-    return df if df.schema[column].dataType == like else df.withColumn(column, F.col(column).cast(like))

@@ -59,19 +59,42 @@ def not_above(order: list[Column], cut: Column) -> Column:
     return F.struct(*[c.alias(name) for c, name in zip(order, key_names(order))]) <= cut
 
 
+def _cut_of(keys: DataFrame, names: list[str], n: int) -> tuple[Column | None, bool]:
+    """Sort keys at position n - 1 (None with fewer rows), and whether position n has the same."""
+    if n <= SMALL_N:
+        rows = keys.orderBy(*names).limit(n + 1).collect()  # narrow rows, few of them
+        at = {k: tuple(rows[k]) for k in (n - 1, n) if k < len(rows)}
+        typed = [F.lit(v).cast(keys.schema[c].dataType).alias(c) for c, v in zip(names, at.get(n - 1, ()))]
+        return (F.struct(*typed) if typed else None), n in at and at[n] == at[n - 1]
+    ranked = global_rank(keys, [F.col(name) for name in names], "_rank")
+    cuts = cut_at(ranked, [n - 1, n], names)
+    if n - 1 not in cuts:
+        return None, False
+    tied = n in cuts and not ranked.filter((F.col("_rank") == n) & (F.struct(*names) == cuts[n - 1])).isEmpty()
+    return cuts[n - 1], tied
+
+
 def take_lowest(df: DataFrame, order: list[Column], n: int) -> DataFrame:
-    """Exactly the `n` lowest rows in a total ascending order (fewer when there are fewer rows).
+    """Exactly the `n` lowest rows in ascending order (fewer when there are fewer rows), whatever `n` is.
 
-    For a large `n` only the sort keys are ranked; the key at position n - 1 then becomes a
-    filter, so the rows themselves, often wide with text, are never sorted or moved.
+    Only the sort keys are ranked; the key at position n - 1 then becomes a filter, so the
+    rows themselves, often wide with text, are neither sorted nor moved. Of rows that tie with
+    that key in all of `order`, as many stay as are needed, in the order of the written rows.
     """
-    if n <= SMALL_N:
-        return df.orderBy(*order).limit(max(n, 0))
+    if n <= 0:
+        return df.limit(0)
     names = key_names(order)
     keys = df.select(*[c.alias(name) for c, name in zip(order, names)])
-    ranked = global_rank(keys, [F.col(name) for name in names], "_rank")
-    cut = cut_at(ranked, [n - 1], names)
-    return df.filter(not_above(order, cut[n - 1])) if cut else df
+    cut, tied = _cut_of(keys, names, n)
+    if cut is None:
+        return df
+    if not tied:
+        return df.filter(not_above(order, cut))
+    own = F.struct(*[c.alias(name) for c, name in zip(order, names)])
+    needed = n - df.filter(own < cut).count()
+    ties = stage(df.filter(own == cut).withColumn("_row", F.monotonically_increasing_id()), "ties")
+    last = take_lowest(ties.select("_row"), [F.col("_row")], needed).agg(F.max("_row")).scalar()
+    return df.filter(own < cut).unionByName(ties.filter(F.col("_row") <= last).drop("_row"))
 
 
 def percentiles(df: DataFrame, column: str, shares: list[float], key: str) -> list[float]:

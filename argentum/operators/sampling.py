@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from argentum.functions.columns import order_hash, unit_interval
-from argentum.operators.ranking import cut_at, global_rank, key_names, not_above, take_lowest
+from argentum.operators.ranking import global_rank, key_names, take_lowest
 from argentum.operators.windows import keep_first_by
+from argentum.session import broadcast_if_small, stage
 
 
 def hash_order(keys: list[str], seed: int) -> list[Column]:
@@ -25,9 +27,12 @@ def sample_keys(df: DataFrame, key: str, n: int, seed: int = 0) -> DataFrame:
 
 
 def nested_samples(df: DataFrame, key: str, n_inner: int, n_outer: int, seed: int = 0) -> tuple[DataFrame, DataFrame]:
-    """Two disjoint key samples cut from one order: the first `n_inner`, then the next `n_outer`."""
-    both = sample_keys(df, key, n_inner + n_outer, seed)
-    inner = sample_keys(df, key, n_inner, seed)
+    """Two disjoint key samples cut from one order: the first `n_inner`, then the next `n_outer`.
+
+    The outer draw is written once; the inner one is taken from it.
+    """
+    both = stage(sample_keys(df, key, n_inner + n_outer, seed), "sample")
+    inner = stage(uniform_sample(both, [key], n_inner, seed), "sample")
     return inner, both.join(inner, key, "left_anti")
 
 
@@ -44,6 +49,7 @@ def weighted_sample(df: DataFrame, keys: list[str], weight: str, n: int, seed: i
 
 def keep_low_share(df: DataFrame, value: str, key: str, forget_rate: float, n_rows: int | None = None) -> DataFrame:
     """The int((1 - forget_rate) * n) rows with the lowest value."""
+    df = stage(df, "shares")  # counted, ranked and filtered
     n_rows = df.count() if n_rows is None else n_rows
     return take_lowest(df, [F.col(value), F.col(key)], int((1 - forget_rate) * n_rows))
 
@@ -64,30 +70,36 @@ def first_per_class(df: DataFrame, label: str, order: list[Column], n: int) -> D
 def balance_to_class(df: DataFrame, label: str, target: int, keys: list[str], seed: int = 0) -> DataFrame:
     """Cut every class to the size of class `target`; a negative target keeps all rows.
 
+    Rows without a label belong to no class and always stay. A target that no row has raises.
     Classes hold large parts of the table, so no window runs per class: one global order of
-    the keys by (class, hash) gives positions, each class starts where the one before ends,
-    and the key at the last kept position of a class becomes its filter.
+    the keys by (class, hash) gives positions, each class starts at its least one, and the key
+    at the last kept position of a class, one row per class, becomes its filter. Of rows that
+    repeat this key, as many stay as fit.
     """
     if target < 0:
         return df
-    sizes = {r[label]: r["count"] for r in df.filter(F.col(label).isNotNull()).groupBy(label).count().collect()}
-    quota = sizes.get(target, 0)
-    if quota == 0:
-        return df.limit(0)
     order = hash_order(keys, seed)
     names = key_names(order)
     narrow = df.filter(F.col(label).isNotNull()).select(label, *[c.alias(n) for c, n in zip(order, names)])
     ranked = global_rank(narrow, [F.col(label), *[F.col(n) for n in names]], "_rank")
-    starts, start = {}, 0
-    for value in sorted(sizes):
-        starts[value] = start
-        start += sizes[value]
-    large = [v for v in sizes if sizes[v] > quota]
-    cuts = cut_at(ranked, [starts[v] + quota - 1 for v in large], names)
-    keep = F.col(label).isin([v for v in sizes if v not in large])
-    for value in large:
-        keep = keep | ((F.col(label) == value) & not_above(order, cuts[starts[value] + quota - 1]))
-    return df.filter(keep)
+    sizes = ranked.groupBy(label).agg(F.min("_rank").alias("_start"), F.count("*").alias("_size"))
+    quota = sizes.filter(F.col(label) == target).first()
+    if quota is None:
+        raise ValueError(f"no row has {label} = {target}")
+    quota = quota["_size"]
+    large = ranked.join(broadcast_if_small(sizes.filter(F.col("_size") > quota)), label)
+    own = F.struct(*[F.col(n) for n in names])
+    cuts = large.filter(F.col("_rank") == F.col("_start") + quota - 1).select(label, own.alias("_cut"))
+    counts = large.join(broadcast_if_small(cuts), label).groupBy(label).agg(
+        F.first("_cut").alias("_cut"), F.count_if(own < F.col("_cut")).alias("_below"), F.count_if(own == F.col("_cut")).alias("_same")
+    )
+    counts = broadcast_if_small(stage(counts.withColumn("_left", quota - F.col("_below")), "cuts"))
+    joined = df.join(counts, label, "left")
+    here = F.struct(*[c.alias(n) for c, n in zip(order, names)])
+    sure = F.col("_cut").isNull() | (here < F.col("_cut")) | ((here == F.col("_cut")) & (F.col("_same") == F.col("_left")))
+    rank = F.row_number().over(Window.partitionBy(label).orderBy(*keys))
+    tied = joined.filter((here == F.col("_cut")) & (F.col("_same") > F.col("_left"))).withColumn("_rank", rank).filter(F.col("_rank") <= F.col("_left"))
+    return joined.filter(sure).select(*df.columns).unionByName(tied.select(*df.columns))
 
 
 def split_by_share(df: DataFrame, keys: list[str], share: float, seed: int = 0) -> tuple[DataFrame, DataFrame]:

@@ -10,6 +10,7 @@ from argentum.functions.columns import code_prefixes, flag_new_case
 from argentum.operators.joins import join_code_family
 from argentum.operators.sampling import debug_sample as sample_rows
 from argentum.operators.windows import keep_first_by
+from argentum.session import BROADCAST_ROWS
 
 COHORT_COLUMNS = ["person_id", "cancer", "n_distinct_cancer"]
 
@@ -52,7 +53,7 @@ def family_table(spark, families: dict[str, list[str]]) -> DataFrame:
     )
     n_codes = sum(len(codes) for _, codes in rows)
     # same bound as for any literal table
-    return F.broadcast(exploded) if n_codes <= 200_000 else exploded
+    return F.broadcast(exploded) if n_codes <= BROADCAST_ROWS else exploded
 
 
 def select_cohort(

@@ -5,6 +5,7 @@ from __future__ import annotations
 import sys
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -18,6 +19,9 @@ PINNED = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
 }
 
+#: Paths of the open `staged` blocks.
+_OPEN: list[list[str]] = []
+
 #: A side is hinted as broadcast only when it is known to hold at most this many rows.
 BROADCAST_ROWS = 200_000
 
@@ -49,7 +53,7 @@ def staging_dir(spark: SparkSession) -> str:
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if folder:
         return folder.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    if spark.sparkContext.master.split("[")[0] != "local":
         raise ValueError("set spark.checkpoint.dir to a folder that every executor can reach")
     folder = tempfile.mkdtemp(prefix="argentum-")
     spark.conf.set("spark.checkpoint.dir", folder)
@@ -64,9 +68,26 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     """
     path = f"{staging_dir(df.sparkSession)}/argentum-{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    for written in _OPEN:
+        written.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def staged(spark: SparkSession):
+    """Remove the tables that `stage` writes inside the block once it is left; results must be written by then."""
+    written: list[str] = []
+    _OPEN.append(written)
+    try:
+        yield
+    finally:
+        _OPEN.remove(written)
+        jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+        for path in written:
+            place = jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(conf).delete(place, True)
+
+
 def is_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> bool:
     """At most `max_rows` rows, found without counting further than that."""
     return df.limit(max_rows + 1).count() <= max_rows

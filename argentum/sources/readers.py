@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from argentum.functions.columns import to_zone
-from argentum.operators.joins import exclude_keys, keep_keys
 from argentum.sources.fixed_values import SURGERY_FLAGS
 
 #: Longer value lists become a join instead of a literal list in the plan.
@@ -33,53 +32,57 @@ def filtered_read(
 ) -> DataFrame:
     """Rows whose key is in `keep` and not in `avoid`, projected to `columns`.
 
-    Short lists stay literals, so they reach the parquet scan as pushed filters;
-    long lists and DataFrames become semi and anti joins.
+    Short lists stay literals, so they reach the parquet scan as pushed filters; long lists
+    and DataFrames become semi and anti joins. Both follow one rule for nulls: a null key is
+    a value like any other. It is kept if `keep` holds a null, and it is dropped only if
+    `avoid` holds one.
     """
     for values, wanted in ((keep, True), (avoid, False)):
         if values is None or (isinstance(values, list) and not values):
             continue
         if isinstance(values, list) and len(values) <= MAX_LITERALS:
-            df = df.filter(F.col(key).isin(values) if wanted else ~F.col(key).isin(values))
+            listed = F.col(key).isin([v for v in values if v is not None])
+            listed = F.coalesce(listed, F.lit(None in values))
+            df = df.filter(listed if wanted else ~listed)
             continue
         if isinstance(values, list):
-            values = df.sparkSession.createDataFrame(
-                [(v,) for v in values], df.select(key).schema
-            )
-        df = keep_keys(df, values, [key]) if wanted else exclude_keys(df, values, [key])
+            values = df.sparkSession.createDataFrame([(v,) for v in values], df.select(key).schema)
+        values = values.select(F.col(key).alias("_listed")).distinct()
+        df = df.join(values, F.col(key).eqNullSafe(F.col("_listed")), "left_semi" if wanted else "left_anti")
     if columns:
         df = df.select(*columns)
     return to_zone(df, zone) if zone else df
 
 
-def rows_per_file(df: DataFrame) -> DataFrame:
-    """Row count of every file of a dataset, empty files included."""
-    # listed paths and metadata paths differ in the slashes after the scheme
-    plain = lambda c: F.regexp_replace(c, "^file:/+", "/")
-    files = df.sparkSession.createDataFrame([(f,) for f in df.inputFiles()], "file_path string")
-    counts = df.groupBy(F.col("_metadata.file_path").alias("file_path")).agg(
-        F.count("*").alias("n_rows")
-    )
-    return (
-        files.withColumn("file_path", plain("file_path"))
-        .join(counts.withColumn("file_path", plain("file_path")), "file_path", "left")
-        .na.fill(0, subset=["n_rows"])
-    )
+def files_of(spark: SparkSession, path: str) -> DataFrame:
+    """Paths of the data files under `path`, empty ones included, without reading them."""
+    reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet")
+    return reader.load(path).select(_plain(F.col("path")).alias("file_path"))
 
 
-def first_file(df: DataFrame) -> DataFrame:
-    """The rows of the first non-empty file of a dataset."""
-    path = F.col("_metadata.file_path")
-    return df.filter(path == df.agg(F.min(path)).scalar())
+def _plain(path):
+    # listed paths and metadata paths differ in the slashes after the scheme
+    return F.regexp_replace(path, "^file:/+", "/")
 
 
-def table_location(spark: SparkSession, table: str) -> DataFrame:
-    """Storage location of a catalog table."""
-    return (
-        spark.sql(f"DESCRIBE FORMATTED {table}")
-        .filter("col_name = 'Location'")
-        .select(F.col("data_type").alias("location"))
-    )
+def rows_per_file(spark: SparkSession, path: str) -> DataFrame:
+    """Row count of every file of a dataset, empty files included."""
+    counts = spark.read.parquet(path).groupBy(_plain(F.col("_metadata.file_path")).alias("file_path")).agg(F.count("*").alias("n_rows"))
+    return files_of(spark, path).join(counts, "file_path", "left").na.fill(0, subset=["n_rows"])
+
+
+def first_file(spark: SparkSession, path: str, at_once: int = 16) -> DataFrame:
+    """The rows of the first non-empty file of a dataset; opens files in order, a few at a time."""
+    files, last = files_of(spark, path), ""
+    while True:
+        some = [r["file_path"] for r in files.filter(F.col("file_path") > last).orderBy("file_path").limit(at_once).collect()]
+        if not some:
+            return spark.read.parquet(path).limit(0)
+        found = spark.read.parquet(*some).select(F.min(_plain(F.col("_metadata.file_path")))).first()[0]
+        if found:
+            whole = spark.read.parquet(path)
+            return whole.filter(_plain(F.col("_metadata.file_path")) == found)
+        last = some[-1]
 
 
 def read_codes(codes: DataFrame, flags: list[str] | None = None) -> DataFrame:

@@ -47,9 +47,9 @@ def canonical(raw: DataFrame, table: str, db_type: str = "i2b2") -> DataFrame:
 
 
 def one_row_per_note(documents: DataFrame, tie_break: list[str] | None = None) -> DataFrame:
-    """One row per note id. With `tie_break` the survivor is the first in that order."""
+    """One row per note id: the first in the order of `tie_break`, or of all other columns."""
     if tie_break is None:
-        return documents.dropDuplicates(["note_id"])
+        tie_break = [c for c in documents.columns if c != "note_id"]
     return keep_first_by(documents, ["note_id"], [F.col(c) for c in tie_break])
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from argentum.functions.columns import code_prefixes
+from argentum.functions.columns import code_prefixes, flatten_nested
 from argentum.operators.joins import join_code_family
 from argentum.plans.cohort import family_table, retrieve_codes, select_cohort
 from driver_queries.inputs import CONDITIONS, FAMILIES, FAMILY_TABLE
@@ -105,13 +105,13 @@ def code_family_join(t):
 
 @query(
     "flatten_codes",
-    """SELECT nation.n_name AS name, unnest(flatten([[CAST(n_nationkey AS VARCHAR)], [r_name, n_name]])) AS code
-FROM nation JOIN region ON n_regionkey = r_regionkey""",
+    """SELECT o_orderkey, unnest([CAST(o_custkey AS VARCHAR), o_orderstatus, o_orderpriority, CAST(o_orderkey AS VARCHAR)]) AS code FROM orders""",
 )
 def flatten_codes(t):
-    nested = F.array(F.array(F.col("n_nationkey").cast("string")), F.array("r_name", "n_name"))
-    joined = t["nation"].join(t["region"], F.col("n_regionkey") == F.col("r_regionkey"))
-    return joined.select(F.col("n_name").alias("name"), F.explode(F.flatten(nested)).alias("code"))
+    text = lambda c: F.col(c).cast("string")
+    nested = F.array(F.array(F.array(text("o_custkey")), F.array("o_orderstatus", "o_orderpriority")), F.array(F.array(text("o_orderkey"))))
+    rows = t["orders"].select("o_orderkey", nested.alias("nested"))
+    return rows.select("o_orderkey", F.explode(flatten_nested(rows, "nested")).alias("code"))
 
 
 @query(

@@ -126,8 +126,9 @@ mentions AS (
 
 MENTIONS = mention_cte(30, 45)
 LOGITS = """logits AS (
-  SELECT vec_id, CAST(embedding[1] AS DOUBLE) * 4 AS z0, CAST(embedding[2] AS DOUBLE) * 4 AS z1,
-         CAST(embedding[3] AS DOUBLE) * 4 AS z2, label % 3 AS y FROM embeddings)"""
+  SELECT vec_id, list_reduce(list_prepend(0.0::DOUBLE, embedding[1:len(embedding):3]::DOUBLE[]), lambda a, x: a + x) AS z0,
+         list_reduce(list_prepend(0.0::DOUBLE, embedding[2:len(embedding):3]::DOUBLE[]), lambda a, x: a + x) AS z1,
+         list_reduce(list_prepend(0.0::DOUBLE, embedding[3:len(embedding):3]::DOUBLE[]), lambda a, x: a + x) AS z2, label % 3 AS y FROM embeddings)"""
 LOSSES = """losses AS (
   SELECT user_id AS sample_id, CAST(day(ts) AS INTEGER) AS epoch, avg(value) AS loss FROM events GROUP BY ALL)"""
 PROBS = """probs AS (
@@ -282,7 +283,10 @@ class Tables:
 
     @cached_property
     def logits(self) -> DataFrame:
-        z = F.transform(F.slice("embedding", 1, 3), lambda x: x.cast("double") * 4)
+        # class k has the sum of the components k, k + 3, k + 6, ...
+        own = lambda k: F.filter("embedding", lambda x, i: i % 3 == k)
+        total = lambda k: F.aggregate(own(k), F.lit(0.0), lambda acc, x: acc + x.cast("double"))
+        z = F.array(total(0), total(1), total(2))
         return self["embeddings"].select("vec_id", z.alias("logits"), (F.col("label") % 3).alias("label"))
 
     @cached_property

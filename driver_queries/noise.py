@@ -25,6 +25,7 @@ from argentum.plans.noise import (
     rolling_probability,
     switched_share,
 )
+from argentum.session import stage
 from driver_queries.inputs import LOGITS, LOSSES, PROBS
 from driver_queries.registry import query, with_
 
@@ -204,12 +205,13 @@ def label_histogram_query(t):
         PROBS,
         ROLLED,
         FLIPPED,
-        "SELECT round(avg(CASE WHEN label <> new_label THEN 1 ELSE 0 END) * 100, 2) AS percent_switched FROM flipped WHERE epoch = 20",
+        "SELECT round(avg(CASE WHEN label <> new_label THEN 1 ELSE 0 END) * 100, 2) AS percent_switched FROM flipped",
     ),
 )
 def label_switch_share(t):
-    at_20 = flipped_rows(t).filter("epoch = 20")
-    return switched_share(at_20.select("sample_id", "label"), at_20.select("sample_id", F.col("new_label").alias("label")))
+    # a label of every epoch is a row of its own
+    rows = stage(flipped_rows(t).select(F.struct("sample_id", "epoch").alias("sample_id"), "label", "new_label"), "flipped")
+    return switched_share(rows.select("sample_id", "label"), rows.select("sample_id", F.col("new_label").alias("label")))
 
 
 @query(
@@ -219,12 +221,12 @@ def label_switch_share(t):
         ROLLED,
         FLIPPED,
         """SELECT sample_id, label AS old_label, new_label, text FROM flipped JOIN documents ON doc_id = sample_id
-WHERE epoch = 20 AND label <> new_label""",
+WHERE label <> new_label""",
     ),
 )
 def label_changes_with_text(t):
     texts = t["documents"].select(F.col("doc_id").alias("sample_id"), "text")
-    return changed_texts(flipped_rows(t).filter("epoch = 20"), texts)
+    return changed_texts(flipped_rows(t), texts)
 
 
 @query(

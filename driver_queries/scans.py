@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from argentum.functions.columns import decode, parse_or_drop, replace_missing_letters, to_zone
 from argentum.operators.joins import lookup
-from argentum.session import literal_table
-from argentum.sources.fixed_values import DISCHARGE_MODE, SEX, VISIT_TYPE
-from argentum.sources.readers import filtered_read, first_file, read_codes, rows_per_file, table_location
+from argentum.session import literal_table, staging_dir
+from argentum.sources.fixed_values import CANONICAL_COLUMNS, CODE_SLICES, DIAGNOSIS_RANK, DISCHARGE_MODE, SEX, VISIT_TYPE
+from argentum.sources.readers import filtered_read, first_file, read_codes, rows_per_file
 from argentum.sources.tables import enrich_care_sites, one_row_per_note, scan
 from driver_queries.inputs import CODE_LIST, CONDITIONS, NOTES
 from driver_queries.registry import query, with_
@@ -127,22 +129,99 @@ def filtered_read_by_table(t):
     return kept.groupBy("o_custkey").agg(F.count("*").alias("n"))
 
 
-@query("rows_per_file", "SELECT 'lineitem.parquet' AS file_name, count(*) AS n_rows FROM lineitem")
+@query(
+    "filtered_read_null_keys",
+    """SELECT o_orderkey, CASE WHEN o_orderstatus <> 'P' THEN o_orderpriority END AS priority FROM orders
+WHERE o_orderstatus = 'P' OR o_orderpriority NOT IN ('5-LOW', '2-HIGH')""",
+)
+def filtered_read_null_keys(t):
+    priority = F.when(F.col("o_orderstatus") != "P", F.col("o_orderpriority"))
+    rows = t["orders"].select("o_orderkey", priority.alias("priority"))
+    short = filtered_read(rows, avoid=["5-LOW"], key="priority")
+    # as a join, as for long lists
+    return filtered_read(short, avoid=literal_table(t.spark, [("2-HIGH",)], "priority string"), key="priority")
+
+
+def several_files(t) -> str:
+    """Suppliers by key modulo 3 in a folder each, and an empty file ahead of them."""
+    rows, path = t["supplier"].select("s_suppkey", "s_nationkey"), f"{staging_dir(t.spark)}/argentum-files-{uuid.uuid4().hex}"
+    rows.limit(0).coalesce(1).write.parquet(f"{path}/part=0")
+    for k in range(3):
+        rows.filter(F.col("s_suppkey") % 3 == k).coalesce(1).write.parquet(f"{path}/part={k + 1}")
+    return path
+
+
+@query(
+    "rows_per_file",
+    """SELECT 'part=' || CAST(s_suppkey % 3 + 1 AS VARCHAR) AS folder, count(*) AS n_rows FROM supplier GROUP BY ALL UNION ALL SELECT 'part=0', 0""",
+)
 def rows_per_file_query(t):
-    counts = rows_per_file(t["lineitem"])
-    return counts.select(F.element_at(F.split("file_path", "/"), -1).alias("file_name"), "n_rows")
+    counts = rows_per_file(t.spark, several_files(t))
+    return counts.select(F.element_at(F.split("file_path", "/"), -2).alias("folder"), "n_rows")
 
 
-@query("peek_first_file", "SELECT o_orderkey, o_orderdate FROM orders")
+@query("peek_first_file", "SELECT s_suppkey, s_nationkey FROM supplier WHERE s_suppkey % 3 = 0")
 def peek_first_file(t):
-    return first_file(t["orders"]).select("o_orderkey", "o_orderdate")
+    return first_file(t.spark, several_files(t)).select("s_suppkey", "s_nationkey")
 
 
-@query("table_location")
-def table_location_query(t):
-    name = "argentum_orders_" + "".join(c if c.isalnum() else "_" for c in t.folder)
-    t.spark.sql(f"CREATE TABLE IF NOT EXISTS {name} USING parquet LOCATION '{t.folder}/orders.parquet'")
-    return table_location(t.spark, name)
+@query(
+    "scan_documents",
+    """SELECT note_id, min(note_text) AS note_text, CAST(min(n) AS BIGINT) AS n_rows FROM (
+  SELECT source || '-' || lang || '-' || CAST(n_chars AS VARCHAR) AS note_id, text AS note_text,
+    count(*) OVER (PARTITION BY source, lang, n_chars) AS n FROM documents) GROUP BY note_id""",
+)
+def scan_documents(t):
+    key = F.concat_ws("-", "source", "lang", F.col("n_chars").cast("string"))
+    raw = t["documents"].select(
+        key.alias("instance_num"),
+        F.lit("2020-01-01").cast("timestamp").alias("start_date"),
+        F.lit("class").alias("concept_cd"),
+        F.lit("v").alias("encounter_num"),
+        F.lit("p").alias("patient_num"),
+        F.col("text").alias("observation_blob"),
+        F.lit("title").alias("provider_id"),
+        F.lit("s").alias("sourcesystem_cd"),
+    )
+    counts = raw.groupBy(F.col("instance_num").alias("note_id")).agg(F.count("*").alias("n_rows"))
+    return scan(raw, "documents").select("note_id", "note_text").join(counts, "note_id")
+
+
+def _raw_lines(t, table: str, code: str):
+    """Order lines in the physical columns of a logical table."""
+    values = {
+        "person_id": F.col("o_custkey").cast("string"),
+        "visit_occurrence_id": F.col("l_orderkey").cast("string"),
+        code: F.concat(F.lit("CODE:"), F.lpad(F.col("l_partkey").cast("string"), 6, "0"), F.lit(":tail")),
+    }
+    filler = lambda name: F.col("l_shipdate") if name.endswith("datetime") else F.concat(F.lit("x"), F.col("l_linenumber").cast("string"))
+    columns = {old: values.get(new, filler(new)).alias(old) for old, new in CANONICAL_COLUMNS[table].items()}
+    return t.lines_of_orders.select(*columns.values())
+
+
+def _slice_sql(table: str) -> str:
+    name, start, length = CODE_SLICES[table]
+    return f"""SELECT CAST(l_orderkey AS VARCHAR) AS visit_occurrence_id,
+  substr('CODE:' || lpad(CAST(l_partkey AS VARCHAR), 6, '0') || ':tail', {start}, {length}) AS {name}
+FROM lineitem JOIN orders ON l_orderkey = o_orderkey"""
+
+
+def _scan_slice(table: str):
+    name = CODE_SLICES[table][0]
+    return lambda t: scan(_raw_lines(t, table, name), table, select_cols=["visit_occurrence_id", name])
+
+
+for _table in ("procedure", "visit_detail", "biology"):
+    query(f"scan_{_table}", _slice_sql(_table))(_scan_slice(_table))
+
+
+@query(
+    "diagnosis_rank",
+    "SELECT o_orderkey, CASE o_orderpriority WHEN '1-URGENT' THEN 1 WHEN '2-HIGH' THEN 2 WHEN '3-MEDIUM' THEN 3 END AS rank FROM orders",
+)
+def diagnosis_rank(t):
+    status = F.when(F.col("o_orderpriority") == "1-URGENT", "DP").when(F.col("o_orderpriority") == "2-HIGH", "DR").when(F.col("o_orderpriority") == "3-MEDIUM", "DAS")
+    return t["orders"].select("o_orderkey", status.alias("status")).select("o_orderkey", decode("status", DIAGNOSIS_RANK).alias("rank"))
 
 
 @query(

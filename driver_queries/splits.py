@@ -18,7 +18,7 @@ from argentum.plans.splits import (
 )
 from argentum.session import stage
 from driver_queries.alignment import ALIGNED, CANDIDATES, EXAMPLES, MATCHES, UNIFORM
-from driver_queries.inputs import KNOWN, KNOWN_SOURCES, MENTIONS, NOTES
+from driver_queries.inputs import KNOWN, MENTIONS, NOTES
 from driver_queries.registry import query, with_
 
 H = "md5(concat_ws(':', person_id, '{seed}'))"
@@ -96,18 +96,17 @@ def split_n_persons_query(t):
     return union(*split_n_persons(t.notes, 60, 0)).select("set", *SMALL.split(", "))
 
 
-_REPORTS = KNOWN_SOURCES.split("),\nreturn_days")[0] + ")"
-REPORT_KNOWN = _REPORTS + ",\nknown AS (SELECT person_id, d AS known_date, 1 AS label FROM report_days GROUP BY ALL)"
+#: Dates of pending orders: every one is known, and many persons have none.
+PENDING_KNOWN = """known AS (SELECT CAST(o_custkey AS VARCHAR) AS person_id, o_orderdate AS known_date, 1 AS label
+  FROM orders WHERE o_orderstatus = 'P' GROUP BY ALL)"""
 ALIGNED_EXAMPLES = ",\n".join([ALIGNED, MATCHES, CANDIDATES, UNIFORM.format(k=1), EXAMPLES])
 
 
 def known_reports(t) -> DataFrame:
-    return t.report_days.filter("d >= '1999-01-01'").distinct().select(
-        "person_id", F.col("d").alias("known_date"), F.lit(1).alias("label")
-    )
-
-
-RECENT_KNOWN = REPORT_KNOWN.replace("FROM report_days GROUP", "FROM report_days WHERE d >= TIMESTAMP '1999-01-01' GROUP")
+    pending = t["orders"].filter("o_orderstatus = 'P'")
+    return pending.select(
+        F.col("o_custkey").cast("string").alias("person_id"), F.col("o_orderdate").cast("timestamp").alias("known_date"), F.lit(1).alias("label")
+    ).distinct()
 
 DEV = f"""dev_matched AS ({{matched_pick}}),
 dev_without AS ({{without_pick}}),
@@ -124,7 +123,7 @@ DEV_ROWS = """SELECT 'dev' AS set, CASE WHEN person_id IN (SELECT person_id FROM
     with_(
         NOTES,
         MENTIONS.replace("FROM notes, unnest", "FROM notes, unnest"),
-        RECENT_KNOWN,
+        PENDING_KNOWN,
         ALIGNED_EXAMPLES.replace(
             "once AS (SELECT * FROM mentions WHERE",
             f"test_persons AS ({pick('notes', 200, 29)}),\nonce AS (SELECT * FROM mentions WHERE person_id NOT IN (SELECT person_id FROM test_persons) AND",
@@ -153,7 +152,7 @@ def split_dev_alignable_query(t):
     with_(
         NOTES,
         MENTIONS,
-        RECENT_KNOWN,
+        PENDING_KNOWN,
         ALIGNED_EXAMPLES,
         "matched_examples AS (SELECT DISTINCT person_id, note_id FROM examples WHERE label = 1)",
         DEV.replace("FROM matched WHERE", "FROM matched_examples WHERE").format(

@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 from argentum.functions.columns import flag_new_case, localise, midpoint
 from argentum.operators.joins import asof, attach, exclude_keys, keep_keys
 from argentum.operators.metrics import distinct_count, value_counts
-from argentum.operators.ranking import dense_id, percentiles
+from argentum.operators.ranking import dense_id, percentiles, take_lowest
 from argentum.operators.sampling import (
+    balance_to_class,
     debug_sample,
     first_per_class,
     keep_low_share,
@@ -132,7 +133,7 @@ FROM (SELECT event_id, p.user_id, ts, signup_ts, signup_id, abs(epoch_us(ts) - e
     ),
 )
 def asof_nearest(t):
-    return asof_query(t, direction="nearest", bucket="hour")
+    return asof_query(t, direction="nearest")
 
 
 ONCE = """once AS (SELECT * FROM mentions WHERE date_dt IS NOT NULL QUALIFY count(*) OVER (PARTITION BY note_id, date_dt) = 1)"""
@@ -234,6 +235,32 @@ def sample_weighted(t):
     return weighted_sample(weighted, ["o_orderkey"], "w", 2000, 5).select("o_orderkey")
 
 
+@query(
+    "sample_with_ties",
+    """SELECT priority, count(*) AS n FROM (
+  SELECT substr(o_orderpriority, 1, 1) AS priority FROM orders ORDER BY priority, o_orderstatus
+  LIMIT (SELECT count(*) // 3 FROM orders)) GROUP BY priority""",
+)
+def sample_with_ties(t):
+    rows = t["orders"].select(F.substring("o_orderpriority", 1, 1).alias("priority"), "o_orderstatus")
+    lowest = take_lowest(rows, [F.col("priority"), F.col("o_orderstatus")], rows.count() // 3)
+    return lowest.groupBy("priority").agg(F.count("*").alias("n"))
+
+
+@query(
+    "balance_with_nulls",
+    """SELECT label, CASE WHEN label IS NULL THEN n ELSE least(n, (SELECT count(*) FROM orders WHERE o_orderpriority = '2-HIGH')) END AS n FROM (
+  SELECT CASE substr(o_orderpriority, 1, 1) WHEN '5' THEN NULL WHEN '4' THEN 1 ELSE CAST(substr(o_orderpriority, 1, 1) AS INTEGER) END AS label,
+    count(*) AS n FROM orders GROUP BY 1)""",
+)
+def balance_with_nulls(t):
+    first = F.substring("o_orderpriority", 1, 1).cast("int")
+    label = F.when(first == 4, 1).when(first < 4, first)
+    # keys that many rows share
+    rows = t["orders"].select(label.alias("label"), (F.col("o_custkey") % 7).alias("key"))
+    return balance_to_class(rows, "label", 2, ["key"]).groupBy("label").agg(F.count("*").alias("n"))
+
+
 @query(
     "keep_lowest_share",
     """SELECT o_orderkey FROM orders ORDER BY o_totalprice, o_orderkey

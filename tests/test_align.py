@@ -6,9 +6,11 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from argentum.operators import joins
 from argentum.functions.columns import mask_span
 from argentum.operators.joins import asof, assert_unique, attach, join_spans
 from argentum.plans.align import align, match_dates, proximity_weight
+from argentum.session import stage
 
 D0 = datetime(2020, 1, 1)
 
@@ -25,12 +27,14 @@ def random_sides(seed, n=300):
 
 @pytest.mark.parametrize("direction", ["backward", "forward", "nearest"])
 @pytest.mark.parametrize("tolerance", [None, 0, 6 * 3600])
-@pytest.mark.parametrize("bucket", ["day", "month"])
-def test_asof_equals_brute_force(spark, direction, tolerance, bucket):
+@pytest.mark.parametrize("pieces", ["1", "7"])
+def test_asof_equals_brute_force(spark, direction, tolerance, pieces, monkeypatch):
+    # small pieces of the timeline, so that neighbours lie in others
+    monkeypatch.setattr(joins, "stage", lambda df, label: stage(df.repartitionByRange(int(pieces), "k", "_ts").sortWithinPartitions("k", "_ts").withColumn("_piece", F.spark_partition_id()), label))
     probes, known = random_sides(hash((direction, tolerance or -1)) % 1000)
     p = spark.createDataFrame(probes, "id int, k string, ts timestamp")
     r = spark.createDataFrame(known, "k string, at timestamp, label int")
-    got = {x.id: (x.at, x.label) for x in asof(p, r, "k", "ts", "at", "label", direction, tolerance, bucket).collect()}
+    got = {x.id: (x.at, x.label) for x in asof(p, r, "k", "ts", "at", "label", direction, tolerance).collect()}
     best = {}
     for k, at, label in known:
         best[k, at] = max(label, best.get((k, at), 0))
@@ -45,6 +49,22 @@ def test_asof_equals_brute_force(spark, direction, tolerance, bucket):
     assert len(got) == len(probes)
 
 
+def test_a_busy_day_is_cut(spark):
+    """One key holds nearly all rows inside one hour: several tasks share it."""
+    kept = []
+    instant = F.timestamp_seconds(F.col("id") % 3600)
+    p = spark.range(30_000).select("id", F.lit("hot").alias("k"), instant.alias("ts"))
+    r = spark.range(30_000).select(F.lit("hot").alias("k"), F.timestamp_micros(F.col("id") * 100_000).alias("at"), F.col("id").alias("label"))
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(joins, "stage", lambda df, label: kept.append(stage(df, label)) or kept[-1])
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        out = asof(p, r, "k", "ts", "at", "label")
+    assert out.filter(F.col("at").isNull() | (F.col("at") > F.col("ts"))).count() == 0
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    sizes = [x["count"] for x in kept[0].groupBy("k", "_piece").count().collect()]
+    assert len(sizes) == 4 and max(sizes) < 0.5 * sum(sizes)
+
+
 def test_asof_equals_pandas(spark):
     probes, known = random_sides(7)
     best = pd.DataFrame(known, columns=["k", "at", "label"]).sort_values("label").drop_duplicates(["k", "at"], keep="last")

@@ -141,3 +141,36 @@ def test_counts(spark, rows):
         ("n", 9, 2),
     ]
     assert rows(mentioned_once(df), "note_id", "text_start_char") == [("m", 0), ("n", 20)]
+
+
+def test_spans_of_a_text_with_many_hits(spark):
+    import time
+
+    n = 50_000
+    df = spark.createDataFrame([("x1 " * n,)], "text string").cache()
+    df.count()
+    start = time.time()
+    spans = df.select(find_spans(F.col("text"), "[0-9]+").alias("s")).first().s
+    assert time.time() - start < 30
+    assert len(spans) == n and all((s.text_start_char, s.text_end_char) == (3 * k + 1, 3 * k + 2) for k, s in enumerate(spans))
+
+
+def test_workers_need_no_copy_of_the_package(tmp_path):
+    """Extraction from another folder, without the package on the workers' path."""
+    import os
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    root = Path(__file__).resolve().parents[1]
+    script = f"""
+import sys
+sys.path.insert(0, {str(root)!r})
+import __spark_entry__ as e
+from argentum.session import get_session
+spark = get_session("cwd", "local[2]", **{{"spark.ui.enabled": "false", "spark.sql.shuffle.partitions": "2"}})
+print("ROWS", e.queries()["mentions_offsets"](spark, "/root/testdata/sf0.001").count())
+"""
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    done = subprocess.run([sys.executable, "-c", script], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=300)
+    assert int(done.stdout.split("ROWS")[1]) > 0, done.stderr[-2000:]

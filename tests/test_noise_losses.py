@@ -165,8 +165,15 @@ def test_weighted_mean_and_determinant(predictions):
     p = e / e.sum(axis=1, keepdims=True)
     expected = -np.log(abs(np.linalg.det(np.eye(3)[y].T @ p)) + 1e-3)
     assert dmi_loss(df, "logits", "label", 3).first()[0] == pytest.approx(expected)
-    with pytest.raises(ValueError):
-        dmi_loss(df, "logits", "label", 7)
+
+
+def test_determinant_of_many_classes(spark):
+    rng = np.random.default_rng(0)
+    z, y = rng.normal(size=(60, 9)), np.arange(60) % 9
+    df = spark.createDataFrame([(row.tolist(), int(k)) for row, k in zip(z, y, strict=True)], "logits array<double>, label int")
+    p = np.exp(z) / np.exp(z).sum(axis=1, keepdims=True)
+    expected = -np.log(abs(np.linalg.det(np.eye(9)[y].T @ p)) + 1e-3)
+    assert dmi_loss(df, "logits", "label", 9).first()[0] == pytest.approx(expected)
 
 
 def test_predictions(spark):

@@ -81,12 +81,29 @@ def test_keep_low_share(numbers, rate):
     assert sorted((r.v, r.id) for r in kept.collect()) == expected
 
 
+@pytest.mark.parametrize("n", [9, 10, 11, 25])
+@pytest.mark.parametrize("small", [10, 1000])
+def test_exactly_n_with_nulls_and_ties(spark, monkeypatch, n, small):
+    monkeypatch.setattr(ranking, "SMALL_N", small)
+    df = spark.createDataFrame([(None if i % 7 == 0 else i % 3, "x" * 5) for i in range(40)], "v int, text string")
+    got = sorted((r.v is not None, r.v or 0) for r in take_lowest(df, [F.col("v")], n).collect())
+    assert got == sorted((r.v is not None, r.v or 0) for r in df.collect())[:n]
+
+
+def test_balance_keeps_unlabelled_rows_and_exact_quotas(spark):
+    rows = [(i // 4, 0) for i in range(40)] + [(i, 1) for i in range(10)] + [(i, None) for i in range(5)] + [(1, 2)] * 30
+    df = spark.createDataFrame(rows, "id int, label int")
+    counts = {r.label: r["count"] for r in balance_to_class(df, "label", 1, ["id"]).groupBy("label").count().collect()}
+    assert counts == {0: 10, 1: 10, 2: 10, None: 5}
+
+
 def test_classes(numbers):
     df = numbers.withColumn("label", F.when(F.col("id") < 30, 1).when(F.col("id") < 40, 2).otherwise(0))
     counts = lambda x: {r.label: r["count"] for r in x.groupBy("label").count().collect()}
     assert counts(balance_to_class(df, "label", 1, ["id"])) == {0: 30, 1: 30, 2: 10}
     assert counts(balance_to_class(df, "label", 2, ["id"])) == {0: 10, 1: 10, 2: 10}
-    assert balance_to_class(df, "label", 9, ["id"]).count() == 0
+    with pytest.raises(ValueError):
+        balance_to_class(df, "label", 9, ["id"])
     assert balance_to_class(df, "label", -1, ["id"]).count() == 500
     assert counts(first_per_class(df, "label", [F.col("id")], 7)) == {0: 7, 1: 7, 2: 7}
     rest, share = split_by_share(df, ["id"], 0.2)
