@@ -19,7 +19,7 @@ PINNED = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
 }
 
-#: Paths of the open `staged` blocks.
+#: Folders written in each open `staging_noted` block.
 _OPEN: list[list[str]] = []
 
 #: A side is hinted as broadcast only when it is known to hold at most this many rows.
@@ -70,22 +70,42 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     df.write.parquet(path)
     for written in _OPEN:
         written.append(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.staged_in = path
+    return out
 
 
 @contextmanager
-def staged(spark: SparkSession):
-    """Remove the tables that `stage` writes inside the block once it is left; results must be written by then."""
+def staging_noted():
+    """The list of folders that `stage` writes inside the block."""
     written: list[str] = []
     _OPEN.append(written)
     try:
-        yield
+        yield written
     finally:
         _OPEN.remove(written)
-        jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-        for path in written:
-            place = jvm.org.apache.hadoop.fs.Path(path)
-            place.getFileSystem(conf).delete(place, True)
+
+
+def unstage(df: DataFrame) -> None:
+    """Delete the table of a DataFrame that `stage` returned; whatever derives from it must be written by then."""
+    remove_staged(df.sparkSession, [df.staged_in])
+
+
+def remove_staged(spark: SparkSession, folders: list[str]) -> None:
+    """Delete staged tables that nothing reads any more."""
+    for folder in folders:
+        place = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
+@contextmanager
+def staged(spark: SparkSession):
+    """Remove the tables that `stage` writes inside the block once it is left; results must be written by then."""
+    with staging_noted() as written:
+        try:
+            yield
+        finally:
+            remove_staged(spark, written)
 
 
 def is_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> bool:
