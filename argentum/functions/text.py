@@ -36,15 +36,61 @@ _NUMERIC = r"[0-9]{1,2}[/.\-][0-9]{1,2}[/.\-](?:[0-9]{4}|[0-9]{2})"
 _WRITTEN = rf"(?:1er|[0-9]{{1,2}})\s+{_MONTH}(?:\s+[0-9]{{4}})?"
 _MONTH_YEAR = rf"{_MONTH}\s+[0-9]{{4}}"
 
-#: Absolute forms first; a written date may lack its year, a written month its day.
-#: The lookaheads let the matcher skip most words at their first letter.
+# fixed values: French numerals and what they stand for
+NUMBER_WORDS = {
+    "un": 1,
+    "une": 1,
+    "deux": 2,
+    "trois": 3,
+    "quatre": 4,
+    "cinq": 5,
+    "six": 6,
+    "sept": 7,
+    "huit": 8,
+    "neuf": 9,
+    "dix": 10,
+    "onze": 11,
+    "douze": 12,
+    "treize": 13,
+    "quatorze": 14,
+    "quinze": 15,
+    "seize": 16,
+    "vingt": 20,
+    "trente": 30,
+    "quarante": 40,
+    "cinquante": 50,
+    "soixante": 60,
+    "cent": 100,
+    "mille": 1000,
+}
+# fixed values: French words for a day, and its distance from the day of the note
+DAY_WORDS = {
+    "avant-hier": -2,
+    "hier": -1,
+    "aujourd'hui": 0,
+    "aujourd’hui": 0,
+    "demain": 1,
+    "après-demain": 2,
+}
+_AMOUNT = "(?:[0-9]{1,3}|" + "|".join(sorted(NUMBER_WORDS, key=len, reverse=True)) + ")"
+_AGO = rf"il\s+y\s+a\s+{_AMOUNT}\s+(?:jours?|semaines?|mois|ans?|années?)"
+_IN_YEAR = r"en\s+(?:19|20)[0-9]{2}"
+_RELATIVE = "(?:" + "|".join(DAY_WORDS) + rf"|{_AGO}|{_IN_YEAR})"
+
+#: Absolute forms first; a written date may lack its year, a written month its day; relative
+#: forms count from the note's date. The lookaheads let the matcher skip most words at their
+#: first letter.
 DATE_PATTERN = (
-    rf"(?i)\b(?:(?=[0-9])(?:{_ISO}|{_NUMERIC}|{_WRITTEN})|(?=[jfmasond]){_MONTH_YEAR})\b"
+    rf"(?i)\b(?:(?=[0-9])(?:{_ISO}|{_NUMERIC}|{_WRITTEN})|(?=[jfmasond]){_MONTH_YEAR}|(?=[ahdie]){_RELATIVE})\b"
 )
+#: Whatever `DATE_PATTERN` matches has this in it.
+DATE_HINT = r"(?i)[0-9]|hier|aujourd|demain|il\s+y\s+a"
 #: Separator lines and the like, left out of normalised snippets.
 POLLUTION_PATTERN = r"^[=_*#~\-]{4,}\s*$"
 #: A neighbour token that makes a date part of a table of values.
-NUMBER_PATTERN = r"^\d+(?:[.,]\d+)*\s*$"
+NUMBER_PATTERN = (
+    r"(?i)^[+\-±~]?(?:\d+(?:[.,]\d+)*|\d+/\d+|(?:zéro|" + "|".join(NUMBER_WORDS) + r"|million|milliard)s?)\s*$"
+)
 TOKEN_PATTERN = r"\S+\s*"
 SENTENCE_END = r"[.!?]+\s*$|\n"
 
@@ -82,19 +128,45 @@ def _parse_rare(variant: Column, note_year: Column) -> Column:
     return F.try_to_timestamp(numbers, F.lit("yyyy/M/d"))
 
 
+def _parse_relative(variant: Column, note_day: Column) -> Column:
+    """Days, weeks, months and years before the note's day; a year alone is its first day."""
+    text = F.lower(variant)
+    amounts = F.create_map(*[F.lit(x) for pair in NUMBER_WORDS.items() for x in pair])
+    said = F.regexp_extract(text, rf"a\s+({_AMOUNT})\s", 1)
+    amount = F.coalesce(F.try_element_at(amounts, said), said.try_cast("int"))
+    day = F.lit(None).cast("date")
+    for unit, moved in (
+        ("jour", F.date_sub(note_day, amount)),
+        ("semaine", F.date_sub(note_day, amount * 7)),
+        ("mois", F.add_months(note_day, -amount)),
+        ("an", F.add_months(note_day, -amount * 12)),
+    ):
+        day = F.when(text.rlike(rf"\s{unit}\w*$"), moved).otherwise(day)
+    for word, distance in DAY_WORDS.items():
+        day = F.when(text == word, F.date_add(note_day, distance)).otherwise(day)
+    year = F.regexp_extract(text, r"^en\s+(\d{4})$", 1)
+    return F.when(year != "", F.make_date(year.try_cast("int"), F.lit(1), F.lit(1))).otherwise(day).cast("timestamp")
+
+
 def parse_date(variant: Column, note_datetime: Column | None = None) -> Column:
     """A mention as timestamp, null when it is no calendar date.
 
     Two-digit years count as 2000-2068 or 1969-1999. A missing day is the first of the
     month; a missing year is the year of the note, and null without one. The common
     numeric form has a short path; the rest is bound as a lambda, which keeps the
-    generated code of the row loop small enough to be compiled.
+    generated code of the row loop small enough to be compiled. Relative mentions count from
+    the day of the note, and are null without one.
     """
+    note_day = F.to_date(note_datetime) if note_datetime is not None else F.lit(None).cast("date")
     note_year = F.year(note_datetime).cast("string") if note_datetime is not None else F.lit(None).cast("string")
     slashes = F.replace(F.replace(variant, F.lit("."), F.lit("/")), F.lit("-"), F.lit("/"))
     common = F.try_to_timestamp(slashes, F.lit("d/M/yyyy"))
-    return F.when(variant.rlike(r"^\d{1,2}[/.\-]\d{1,2}[/.\-]\d{4}$"), common).otherwise(
-        let(F.struct(variant.alias("v"), note_year.alias("y")), lambda s: _parse_rare(s["v"], s["y"]))
+    rare = let(F.struct(variant.alias("v"), note_year.alias("y")), lambda s: _parse_rare(s["v"], s["y"]))
+    relative = let(F.struct(variant.alias("v"), note_day.alias("d")), lambda s: _parse_relative(s["v"], s["d"]))
+    return (
+        F.when(variant.rlike(r"^\d{1,2}[/.\-]\d{1,2}[/.\-]\d{4}$"), common)
+        .when(variant.rlike(rf"(?i)^{_RELATIVE}$"), relative)
+        .otherwise(rare)
     )
 
 

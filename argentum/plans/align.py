@@ -31,17 +31,18 @@ def count_mentions(mentions: DataFrame) -> DataFrame:
 def mentioned_once(mentions: DataFrame) -> DataFrame:
     """Mentions whose date occurs once in their note.
 
-    Only a group of one survives, so its minimum is the row itself: one aggregate that
-    combines ahead of the shuffle, instead of a count that is joined back.
+    Counting runs on numbers alone, in a hash aggregate that combines ahead of the shuffle.
+    Only a group of one survives, so its least offset names the row, and the other columns,
+    wide with snippets, join the survivors. `mentions` is read twice.
     """
-    rest = [c for c in mentions.columns if c not in ("note_id", "date_dt")]
-    return (
+    once = (
         mentions.filter(F.col("date_dt").isNotNull())
         .groupBy("note_id", "date_dt")
-        .agg(F.count("*").alias("count_date"), F.min(F.struct(*rest)).alias("_row"))
+        .agg(F.count("*").alias("count_date"), F.min("text_start_char").alias("text_start_char"))
         .filter("count_date = 1")
-        .select("note_id", "date_dt", "count_date", "_row.*")
     )
+    joined = mentions.join(once, ["note_id", "date_dt", "text_start_char"])
+    return joined.select("note_id", "date_dt", "count_date", *[c for c in mentions.columns if c not in ("note_id", "date_dt")])
 
 
 def match_dates(

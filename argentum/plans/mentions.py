@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 
 from argentum.functions.columns import localise
 from argentum.functions.snippets import find_mentions
-from argentum.functions.text import CODE_PARTS, CODE_PATTERN, DATE_PATTERN, find_codes, parse_date
+from argentum.functions.text import CODE_PARTS, CODE_PATTERN, DATE_HINT, DATE_PATTERN, find_codes, parse_date
 from argentum.session import is_small
 
 MENTION_FIELDS = T.StructType(
@@ -84,6 +84,8 @@ def extract_mentions(
     dated = "note_datetime" in notes.columns
     carried = [*[c for c in keep if c in notes.columns], *(["note_datetime"] if dated else [])]
     narrow = notes.filter(F.col("note_text").isNotNull()).select(*dict.fromkeys(carried), "note_text")
+    if pattern == DATE_PATTERN:
+        narrow = narrow.filter(F.col("note_text").rlike(DATE_HINT))  # other texts needn't leave the JVM
     schema = T.StructType([narrow.schema[c] for c in dict.fromkeys(carried)] + MENTION_FIELDS.fields)
     job = _mention_batches(pattern, list(dict.fromkeys(carried)), (n_before, n_after, ignore_excluded, attr, mode))
     found = narrow.mapInArrow(job, schema)
@@ -115,8 +117,8 @@ def pathology_codes(
     """One row per pathology code of `note_text` with its decoded parts.
 
     `decode` has columns (axis, code, label); parts it does not list are null, and without
-    it the parts stay raw codes. The table is pivoted to one map per axis, so that all
-    parts resolve in one broadcast row when its size allows, else by one join per part.
+    it the parts stay raw codes. Of rows that repeat a code of an axis the lowest label counts.
+    Every part takes one join, with a broadcast where the table's size allows.
     """
     parts = CODE_PARTS if parts is None else parts
     code = F.col(f"{prefix}code")
@@ -128,9 +130,7 @@ def pathology_codes(
         return rows
     small = is_small(decode)
     for name in parts:
-        axis = decode.filter(F.col("axis") == name).select(
-            F.col("code").alias(prefix + name), F.col("label").alias("_label")
-        )
+        axis = decode.filter(F.col("axis") == name).groupBy(F.col("code").alias(prefix + name)).agg(F.min("label").alias("_label"))
         rows = (
             rows.join(F.broadcast(axis) if small else axis, prefix + name, "left")
             .withColumn(prefix + name, F.col("_label"))

@@ -86,6 +86,54 @@ def mentions_lower_case(t):
     return extract_mentions(t.notes, 10, 10, attr="LOWER").select(*CONTEXT.split(", "))
 
 
+#: How the note of an order says when something was, by its priority.
+SAYINGS = {
+    "1-URGENT": "hier",
+    "2-HIGH": "il y a trois jours",
+    "3-MEDIUM": "il y a 2 mois",
+    "4-NOT SPECIFIED": "en 2019",
+    "5-LOW": "aujourd'hui",
+}
+
+
+def _by_priority(values: dict) -> str:
+    return "CASE o_orderpriority " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in values.items()) + " END"
+
+
+@query(
+    "mentions_relative",
+    f"""WITH said AS (SELECT CAST(o_orderkey AS VARCHAR) AS note_id, CAST(o_custkey AS VARCHAR) AS head, o_orderdate AS d,
+  {_by_priority({k: "'" + v.replace("'", "''") + "'" for k, v in SAYINGS.items()})} AS lexical_variant,
+  {_by_priority({
+      "1-URGENT": "CAST(o_orderdate AS DATE) - 1",
+      "2-HIGH": "CAST(o_orderdate AS DATE) - 3",
+      "3-MEDIUM": "CAST(CAST(o_orderdate AS DATE) - INTERVAL 2 MONTH AS DATE)",
+      "4-NOT SPECIFIED": "DATE '2019-01-01'",
+      "5-LOW": "CAST(o_orderdate AS DATE)",
+  })} AS day FROM orders)
+SELECT note_id, lexical_variant, CAST(day AS TIMESTAMP) AS date_dt, CAST(length('Patient ' || head || ' vu ') AS INTEGER) AS text_start_char FROM said""",
+)
+def mentions_relative(t):
+    saying = F.create_map(*[F.lit(x) for pair in SAYINGS.items() for x in pair])[F.col("o_orderpriority")]
+    text = F.concat(F.lit("Patient "), F.col("o_custkey").cast("string"), F.lit(" vu "), saying, F.lit(" en consultation."))
+    notes = t["orders"].select(F.col("o_orderkey").cast("string").alias("note_id"), F.col("o_orderdate").cast("timestamp").alias("note_datetime"), text.alias("note_text"))
+    return extract_mentions(notes, 2, 2).select("note_id", "lexical_variant", "date_dt", "text_start_char")
+
+
+@query(
+    "mentions_number_words",
+    """SELECT CAST(o_orderkey AS VARCHAR) AS note_id, o_orderpriority IN ('1-URGENT', '2-HIGH', '3-MEDIUM') AS excluded,
+  CASE WHEN o_orderpriority NOT IN ('1-URGENT', '2-HIGH', '3-MEDIUM') THEN CAST(CAST(o_orderdate AS DATE) AS TIMESTAMP) END AS date_dt FROM orders""",
+)
+def mentions_number_words(t):
+    before = {"1-URGENT": "Score trois ", "2-HIGH": "Score -3 ", "3-MEDIUM": "Score 1/2 ", "4-NOT SPECIFIED": "Score bas ", "5-LOW": "Score troisième "}
+    said = F.create_map(*[F.lit(x) for pair in before.items() for x in pair])[F.col("o_orderpriority")]
+    text = F.concat(said, F.date_format("o_orderdate", "dd/MM/yyyy"), F.lit(" contrôle"))
+    notes = t["orders"].select(F.col("o_orderkey").cast("string").alias("note_id"), text.alias("note_text"))
+    found = extract_mentions(notes, 2, 2, drop_na=False)
+    return found.select("note_id", F.col("date_dt").isNull().alias("excluded"), "date_dt")
+
+
 DOCUMENT_PATTERN = r"\b\d{1,2}[/.\-]\d{1,2}[/.\-](?:\d{4}|\d{2})\b"
 
 
@@ -143,4 +191,4 @@ QUALIFY count(*) OVER (PARTITION BY note_id, date_dt) = 1""",
     ),
 )
 def mentions_once_per_note(t):
-    return mentioned_once(t.mentions).select("note_id", "text_start_char", "date_dt", "span")
+    return mentioned_once(t.staged_mentions).select("note_id", "text_start_char", "date_dt", "span")
