@@ -9,7 +9,7 @@ that are templates of their own give the base labels.
 A file's words that are in no template pair of neighbours never enter the automaton: a numpy
 look-up of word pairs leaves only stretches that can match two words or more.
 
-Null and empty texts have no words, no label and a score of 0. Rows are independent; repeated
+Phrases have two words or more. Null and empty texts have no words, no label and a score of 0. Rows are independent; repeated
 rows repeat; extra columns are ignored.
 """
 
@@ -137,6 +137,8 @@ class Scanner:
     def __init__(self, phrases: Sequence[tuple[str, str]] = PHRASES, notices: Sequence[tuple[str, str]] = NOTICES):
         self.labels = [label for _, label in phrases] + [label for label, _ in notices]
         self.n_phrases = len(phrases)
+        if any(len(x.split()) < 2 for x, _ in phrases):
+            raise ValueError("a phrase needs two words or more")
         words, prints = word_fingerprints([x for x, _ in phrases] + [x for _, x in notices])
         self.vocabulary = np.unique(prints)
         symbols = np.searchsorted(self.vocabulary, prints)

@@ -40,7 +40,7 @@ RULES = (
     Rule(0, "few_words", lambda: F.col("n_words") < 50),
     Rule(1, "repeated_words", lambda: 100 * F.col("n_repeat_words") > 50 * F.col("n_words")),
     Rule(2, "symbols", lambda: 100 * F.col("n_symbols") > 10 * F.col("n_words")),
-    Rule(3, "repeated_lines", lambda: (F.col("n_lines") >= 4) & (100 * F.col("n_dup_lines") > 30 * F.col("n_lines"))),
+    Rule(3, "repeated_lines", lambda: (F.col("n_lines") >= 4) & (100 * F.col("n_dup_lines") > 50 * F.col("n_lines"))),
     Rule(4, "shouts", lambda: 100 * F.col("n_shouts") > 30 * F.col("n_words")),
     Rule(5, "word_length", lambda: (F.col("n_words") > 0) & ~F.col("word_chars").between(2 * F.col("n_words"), 20 * F.col("n_words"))),
     Rule(6, "very_long", lambda: F.col("n_words") > 1_000_000),

@@ -46,7 +46,7 @@ m AS (
     coalesce(lines.dup, 0) AS n_dup_lines, coalesce(rep.n, 0) AS n_repeat_words, coalesce(lines.n, 0) AS n_lines, coalesce(shout.n, 0) AS n_shouts
   FROM t LEFT JOIN rep USING (doc_id) LEFT JOIN lines USING (doc_id) LEFT JOIN shout USING (doc_id)),
 f AS (SELECT *, (n_words < 50)::BIGINT + 2 * (100 * n_repeat_words > 50 * n_words)::BIGINT + 4 * (100 * n_symbols > 10 * n_words)::BIGINT
-  + 8 * (n_lines >= 4 AND 100 * n_dup_lines > 30 * n_lines)::BIGINT + 16 * (100 * n_shouts > 30 * n_words)::BIGINT
+  + 8 * (n_lines >= 4 AND 100 * n_dup_lines > 50 * n_lines)::BIGINT + 16 * (100 * n_shouts > 30 * n_words)::BIGINT
   + 32 * (n_words > 0 AND NOT word_chars BETWEEN 2 * n_words AND 20 * n_words)::BIGINT + 64 * (n_words > 1000000)::BIGINT AS failed FROM m)
 SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_symbols::BIGINT AS n_symbols, n_dup_lines::BIGINT AS n_dup_lines,
   n_repeat_words::BIGINT AS n_repeat_words, (failed & 3) <> 0 AS base_failed, (failed & 63) = 0 AS kept, failed FROM f
@@ -108,6 +108,7 @@ def sharding_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(table(spark, sf_dir, "documents")).withColumn("grown_shard", F.lit(None).cast("int"))
 
 
+_SPACED_RE = r"[^\x20\x09-\x0D]+"
 _WORDS_RE = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 _LEAKS_SQL = rf"""
 WITH b AS (SELECT coalesce(item_id::VARCHAR, '') AS item, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{_WORDS_RE}') AS w FROM benchmark),
@@ -140,11 +141,41 @@ def html_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(table(spark, sf_dir, "pages"))
 
 
-@query("op5_substring_dedup")
+_REPEATS_SQL = rf"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '{_SPACED_RE}') AS w FROM documents),
+x AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS i FROM d),
+s AS (SELECT doc_id, i, string_agg(word, ' ') OVER o AS win, count(*) OVER o AS n FROM x
+  WINDOW o AS (PARTITION BY doc_id ORDER BY i ROWS BETWEEN CURRENT ROW AND 19 FOLLOWING)),
+f AS (SELECT doc_id, i, row_number() OVER (PARTITION BY win ORDER BY doc_id, i) > 1 AS again FROM s WHERE n = 20),
+g AS (SELECT DISTINCT doc_id, i + k AS i FROM f, range(20) AS r(k) WHERE again)
+SELECT d.doc_id, len(d.w)::BIGINT AS n_words, count(g.i)::BIGINT AS n_removed,
+  sha256(coalesce(string_agg(x.word, ' ' ORDER BY x.i) FILTER (g.i IS NULL), '')) AS kept_sha256
+FROM d LEFT JOIN x ON x.doc_id = d.doc_id LEFT JOIN g ON g.doc_id = x.doc_id AND g.i = x.i GROUP BY d.doc_id, len(d.w)
+"""
+
+
+@query("op5_substring_dedup", _REPEATS_SQL)
 def substring_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.digest(table(spark, sf_dir, "documents"))
 
 
-@query("op4_ngram_jaccard_join")
+_CLASSES_SQL = rf"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{_SPACED_RE}') AS w FROM documents),
+x AS (SELECT doc_id, len(w) AS size, unnest(w) AS word, generate_subscripts(w, 1) AS i FROM d),
+s AS (SELECT doc_id, size, i, string_agg(word, ' ') OVER o AS g, count(*) OVER o AS n FROM x
+  WINDOW o AS (PARTITION BY doc_id ORDER BY i ROWS BETWEEN CURRENT ROW AND 3 FOLLOWING)),
+sh AS (SELECT DISTINCT doc_id, g FROM s WHERE n = 4 OR (size < 4 AND i = 1)),
+n AS (SELECT doc_id, count(*) AS n FROM sh GROUP BY doc_id),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM sh AS a JOIN sh AS b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
+l AS (SELECT a, b FROM p JOIN n AS na ON na.doc_id = a JOIN n AS nb ON nb.doc_id = b WHERE 100 * c >= 85 * (na.n + nb.n - c)),
+e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+r(doc_id, root) AS (SELECT doc_id, doc_id FROM d UNION SELECT r.doc_id, e.b FROM r JOIN e ON r.root = e.a)
+SELECT d.doc_id, coalesce(any_value(n.n), 0)::BIGINT AS n_shingles, min(r.root) AS component_id
+FROM d JOIN r ON r.doc_id = d.doc_id LEFT JOIN n ON n.doc_id = d.doc_id GROUP BY d.doc_id
+"""
+
+
+@query("op4_ngram_jaccard_join", _CLASSES_SQL)
 def ngram_join_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.link_classes(table(spark, sf_dir, "documents"))
