@@ -33,16 +33,14 @@ from pyspark.sql import functions as F
 
 from argentum.llm.components import connected
 from argentum.llm.words import LOWER, SPACED, Words, distinct, flat, map_blocks, mix, ranges
-from argentum.session import stage
+from argentum.session import broadcast_if_small, stage, unstage
 
 WIDTH = 4
 #: Two sets link if 100 * common >= PERCENT * united.
 PERCENT = 85
-#: Prefix entries that linked sets share at least (fewer only if their sets are as small).
-SHARED = 3
 #: Documents looked at for common shingles: one in so many, and in how many of them a shingle is common.
-SAMPLE, COMMON = 16, 12
-MOST_COMMON = 200_000
+SAMPLE, COMMON = 32, 3
+MOST_COMMON = 500_000
 #: Shingles of the sets that are compared at once; larger places are compared by pairs of parts.
 GROUP = 2_000_000
 
@@ -57,6 +55,11 @@ def needed(size_a, size_b):
     return -(-PERCENT * (size_a + size_b) // (100 + PERCENT))
 
 
+def shared(size):
+    """Prefix entries that a set shares with any set of its size or more that it links to; prefixes are longer by as many."""
+    return 3 + size // 25
+
+
 def shingles(texts: pa.Array, last: np.ndarray, width: int = WIDTH) -> tuple[np.ndarray, np.ndarray]:
     """Distinct shingles of all texts, each text's in the global order, and how many each text has."""
     data, offsets = flat(texts)
@@ -102,8 +105,7 @@ def common_shingles(docs: DataFrame, text: str) -> np.ndarray:
         for block in parts:
             values, _ = shingles(block.column(0), np.zeros(0, np.uint64))
             values, n = np.unique(values, return_counts=True)
-            often = n > 1
-            yield pa.RecordBatch.from_arrays([pa.array(values[often].view(np.int64)), pa.array(n[often])], names=["value", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(values.view(np.int64)), pa.array(n)], names=["value", "n"])
 
     sample = docs.select(text).where(F.pmod(F.xxhash64(text), F.lit(SAMPLE)) == 0)
     found = map_blocks(sample, count, "value long, n long", text).groupBy("value").agg(F.sum("n").alias("n")).where(F.col("n") >= COMMON)
@@ -117,7 +119,7 @@ def _prefixes(last, kind: str):
         for block in parts:
             values, sizes = shingles(block.column(1), last.value)
             names = signatures(values, sizes)
-            wanted = np.minimum(sizes, sizes - needed_alone(sizes) + SHARED)
+            wanted = np.minimum(sizes, sizes - needed_alone(sizes) + shared(sizes))
             first, back = distinct(names)
             new = np.zeros(len(names), bool)
             new[first] = [x not in seen for x in names[first].tolist()]
@@ -138,13 +140,20 @@ def needed_alone(size):
     return -(-PERCENT * size // 100)
 
 
+def _reach(n, pos, other_n, other_pos):
+    """The most shingles that two sets can share if they share the ones at these positions."""
+    return np.minimum(pos, other_pos) + np.minimum(n - pos, other_n - other_pos)
+
+
 def _lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Entries sorted by shingle and set: those of lists with two sets or more, each with its list's first set.
+    """Entries sorted by shingle and set: those of lists with two sets or more, each with its list's first set,
+    or with its own if sizes and positions rule out that it links with the first.
 
     One entry is carried from batch to batch.
     """
     held = None  # the lone first entry of the list that is open
-    open_token = open_first = last_sid = None
+    open_token = last_sid = None
+    open_first = np.zeros((3, 1), np.int64)  # set, size and position of the first entry
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -161,14 +170,15 @@ def _lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fresh = np.append(open_token is None or token[0] != open_token, token[1:] != token[:-1])
         starts = np.flatnonzero(fresh)
         run = np.cumsum(fresh)  # 0: the list that was open
-        firsts = np.append(0 if open_first is None else open_first, sid[starts])[run]
+        first, first_n, first_pos = (np.append(old, x[starts])[run].astype(np.int64) for old, x in zip(open_first, (sid, n, pos), strict=True))
         lone = fresh & np.append(fresh[1:], True)
         last_lone = bool(lone[-1])
-        open_token, open_first, last_sid = token[-1], firsts[-1], sid[-1]
+        open_token, open_first, last_sid = token[-1], np.array([first[-1:], first_n[-1:], first_pos[-1:]]), sid[-1]
         held = (token[-1:], sid[-1:], n[-1:], pos[-1:]) if last_lone else None
+        first = np.where(_reach(n, pos, first_n, first_pos) >= needed(n, first_n), first, sid)
         out = ~lone
         if out.any():
-            yield pa.RecordBatch.from_arrays([pa.array(x[out]) for x in (sid, firsts, token, n, pos)], names=["sid", "first", "token", "n", "pos"])
+            yield pa.RecordBatch.from_arrays([pa.array(x[out]) for x in (sid, first, token, n, pos)], names=["sid", "first", "token", "n", "pos"])
 
 
 def _compare(members: list[tuple[int, np.ndarray]]) -> list[tuple[int, int]]:
@@ -275,12 +285,11 @@ def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             left, right = np.repeat(rows_a, count), ranges(rows_a + 1, count)
             ok = (leader[left] != leader[right]) & ((own[left] | own[right]) == 1)
             left, right = left[ok], right[ok]
-            reach = np.minimum(pos[left], pos[right]) + np.minimum(n[left] - pos[left], n[right] - pos[right])
-            ok = reach >= needed(n[left], n[right])
+            ok = _reach(n[left], pos[left], n[right], pos[right]) >= needed(n[left], n[right])
             left, right = left[ok], right[ok]
             if len(left):
                 low, high = np.minimum(sid[left], sid[right]), np.maximum(sid[left], sid[right])
-                yield pa.RecordBatch.from_arrays([pa.array(low), pa.array(high), pa.array(np.minimum(SHARED, needed(n[left], n[right])))], names=["a", "b", "least"])
+                yield pa.RecordBatch.from_arrays([pa.array(low), pa.array(high), pa.array(np.minimum(shared(np.minimum(n[left], n[right])), needed(n[left], n[right])))], names=["a", "b", "least"])
 
     for batch in batches:
         token, band = batch.column(0).to_numpy(), batch.column(1).to_numpy()
@@ -311,9 +320,10 @@ def _classes(docs: DataFrame, key: str, text: str) -> DataFrame:
 
     # every set follows the least first set that it shares enough entries with
     votes = listed.groupBy("sid", "first").agg(F.count("*").alias("votes"), F.first("n").alias("n"))
-    follows = votes.where(F.col("votes") >= F.least(F.lit(SHARED), F.ceil(F.col("n") * PERCENT / 100)))
+    follows = votes.where(F.col("votes") >= F.least(3 + F.floor(F.col("n") / 25), F.ceil(F.col("n") * PERCENT / 100)))
     leaders = stage(follows.groupBy("sid").agg(F.min("first").alias("leader"), F.first("n").alias("n")), "leaders")
-    whole = listed.join(leaders.drop("n"), "sid", "left").select("token", "sid", "n", "pos", F.coalesce("leader", "sid").alias("leader"))
+    whole = stage(listed.join(leaders.drop("n"), "sid", "left").select("token", "sid", "n", "pos", F.coalesce("leader", "sid").alias("leader")), "led")
+    unstage(listed)
 
     # pairs of different leaders
     mixed = whole.groupBy("token").agg(F.min("leader").alias("low"), F.max("leader").alias("high")).where("low <> high").select("token")
@@ -323,14 +333,17 @@ def _classes(docs: DataFrame, key: str, text: str) -> DataFrame:
     banded = banded.repartition("token", "band").sortWithinPartitions("token", "band", "n", "pos")
     pairs = banded.mapInArrow(_pairs, "a long, b long, least long").groupBy("a", "b").agg(F.count("*").alias("n"), F.max("least").alias("least")).where("n >= least").select("a", "b")
     pairs = stage(pairs, "pairs")
+    unstage(whole)
 
     # sets that may link, directly or by a chain, are compared in one place: they get their shingles once
     follows = leaders.where("sid <> leader").select(F.col("sid").alias("a"), F.col("leader").alias("b"))
     places = connected(follows.unionByName(pairs))
+    unstage(leaders)
+    unstage(pairs)
     named = sets.groupBy("sid").agg(F.min("doc").alias("doc"), F.first("n").alias("n"))
     wanted = places.join(named, F.col("node") == F.col("sid")).select("sid", "doc", "n", F.col("root").alias("place"))
     parts = wanted.groupBy("place").agg(F.ceil(F.sum("n") / GROUP).cast("int").alias("parts"))
-    wanted = wanted.join(parts, "place").alias("w")
+    wanted = broadcast_if_small(stage(wanted.join(parts, "place"), "wanted")).alias("w")
 
     def fetch(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in parts:
