@@ -15,6 +15,7 @@ Extra columns are left out. An empty table gives no piece.
 from __future__ import annotations
 
 import json
+import os
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -45,16 +46,23 @@ _MARKS = np.zeros(256, bool)
 _MARKS[np.frombuffer(b".,;:!?|*$%&#()\"", np.uint8)] = True
 
 
+def _marks(vocabulary: str) -> tuple[np.ndarray, list[str]]:
+    """Which ids end a word, and the added tokens."""
+    told = json.loads(vocabulary)
+    closing = np.zeros(max(told["model"]["vocab"].values()) + 2 + len(told["added_tokens"]), bool)
+    suffix = told["model"]["end_of_word_suffix"]
+    closing[[i for x, i in told["model"]["vocab"].items() if x.endswith(suffix)]] = True
+    return closing, [x["content"] for x in told["added_tokens"]]
+
+
 class Ids:
     """Token ids of blocks of texts; equal to the library's, which sees each distinct chunk once."""
 
-    def __init__(self, vocabulary: str, end_id: int = 1, keep: int = KEEP_CHUNKS):
-        told = json.loads(vocabulary)
+    def __init__(self, vocabulary: str, closing: np.ndarray, added: list[str], end_id: int = 1, keep: int = KEEP_CHUNKS):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         self.tokenizer, self.end_id, self.keep = Tokenizer.from_str(vocabulary), end_id, keep
-        self.closing = np.zeros(max(told["model"]["vocab"].values()) + 2 + len(told["added_tokens"]), bool)
-        suffix = told["model"]["end_of_word_suffix"]
-        self.closing[[i for x, i in told["model"]["vocab"].items() if x.endswith(suffix)]] = True
-        self.added = regex.compile(b"|".join(regex.escape(x["content"]).encode() for x in told["added_tokens"]))
+        self.closing = closing
+        self.added = regex.compile(b"|".join(regex.escape(x).encode() for x in added))
         self.seen = np.zeros(0, np.uint64)
         self.ids, self.at, self.n = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
@@ -134,13 +142,14 @@ class Ids:
         return out, counts + 1
 
 
-def pieces(docs: DataFrame, vocabulary: str, window: int = WINDOW, end_id: int = 1, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per piece: key, start, length, ids (uint32 as binary), ids_crc32, doc_tokens, and its rank `local` in (part, length)."""
+def pieces(docs: DataFrame, vocabulary: str, window: int = WINDOW, end_id: int = 1, key: str = "doc_id", text: str = "text", with_ids: bool = True) -> DataFrame:
+    """One row per piece: key, start, length, ids (uint32 as binary, on demand), ids_crc32, doc_tokens, and its rank `local` in (part, length)."""
     told = docs.sparkSession.sparkContext.broadcast(Path(vocabulary).read_text())
+    closing, added = _marks(told.value)
     kind = docs.schema[key].dataType.simpleString()
 
     def make(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids_of, part, met = Ids(told.value, end_id), TaskContext.get().partitionId(), np.zeros(window + 1, np.int64)
+        ids_of, part, met = Ids(told.value, closing, added, end_id), TaskContext.get().partitionId(), np.zeros(window + 1, np.int64)
         for block in parts:
             ids, counts = ids_of.of(block.column(1))
             n = -(-counts // window)
@@ -154,10 +163,10 @@ def pieces(docs: DataFrame, vocabulary: str, window: int = WINDOW, end_id: int =
             local = np.zeros(len(length), np.int64)
             local[order] = np.arange(len(length)) - np.repeat(np.cumsum(runs) - runs, runs) + met[length[order]]
             met += runs
-            columns = [block.column(0).take(pa.array(doc)), pa.array(k * window), pa.array(length), pa.array(raw, pa.binary()), pa.array([zlib.crc32(x) for x in raw], pa.int64()), pa.array(counts[doc]), pa.array(np.full(len(doc), part)), pa.array(local)]
-            yield pa.RecordBatch.from_arrays(columns, names=[key, "start", "length", "ids", "ids_crc32", "doc_tokens", "part", "local"])
+            columns = [block.column(0).take(pa.array(doc)), pa.array(k * window), pa.array(length), *([pa.array(raw, pa.binary())] if with_ids else []), pa.array([zlib.crc32(x) for x in raw], pa.int64()), pa.array(counts[doc]), pa.array(np.full(len(doc), part)), pa.array(local)]
+            yield pa.RecordBatch.from_arrays(columns, names=[key, "start", "length", *(["ids"] if with_ids else []), "ids_crc32", "doc_tokens", "part", "local"])
 
-    return map_blocks(docs.select(key, text), make, f"`{key}` {kind}, start long, length long, ids binary, ids_crc32 long, doc_tokens long, part long, local long", text)
+    return map_blocks(docs.select(key, text), make, f"`{key}` {kind}, start long, length long, {'ids binary, ' if with_ids else ''}ids_crc32 long, doc_tokens long, part long, local long", text)
 
 
 def combinations(classes: int = CLASSES, depth: int = 3) -> list[tuple[int, ...]]:
@@ -300,8 +309,7 @@ def pack(docs: DataFrame, vocabulary: str, window: int = WINDOW, end_id: int = 1
     Sequences are numbered from 0. A piece's rank in its length comes from counts per task,
     so that a length that a third of all pieces share is never gathered.
     """
-    made = pieces(docs, vocabulary, window, end_id, key, text)
-    made = stage(made if with_ids else made.drop("ids"), "pieces")
+    made = stage(pieces(docs, vocabulary, window, end_id, key, text, with_ids), "pieces")
     per_part = made.groupBy("part", "length").count()
     histogram = np.zeros(window + 1, np.int64)
     for row in per_part.groupBy("length").agg(F.sum("count").alias("n")).collect():  # at most one row per length

@@ -7,12 +7,14 @@ passages are cut out of the texts. The last stage returns the packed pieces.
 
 from __future__ import annotations
 
+from functools import wraps
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from argentum.llm import decontaminate, ngram_join, packing, quality, substrings
-from argentum.session import pin, stage
+from argentum.session import pin, remove_staged, stage, staging_noted
 
 
 def _with_words(docs: DataFrame) -> DataFrame:
@@ -21,42 +23,57 @@ def _with_words(docs: DataFrame) -> DataFrame:
     return left.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else left
 
 
+#: Tables that operators of the stage before have staged; its result is written by the time the next begins.
+_LEFT: list[str] = []
+
+
+def _stage(function):
+    """Pin the session, and remove what the stage before needed."""
+
+    @wraps(function)
+    def begin(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        remove_staged(pin(spark), _LEFT)
+        _LEFT.clear()
+        with staging_noted() as written:
+            out = function(spark, docs, sf_dir)
+        if function is not packed_pieces:
+            _LEFT.extend(written)
+        return out
+
+    return begin
+
+
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the rules."""
-    pin(spark)
     return quality.keep(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class of linked documents."""
-    pin(spark)
     return ngram_join.keep_one(docs)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without windows of words that an earlier document has."""
-    pin(spark)
     return _with_words(substrings.remove_repeats(docs))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without benchmark passages."""
-    pin(spark)
     return _with_words(decontaminate.remove_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")))
 
 
-def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+def packed_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of the documents' token ids in sequences of a fixed window."""
-    pin(spark)
     return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"), with_ids=False)
 
 
 STAGES = [
-    ("quality_rules", quality_rules),
-    ("near_duplicates", near_duplicates),
-    ("substring_dedup", substring_dedup),
-    ("decontamination", decontamination),
-    ("packing", packed),
+    ("quality_rules", _stage(quality_rules)),
+    ("near_duplicates", _stage(near_duplicates)),
+    ("substring_dedup", _stage(substring_dedup)),
+    ("decontamination", _stage(decontamination)),
+    ("packing", _stage(packed_pieces)),
 ]
 
 #: The join's classes, substring windows and packing can't be put in SQL of bounded size; tests compare with brute force.
