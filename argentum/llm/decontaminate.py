@@ -7,7 +7,7 @@ at once, and their occurrences are located through sampled suffix positions and
 removal spans.
 
 The benchmark is a stated query set and is taken in blocks of bounded size: each is broadcast,
-and if there is more than one, their spans are united per document row.
+and if there is more than one, their spans in the original texts are united per document row.
 
 Null and empty texts have no words and no hit; items without words have no window. Rows of one
 item_id are one item; a null item_id counts as an item named ''. Repeated documents are
@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from argentum.llm.fm_index import FIRST, SEPARATOR, FMIndex
 from argentum.llm.words import ALNUM, LOWER, Words, flat, map_blocks, ranges
-from argentum.session import stage
+from argentum.session import broadcast_if_small, stage
 
 WINDOW = 10
 #: Symbols of one shard's index (a longer document has a shard of its own).
@@ -180,14 +180,19 @@ def contamination(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", te
         return _search(docs, items(0), window, key, text, shard_symbols)
     rows = stage(docs.select(F.col(key), F.monotonically_increasing_id().alias("_row"), F.col(text)), "numbered")
     found = None
-    for n in range(blocks):
-        part = stage(_search(rows.select("_row", text), items(n), window, "_row", text, shard_symbols), "block")
+    for part in _parts(rows, blocks, items, window, text, shard_symbols):
         found = part if found is None else found.unionByName(part)
     joined = found.groupBy("_row").agg(F.first("n_words").alias("n_words"), F.flatten(F.collect_list("spans")).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
     unite = F.pandas_udf(_united, "array<struct<start:long,end:long>>")
     return rows.select("_row", key).join(joined.withColumn("spans", unite("spans")), "_row").drop("_row")
 
 
+def _parts(rows: DataFrame, blocks: int, items, window: int, text: str, shard_symbols: int) -> Iterator[DataFrame]:
+    """Answers by `_row`, of one block of the benchmark after the other."""
+    for n in range(blocks):
+        yield stage(_search(rows.select("_row", text), items(n), window, "_row", text, shard_symbols), "block")
+
+
 def _items(spark, benchmark: DataFrame, block: int):
     """Number of blocks of the benchmark, and a function that broadcasts the items of one."""
     named = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
@@ -202,8 +207,20 @@ def _items(spark, benchmark: DataFrame, block: int):
 
 
 def remove_leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", window: int = WINDOW, shard_symbols: int = SHARD_SYMBOLS, block: int = BLOCK) -> DataFrame:
-    """Documents without the words inside occurrences of benchmark windows; blocks of the benchmark are applied one after the other."""
+    """Documents without the words inside occurrences of benchmark windows.
+
+    Every block of the benchmark is searched in the original texts; they are cut once, at the united spans.
+    """
     blocks, items = _items(docs.sparkSession, benchmark, block)
+    if blocks > 1:
+        rows = stage(docs.withColumn("_row", F.monotonically_increasing_id()), "numbered")
+        found = None
+        for part in _parts(rows, blocks, items, window, text, shard_symbols):
+            hit = part.where(F.size("spans") > 0).select(F.col("_row").alias("_of"), "spans")
+            found = hit if found is None else found.unionByName(hit)
+        spans = broadcast_if_small(stage(found.groupBy("_of").agg(F.flatten(F.collect_list("spans")).alias("_cut")), "spans"))
+        marked = rows.join(spans, F.col("_row") == F.col("_of"), "left").select(*(rows[c] for c in docs.columns), "_cut")
+        return remove_spans(marked, text, "_cut", ALNUM)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
     place = docs.columns.index(text)
 
@@ -230,9 +247,7 @@ def remove_leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", wind
 
         return make
 
-    for n in range(blocks):
-        docs = map_blocks(docs, cutter(items(n)), schema, text)
-    return docs
+    return map_blocks(docs, cutter(items(0)), schema, text)
 
 
 def cut_texts(texts: pa.Array, spans_of: list[list[dict] | None], separators: np.ndarray) -> pa.Array:

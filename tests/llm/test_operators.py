@@ -128,6 +128,26 @@ def test_leaks_are_cut(spark, docs, benchmark):
             assert row["text"] == old
 
 
+@pytest.mark.parametrize("block", [60, 150, 1000])
+def test_leaks_of_overlapping_items_in_many_blocks_are_cut_whole(spark, docs, benchmark, block):
+    rng = random.Random(11)
+    passage = prose(rng, 60, 10_000).split()
+    ahead, behind = prose(rng, 20, 10_000).split(), prose(rng, 20, 10_000).split()
+    more = [(900, " ".join(ahead + passage + behind)), (901, " ".join(passage[:15])), (902, None), (None, " ".join(ahead + passage[5:40]))]
+    items = [*benchmark, *((20 + k, " ".join(passage[k : k + 10])) for k in range(0, 51, 5))]
+    items += [(90, " ".join(ahead[-5:] + behind[:5]))]  # stands nowhere, unless texts are joined at a cut
+    source = table(spark, docs + more)
+    left = decontaminate.remove_leaks(source, spark.createDataFrame(items, "item_id long, text string"), shard_symbols=200, block=block)
+    assert left.columns == source.columns
+    got = {r["doc_id"]: r["text"] for r in left.collect()}
+    assert brute.lowered(got[900]) == brute.lowered(" ".join(ahead + behind)) and brute.lowered(got[901]) == []
+    for d, old in docs + more:
+        n, hit, *_ = brute.leaks(old, items)
+        assert len(brute.lowered(got[d])) == n - hit
+        if not hit:
+            assert got[d] == old
+
+
 def test_token_counts(spark, docs):
     docs = [*docs, (70, "x <|endoftext|>\n\n y's  <|endoftext|>"), (71, "abc" * 500), (72, "  lead\t and trail \n ")]
     library = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
