@@ -307,8 +307,8 @@ def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from run(rows)
 
 
-def _classes(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """Key, n_shingles, component_id and th (hash of the text) per document row."""
+def _rooted(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """doc (the key), th (hash of the text), n (shingles) and root (one set of its class; 0 without shingles) per document row."""
     kind = docs.schema[key].dataType.simpleString()
     last = docs.sparkSession.sparkContext.broadcast(common_shingles(docs, text))
     make, schema = _prefixes(last, kind)
@@ -340,8 +340,9 @@ def _classes(docs: DataFrame, key: str, text: str) -> DataFrame:
     places = connected(follows.unionByName(pairs))
     unstage(leaders)
     unstage(pairs)
-    named = sets.groupBy("sid").agg(F.min("doc").alias("doc"), F.first("n").alias("n"))
-    wanted = places.join(named, F.col("node") == F.col("sid")).select("sid", "doc", "n", F.col("root").alias("place"))
+    # a row of the set is found by its key and its text's hash: keys may be null or repeat
+    named = sets.groupBy("sid").agg(F.min("doc").alias("doc"), F.coalesce(F.min_by("th", "doc"), F.min("th")).alias("th"), F.first("n").alias("n"))
+    wanted = places.join(named, F.col("node") == F.col("sid")).select("sid", "doc", "th", "n", F.col("root").alias("place"))
     parts = wanted.groupBy("place").agg(F.ceil(F.sum("n") / GROUP).cast("int").alias("parts"))
     wanted = broadcast_if_small(stage(wanted.join(parts, "place"), "wanted")).alias("w")
 
@@ -354,7 +355,8 @@ def _classes(docs: DataFrame, key: str, text: str) -> DataFrame:
             rows = block.take(pa.array(right))
             yield pa.RecordBatch.from_arrays([*rows.columns[:3], pa.array(raw, pa.binary())], names=["sid", "place", "parts", "shingles"])
 
-    texts = docs.select(F.col(key).alias("doc"), F.col(text).alias("body")).alias("t").join(wanted, F.col("t.doc").eqNullSafe(F.col("w.doc"))).select("sid", "place", "parts", "body")
+    mine = F.col("t.doc").eqNullSafe(F.col("w.doc")) & (F.col("t.th") == F.col("w.th"))
+    texts = docs.select(F.col(key).alias("doc"), F.xxhash64(text).alias("th"), F.col(text).alias("body")).alias("t").join(wanted, mine).select("sid", "place", "parts", "body")
     contents = map_blocks(texts, fetch, "sid long, place long, parts int, shingles binary", "body")
     part = F.pmod(F.xxhash64("sid"), F.col("parts")).cast("int")
     grouped = contents.withColumn("part", part).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
@@ -362,24 +364,29 @@ def _classes(docs: DataFrame, key: str, text: str) -> DataFrame:
     grouped = grouped.repartition("place", "one", "two").sortWithinPartitions("place", "one", "two", "sid")
 
     roots = connected(grouped.mapInArrow(_groups, "a long, b long"))
-    rooted = sets.select("doc", "th", "sid", "n").join(roots, F.col("sid") == F.col("node"), "left").select("doc", "th", "n", F.coalesce("root", "sid").alias("root"))
-    least = rooted.where("n > 0").groupBy("root").agg(F.min("doc").alias("least"))
-    component = F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("doc"))
-    return rooted.join(least, "root", "left").select(F.col("doc").alias(key), F.col("n").alias("n_shingles"), component.alias("component_id"), "th")
+    return sets.select("doc", "th", "sid", "n").join(roots, F.col("sid") == F.col("node"), "left").select("doc", "th", "n", F.coalesce("root", "sid").alias("root"))
 
 
 def link_classes(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Key, n_shingles and component_id (least key that links reach) per document row."""
-    return _classes(docs, key, text).drop("th")
+    rooted = _rooted(docs, key, text)
+    least = rooted.where("n > 0").groupBy("root").agg(F.min("doc").alias("least"))
+    component = F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("doc"))
+    return rooted.join(least, "root", "left").select(F.col("doc").alias(key), F.col("n").alias("n_shingles"), component.alias("component_id"))
 
 
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row of each class of linked documents: the one of the least key.
+    """One row of each class of linked documents: one of the least key, null keys last.
 
-    Documents without shingles are classes of their own. Of rows that repeat a key, one stays.
+    Documents without shingles are classes of their own; of them, rows that repeat a key and its
+    text are one document, unless the key is null. Different texts under one key are different documents.
     """
     own = F.struct(*[docs[c] for c in docs.columns])
     rows = docs.select(F.col(key).alias("doc"), F.xxhash64(text).alias("th"), own.alias("row"))
-    kept = _classes(docs, key, text).where(F.col(key).eqNullSafe(F.col("component_id"))).groupBy(F.col(key).alias("kept")).agg(F.min("th").alias("kept_th"))
+    rooted = _rooted(docs, key, text)
+    least = F.min(F.struct(F.col("doc").isNull().alias("no_doc"), "doc", "th")).alias("least")
+    linked = rooted.where("n > 0").groupBy("root").agg(least).select(F.col("least.doc").alias("kept"), F.col("least.th").alias("kept_th"), F.lit(False).alias("single"))
+    alone = rooted.where("n = 0").select("doc", "th", F.col("doc").isNull().alias("single")).distinct()
     same = F.col("doc").eqNullSafe(F.col("kept")) & (F.col("th") == F.col("kept_th"))
-    return rows.join(kept, same, "left_semi").dropDuplicates(["doc", "th"]).select("row.*")
+    found = rows.join(linked.unionByName(alone.select(F.col("doc").alias("kept"), F.col("th").alias("kept_th"), "single")), same)
+    return found.withColumn("copy", F.when(F.col("single"), F.monotonically_increasing_id())).dropDuplicates(["doc", "th", "copy"]).select("row.*")

@@ -242,6 +242,27 @@ def test_one_of_each_class_stays(spark, docs):
     assert sorted(r["doc_id"] for r in kept.collect()) == sorted(d for d, (_, c) in brute.classes(docs).items() if d == c)
 
 
+def test_one_of_each_class_stays_with_null_and_repeated_keys(spark):
+    rng = random.Random(12)
+    texts = [prose(rng, 80, 10_000) for _ in range(9)]
+    source = [(None, t) for t in texts[:4]]  # unlinked, without a key
+    source += [(7, texts[4]), (7, texts[5]), (7, texts[5]), (8, texts[6]), (8, near(rng, texts[6], 1)), (None, near(rng, texts[6], 1))]
+    source += [(None, texts[7]), (None, texts[7]), (5, texts[8]), (None, texts[8]), (7, near(rng, texts[8], 1))]
+    source += [(None, None), (None, None), (None, ""), (9, None), (9, " "), (9, " ")]
+    numbered = [(k, t) for k, (_, t) in enumerate(source)]
+    of_class = defaultdict(set)
+    for k, (_, c) in brute.classes(numbered).items():
+        of_class[c].add(source[k])
+    kept = [(r["doc_id"], r["text"]) for r in ngram_join.keep_one(table(spark, source)).collect()]
+    full = [x for x in kept if brute.spaced(x[1])]
+    classes = [m for m in of_class.values() if any(brute.spaced(t) for _, t in m)]
+    assert len(full) == len(classes) == 9
+    for members in classes:
+        (d, _), = members & {*full}
+        assert d == min((x for x, _ in members if x is not None), default=None)
+    assert sorted((x for x in kept if not brute.spaced(x[1])), key=repr) == sorted([(None, None), (None, None), (None, ""), (9, None), (9, " ")], key=repr)
+
+
 @pytest.mark.parametrize("limits", [{}, {"shard_symbols": 100}])
 def test_substrings(spark, docs, limits):
     want = brute.repeats(docs)
