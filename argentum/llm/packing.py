@@ -307,7 +307,8 @@ def pack(docs: DataFrame, vocabulary: str, window: int = WINDOW, end_id: int = 1
     """The pieces of all documents with sequence_id and offset; with `ids` (binary) on demand.
 
     Sequences are numbered from 0. A piece's rank in its length comes from counts per task,
-    so that a length that a third of all pieces share is never gathered.
+    so that a length that a third of all pieces share is never gathered. Places are found
+    without the ids, which then join them once.
     """
     made = stage(pieces(docs, vocabulary, window, end_id, key, text, with_ids), "pieces")
     per_part = made.groupBy("part", "length").count()
@@ -317,7 +318,7 @@ def pack(docs: DataFrame, vocabulary: str, window: int = WINDOW, end_id: int = 1
     plan = solve(histogram)
     before = F.sum("count").over(Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
     offsets = per_part.select("part", "length", F.coalesce(before, F.lit(0)).alias("before"))
-    ranked = made.join(offsets, ["part", "length"]).withColumn("rank", F.col("local") + F.col("before"))
+    ranked = made.drop("ids").join(offsets, ["part", "length"]).withColumn("rank", F.col("local") + F.col("before"))
     width, classes = -(-window // CLASSES), CLASSES
     group, rank, sequence, number = plan.slots
 
@@ -335,4 +336,7 @@ def pack(docs: DataFrame, vocabulary: str, window: int = WINDOW, end_id: int = 1
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in ranked.schema.fields)
     placed = ranked.mapInArrow(place, f"{schema}, sequence_id long, slot long")
     earlier = F.sum("length").over(Window.partitionBy("sequence_id").orderBy("slot").rowsBetween(Window.unboundedPreceding, -1))
-    return placed.withColumn("offset", F.coalesce(earlier, F.lit(0))).select(key, "start", "length", *(["ids"] if with_ids else []), "ids_crc32", "doc_tokens", "sequence_id", "offset")
+    placed = placed.withColumn("offset", F.coalesce(earlier, F.lit(0)))
+    if with_ids:
+        placed = placed.join(made.select("part", "length", "local", "ids"), ["part", "length", "local"])
+    return placed.select(key, "start", "length", *(["ids"] if with_ids else []), "ids_crc32", "doc_tokens", "sequence_id", "offset")

@@ -2,7 +2,7 @@
 
 Every stage takes the documents that its predecessor kept, as reread from Parquet, and its
 decisions take effect: rejected documents and near duplicates are gone, repeated and leaked
-passages are cut out of the texts. The last stage returns the packed pieces.
+passages are cut out of the texts. The last stage returns the packed pieces with their token ids.
 """
 
 from __future__ import annotations
@@ -65,7 +65,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def packed_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of the documents' token ids in sequences of a fixed window."""
-    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"), with_ids=False)
+    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
 STAGES = [

@@ -1,6 +1,10 @@
+import zlib
+from collections import defaultdict
 from pathlib import Path
 
 import brute
+import public_tokenizers
+from tokenizers import Tokenizer
 
 import corpus_pipeline
 
@@ -37,6 +41,20 @@ def test_stages_follow_the_plain_versions(spark):
     assert {r["doc_id"] for r in pieces} == set(before)
 
 
+def test_packed_pieces_hold_their_token_ids(spark):
+    library = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    docs = [(1, "some words, to be packed"), (2, "a b c " * 1500), (None, "no key"), (None, "no key either"), (3, "twice"), (3, "twice")]
+    pieces = corpus_pipeline.STAGES[-1][1](spark, spark.createDataFrame(docs, "doc_id long, text string"), SMALL).collect()
+    got = defaultdict(bytes)
+    for r in sorted(pieces, key=lambda r: (r["sequence_id"], r["offset"])):
+        assert len(r["ids"]) == 4 * r["length"] and zlib.crc32(r["ids"]) == r["ids_crc32"]
+        got[r["sequence_id"]] += r["ids"]
+    ids = [[*library.encode(t, add_special_tokens=False).ids, 1] for _, t in docs]
+    want = sorted(b"".join(i.to_bytes(4, "little") for i in x[a : a + 2048]) for x in ids for a in range(0, len(x), 2048))
+    assert sorted(r["ids"] for r in pieces) == want
+    assert sum(map(len, got.values())) == sum(map(len, want)) and max(map(len, got.values())) <= 4 * 2048
+
+
 def test_operators_are_apart():
     root = Path(__file__).resolve().parents[2]
     for path in [*root.glob("argentum/**/*.py"), *root.glob("driver_queries/**/*.py"), root / "bench.py"]:
