@@ -8,7 +8,10 @@ columns. White space collapses outside `pre`.
 
 Hidden is what a browser doesn't show: head, scripts, styles, templates, comments, elements
 with `hidden` or with display:none or visibility:hidden in their style, closed dialogs. The
-content of `details` is kept, whether open or not.
+content of `details` is kept, whether open or not. Formulas (`math`) show the text of their
+elements without annotations; drawings (`svg`) that of their `text` and `foreignObject`
+elements, each set apart, in the order of the page. What `defs` and `symbol` hold shows once,
+where it stands, if a `use` names it.
 
 Null and empty pages give an empty text. Nothing is recursive, so depth is no limit. Rows are
 independent; repeated rows repeat; extra columns are left out.
@@ -28,7 +31,7 @@ from argentum.llm.words import map_blocks
 
 # Elements by their role in HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-HIDDEN = frozenset("head title script style template noscript iframe object svg canvas audio video datalist math".split())
+HIDDEN = frozenset("head title script style template noscript iframe object canvas audio video datalist".split())
 SPACED = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl table pre blockquote figure hr form fieldset menu".split())
 BLOCK = SPACED | frozenset(
     "html body div section article nav aside header footer main address li dt dd tr caption figcaption details summary legend option optgroup dialog search hgroup".split()
@@ -49,6 +52,15 @@ ENDS = {
     "optgroup": ({"option", "optgroup"}, {"select"}),
     "body": ({"head"}, set()),
 }
+#: What an open head can hold; anything else ends it, as text does.
+IN_HEAD = frozenset("base basefont bgsound link meta title style script noscript template noframes".split())
+#: Opening tags that end an open svg or math element.
+BREAKS_OUT = frozenset(
+    "b big blockquote body br center code dd div dl dt em embed h1 h2 h3 h4 h5 h6 head hr i img li listing menu meta nobr ol p pre ruby s small span strong strike sub sup table tt u ul var".split()
+)
+#: Elements of svg and math that hold HTML.
+HOLDS_HTML = frozenset("foreignobject desc title annotation-xml mi mo mn ms mtext".split())
+SVG_HIDDEN = frozenset("desc metadata clippath mask pattern marker lineargradient radialgradient filter".split())
 SCOPE = frozenset("table td th caption button object html".split())  # a paragraph isn't ended from inside these
 
 #: Columns of a table are padded up to this width; longer cells stand unpadded.
@@ -73,6 +85,7 @@ class TreeBuilder(HTMLParser):
         self.root = Node("#root", {})
         self.open = [self.root]
         self.n_open: dict[str, int] = {}
+        self.used: set[str] = set()  # ids that `use` elements name
 
     def updatepos(self, i: int, j: int) -> int:
         return j  # line numbers of tags aren't needed
@@ -80,6 +93,11 @@ class TreeBuilder(HTMLParser):
     def _pop(self) -> None:
         self.n_open[self.open.pop().tag] -= 1
 
+    def _pop_tag(self) -> str:
+        tag = self.open[-1].tag
+        self._pop()
+        return tag
+
     def _close_up_to(self, tags: set[str] | frozenset[str], boundary: set[str] | frozenset[str]) -> None:
         """End the outermost open element of `tags` inside the nearest boundary, and all in it."""
         if not any(self.n_open.get(t) for t in tags):
@@ -93,23 +111,51 @@ class TreeBuilder(HTMLParser):
         while last is not None and len(self.open) > last:
             self._pop()
 
+    def _in_foreign(self) -> bool:
+        """Whether the current element belongs to svg or math."""
+        if not (self.n_open.get("svg") or self.n_open.get("math")):
+            return False
+        for node in reversed(self.open):
+            if node.tag in ("svg", "math"):
+                return True
+            if node.tag in HOLDS_HTML:
+                return False
+        return False
+
+    def _end_head(self, tag: str | None) -> None:
+        """End an open head that can't hold this tag, or (None) text."""
+        if self.n_open.get("head") and not self.n_open.get("template") and not self.n_open.get("noscript"):
+            if tag in BLOCK or (self.open[-1].tag == "head" and tag not in IN_HEAD):
+                self._close_up_to({"head"}, set())
+
     def handle_starttag(self, tag, attrs):
+        if tag in BREAKS_OUT and self._in_foreign():
+            while self._pop_tag() not in ("svg", "math"):
+                pass
         if tag in CLOSES_P:
             self._close_up_to({"p"}, SCOPE)
         if tag in ENDS:
             self._close_up_to(*ENDS[tag])
-        elif "head" in self.n_open and self.n_open["head"] and tag in BLOCK:
-            self._close_up_to({"head"}, set())
+        else:
+            self._end_head(tag)
         if tag in ("td", "th") and self.n_open.get("table") and self.open[-1].tag in ("table", "tbody", "thead", "tfoot"):
             self.handle_starttag("tr", [])  # an implied row
         node = Node(tag, dict(attrs))
         self.open[-1].children.append(node)
+        if tag == "use":
+            self.used.update(x[1:] for x in (node.attrs.get("href"), node.attrs.get("xlink:href")) if x)
         if tag not in VOID:
             self.open.append(node)
             self.n_open[tag] = self.n_open.get(tag, 0) + 1
 
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)
+        if tag not in VOID and (tag in ("svg", "math") or self._in_foreign()):
+            self._pop()
+
+    def unknown_decl(self, data):
+        if data.startswith("CDATA[") and self._in_foreign():
+            self.handle_data(data[6:])
 
     def handle_endtag(self, tag):
         if not self.n_open.get(tag):
@@ -126,6 +172,8 @@ class TreeBuilder(HTMLParser):
                 return
 
     def handle_data(self, data):
+        if self.open[-1].tag == "head" and _SPACE.sub("", data):
+            self._end_head(None)
         self.open[-1].children.append(data)
 
 
@@ -250,23 +298,45 @@ def _number(value: str | None, default: int) -> int:
     return int(value) if value and value.strip().isdecimal() and len(value.strip()) < 6 else default
 
 
-def render(root: Node) -> str:
+def _of_drawing(node: Node, place: str, used: set[str] | frozenset[str]) -> bool:
+    """Whether an element inside svg or math (`place`: the nearest of them) is shown."""
+    attrs = node.attrs
+    if place == "math":
+        return node.tag not in ("annotation", "annotation-xml", "mphantom")
+    if (attrs.get("display") or "").strip() == "none" or (attrs.get("visibility") or "").strip() in ("hidden", "collapse"):
+        return False
+    return node.tag not in SVG_HIDDEN and (node.tag != "symbol" or attrs.get("id") in used)
+
+
+def render(root: Node, used: set[str] | frozenset[str] = frozenset()) -> str:
     """All visible text under a node."""
     flow = Flow()
     flows: list[Flow] = [flow]
     tables: list[_Table] = []
     lists: list[list] = []  # [ordered, next number]
     raw = 0
+    drawn: list[str] = []  # open svg, math, text and foreignobject elements
     stack: list[tuple[Node | str, bool]] = [(root, False)]
     while stack:
         node, leaving = stack.pop()
         flow = flows[-1]
         if isinstance(node, str):
-            flow.text(node, bool(raw))
+            if not drawn or drawn[-1] != "svg":
+                flow.text(node, bool(raw))
             continue
         tag = node.tag
         if not leaving:
-            if not visible(node):
+            if not visible(node) or (drawn and drawn[-1] != "foreignobject" and not _of_drawing(node, "math" if drawn[-1] == "math" else "svg", used)):
+                continue
+            if tag in ("svg", "math") or (drawn and drawn[-1] == "svg" and tag in ("text", "foreignobject")):
+                drawn.append(tag)
+                if tag != "math":
+                    flow.word_space()
+                stack.append((node, True))
+                stack.extend((child, False) for child in reversed(node.children))
+                continue
+            if tag == "defs" and drawn and drawn[-1] == "svg":
+                stack.extend((child, False) for child in reversed(node.children) if isinstance(child, Node) and child.attrs.get("id") in used)
                 continue
             if tag == "br":
                 flow.line_break()
@@ -311,6 +381,11 @@ def render(root: Node) -> str:
             stack.append((node, True))
             stack.extend((child, False) for child in reversed(node.children))
             continue
+        if drawn and tag == drawn[-1]:
+            drawn.pop()
+            if tag != "math":
+                flow.word_space()
+            continue
         if tag in ("pre", "textarea"):
             raw -= 1
         if tag == "table":
@@ -352,7 +427,7 @@ def page_text(html: str | None) -> str:
     builder = TreeBuilder()
     builder.feed(html)
     builder.close()
-    return render(builder.root)
+    return render(builder.root, builder.used)
 
 
 def extract(pages: DataFrame, key: str = "page_id", html: str = "html") -> DataFrame:

@@ -368,6 +368,25 @@ def test_html_layout(spark):
     assert rows(found, "page_id", "text") == sorted([(1, TEXT), (2, ""), (3, ""), (None, "x"), (1, TEXT), (4, "deep"), (5, html_text.page_text(pages[6][1])), (6, "a < b && c <3")], key=repr)
 
 
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        ("<p>so <math><mi>x</mi><mo>=</mo><mn>2</mn><annotation>no</annotation></math> holds", "so x=2 holds"),
+        ("a<svg><title>no</title><defs><text>no</text><text id=u>yes</text></defs><use href='#u'/><text x=1>left</text>no<g><text>ri<tspan>ght</tspan></text></g></svg>b", "a yes left right b"),
+        ("<svg><foreignObject><div>inside</div></foreignObject></svg>out", "inside\nout"),
+        ("<div>a<svg/>b<math/>c</div>", "a bc"),
+        ("<svg><defs/><g/><text>t</text></svg>", "t"),
+        ("<svg><path d=''><p>out", "out"),
+        ("<head><title>x</title>Hello <b>you</b><p>there", "Hello you\n\nthere"),
+        ("<head><meta charset=x><b>bold</b> text", "bold text"),
+        ("<html><head>\n<title>x</title><style>no</style><script>no</script></head>y", "y"),
+        ("<head><template>no<div>no</div></template>yes", "yes"),
+    ],
+)
+def test_html_shows_formulas_drawings_and_text_behind_an_open_head(page, text):
+    assert html_text.page_text(page) == text
+
+
 def test_html_emits_all_visible_words():
     """Against a plain walk of well-formed pages: every visible word, in order."""
     rng = random.Random(4)
