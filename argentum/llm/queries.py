@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from argentum.llm import chat, decontaminate, html_text, licenses, ngram_join, packing, quality, sharding, substrings, token_counts
+from argentum.llm import chat, decontaminate, html_text, licenses, ngram_join, packing, periodic, quality, sharding, spellings, substrings, token_counts, url_rules
 from argentum.session import pin
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -179,3 +179,100 @@ FROM d JOIN r ON r.doc_id = d.doc_id LEFT JOIN n ON n.doc_id = d.doc_id GROUP BY
 @query("op4_ngram_jaccard_join", _CLASSES_SQL)
 def ngram_join_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.link_classes(table(spark, sf_dir, "documents"))
+
+
+_LISTED = ", ".join(f"('{rule.partition('/')[0]}', '/{rule.partition('/')[2]}', '{verdict}')" for rule, verdict in url_rules.LISTED)
+_URLS_SQL = rf"""
+WITH u AS (SELECT row_number() OVER () AS no, page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
+p AS (SELECT no, page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+  regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path, regexp_extract(rest, '^[^?#]*\?([^#]*)', 1) AS query FROM u),
+t AS (SELECT DISTINCT no, token FROM (
+  SELECT no, 'h=' || unnest(string_split(host, '.')) AS token FROM p
+  UNION ALL SELECT no, 'p=' || regexp_replace(unnest(string_split(path, '/')), '[0-9]+', '0', 'g') FROM p
+  UNION ALL SELECT no, 'q=' || regexp_extract(part, '^[^=]*') FROM (SELECT no, unnest(string_split(query, '&')) AS part FROM p) WHERE part <> '') WHERE token NOT IN ('h=', 'p=')),
+said AS (SELECT doc_id, CASE WHEN bool_or(coalesce(quality, 1) = 0 OR coalesce(toxic, 0) = 1) THEN 'block' ELSE 'allow' END AS verdict FROM labels GROUP BY doc_id),
+own AS (SELECT no, verdict FROM p JOIN said ON doc_id = page_id WHERE no IN (SELECT no FROM t)),
+least AS (SELECT greatest({url_rules.MIN_ROWS}, ceil(count(*) * {url_rules.PER_MILLE} / 1000.0)) AS r FROM own),
+often AS (SELECT token, count(*) AS n FROM own JOIN t USING (no) GROUP BY token HAVING count(*) >= (SELECT r FROM least)),
+b AS (SELECT no, verdict, token FROM (SELECT no, verdict, token, row_number() OVER (PARTITION BY no ORDER BY n, token) AS k FROM own JOIN t USING (no) JOIN often USING (token)) WHERE k <= {url_rules.PER_BASKET}),
+sets AS (SELECT no, verdict, [token] AS items FROM b
+  UNION ALL SELECT x.no, x.verdict, [x.token, y.token] FROM b AS x JOIN b AS y ON x.no = y.no AND x.token < y.token
+  UNION ALL SELECT x.no, x.verdict, [x.token, y.token, z.token] FROM b AS x JOIN b AS y ON x.no = y.no AND x.token < y.token JOIN b AS z ON x.no = z.no AND y.token < z.token),
+alone AS (SELECT items, count(*) AS freq FROM sets GROUP BY items),
+rules AS (SELECT items, verdict, n / freq AS confidence, n FROM (SELECT items, verdict, count(*) AS n FROM sets GROUP BY ALL) JOIN alone USING (items)
+  WHERE n >= (SELECT r FROM least) AND 100 * n >= {url_rules.CONFIDENCE} * freq ORDER BY confidence DESC, n DESC, items, verdict LIMIT {url_rules.MOST_RULES}),
+kept AS (SELECT items, verdict, confidence, n FROM rules AS a WHERE NOT EXISTS (SELECT 1 FROM rules AS c WHERE c.verdict = a.verdict AND len(c.items) < len(a.items) AND list_has_all(a.items, c.items) AND c.confidence >= a.confidence)),
+has AS (SELECT no, list(token) AS tokens FROM t GROUP BY no),
+fires AS (SELECT no, array_to_string(items, ' ') AS mined_rule, confidence, verdict FROM (
+  SELECT has.no, items, confidence, verdict, row_number() OVER (PARTITION BY has.no ORDER BY confidence DESC, n DESC, items, verdict) AS k
+  FROM t JOIN kept ON items[1] = token JOIN has ON has.no = t.no WHERE list_has_all(tokens, items)) WHERE k = 1),
+listed AS (SELECT no, rule, verdict FROM (SELECT no, h || x AS rule, l.verdict, row_number() OVER (PARTITION BY no ORDER BY length(h || x) DESC, length(h) DESC) AS k
+  FROM p JOIN (VALUES {_LISTED}) AS l(h, x, verdict) ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, x)) WHERE k = 1)
+SELECT page_id, host, path, rule, coalesce(listed.verdict, fires.verdict, '{url_rules.DEFAULT}') AS verdict, mined_rule, confidence
+FROM p LEFT JOIN listed USING (no) LEFT JOIN fires USING (no)
+"""
+
+
+@query("op11_url_filters", _URLS_SQL)
+def url_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    return url_rules.judge(pages, mined=url_rules.mine(url_rules.labelled_urls(pages, table(spark, sf_dir, "labels"))))
+
+
+#: CRC-32 of a list of bytes, by a table that SQL makes itself.
+_CRC_TABLE = "SELECT list_transform(range(256), lambda x: list_reduce(list_prepend(x, range(8)), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END)) AS steps"
+
+
+def _crc(data: str) -> str:
+    return f"xor(list_reduce(list_prepend(4294967295, {data}), lambda c, b: xor(c // 256, steps[xor(c % 256, b) + 1])), 4294967295)"
+
+
+_SPELLINGS_SQL = rf"""
+WITH RECURSIVE crc AS ({_CRC_TABLE}),
+r AS (SELECT coalesce(doc_id::VARCHAR, '') AS doc, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z\x{{C0}}-\x{{FF}}]+')) AS run FROM documents),
+c AS (SELECT doc, run, count(*) AS n FROM r WHERE length(run) >= 6 GROUP BY doc, run),
+h AS (SELECT run, n, {_crc("flatten(list_transform(string_split(doc || ':' || run, ''), lambda x: CASE WHEN ord(x) < 128 THEN [ord(x)::BIGINT] ELSE [195::BIGINT, 64 + ord(x) - 128] END))")} AS h FROM c, crc),
+w AS (SELECT CASE WHEN h % 199 = 0 THEN left(run, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word, n FROM h),
+v AS (SELECT word, sum(n)::BIGINT AS n FROM w WHERE length(word) >= 6 GROUP BY word HAVING sum(n) >= 5),
+e AS (SELECT word, unnest(range(1, length(word) + 1)) AS i FROM v),
+gaps AS (SELECT word, left(word, i - 1) || '_' || substr(word, i + 1) AS gap FROM e),
+cut AS (SELECT DISTINCT word, left(word, i - 1) || substr(word, i + 1) AS less FROM e),
+pairs AS (
+  SELECT a.word, b.word AS near FROM gaps AS a JOIN gaps AS b ON a.gap = b.gap AND a.word <> b.word
+  UNION ALL SELECT cut.word, less FROM cut JOIN v ON v.word = less
+  UNION ALL SELECT less, cut.word FROM cut JOIN v ON v.word = less),
+best AS (SELECT pairs.word, near, v.n, count(*) OVER (PARTITION BY pairs.word) AS n_near, row_number() OVER (PARTITION BY pairs.word ORDER BY v.n DESC, near) AS k FROM pairs JOIN v ON v.word = near),
+f AS (SELECT v.word, v.n, coalesce(n_near, 0) AS n_near, CASE WHEN best.n >= 5 * v.n THEN near END AS form, CASE WHEN best.n >= 5 * v.n THEN best.n END AS form_n FROM v LEFT JOIN best ON best.word = v.word AND k = 1),
+ways(word, root, more) AS (SELECT word, word, form FROM f UNION ALL SELECT ways.word, f.word, f.form FROM ways JOIN f ON f.word = ways.more)
+SELECT f.word, form, root, n, n_near::BIGINT AS n_near, form_n FROM f JOIN ways ON ways.word = f.word AND more IS NULL
+"""
+
+
+@query("op12_spelling_variants", _SPELLINGS_SQL)
+def spellings_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spellings.group_spellings(table(spark, sf_dir, "documents"))
+
+
+_RUNS_SQL = rf"""
+WITH crc AS ({_CRC_TABLE}),
+d AS (SELECT row_number() OVER () AS no, doc_id, regexp_extract_all(coalesce(text, ''), '{_SPACED_RE}') AS w,
+  {_crc("list_transform(string_split(coalesce(doc_id::VARCHAR, ''), ''), lambda x: ord(x)::BIGINT)")} AS h FROM documents, crc),
+a AS (SELECT no, doc_id, w, len(w) AS n, h % 10 = 0 AND len(w) > 0 AS tail, (h // 10) % greatest(len(w), 1) AS a, 3 + (h // 10) % 8 AS parts FROM d),
+s AS (SELECT *, 1 + (n - a) // parts AS p FROM a),
+x AS (SELECT no, i, w[1 + CASE WHEN tail AND i >= a THEN a + (i - a) % p ELSE i END] AS word, n FROM (SELECT *, unnest(range(n)) AS i FROM s)),
+same AS (SELECT x.no, x.i, y.i - x.i AS q FROM x JOIN x AS y ON x.no = y.no AND x.word = y.word AND y.i > x.i AND 4 * (y.i - x.i) <= x.n),
+isle AS (SELECT no, q, min(i) AS start, max(i) + 1 + q AS stop FROM (SELECT no, q, i, i - row_number() OVER (PARTITION BY no, q ORDER BY i) AS g FROM same) GROUP BY no, q, g HAVING count(*) + q >= greatest(6, 4 * q)),
+runs AS (SELECT * FROM isle AS r WHERE NOT EXISTS (SELECT 1 FROM isle AS o WHERE o.no = r.no AND o.q < r.q AND o.start <= r.start AND o.stop >= r.stop)),
+said AS (SELECT no, count(*) AS n_runs, string_agg(start || ',' || (stop - start) || ',' || q || chr(10), '' ORDER BY start, q) AS runs FROM runs GROUP BY no),
+best AS (SELECT no, start, stop - start AS length, q, row_number() OVER (PARTITION BY no ORDER BY stop - start DESC, start, q) AS k FROM runs),
+gone AS (SELECT DISTINCT no, i FROM (SELECT no, unnest(range(start + q, stop)) AS i FROM runs)),
+kept AS (SELECT x.no, string_agg(word, ' ' ORDER BY x.i) AS left_over FROM x LEFT JOIN gone ON gone.no = x.no AND gone.i = x.i WHERE gone.i IS NULL GROUP BY x.no)
+SELECT doc_id, coalesce(n_runs, 0)::BIGINT AS n_runs, start::BIGINT AS start, length::BIGINT AS length, q::BIGINT AS period, (1000 * length // q)::BIGINT AS exponent_milli,
+  sha256(coalesce(runs, '')) AS runs_sha256, sha256(coalesce(left_over, '')) AS collapsed_sha256
+FROM d LEFT JOIN said USING (no) LEFT JOIN best ON best.no = d.no AND k = 1 LEFT JOIN kept ON kept.no = d.no
+"""
+
+
+@query("op13_periodic_runs", _RUNS_SQL)
+def runs_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic.detect_runs(table(spark, sf_dir, "documents"), plant=True)
