@@ -83,7 +83,7 @@ def _proposals(prints: np.ndarray, doc: np.ndarray) -> Iterator[tuple[np.ndarray
             begins[1:] = (np.diff(at) != 1) | (np.diff(d) != 0)
             first = np.flatnonzero(begins)
             last = np.append(first[1:], len(at)) - 1
-            yield at[first], at[last] + 2 * d[first] + b, d[first]
+            yield at[first], at[last] + b + d[first], d[first]  # the words of the first factors equal those one step on
         # factors of twice the length
         behind = place + b
         second = np.where(behind < total, where[np.minimum(behind, total)], -1)
