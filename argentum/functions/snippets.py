@@ -8,16 +8,33 @@ from __future__ import annotations
 
 import re
 from bisect import bisect_left, bisect_right
-from collections.abc import Iterator
+from collections.abc import Collection, Iterator
 from typing import NamedTuple
 
-from argentum.functions.text import NUMBER_PATTERN, POLLUTION_PATTERN, SENTENCE_END, TOKEN_PATTERN
+from argentum.functions.normal import Normal, normalise, source_place
+from argentum.functions.text import (
+    ABBREVIATIONS,
+    AHEAD,
+    AHEAD_PATTERN,
+    BETWEEN_PATTERN,
+    LIST_PATTERN,
+    NUMBER_PATTERN,
+    NUMBER_WORDS,
+    OPENING,
+    POLLUTION_PATTERN,
+    STOP_PATTERN,
+    TOKEN_PATTERN,
+)
 
 _TOKEN = re.compile(TOKEN_PATTERN)
 _NUMBER = re.compile(NUMBER_PATTERN)
 _POLLUTION = re.compile(POLLUTION_PATTERN)
-_SENTENCE_END = re.compile(SENTENCE_END)
+_STOP = re.compile(STOP_PATTERN)
+_LIST = re.compile(LIST_PATTERN)
+_AHEAD = re.compile(AHEAD_PATTERN)
+_BETWEEN = re.compile(BETWEEN_PATTERN)
 _LEAD = re.compile(r"\s*")
+_NUMBER_TOKENS = {w + s for w in (*NUMBER_WORDS, "zéro", "million", "milliard") for s in ("", "s")}
 
 
 class Mention(NamedTuple):
@@ -28,18 +45,80 @@ class Mention(NamedTuple):
     span: str
     span_start_char: int
     span_end_char: int
+    date_text: str
+    end_variant: str | None = None
+    end_start_char: int | None = None
+    end_end_char: int | None = None
 
 
-def find_mentions(
-    text: str,
-    pattern: re.Pattern,
-    n_before: int,
-    n_after: int,
-    ignore_excluded: bool,
-    attr: str,
-    mode: str,
-) -> Iterator[Mention]:
-    """Mentions of `pattern`; windows count tokens or sentences, excluded dates left out on request."""
+class Options(NamedTuple):
+    """How windows are cut."""
+
+    n_before: int
+    n_after: int
+    ignore_excluded: bool
+    attr: str
+    mode: str
+    abbreviations: Collection[str] = ABBREVIATIONS
+    normal: Normal | None = None
+
+
+def _is_number(token: str) -> bool:
+    # most tokens begin with a letter and are no numeral
+    if token[0].isalpha() and token.rstrip().lower() not in _NUMBER_TOKENS:
+        return False
+    return bool(_NUMBER.match(token))
+
+
+def _is_pollution(token: str) -> bool:
+    return token[0] in "=_*#~-" and bool(_POLLUTION.match(token))
+
+
+def ends_sentence(token: str, following: str | None, abbreviations: Collection[str]) -> bool:
+    """Whether a sentence ends with a token (with its trailing white space), seen the token that follows.
+
+    A blank line ends it, and so does a line break ahead of a capital, a sign or a line of a
+    list; other line breaks are wrapped lines. Punctuation ends it if white space follows. A full stop
+    doesn't after an abbreviation or a single letter, or ahead of a small letter.
+    """
+    if following is None:
+        return False
+    body = token.rstrip()
+    space = token[len(body) :]
+    lead = following[0]
+    if "\n" in space and (space.count("\n") > 1 or lead.isupper() or not lead.isalnum() or _LIST.match(following)):
+        return True
+    stop = _STOP.search(body)
+    if not stop or not space:
+        return False
+    if any(c in stop.group() for c in "!?…"):
+        return True
+    if lead.islower():
+        return False
+    word = body.lstrip(OPENING)
+    return not (word.endswith(".") and ((len(word) == 2 and word[0].isalpha()) or word[:-1].lower() in abbreviations))
+
+
+def find_mentions(text: str, pattern: re.Pattern, options: Options) -> Iterator[Mention]:
+    """Mentions of `pattern`; windows count tokens or sentences, excluded dates left out on request.
+
+    With a normal form the pattern is searched there and the snippets are cut from it, while
+    the offsets of a mention and its lexical variant are those of the source.
+    """
+    if options.normal is None:
+        yield from _find(text, pattern, options)
+        return
+    form, breaks = normalise(text, options.normal)
+    for m in _find(form, pattern, options._replace(attr="TEXT")):
+        start, end = source_place(breaks, m.text_start_char), source_place(breaks, m.text_end_char - 1) + 1
+        found = m._replace(lexical_variant=text[start:end], text_start_char=start, text_end_char=end)
+        if m.end_variant is not None:
+            found = found._replace(end_start_char=source_place(breaks, m.end_start_char), end_end_char=source_place(breaks, m.end_end_char - 1) + 1)
+        yield found
+
+
+def _find(text: str, pattern: re.Pattern, options: Options) -> Iterator[Mention]:
+    n_before, n_after, ignore_excluded, attr, mode, abbreviations, _ = options
     hits = list(pattern.finditer(text))
     if not hits:
         return
@@ -51,17 +130,15 @@ def find_mentions(
     excluded = []
     for k, hit in enumerate(hits):
         left, right = gaps[k], gaps[k + 1]
-        from_left = bool(_NUMBER.match(left[-1])) if left else k > 0 and hits[k - 1].group()[-1].isdigit()
-        from_right = (
-            bool(_NUMBER.match(right[0])) if right else k + 1 < len(hits) and hits[k + 1].group()[0].isdigit()
-        )
+        from_left = _is_number(left[-1]) if left else k > 0 and hits[k - 1].group()[-1].isdigit()
+        from_right = _is_number(right[0]) if right else k + 1 < len(hits) and hits[k + 1].group()[0].isdigit()
         excluded.append(from_left or from_right)
 
     # the token stream, and the place of every mention in it
     stream: list[str] = []
     places = []
     for k, tokens in enumerate(gaps):
-        stream += [t for t in tokens if not _POLLUTION.match(t)] if attr == "NORM" else tokens
+        stream += [t for t in tokens if not _is_pollution(t)] if attr == "NORM" else tokens
         if k < len(hits):
             places.append(len(stream))
             if not (ignore_excluded and excluded[k]):
@@ -69,8 +146,8 @@ def find_mentions(
     # sentences[i]: number of sentence ends ahead of token i
     sentences = [0]
     if mode == "sentence":
-        for token in stream:
-            sentences.append(sentences[-1] + bool(_SENTENCE_END.search(token)))
+        for token, following in zip(stream, [*stream[1:], None]):
+            sentences.append(sentences[-1] + ends_sentence(token, following, abbreviations))
 
     for k, (hit, place) in enumerate(zip(hits, places)):
         behind = place + (not (ignore_excluded and excluded[k]))
@@ -87,4 +164,9 @@ def find_mentions(
             before, middle, after = before.lower(), middle.lower(), after.lower()
         span = (before + middle + after).rstrip()
         end = len(before) + len(middle)
-        yield Mention(hit.group(), hit.start(), hit.end(), excluded[k], span, len(before), end)
+        found = Mention(hit.group(), hit.start(), hit.end(), excluded[k], span, len(before), end, hit.group())
+        # most dates don't begin a period: the cheap test comes first
+        if k + 1 < len(hits) and starts[k + 1] - hit.end() < 40 and _BETWEEN.match(text[hit.end() : starts[k + 1]]) and _AHEAD.search(text[max(0, hit.start() - AHEAD) : hit.start()]):
+            other = hits[k + 1]
+            found = found._replace(end_variant=other.group(), end_start_char=other.start(), end_end_char=other.end())
+        yield found

@@ -1,19 +1,21 @@
-"""Documents to rows: date mentions and pathology codes."""
+"""Documents to rows: date mentions, periods and pathology codes."""
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from argentum.functions.columns import localise
-from argentum.functions.snippets import find_mentions
-from argentum.functions.text import CODE_PARTS, CODE_PATTERN, DATE_HINT, DATE_PATTERN, find_codes, parse_date
-from argentum.session import is_small
+from argentum.functions.normal import Normal, normalise
+from argentum.functions.snippets import Options, find_mentions
+from argentum.functions.text import ABBREVIATIONS, CODE_PARTS, CODE_PATTERN, DATE_HINT, DATE_PATTERN, find_codes, parse_date
+from argentum.session import is_small, let
 
 MENTION_FIELDS = T.StructType(
     [
@@ -24,27 +26,43 @@ MENTION_FIELDS = T.StructType(
         T.StructField("span", T.StringType()),
         T.StructField("span_start_char", T.IntegerType()),
         T.StructField("span_end_char", T.IntegerType()),
+        T.StructField("date_text", T.StringType()),
+        T.StructField("end_variant", T.StringType()),
+        T.StructField("end_start_char", T.IntegerType()),
+        T.StructField("end_end_char", T.IntegerType()),
     ]
 )
-_ARROW_TYPES = [pa.string(), pa.int32(), pa.int32(), pa.bool_(), pa.string(), pa.int32(), pa.int32()]
+_ARROW_TYPES = [pa.string(), pa.int32(), pa.int32(), pa.bool_(), pa.string(), pa.int32(), pa.int32(), pa.string(), pa.string(), pa.int32(), pa.int32()]
+#: What a date is parsed from.
+_DATED = ("date_text", "end_variant", "excluded")
 #: Snippet characters per output batch, so that dense texts do not build up in a worker.
 BATCH_CHARS = 16_000_000
 
 
-def _mention_batches(pattern: str, carried: list[str], options: tuple):
+def _columns(found: list[tuple]) -> list[pa.Array]:
+    return [pa.array(v, t) for v, t in zip(zip(*found) if found else [()] * len(_ARROW_TYPES), _ARROW_TYPES)]
+
+
+def _nested(found: list[tuple], sizes: list[int], names: Sequence[str]) -> pa.Array:
+    """One list of structs per row."""
+    columns = dict(zip(MENTION_FIELDS.names, _columns(found)))
+    offsets = pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32())
+    return pa.ListArray.from_arrays(offsets, pa.StructArray.from_arrays([columns[n] for n in names], names=list(names)))
+
+
+def _mention_batches(pattern: str, carried: list[str], options: Options):
     """The Arrow job: batches of notes in, batches of mentions out."""
 
     def flush(batch: pa.RecordBatch, rows: list[int], found: list[tuple]) -> pa.RecordBatch:
         columns = [batch.column(c).take(pa.array(rows, pa.int32())) for c in carried]
-        columns += [pa.array(v, t) for v, t in zip(zip(*found), _ARROW_TYPES)]
-        return pa.RecordBatch.from_arrays(columns, names=[*carried, *MENTION_FIELDS.names])
+        return pa.RecordBatch.from_arrays([*columns, *_columns(found)], names=[*carried, *MENTION_FIELDS.names])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         compiled = re.compile(pattern)
         for batch in batches:
             rows, found, size = [], [], 0
             for row, text in enumerate(batch.column("note_text").to_pylist()):
-                for mention in find_mentions(text, compiled, *options):
+                for mention in find_mentions(text, compiled, options):
                     rows.append(row)
                     found.append(mention)
                     size += len(mention.span)
@@ -57,6 +75,86 @@ def _mention_batches(pattern: str, carried: list[str], options: tuple):
     return run
 
 
+def _note_batches(pattern: str, carried: list[str], options: Options):
+    """Batches of notes in, one row per note out: `dates`, all of its dates, and `mentions`.
+
+    The mentions of a note with very long snippets come in several rows, from the position
+    `first` on, each with all dates of the note, which are narrow.
+    """
+
+    def flush(batch: pa.RecordBatch, rows: list[tuple[int, int, list, list]]) -> pa.RecordBatch:
+        columns = [batch.column(c).take(pa.array([r[0] for r in rows], pa.int32())) for c in carried]
+        dates = _nested([m for r in rows for m in r[2]], [len(r[2]) for r in rows], _DATED)
+        mentions = _nested([m for r in rows for m in r[3]], [len(r[3]) for r in rows], MENTION_FIELDS.names)
+        return pa.RecordBatch.from_arrays([*columns, pa.array([r[1] for r in rows], pa.int32()), dates, mentions], names=[*carried, "first", "dates", "mentions"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        compiled, narrow = re.compile(pattern), options._replace(n_before=0, n_after=0, mode="token")
+        for batch in batches:
+            rows, size = [], 0
+            for row, text in enumerate(batch.column("note_text").to_pylist()):
+                part, first, dates, k = [], 0, None, -1
+                for k, mention in enumerate(find_mentions(text, compiled, options)):
+                    part.append(mention)
+                    size += len(mention.span)
+                    if size > BATCH_CHARS:
+                        dates = dates or list(find_mentions(text, compiled, narrow))
+                        yield flush(batch, [*rows, (row, first, dates, part)])
+                        rows, size, part, first = [], 0, [], k + 1
+                if part:
+                    rows.append((row, first, dates or part, part))
+            if rows:
+                yield flush(batch, rows)
+
+    return run
+
+
+def _parsed(m: dict[str, Column] | Column, noted: Column | None, tz: str | None, ignore_excluded: bool) -> Column:
+    """The day of a mention, or the first day of the period that it begins."""
+    day = localise(parse_date(m["date_text"], noted, m["end_variant"]), tz)
+    return F.when(~m["excluded"], day) if ignore_excluded else day
+
+
+def _once(days: Column) -> Column:
+    """For each element whether its value is there and occurs once."""
+    sorted_days = F.array_sort(F.transform(days, lambda d, i: F.struct(d.alias("d"), i.alias("i"))))
+
+    def alone(rows: Column) -> Column:
+        same = lambda x, j: F.coalesce(F.get(rows, j)["d"] == x["d"], F.lit(False))
+        return F.transform(rows, lambda x, j: F.struct(x["i"].alias("i"), (x["d"].isNotNull() & ~same(x, j - 1) & ~same(x, j + 1)).alias("once")))
+
+    return F.transform(F.array_sort(let(sorted_days, alone)), lambda x: x["once"])
+
+
+def _found(notes: DataFrame, keep: Sequence[str], options: Options, tz: str | None, pattern: str, once: bool) -> DataFrame:
+    """Mentions with all fields and `date_dt`; columns `keep` and the note's time are carried along."""
+    attr = options.attr.upper()
+    if options.mode not in ("token", "sentence") or attr not in ("TEXT", "NORM", "LOWER"):
+        raise ValueError(f"unknown mode or attribute: {options.mode}, {attr}")
+    options = options._replace(attr=attr)
+    dated = "note_datetime" in notes.columns
+    carried = list(dict.fromkeys([*[c for c in keep if c in notes.columns], *(["note_datetime"] if dated else [])]))
+    narrow = notes.filter(F.col("note_text").isNotNull()).select(*carried, "note_text")
+    if pattern == DATE_PATTERN:
+        narrow = narrow.filter(F.col("note_text").rlike(DATE_HINT))  # other texts needn't leave the JVM
+    noted = F.col("note_datetime") if dated else None
+    own = [narrow.schema[c] for c in carried]
+    if not once:
+        found = narrow.mapInArrow(_mention_batches(pattern, carried, options), T.StructType(own + MENTION_FIELDS.fields))
+        return found.withColumn("date_dt", _parsed({c: F.col(c) for c in _DATED}, noted, tz, options.ignore_excluded))
+    dates = T.ArrayType(T.StructType([MENTION_FIELDS[c] for c in _DATED]))
+    schema = T.StructType([*own, T.StructField("first", T.IntegerType()), T.StructField("dates", dates), T.StructField("mentions", T.ArrayType(MENTION_FIELDS))])
+    found = narrow.mapInArrow(_note_batches(pattern, carried, options), schema)
+    days = F.transform("dates", lambda m: _parsed(m, noted, tz, options.ignore_excluded))
+
+    def kept(days: Column) -> Column:
+        rows = lambda alone: F.transform("mentions", lambda m, i: F.when(F.get(alone, F.col("first") + i), F.struct(m.alias("m"), F.get(days, F.col("first") + i).alias("date_dt"))))
+        return F.filter(let(_once(days), rows), lambda x: x.isNotNull())
+
+    rows = found.select(*carried, F.explode(let(days, kept)).alias("x"))
+    return rows.select(*carried, "x.m.*", "x.date_dt")
+
+
 def extract_mentions(
     notes: DataFrame,
     n_before: int = 30,
@@ -68,44 +166,82 @@ def extract_mentions(
     pattern: str = DATE_PATTERN,
     mode: str = "token",
     keep: tuple[str, ...] = ("note_id", "person_id"),
+    normal: Normal | None = None,
+    abbreviations: tuple[str, ...] = ABBREVIATIONS,
+    once: bool = False,
 ) -> DataFrame:
     """One row per date mention of `note_text`, with its snippet; columns `keep` are carried along.
 
-    `mode` counts the window in tokens or in sentences. With `ignore_excluded` a date beside
-    a number gets no parsed value and leaves the snippets of other dates. `attr`: TEXT keeps
-    the text, NORM drops pollution tokens, LOWER lower-cases the snippet.
+    `mode` counts the window in tokens or in sentences, which `abbreviations` don't end. With
+    `ignore_excluded` a date beside a number gets no parsed value and leaves the snippets of other
+    dates. `attr`: TEXT keeps the text, NORM drops pollution tokens, LOWER lower-cases the snippet.
+    `normal` searches a normal form instead and cuts the snippets from it; offsets and lexical
+    variants are those of the source.
+
+    `once` keeps the mentions whose date occurs once in their note (a row of `notes`), and adds
+    `count_date`: dates are counted inside the note's own row.
 
     A narrow job without a shuffle: every note is read once, and only the carried columns
     and the text travel to the Arrow workers.
     """
-    attr = attr.upper()
-    if mode not in ("token", "sentence") or attr not in ("TEXT", "NORM", "LOWER"):
-        raise ValueError(f"unknown mode or attribute: {mode}, {attr}")
-    dated = "note_datetime" in notes.columns
-    carried = [*[c for c in keep if c in notes.columns], *(["note_datetime"] if dated else [])]
-    narrow = notes.filter(F.col("note_text").isNotNull()).select(*dict.fromkeys(carried), "note_text")
-    if pattern == DATE_PATTERN:
-        narrow = narrow.filter(F.col("note_text").rlike(DATE_HINT))  # other texts needn't leave the JVM
-    schema = T.StructType([narrow.schema[c] for c in dict.fromkeys(carried)] + MENTION_FIELDS.fields)
-    job = _mention_batches(pattern, list(dict.fromkeys(carried)), (n_before, n_after, ignore_excluded, attr, mode))
-    found = narrow.mapInArrow(job, schema)
-
-    parsed = localise(parse_date(F.col("lexical_variant"), F.col("note_datetime") if dated else None), tz)
-    if ignore_excluded:
-        parsed = F.when(~F.col("excluded"), parsed)
+    options = Options(n_before, n_after, ignore_excluded, attr, mode, abbreviations, normal)
+    found = _found(notes, keep, options, tz, pattern, once)
     out = found.select(
         *[c for c in keep if c in notes.columns],
         "lexical_variant",
-        parsed.alias("date_dt"),
+        "date_dt",
         "text_start_char",
         "text_end_char",
         "span",
         "span_start_char",
         "span_end_char",
+        *([F.lit(1).cast("long").alias("count_date")] if once else []),
     )
     return out.dropna(subset=["date_dt"]) if drop_na else out
 
 
+def extract_periods(
+    notes: DataFrame,
+    tz: str | None = None,
+    keep: tuple[str, ...] = ("note_id", "person_id"),
+    normal: Normal | None = None,
+    ignore_excluded: bool = True,
+) -> DataFrame:
+    """One row per period ("du 3 au 10 mars 2019"): both mentions with their offsets, both days.
+
+    What the first mention lacks is taken from the last, and a period doesn't end before it begins.
+    """
+    found = _found(notes, keep, Options(0, 0, ignore_excluded, "TEXT", "token", normal=normal), tz, DATE_PATTERN, False)
+    noted = F.col("note_datetime") if "note_datetime" in notes.columns else None
+    return found.filter("end_variant is not null").select(
+        *[c for c in keep if c in notes.columns],
+        F.col("lexical_variant").alias("start_variant"),
+        F.col("date_dt").alias("start_dt"),
+        F.col("text_start_char").alias("start_char"),
+        "end_variant",
+        localise(parse_date(F.col("end_variant"), noted), tz).alias("end_dt"),
+        F.col("end_end_char").alias("end_char"),
+    )
+
+
+def normalise_notes(notes: DataFrame, normal: Normal, text: str = "note_text", keep: tuple[str, ...] = ("note_id",)) -> DataFrame:
+    """Columns `keep` with `normal_text` and `breaks`, by which `source_offset` finds the way back; nulls stay null."""
+    schema = T.StructType([notes.schema[c] for c in keep] + [T.StructField("normal_text", T.StringType()), T.StructField("breaks", _BREAKS)])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            forms = [None if x is None else normalise(x, normal) for x in batch.column("_text").to_pylist()]
+            texts = pa.array([f and f[0] for f in forms], pa.string())
+            breaks = pa.array([f and [{"at": a, "source": b} for a, b in f[1]] for f in forms], _ARROW_BREAKS)
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in keep], texts, breaks], names=schema.names)
+
+    return notes.select(*keep, F.col(text).alias("_text")).mapInArrow(run, schema)
+
+
+_BREAKS = T.ArrayType(T.StructType([T.StructField("at", T.IntegerType()), T.StructField("source", T.IntegerType())]))
+_ARROW_BREAKS = pa.list_(pa.struct([("at", pa.int32()), ("source", pa.int32())]))
+
+
 def pathology_codes(
     notes: DataFrame,
     decode: DataFrame | None = None,

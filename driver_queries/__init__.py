@@ -6,6 +6,7 @@ from driver_queries import (  # noqa: F401  (importing registers the queries)
     cohort,
     documents,
     exports,
+    mention_forms,
     mentions,
     noise,
     quality,

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from argentum.functions.text import find_spans
-from argentum.plans.align import count_mentions, mentioned_once
+from argentum.plans.align import count_mentions
 from argentum.plans.mentions import extract_mentions
 from driver_queries.inputs import MENTIONS, NOTES, mention_cte
 from driver_queries.registry import query, with_
@@ -191,4 +191,4 @@ QUALIFY count(*) OVER (PARTITION BY note_id, date_dt) = 1""",
     ),
 )
 def mentions_once_per_note(t):
-    return mentioned_once(t.staged_mentions).select("note_id", "text_start_char", "date_dt", "span")
+    return extract_mentions(t.notes, once=True).select("note_id", "text_start_char", "date_dt", "span")

@@ -6,10 +6,12 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from argentum.functions.snippets import find_mentions
-from argentum.functions.text import DATE_PATTERN, find_spans, parse_date
+from argentum.functions.normal import Normal, normalise, source_offset, source_place
+from argentum.functions.snippets import Options, ends_sentence, find_mentions
+from argentum.functions.text import ABBREVIATIONS, DATE_FAMILIES, DATE_PATTERN, TOKEN_PATTERN, date_family, find_dates, find_spans, parse_date, sentences
 from argentum.plans.align import count_mentions, mentioned_once
-from argentum.plans.mentions import extract_mentions
+from argentum.plans import mentions as job
+from argentum.plans.mentions import extract_mentions, extract_periods, normalise_notes
 
 NOTED = datetime(2021, 5, 5)
 
@@ -33,6 +35,23 @@ def test_formats(spark, rows):
         "31/02/2020": None,
         "45/01/2020": None,
         "29 février 2019": None,
+        "03/2019": datetime(2019, 3, 1),
+        "13/2019": None,
+        "2019/03/12": datetime(2019, 3, 12),
+        "janv. 2019": datetime(2019, 1, 1),
+        "12 sept. 98": datetime(1998, 9, 12),
+        "12 mars 19": datetime(2019, 3, 12),
+        "29/02": None,
+        "12/03": datetime(2021, 3, 12),
+        "Dans 3 jours": datetime(2021, 5, 8),
+        "depuis 2 ans": datetime(2019, 5, 5),
+        "la semaine dernière": datetime(2021, 4, 28),
+        "l’an prochain": datetime(2022, 5, 5),
+        "mercredi dernier": datetime(2021, 4, 28),
+        "mercredi prochain": datetime(2021, 5, 12),
+        "après-demain": datetime(2021, 5, 7),
+        "ce jour": NOTED.replace(hour=0),
+        "depuis 2019": datetime(2019, 1, 1),
     }
     df = spark.createDataFrame([(v,) for v in variants], "v string")
     parsed = {r.v: r.d for r in df.select("v", parse_date(F.col("v"), F.lit(NOTED)).alias("d")).collect()}
@@ -95,7 +114,7 @@ PIECES = st.lists(
 def test_offsets_hold_in_text_and_snippet(pieces, before, after, ignore, attr, mode):
     text = "".join(pieces)
     pattern = re.compile(DATE_PATTERN)
-    found = list(find_mentions(text, pattern, before, after, ignore, attr, mode))
+    found = list(find_mentions(text, pattern, Options(before, after, ignore, attr, mode)))
     assert [m.lexical_variant for m in found] == pattern.findall(text)
     for m in found:
         assert text[m.text_start_char : m.text_end_char] == m.lexical_variant
@@ -110,7 +129,7 @@ def test_offsets_hold_in_text_and_snippet(pieces, before, after, ignore, attr, m
 
 def test_large_windows_cover_the_text():
     text = "a b 12/03/2020 c d"
-    m = next(find_mentions(text, re.compile(DATE_PATTERN), 99, 99, True, "NORM", "token"))
+    m = next(find_mentions(text, re.compile(DATE_PATTERN), Options(99, 99, True, "NORM", "token")))
     assert m.span == text
 
 
@@ -174,3 +193,169 @@ print("ROWS", e.queries()["mentions_offsets"](spark, "/root/testdata/sf0.001").c
     env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
     done = subprocess.run([sys.executable, "-c", script], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=300)
     assert int(done.stdout.split("ROWS")[1]) > 0, done.stderr[-2000:]
+
+
+def test_families(spark):
+    samples = {
+        "year_first": "2019/03/12",
+        "numeric": "12.03.19",
+        "written": "1er févr. 19",
+        "numeric_month": "3-2019",
+        "day_month": "1/03",
+        "day": "3",
+        "written_month": "DÉC. 2019",
+        "day_word": "aujourd’hui",
+        "distance": "il y a environ trois mois",
+        "next_to_now": "l'année passée",
+        "weekday": "Lundi prochain",
+        "year": "en 2019",
+    }
+    df = spark.createDataFrame([(v, k) for k, v in samples.items()] + [("rien", None)], "v string, name string")
+    assert set(samples) == set(DATE_FAMILIES)
+    assert df.filter(~date_family(F.col("v")).eqNullSafe(F.col("name"))).collect() == []
+
+
+FORMS = st.lists(
+    st.sampled_from(
+        ["12/03/2020", "12/03", "03/2019", "2019-03-12", "2019/3/1", "12 mars 19", "1er", "3", "19", "mars", "janv.", "sept.", "sept", "2019", "avr", "du ", "entre le ", " au ", " et le ", "dans ", "depuis ", "il y a ", "deux", "jours", "ans", "hier"]
+        + ["la semaine ", "l’an ", "dernière", "dernier", "lundi ", "en ", "h", "%", "mm", "été", "/", "-", ".", ",", " ", " ", " ", "\n", "x"]
+    ),
+    max_size=30,
+)
+
+
+@settings(max_examples=500, deadline=None)
+@given(FORMS)
+def test_joint_pattern_finds_the_longest_of_all_families(pieces):
+    """At every place the longest match of any family, from left to right."""
+    text = "".join(pieces)
+    families = [re.compile(rf"(?iu)\b(?:{p})(?![\wÀ-ɏ])") for p in DATE_FAMILIES.values()]
+    want, at = [], 0
+    while at <= len(text):
+        here = [m for m in (f.match(text, at) for f in families) if m]
+        if here:
+            want.append(max(m.end() for m in here))
+            want[-1] = (at, want[-1])
+            at = want[-1][1]
+        else:
+            at += 1
+    assert [m.span() for m in re.finditer(DATE_PATTERN, text)] == want
+
+
+def test_what_is_no_date():
+    pattern = re.compile(DATE_PATTERN)
+    for text in ["TA 12/8", "score 1/2", "12/10 mm", "10/12%", "0,12/03", "12/03/", "12/03.5", "112/03/2020", "45/2019/3", "12 mai 19 h", "2 mars 20%", "septembre", "sept cas", "mars", "marsouin 2019", "du 3 au service", "en 20190"]:
+        found = [m.group() for m in pattern.finditer(text)]
+        assert found == (["12 mai"] if "mai" in text else ["2 mars"] if "2 mars" in text else []), text
+
+
+PERIODS = {
+    "du 3 au 10 mars 2019": ("3", datetime(2019, 3, 3), "10 mars 2019", datetime(2019, 3, 10)),
+    "Du 28 décembre au 3 janvier 2020": ("28 décembre", datetime(2019, 12, 28), "3 janvier 2020", datetime(2020, 1, 3)),
+    "entre le 1er et le 5 avril": ("1er", datetime(2021, 4, 1), "5 avril", datetime(2021, 4, 5)),
+    "du 28/12 au 03/01/20": ("28/12", datetime(2019, 12, 28), "03/01/20", datetime(2020, 1, 3)),
+    "du 28 au 03/04/2020": ("28", datetime(2019, 4, 28), "03/04/2020", datetime(2020, 4, 3)),
+    "du 12/03/2020 au 15/03/2020": ("12/03/2020", datetime(2020, 3, 12), "15/03/2020", datetime(2020, 3, 15)),
+}
+
+
+def test_periods(spark, rows):
+    texts = [f"suivi {p} fin" for p in PERIODS] + ["le 3 mars 2019 au 10 mars 2019", "du 3 au service", None, "", "du 3 mars 2019 ou 10 mars 2019"]
+    df = notes(spark, *texts)
+    found = {r.note_id: (r.start_variant, r.start_dt, r.end_variant, r.end_dt) for r in extract_periods(df).collect()}
+    assert found == {str(i): v for i, v in enumerate(PERIODS.values())}
+    for r in extract_periods(df).collect():
+        text = texts[int(r.note_id)]
+        assert text[r.start_char :].startswith(r.start_variant) and text[: r.end_char].endswith(r.end_variant)
+    # the days are mentions of their own
+    assert rows(extract_mentions(df.filter("note_id = '0'")), "lexical_variant", "date_dt") == [("10 mars 2019", datetime(2019, 3, 10)), ("3", datetime(2019, 3, 3))]
+    native = df.select("note_id", "note_datetime", F.explode_outer(find_dates(F.col("note_text"))).alias("m")).filter("m is not null")
+    native = native.select("note_id", "m.lexical_variant", parse_date(F.col("m.lexical_variant"), F.col("note_datetime"), F.col("m.end_variant")).alias("date_dt"), "m.text_start_char")
+    assert rows(native) == rows(extract_mentions(df, drop_na=False), "note_id", "lexical_variant", "date_dt", "text_start_char")
+
+
+ALL = Normal(True, True, True, True)
+LETTERS = st.text(st.sampled_from("aéE\u0301œŒæß’“» =-_\nx1İ日"), max_size=60)
+
+
+@settings(max_examples=300, deadline=None)
+@given(LETTERS, st.booleans(), st.booleans(), st.booleans(), st.booleans())
+def test_normal_form_leads_back(text, lowercase, accents, quotes, pollution):
+    form, breaks = normalise(text, Normal(lowercase, accents, quotes, pollution))
+    places = [source_place(breaks, i) for i in range(len(form))]
+    assert places == sorted(places) and all(0 <= p < len(text) for p in places)
+    for c, p in zip(form, places):
+        assert c in normalise(text[p], Normal(lowercase, accents, quotes, False))[0]
+    if not (lowercase or accents or quotes or pollution):
+        assert form == text
+    if accents:
+        assert not set(form) & set("é\u0301œŒæ")
+    if pollution:
+        assert not re.search(r"(?<!\S)[=_*#~-]{4,}(?!\S)", text) or len(form) < len(text)
+
+
+def test_normal_form_switches():
+    text = "Été “sûr” ====== l’œuvre"
+    assert normalise(text, Normal(pollution=False))[0] == text
+    assert normalise(text, Normal())[0] == "Été “sûr” l’œuvre"
+    assert normalise(text, Normal(True, False, False, False))[0] == "été “sûr” ====== l’œuvre"
+    assert normalise(text, Normal(False, True, False, False))[0] == "Ete “sur” ====== l’oeuvre"
+    assert normalise(text, Normal(False, False, True, False))[0] == "Été \"sûr\" ====== l'œuvre"
+
+
+def test_mentions_of_a_normal_form(spark, rows):
+    text = "Cœur e\u0301tudie\u0301 ===== le 3 FE\u0301VRIER 2019, aujourd’hui"
+    df = notes(spark, text, "", None)
+    found = extract_mentions(df, 1, 1, normal=ALL)
+    for r in found.collect():
+        assert text[r.text_start_char : r.text_end_char] == r.lexical_variant
+    got = rows(found, "lexical_variant", "date_dt", "span")
+    assert got == [("3 FE\u0301VRIER 2019", datetime(2019, 2, 3), "le 3 fevrier 2019,"), ("aujourd’hui", datetime(2021, 5, 5), ", aujourd'hui")]
+    assert rows(extract_mentions(df, 1, 1), "lexical_variant") == [("aujourd’hui",)]
+    form = normalise_notes(df, ALL, keep=("note_id", "person_id"))
+    back = form.select("note_id", F.length("normal_text"), source_offset(F.col("breaks"), F.length("normal_text") - 1))
+    assert rows(back) == [("0", 46, 54), ("1", 0, -1), ("2", None, None)]
+
+
+TOKENS = st.lists(st.sampled_from(["Dr.", "M.", "X.", "(cf.", "fin.", "fin.)", "non!", "quoi?»", "p.", "3", "Suite", "suite", "-", "1.", "2)", "a)", "É.", "…", "à"]), max_size=25)
+SPACES = st.lists(st.sampled_from([" ", "\n", " \n", "\n\n", "  "]), min_size=25, max_size=25)
+
+
+@settings(max_examples=1, deadline=None)
+@given(st.lists(st.tuples(TOKENS, SPACES), min_size=150, max_size=200))
+def test_native_sentences_match_the_helper(spark, texts):
+    joined = ["".join(t + s for t, s in zip(tokens, spaces)) for tokens, spaces in texts] + ["", "  Un. Deux", "\n", "fin.  "]
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(joined)] + [(-1, None)], "i int, text string")
+    got = {r.i: [tuple(s) for s in r.s] for r in df.filter("i >= 0").select("i", sentences(F.col("text")).alias("s")).collect()}
+    for i, text in enumerate(joined):
+        lead = len(text) - len(text.lstrip())
+        tokens, parts = re.findall(TOKEN_PATTERN, text), [""]
+        for token, following in zip(tokens, [*tokens[1:], None]):
+            parts[-1] += token
+            if ends_sentence(token, following, ABBREVIATIONS):
+                parts.append("")
+        want, at = [], lead
+        for part in parts:
+            want.append((part, at, at + len(part)))
+            at += len(part)
+        assert got[i] == (want if tokens else []), text
+
+
+def test_sentences_and_abbreviations(spark, rows):
+    df = notes(spark, "Vu par le Dr. A. Martin, cf. p. 3 le 12/03/2020. suite ici. Fin\nde ligne. Autre\n- liste")
+    pick = lambda **o: rows(extract_mentions(df, 0, 0, mode="sentence", attr="TEXT", **o), "span")[0][0]
+    assert pick() == "Vu par le Dr. A. Martin, cf. p. 3 le 12/03/2020. suite ici."
+    assert pick(abbreviations=()).startswith("A. Martin") or "Dr." not in pick(abbreviations=())
+
+
+def test_dates_counted_inside_a_note_take_no_shuffle(spark, rows, monkeypatch):
+    texts = ["le 12/03/2020 puis 12 mars 2020, et 13/03/2020 ; 3 14/03/2020 ; 31/02/2020", "15/03/2020", "hier, 04/05/2021 et demain", "rien 7", None, "16/03/2020 " * 3 + "a 17/03/2020"]
+    df = notes(spark, *texts)
+    once = extract_mentions(df, once=True)
+    assert "Exchange" not in once._jdf.queryExecution().executedPlan().toString()
+    columns = ["note_id", "text_start_char", "date_dt", "span", "count_date"]
+    want = rows(mentioned_once(extract_mentions(df)), *columns)
+    assert rows(once, *columns) == want and len(want) == 4
+    # a note whose snippets fill several batches
+    monkeypatch.setattr(job, "BATCH_CHARS", 30)
+    assert rows(extract_mentions(df, once=True), *columns) == want
