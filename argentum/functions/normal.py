@@ -99,6 +99,6 @@ def source_place(breaks: list[tuple[int, int]], at: int) -> int:
 
 
 def source_offset(breaks: Column, at: Column) -> Column:
-    """`source_place` as a column; `breaks` is an array of (at, source)."""
-    last = F.element_at(F.filter(breaks, lambda b: b["at"] <= at), -1)
+    """`source_place` as a column, null ahead of the text; `breaks` is an array of (at, source)."""
+    last = F.try_element_at(F.filter(breaks, lambda b: b["at"] <= at), F.lit(-1))
     return last["source"] + at - last["at"]

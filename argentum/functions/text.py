@@ -290,7 +290,7 @@ def _running(sizes: Column) -> Column:
 
         return F.concat(F.array(F.lit(0)), let(blocks, shifted))
 
-    return let(F.ceil(F.sqrt(F.size(sizes).cast("double"))).cast("int"), of_blocks)
+    return let(F.greatest(F.ceil(F.sqrt(F.size(sizes).cast("double"))).cast("int"), F.lit(1)), of_blocks)
 
 
 def _item(values: Column, i: Column) -> Column:

@@ -48,11 +48,22 @@ def lookup(df: DataFrame, dim: DataFrame, on: str, fill: dict | None = None) ->
 
 
 def assert_unique(df: DataFrame, keys: list[str]) -> DataFrame:
-    """Raise when a key repeats; the count combines before the shuffle."""
-    repeated = df.groupBy(*keys).count().filter("count > 1").limit(1)
-    if not repeated.isEmpty():
-        raise ValueError(f"keys are not unique: {keys}")
-    return df
+    """`df`, whose plan raises where a key repeats: when the result is written, without a job of its own.
+
+    The count runs in the plan beside the rows, combines ahead of the shuffle, and each key's
+    rows meet its count by a join; a null key is a key like any other.
+    """
+    if any(c.startswith(_CHECK) for c in df.columns):
+        raise ValueError(f"column names that begin with {_CHECK} are taken")
+    names = [f"{_CHECK}{i}" for i in range(len(keys))]
+    repeated = df.groupBy(*[F.col(k).alias(n) for k, n in zip(keys, names)]).agg(F.count("*").alias(f"{_CHECK}n")).filter(F.col(f"{_CHECK}n") > 1)
+    same = [df[k].eqNullSafe(F.col(n)) for k, n in zip(keys, names)]
+    joined = df.join(repeated, same, "left")
+    fine = F.when(F.col(f"{_CHECK}n").isNull(), True).otherwise(F.raise_error(F.lit(f"keys are not unique: {keys}")).cast("boolean"))
+    return joined.filter(fine).select(*[df[c] for c in df.columns])
+
+
+_CHECK = "_unique_"
 
 
 def attach(
@@ -62,13 +73,16 @@ def attach(
     how: str = "inner",
     validate: str | None = None,
 ) -> DataFrame:
-    """Equi-join with an optional cardinality check: `one_to_one` or `many_to_one`."""
+    """Equi-join with an optional cardinality check: `one_to_one` or `many_to_one`.
+
+    The check is part of the plan: a repeated key raises when the result is written.
+    """
     if validate not in (None, "one_to_one", "many_to_one"):
         raise ValueError(f"unknown check: {validate}")
     if validate == "one_to_one":
-        assert_unique(df, on)
+        df = assert_unique(df, on)
     if validate:
-        assert_unique(other, on)
+        other = assert_unique(other, on)
     return df.join(other, on, how)
 
 
@@ -127,6 +141,8 @@ def asof(
         raise ValueError(f"unknown direction: {direction}")
     if tolerance_seconds == 0:
         return asof_exact(probes, known, key, left_on, right_on, value)
+    if tolerance_seconds is not None:
+        return asof_band(probes, known, key, left_on, right_on, value, direction, tolerance_seconds)
 
     points = known.filter(F.col(right_on).isNotNull()).select(key, F.col(right_on).cast("timestamp").alias("_ts"), F.lit(True).alias("_is_known"), (F.col(value) if value else F.lit(True)).alias("_value"))
     empty = F.lit(None).cast(points.schema["_value"].dataType)
@@ -158,8 +174,10 @@ def asof(
     else:
         match = F.col(f"_{direction}")
     found = found.select(key, "_ts", match.alias("_match")).filter("_match is not null")
-    if tolerance_seconds is not None:
-        found = found.filter(F.abs(micros("_match._ts") - micros("_ts")) <= int(tolerance_seconds * MICROS))
+    return _join_back(probes, known, found, key, left_on, right_on, value)
+
+
+def _join_back(probes: DataFrame, known: DataFrame, found: DataFrame, key: str, left_on: str, right_on: str, value: str | None) -> DataFrame:
     result = found.select(
         key,
         F.col("_ts").cast(probes.schema[left_on].dataType).alias(left_on),
@@ -167,3 +185,59 @@ def asof(
         F.col("_match._value").alias(value or "_value"),
     )
     return probes.join(result, [key, left_on], "left")
+
+
+#: A tolerance is cut into so many cells; a key's distinct instants inside one meet in a window.
+CELLS = 4
+
+
+def asof_band(
+    probes: DataFrame,
+    known: DataFrame,
+    key: str,
+    left_on: str,
+    right_on: str,
+    value: str | None = None,
+    direction: str = "backward",
+    tolerance_seconds: float = 1,
+) -> DataFrame:
+    """As-of join within a tolerance: equi-joins on cells of time, without a global order.
+
+    Time is cut into cells of a fraction of the tolerance. Only the distinct instants of a key
+    and cell meet in a window, so neither a busy key nor a repeated instant makes a large
+    group. What a probe can find beyond its own cell is the edge (last or first known instant) of a
+    cell at most `CELLS` away: edges, one per key and cell, go to the cells that they can serve,
+    and each cell keeps the nearest.
+    """
+    reach = int(tolerance_seconds * MICROS)
+    width = max(1, -(-reach // CELLS))
+    micros = F.unix_micros("_ts")
+    cell = (micros - F.pmod(micros, F.lit(width))).alias("_cell")
+    points = known.filter(F.col(right_on).isNotNull()).select(key, F.col(right_on).cast("timestamp").alias("_ts"), F.lit(True).alias("_is_known"), (F.col(value) if value else F.lit(True)).alias("_value"))
+    empty = F.lit(None).cast(points.schema["_value"].dataType)
+    wanted = probes.filter(F.col(left_on).isNotNull()).select(key, F.col(left_on).cast("timestamp").alias("_ts"), F.lit(False).alias("_is_known"), empty.alias("_value"))
+    collapsed = lambda df: df.groupBy(key, cell, "_ts").agg(F.max("_is_known").alias("_is_known"), F.max("_value").alias("_value"), F.min("_is_known").alias("_no_probe"))
+    rows = collapsed(points.unionByName(wanted))
+
+    sides = {"backward": ["backward"], "forward": ["forward"], "nearest": ["backward", "forward"]}[direction]
+    own = F.when(F.col("_is_known"), F.struct("_ts", "_value"))
+    ways, edges = {}, None
+    for side in sides:
+        pick, step = (F.max, width) if side == "backward" else (F.min, -width)
+        order = F.col("_ts").asc() if side == "backward" else F.col("_ts").desc()
+        ways[f"_in_{side}"] = F.last(own, ignorenulls=True).over(Window.partitionBy(key, "_cell").orderBy(order).rowsBetween(Window.unboundedPreceding, 0))
+        edge = collapsed(points).groupBy(key, "_cell").agg(pick(F.struct("_ts", "_value")).alias("_edge"))
+        served = F.explode(F.array(*[F.col("_cell") + F.lit(k * step) for k in range(1, CELLS + 1)]))
+        edge = edge.select(key, served.alias("_cell"), "_edge").groupBy(key, "_cell").agg(pick("_edge").alias(f"_from_{side}"))
+        edges = edge if edges is None else edges.join(edge, [key, "_cell"], "full")
+    found = rows.withColumns(ways).filter(~F.col("_no_probe")).join(edges, [key, "_cell"], "left")
+    found = found.withColumns({f"_{side}": F.coalesce(f"_in_{side}", f"_from_{side}") for side in sides})
+    gap = lambda side: F.abs(F.unix_micros(F.col(f"_{side}._ts")) - F.unix_micros("_ts"))
+    if direction == "nearest":
+        later = F.col("_backward").isNull() | (gap("forward") < gap("backward"))
+        match = F.when(later & F.col("_forward").isNotNull(), F.col("_forward")).otherwise(F.col("_backward"))
+    else:
+        match = F.col(f"_{direction}")
+    found = found.select(key, "_ts", match.alias("_match"))
+    near = F.abs(F.unix_micros("_match._ts") - F.unix_micros("_ts")) <= reach
+    return _join_back(probes, known, found.filter(near), key, left_on, right_on, value)

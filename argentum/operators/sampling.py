@@ -4,12 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from argentum.functions.columns import order_hash, unit_interval
-from argentum.operators.ranking import global_rank, key_names, take_lowest
+from argentum.operators.ranking import SMALL_N, keep_first, take_lowest
 from argentum.operators.windows import keep_first_by
-from argentum.session import broadcast_if_small, stage
+from argentum.session import stage
 
 
 def hash_order(keys: list[str], seed: int) -> list[Column]:
@@ -17,8 +16,15 @@ def hash_order(keys: list[str], seed: int) -> list[Column]:
 
 
 def uniform_sample(df: DataFrame, keys: list[str], n: int, seed: int = 0) -> DataFrame:
-    """`n` rows without replacement; `keys` identify a row."""
-    return take_lowest(df, hash_order(keys, seed), n)
+    """`n` rows without replacement; `keys` identify a row.
+
+    A large cut is found from counts of the hash's digits, a small one by a top-n of each task.
+    """
+    if n <= SMALL_N:
+        return take_lowest(df, hash_order(keys, seed), n)
+    spark = df.sparkSession
+    need = spark.range(1).select(F.lit(0).alias("_group"), F.lit(n).cast("long").alias("need"))
+    return keep_first(df, F.lit(0), order_hash(*keys, seed=seed), need)
 
 
 def sample_keys(df: DataFrame, key: str, n: int, seed: int = 0) -> DataFrame:
@@ -71,35 +77,19 @@ def balance_to_class(df: DataFrame, label: str, target: int, keys: list[str], se
     """Cut every class to the size of class `target`; a negative target keeps all rows.
 
     Rows without a label belong to no class and always stay. A target that no row has raises.
-    Classes hold large parts of the table, so no window runs per class: one global order of
-    the keys by (class, hash) gives positions, each class starts at its least one, and the key
-    at the last kept position of a class, one row per class, becomes its filter. Of rows that
-    repeat this key, as many stay as fit.
+    Classes hold large parts of the table, so nothing is sorted and no window runs per class: the
+    hash at the last kept position of each class is found digit by digit from counts, and
+    becomes the class's filter. Of rows that repeat this hash, as many stay as fit.
     """
     if target < 0:
         return df
-    order = hash_order(keys, seed)
-    names = key_names(order)
-    narrow = df.filter(F.col(label).isNotNull()).select(label, *[c.alias(n) for c, n in zip(order, names)])
-    ranked = global_rank(narrow, [F.col(label), *[F.col(n) for n in names]], "_rank")
-    sizes = ranked.groupBy(label).agg(F.min("_rank").alias("_start"), F.count("*").alias("_size"))
-    quota = sizes.filter(F.col(label) == target).first()
+    sizes = stage(df.filter(F.col(label).isNotNull()).groupBy(F.col(label).alias("_group")).agg(F.count("*").alias("_size")), "sizes")
+    quota = sizes.filter(F.col("_group") == target).first()
     if quota is None:
         raise ValueError(f"no row has {label} = {target}")
     quota = quota["_size"]
-    large = ranked.join(broadcast_if_small(sizes.filter(F.col("_size") > quota)), label)
-    own = F.struct(*[F.col(n) for n in names])
-    cuts = large.filter(F.col("_rank") == F.col("_start") + quota - 1).select(label, own.alias("_cut"))
-    counts = large.join(broadcast_if_small(cuts), label).groupBy(label).agg(
-        F.first("_cut").alias("_cut"), F.count_if(own < F.col("_cut")).alias("_below"), F.count_if(own == F.col("_cut")).alias("_same")
-    )
-    counts = broadcast_if_small(stage(counts.withColumn("_left", quota - F.col("_below")), "cuts"))
-    joined = df.join(counts, label, "left")
-    here = F.struct(*[c.alias(n) for c, n in zip(order, names)])
-    sure = F.col("_cut").isNull() | (here < F.col("_cut")) | ((here == F.col("_cut")) & (F.col("_same") == F.col("_left")))
-    rank = F.row_number().over(Window.partitionBy(label).orderBy(*keys))
-    tied = joined.filter((here == F.col("_cut")) & (F.col("_same") > F.col("_left"))).withColumn("_rank", rank).filter(F.col("_rank") <= F.col("_left"))
-    return joined.filter(sure).select(*df.columns).unionByName(tied.select(*df.columns))
+    large = sizes.filter(F.col("_size") > quota).select("_group", F.lit(quota).cast("long").alias("need"))
+    return keep_first(df, F.col(label), order_hash(*keys, seed=seed), large)
 
 
 def split_by_share(df: DataFrame, keys: list[str], share: float, seed: int = 0) -> tuple[DataFrame, DataFrame]:

@@ -180,12 +180,15 @@ def align(
     matching run on keys and dates only; snippets join the surviving rows. Two tables feed
     several passes and are staged: all labelled mentions, and those with distinct spans.
     """
+    keys = [*MENTION_KEYS, "date_dt"]
     if mentions is None:
         if texts is None:
             raise ValueError("either texts or mentions are needed")
-        mentions = stage(extract_mentions(texts, **mention_options), "mentions")
-    keys = [*MENTION_KEYS, "date_dt"]
-    narrow = mentioned_once(mentions.select(*keys, "person_id"))
+        # every note is one row here, in which its dates are counted
+        mentions = stage(extract_mentions(texts, once=True, **mention_options), "mentions")
+        narrow = mentions.select(*keys, "person_id", "count_date")
+    else:
+        narrow = mentioned_once(mentions.select(*keys, "person_id"))
     # the raw date identifies the row again after localisation
     matched = match_dates(narrow.withColumn("_raw", F.col("date_dt")), known, date, direction, tolerance_seconds, threshold, tz)
     wide = mentions.select(

@@ -73,8 +73,7 @@ def compare_spans(gold: DataFrame, silver: DataFrame, label: str = "label", vali
     g = gold.select(*keys, F.col(label).cast("boolean").alias("gold"))
     s = silver.select(*keys, F.col(label).cast("boolean").alias("silver"))
     if validate:
-        assert_unique(g, keys)
-        assert_unique(s, keys)
+        g, s = assert_unique(g, keys), assert_unique(s, keys)
     return g.join(s, keys)
 
 

@@ -79,6 +79,31 @@ def test_asof_equals_pandas(spark):
     assert ((merged.at_x == merged.at_y) | (merged.at_x.isna() & merged.at_y.isna())).all()
 
 
+@pytest.mark.parametrize("direction", ["backward", "forward", "nearest"])
+@pytest.mark.parametrize("tolerance", [0.000001, 1, 3600, 90_000])
+def test_a_tolerance_takes_no_global_order(spark, direction, tolerance):
+    """Instants before and after the epoch, at the edges of cells, far away, repeated."""
+    rng = random.Random(str((direction, tolerance)))
+    base = [datetime(1969, 12, 31, 23), D0, datetime(1, 2, 3), datetime(9999, 1, 1)]
+    step = timedelta(seconds=max(tolerance / 4, 0.000001))
+    instant = lambda: rng.choice(base) + rng.randint(-9, 9) * step + timedelta(microseconds=rng.randint(-1, 1))
+    probes = [(i, rng.choice("ab"), instant()) for i in range(300)] + [(300, None, D0), (301, "a", None), (302, "a", D0)]
+    known = [(rng.choice("ab"), instant(), rng.randint(1, 3)) for _ in range(60)] + [("a", None, 9), (None, D0, 9)]
+    p = spark.createDataFrame(probes, "id int, k string, ts timestamp")
+    r = spark.createDataFrame(known, "k string, at timestamp, label int")
+    out = asof(p, r, "k", "ts", "at", "label", direction, tolerance)
+    assert "rangepartitioning" not in out._jdf.queryExecution().executedPlan().toString()
+    got = {x.id: (x.at, x.label) for x in out.collect()}
+    best = {}
+    for k, at, label in known:
+        if at is not None and k is not None:
+            best[k, at] = max(label, best.get((k, at), 0))
+    for i, k, ts in probes:
+        sides = [(at, v) for (kk, at), v in best.items() if kk == k and ts is not None and abs(at - ts) <= timedelta(seconds=tolerance)]
+        sides = [s for s in sides if (s[0] <= ts or direction != "backward") and (s[0] >= ts or direction != "forward")]
+        assert got[i] == min(sides, key=lambda s: (abs(s[0] - ts), s[0]), default=(None, None))
+
+
 def test_zero_tolerance_is_an_equi_join(spark):
     p = spark.createDataFrame([(1, "a", D0), (2, "b", D0)], "id int, k string, ts timestamp")
     r = spark.createDataFrame([("a", D0), ("a", D0)], "k string, at timestamp")
@@ -183,10 +208,16 @@ def test_mask_and_spans(spark, rows):
     a = spark.createDataFrame([("n", 0, 5, 1), ("n", 7, 9, 0)], spans)
     b = spark.createDataFrame([("n", 0, 5, 0), ("n", 8, 9, 0)], spans)
     assert rows(join_spans(a, b, ("_a", "_b"), validate="one_to_one"), "label_a", "label_b") == [(1, 0)]
-    with pytest.raises(ValueError):
-        assert_unique(a, ["note_id"])
-    with pytest.raises(ValueError):
-        attach(a, b, ["note_id"], validate="many_to_one")
+    # the check is part of the plan: it raises when rows are made, on either side
+    for checked in (assert_unique(a, ["note_id"]), attach(b, a, ["note_id"], validate="many_to_one"), attach(a, b, ["note_id"], validate="one_to_one")):
+        with pytest.raises(Exception, match="keys are not unique"):
+            checked.collect()
+    one = b.dropDuplicates(["note_id"])
+    assert attach(a, one, ["note_id"], validate="many_to_one").count() == a.join(one, "note_id").count() > 0
+    twice = spark.createDataFrame([(None, 1), (None, 2)], "k string, v int")
+    with pytest.raises(Exception, match="keys are not unique"):
+        assert_unique(twice, ["k"]).collect()
+    assert rows(assert_unique(twice, ["v"])) == [(None, 1), (None, 2)]
     with pytest.raises(ValueError):
         attach(a, b, ["note_id"], validate="maybe")
 

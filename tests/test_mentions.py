@@ -1,3 +1,4 @@
+import random
 import re
 from datetime import datetime
 
@@ -314,17 +315,16 @@ def test_mentions_of_a_normal_form(spark, rows):
     assert rows(extract_mentions(df, 1, 1), "lexical_variant") == [("aujourd’hui",)]
     form = normalise_notes(df, ALL, keep=("note_id", "person_id"))
     back = form.select("note_id", F.length("normal_text"), source_offset(F.col("breaks"), F.length("normal_text") - 1))
-    assert rows(back) == [("0", 46, 54), ("1", 0, -1), ("2", None, None)]
+    assert rows(back) == [("0", len(normalise(text, ALL)[0]), len(text) - 1), ("1", 0, None), ("2", None, None)]
 
 
-TOKENS = st.lists(st.sampled_from(["Dr.", "M.", "X.", "(cf.", "fin.", "fin.)", "non!", "quoi?»", "p.", "3", "Suite", "suite", "-", "1.", "2)", "a)", "É.", "…", "à"]), max_size=25)
-SPACES = st.lists(st.sampled_from([" ", "\n", " \n", "\n\n", "  "]), min_size=25, max_size=25)
+TOKENS = ["Dr.", "M.", "X.", "(cf.", "fin.", "fin.)", "non!", "quoi?»", "p.", "3", "Suite", "suite", "-", "1.", "2)", "a)", "É.", "…", "à"]
 
 
-@settings(max_examples=1, deadline=None)
-@given(st.lists(st.tuples(TOKENS, SPACES), min_size=150, max_size=200))
-def test_native_sentences_match_the_helper(spark, texts):
-    joined = ["".join(t + s for t, s in zip(tokens, spaces)) for tokens, spaces in texts] + ["", "  Un. Deux", "\n", "fin.  "]
+def test_native_sentences_match_the_helper(spark):
+    rng = random.Random(8)
+    texts = [[(rng.choice(TOKENS), rng.choice([" ", " ", "\n", " \n", "\n\n", "  "])) for _ in range(rng.randrange(25))] for _ in range(300)]
+    joined = ["".join(t + s for t, s in pairs) for pairs in texts] + ["", "  Un. Deux", "\n", "fin.  "]
     df = spark.createDataFrame([(i, x) for i, x in enumerate(joined)] + [(-1, None)], "i int, text string")
     got = {r.i: [tuple(s) for s in r.s] for r in df.filter("i >= 0").select("i", sentences(F.col("text")).alias("s")).collect()}
     for i, text in enumerate(joined):

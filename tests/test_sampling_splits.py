@@ -6,7 +6,8 @@ import pytest
 from pyspark.sql import functions as F
 
 import argentum.operators.ranking as ranking
-from argentum.operators.ranking import bucket_of, dense_id, global_rank, percentiles, take_lowest
+from argentum.functions.columns import order_hash
+from argentum.operators.ranking import bucket_of, dense_id, global_rank, order_statistics, percentiles, take_lowest
 from argentum.operators.sampling import (
     balance_to_class,
     first_per_class,
@@ -172,3 +173,40 @@ def test_n_persons(texts):
     assert len(persons(train)) == 15 and not persons(train) & persons(val)
     assert train.count() + val.count() == 240
     assert math.isclose(train.count() / 15, 4)
+
+
+def test_order_statistics_of_odd_values(spark):
+    import random
+
+    rng = random.Random(3)
+    values = [rng.choice([0.0, -0.0, 1e-300, 5.0, 1e308, -1e308, float("inf"), float("-inf"), rng.random(), rng.lognormvariate(0, 40)]) for _ in range(500)]
+    df = spark.createDataFrame([(v,) for v in values], "v double")
+    at = order_statistics(df, "v", list(range(0, 500, 7)))
+    assert at == {p: sorted(values)[p] for p in range(0, 500, 7)}
+    assert order_statistics(spark.createDataFrame([(float("nan"),), (1.0,)], "v double"), "v", [0]) == {0: 1.0}
+    assert percentiles(spark.createDataFrame([(7,), (7,), (None,)], "v long"), "v", [0, 0.5, 1], "v") == [7.0, 7.0, 7.0]
+
+
+@pytest.mark.parametrize("n", [1_500, 2_999, 3_000, 9_000])
+def test_large_samples_take_no_sort(spark, rows, n):
+    from argentum.operators import ranking
+
+    numbers = spark.range(3_000).select("id", (F.col("id") % 3).alias("x"))
+    expected = sorted((r.id for r in numbers.select("id", order_hash("id").alias("h")).orderBy("h").limit(n).collect()))
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(ranking, "_WHOLE", 10)
+        sample = uniform_sample(numbers, ["id"], n)
+        assert sorted(r.id for r in sample.collect()) == expected
+    # a key that all rows share: as many stay as fit
+    assert uniform_sample(numbers, ["x"], n).count() == min(n, 3_000)
+    assert "rangepartitioning" not in sample._jdf.queryExecution().executedPlan().toString()
+
+
+def test_balance_spreads_ties(spark):
+    """Most rows of a class share their key."""
+    df = spark.range(6_000).select(F.when(F.col("id") < 2_500, 1).when(F.col("id") < 5_900, 2).alias("label"), F.when(F.col("id") % 10 < 9, 0).otherwise(F.col("id")).alias("key"))
+    out = balance_to_class(df, "label", 1, ["key"])
+    assert {r["label"]: r["count"] for r in out.groupBy("label").count().collect()} == {1: 2_500, 2: 2_500, None: 100}
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and "rangepartitioning" not in plan
+    assert balance_to_class(df.filter("key is null"), "label", -1, ["key"]).count() == 0
