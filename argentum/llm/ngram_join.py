@@ -6,11 +6,13 @@ come last; two sets that link share a few shingles among the first of both (thei
 
 1. The index: prefix entries (shingle, set, size, position) are dealt by shingle. Lists of one
    set are dropped.
-2. Every set follows the least set that it shares enough prefix entries with. Pairs of sets with
-   different leaders are read from the lists. Entries are sorted by size and position, so that
-   whole blocks that can't reach the threshold are skipped; pairs that share too few entries
-   are dropped.
-3. Sets that followers and pairs connect are compared in one place, where their shingles are
+2. Every set follows the least set that it shares enough prefix entries with. Sets that may link
+   but follow different leaders are found from blocks of the lists: by band of sizes and leader a block
+   has its bounds of sizes and positions, and it is skipped whole for a set that can't reach
+   the threshold within them. Leaders that sets connect to the weightiest one of a list become one
+   first, so that few are left to meet each other; a list has one row at most for a set and
+   another leader, never one for a pair of sets.
+3. Sets that followers and such links connect are compared in one place, where their shingles are
    brought once; a place that is too large for a task is compared by pairs of parts.
 4. There, answers are derived incrementally: each set is kept as its difference from the most
    central one. Linked to that, the answers of any two sets that share no difference follow.
@@ -41,6 +43,8 @@ PERCENT = 85
 #: Documents looked at for common shingles: one in so many, and in how many of them a shingle is common.
 SAMPLE, COMMON = 32, 3
 MOST_COMMON = 500_000
+#: Times that leaders are joined before those left meet each other.
+ROUNDS = 2
 #: Shingles of the sets that are compared at once; larger places are compared by pairs of parts.
 GROUP = 2_000_000
 
@@ -267,44 +271,72 @@ def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield links()
 
 
-def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Entries sorted by (token, band, size, position): pairs of different leaders that may link.
+def _band(n):
+    """Sets that link are of one band of sizes or of two that follow one another; bands are a little wide, against rounding."""
+    return F.floor(0.999 * F.log(n.cast("double")) / F.log(F.lit(100 / PERCENT))).cast("int")
 
-    `own` tells whether the entry's own band is asked; two entries of the lower band meet there.
-    """
-    rows: list[np.ndarray] = []
-    key = None
-
-    def run(parts: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-        n, pos, sid, leader, own = np.concatenate(parts, axis=1)
-        # sizes are sorted: of each entry, the later ones up to the largest size that can link
-        stop = np.searchsorted(n, n * 100 // PERCENT, side="right")
-        for a in range(0, len(n), 512):
-            rows_a = np.arange(a, min(a + 512, len(n)))
-            count = np.maximum(stop[rows_a] - rows_a - 1, 0)
-            left, right = np.repeat(rows_a, count), ranges(rows_a + 1, count)
-            ok = (leader[left] != leader[right]) & ((own[left] | own[right]) == 1)
-            left, right = left[ok], right[ok]
-            ok = _reach(n[left], pos[left], n[right], pos[right]) >= needed(n[left], n[right])
-            left, right = left[ok], right[ok]
-            if len(left):
-                low, high = np.minimum(sid[left], sid[right]), np.maximum(sid[left], sid[right])
-                yield pa.RecordBatch.from_arrays([pa.array(low), pa.array(high), pa.array(np.minimum(shared(np.minimum(n[left], n[right])), needed(n[left], n[right])))], names=["a", "b", "least"])
 
-    for batch in batches:
-        token, band = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-        fields = np.stack([batch.column(k).cast(pa.int64()).to_numpy() for k in range(2, 7)])
-        cuts = np.flatnonzero((token[1:] != token[:-1]) | (band[1:] != band[:-1])) + 1
-        for a, b in zip(np.append(0, cuts).tolist(), np.append(cuts, len(token)).tolist(), strict=True):
-            if a == b:
-                continue
-            if key is not None and key != (token[a], band[a]):
-                yield from run(rows)
-                rows = []
-            key = (token[a], band[a])
-            rows.append(fields[:, a:b])
-    if rows:
-        yield from run(rows)
+def _blocks(entries: DataFrame) -> DataFrame:
+    """Index lists cut into blocks: by (shingle, band, leader) the bounds of sizes and positions of the sets that may link to a set of the band."""
+    spread = entries.withColumn("band", F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)))
+    bounds = [F.min("n").alias("least_n"), F.max("n").alias("most_n"), F.max("pos").alias("most_pos"), F.max(F.col("n") - F.col("pos")).alias("most_rest")]
+    return spread.groupBy("token", "band", "leader").agg(F.first("weight").alias("weight"), *bounds)
+
+
+def _met(entries: DataFrame, blocks: DataFrame, ahead) -> DataFrame:
+    """(a, leader of a, b): sets and the leaders that they share enough lists with, by the bounds of blocks.
+
+    A block is skipped if no set within its bounds of size and position can reach the threshold, so
+    a set has at most one row for each other leader of a list. What is counted is at least
+    what the set shares with any one follower of the leader.
+    """
+    x, y = entries.alias("x"), blocks.alias("y")
+    n, least_n = F.col("x.n"), F.greatest(F.col("y.least_n"), F.ceil(F.col("x.n") * F.lit(PERCENT) / 100).cast("int"))
+    lowest = F.ceil((n + least_n) * F.lit(PERCENT) / (100 + PERCENT)).cast("int")
+    reach = F.least(F.col("x.pos"), F.col("y.most_pos")) + F.least(n - F.col("x.pos"), F.col("y.most_rest"))
+    fits = (least_n <= F.col("y.most_n")) & (F.col("y.least_n") * PERCENT <= n * 100) & (reach >= lowest)
+    least = F.least(3 + F.floor(F.least(n, least_n) / 25), lowest)
+    rows = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.band") == F.col("y.band")) & (F.col("x.leader") != F.col("y.leader")) & ahead & fits)
+    met = rows.select(F.col("x.sid").alias("a"), F.col("x.leader").alias("own"), F.col("y.leader").alias("b"), least.alias("least"))
+    return met.groupBy("a", "own", "b").agg(F.count("*").alias("n"), F.min("least").alias("least")).where("n >= least").select("a", "own", "b")
+
+
+def _pairs(whole: DataFrame, leaders: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
+    """Links (a, b) that bring together all sets that may link but follow different leaders, and the tables staged for them.
+
+    First, `ROUNDS` times, sets meet only the weightiest other leader of each list, and leaders that
+    they so connect become one; then the few leaders that are left in a list meet one another,
+    the lighter the weightier.
+    """
+    weight = leaders.groupBy("leader").agg(F.count("*").alias("weight")).where("weight > 1")
+    entries = whole.join(broadcast_if_small(weight), "leader", "left").select("token", "sid", "n", "pos", "leader", F.coalesce("weight", F.lit(1)).alias("weight"), _band(F.col("n")).alias("band"))
+    links, left = [], []
+    for n in range(ROUNDS + 1):
+        mixed = entries.groupBy("token").agg(F.min("leader").alias("low"), F.max("leader").alias("high")).where("low <> high").select("token")
+        entries = stage(entries.join(mixed, "token", "left_semi"), "mixed")
+        left.append(entries)
+        blocks = _blocks(entries)
+        if n == ROUNDS:
+            break
+        fields = ["weight", "leader", "least_n", "most_n", "most_pos", "most_rest"]
+        top = blocks.groupBy("token", "band").agg(F.max(F.struct(*fields)).alias("top")).select("token", "band", "top.*")
+        met = stage(_met(entries, top, F.lit(True)).select(F.col("own").alias("a"), "b").distinct(), "met")
+        left.append(met)
+        if met.isEmpty():
+            break
+        links.append(met)
+        joined = connected(met)
+        left.append(joined)
+        renamed = joined.where("node <> root").select(F.col("node").alias("leader"), "root")
+        entries = entries.join(broadcast_if_small(renamed), "leader", "left").withColumn("leader", F.coalesce("root", "leader")).drop("root")
+        # one weight for each leader, so that the order of leaders holds
+        heavy = entries.groupBy("leader").agg(F.countDistinct("sid").alias("weight"))
+        entries = entries.drop("weight").join(heavy, "leader").select("token", "sid", "n", "pos", "leader", "weight", "band")
+    lighter = F.struct("y.weight", "y.leader") > F.struct("x.weight", "x.leader")
+    pairs = stage(_met(entries, blocks, lighter).select("a", "b"), "pairs")
+    for link in links:
+        pairs = pairs.unionByName(link)
+    return pairs, left
 
 
 def _rooted(docs: DataFrame, key: str, text: str) -> DataFrame:
@@ -325,21 +357,13 @@ def _rooted(docs: DataFrame, key: str, text: str) -> DataFrame:
     whole = stage(listed.join(leaders.drop("n"), "sid", "left").select("token", "sid", "n", "pos", F.coalesce("leader", "sid").alias("leader")), "led")
     unstage(listed)
 
-    # pairs of different leaders
-    mixed = whole.groupBy("token").agg(F.min("leader").alias("low"), F.max("leader").alias("high")).where("low <> high").select("token")
-    band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100 / PERCENT))).cast("int")
-    banded = whole.join(mixed, "token", "left_semi").withColumn("own_band", band).select("token", F.explode(F.array("own_band", F.col("own_band") + 1)).alias("band"), "n", "pos", "sid", "leader", "own_band")
-    banded = banded.select("token", "band", "n", "pos", "sid", "leader", (F.col("band") == F.col("own_band")).cast("int").alias("own"))
-    banded = banded.repartition("token", "band").sortWithinPartitions("token", "band", "n", "pos")
-    pairs = banded.mapInArrow(_pairs, "a long, b long, least long").groupBy("a", "b").agg(F.count("*").alias("n"), F.max("least").alias("least")).where("n >= least").select("a", "b")
-    pairs = stage(pairs, "pairs")
-    unstage(whole)
+    pairs, left = _pairs(whole, leaders)
 
     # sets that may link, directly or by a chain, are compared in one place: they get their shingles once
     follows = leaders.where("sid <> leader").select(F.col("sid").alias("a"), F.col("leader").alias("b"))
     places = connected(follows.unionByName(pairs))
-    unstage(leaders)
-    unstage(pairs)
+    for table in (leaders, whole, *left):
+        unstage(table)
     # a row of the set is found by its key and its text's hash: keys may be null or repeat
     named = sets.groupBy("sid").agg(F.min("doc").alias("doc"), F.coalesce(F.min_by("th", "doc"), F.min("th")).alias("th"), F.first("n").alias("n"))
     wanted = places.join(named, F.col("node") == F.col("sid")).select("sid", "doc", "th", "n", F.col("root").alias("place"))
