@@ -30,6 +30,7 @@ from argentum.session import broadcast_if_small, stage
 
 WINDOW = 10
 #: Symbols of one shard's index (a longer document has a shard of its own).
+SHARD_WORDS, SHARD_BYTES = 4_000_000, 32 << 20
 SHARD_SYMBOLS = 2_000_000
 #: Bytes of benchmark texts in one block.
 BLOCK = 32 << 20
@@ -97,6 +98,10 @@ class Shard:
         self.words += len(prints)
         self.symbols += int(keep.sum())
 
+    def full(self, most: int, held: int = 0) -> bool:
+        """Clean text keeps few symbols, so its words, and the bytes of rows that wait for an answer, count as well."""
+        return self.symbols >= most or self.words >= SHARD_WORDS or held >= SHARD_BYTES
+
     def occurrences(self, phrases: Phrases) -> Iterator[tuple[np.ndarray, int, np.ndarray]]:
         """(phrase of each occurrence, their length, first word of each), by length."""
         index, place = FMIndex(np.concatenate(self.text)), np.concatenate(self.place)
@@ -149,7 +154,7 @@ def _search(docs: DataFrame, items, window: int, key: str, text: str, shard_symb
         for block in parts:
             words, prints = words_of(block.column(1))
             shard.add(block.column(0), words, prints, phrases)
-            if shard.symbols >= shard_symbols:
+            if shard.full(shard_symbols):
                 yield _answers(shard, phrases, key)
                 shard = Shard()
         if shard.rows:
@@ -178,19 +183,19 @@ def contamination(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", te
     blocks, items = _items(docs.sparkSession, benchmark, block)
     if blocks == 1:
         return _search(docs, items(0), window, key, text, shard_symbols)
-    rows = stage(docs.select(F.col(key), F.monotonically_increasing_id().alias("_row"), F.col(text)), "numbered")
+    rows = stage(docs.select(F.col(key).alias("key"), F.monotonically_increasing_id().alias("no"), F.col(text).alias("body")), "numbered")
     found = None
-    for part in _parts(rows, blocks, items, window, text, shard_symbols):
+    for part in _parts(rows, blocks, items, window, shard_symbols):
         found = part if found is None else found.unionByName(part)
-    joined = found.groupBy("_row").agg(F.first("n_words").alias("n_words"), F.flatten(F.collect_list("spans")).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
+    joined = found.groupBy("no").agg(F.first("n_words").alias("n_words"), F.flatten(F.collect_list("spans")).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
     unite = F.pandas_udf(_united, "array<struct<start:long,end:long>>")
-    return rows.select("_row", key).join(joined.withColumn("spans", unite("spans")), "_row").drop("_row")
+    return rows.select("no", "key").join(joined.withColumn("spans", unite("spans")), "no").select(F.col("key").alias(key), "n_words", "spans", "items")
 
 
-def _parts(rows: DataFrame, blocks: int, items, window: int, text: str, shard_symbols: int) -> Iterator[DataFrame]:
-    """Answers by `_row`, of one block of the benchmark after the other."""
+def _parts(rows: DataFrame, blocks: int, items, window: int, shard_symbols: int) -> Iterator[DataFrame]:
+    """Answers by `no` about texts `body`, of one block of the benchmark after the other."""
     for n in range(blocks):
-        yield stage(_search(rows.select("_row", text), items(n), window, "_row", text, shard_symbols), "block")
+        yield stage(_search(rows.select("no", "body"), items(n), window, "no", "body", shard_symbols), "block")
 
 
 def _items(spark, benchmark: DataFrame, block: int):
@@ -213,14 +218,15 @@ def remove_leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", wind
     """
     blocks, items = _items(docs.sparkSession, benchmark, block)
     if blocks > 1:
-        rows = stage(docs.withColumn("_row", F.monotonically_increasing_id()), "numbered")
+        # the row's own columns stay inside a struct, whatever their names
+        rows = stage(docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), F.monotonically_increasing_id().alias("no"), docs[text].alias("body")), "numbered")
         found = None
-        for part in _parts(rows, blocks, items, window, text, shard_symbols):
-            hit = part.where(F.size("spans") > 0).select(F.col("_row").alias("_of"), "spans")
+        for part in _parts(rows, blocks, items, window, shard_symbols):
+            hit = part.where(F.size("spans") > 0).select("no", "spans")
             found = hit if found is None else found.unionByName(hit)
-        spans = broadcast_if_small(stage(found.groupBy("_of").agg(F.flatten(F.collect_list("spans")).alias("_cut")), "spans"))
-        marked = rows.join(spans, F.col("_row") == F.col("_of"), "left").select(*(rows[c] for c in docs.columns), "_cut")
-        return remove_spans(marked, text, "_cut", ALNUM)
+        spans = broadcast_if_small(stage(found.groupBy("no").agg(F.flatten(F.collect_list("spans")).alias("cut")), "spans"))
+        left = remove_spans(rows.join(spans, "no", "left").select("row", "body", "cut"), "body", "cut", ALNUM)
+        return left.select(*[F.col("body").alias(c) if c == text else F.col("row")[c].alias(c) for c in docs.columns])
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
     place = docs.columns.index(text)
 
@@ -239,7 +245,7 @@ def remove_leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", wind
                 words, prints = words_of(part.column(place))
                 shard.add(part.column(place).is_null(), words, prints, phrases)
                 waiting.append(part)
-                if shard.symbols >= shard_symbols:
+                if shard.full(shard_symbols, sum(x.nbytes for x in waiting)):
                     yield from answer()
                     shard, waiting = Shard(), []
             if waiting:

@@ -128,6 +128,24 @@ def test_leaks_are_cut(spark, docs, benchmark):
             assert row["text"] == old
 
 
+@pytest.mark.parametrize("block", [60, 10_000])
+@pytest.mark.parametrize("words", [30, 10**6])
+def test_leaks_are_cut_from_rows_of_any_names(spark, docs, benchmark, block, words, monkeypatch):
+    """Names that the operator uses inside, and clean text that closes a shard several times."""
+    monkeypatch.setattr(decontaminate, "SHARD_WORDS", words)
+    names = ["_row", "_cut", "_of", "no", "row", "body", "cut", "spans", "key"]
+    source = spark.createDataFrame([(d, t, *names) for d, t in docs], ", ".join(["doc_id long, text string", *(f"`{n}` string" for n in names)]))
+    items = spark.createDataFrame(benchmark, "item_id long, text string")
+    left = decontaminate.remove_leaks(source, items, block=block)
+    assert left.columns == source.columns
+    for row in left.collect():
+        assert list(row)[2:] == names
+        n, hit, *_ = brute.leaks(dict(docs)[row["doc_id"]], benchmark)
+        assert len(brute.lowered(row["text"])) == n - hit
+    found = decontaminate.contamination(source.withColumnRenamed("doc_id", "no2").withColumnRenamed("no", "doc_id").withColumnRenamed("no2", "no"), items, key="no", block=block)
+    assert found.columns == ["no", "n_words", "spans", "items"] and found.count() == len(docs)
+
+
 @pytest.mark.parametrize("block", [60, 150, 1000])
 def test_leaks_of_overlapping_items_in_many_blocks_are_cut_whole(spark, docs, benchmark, block):
     rng = random.Random(11)
@@ -235,6 +253,31 @@ def test_compare_finds_all_components():
         assert len({find(x) for x in range(len(sets))}) == len({find(x, other) for x in range(len(sets))})
 
 
+def test_leaders_of_many_near_copies_meet_in_few_rows(spark, monkeypatch):
+    """Near copies of one text that follow different leaders: rows grow with the sets, not with their pairs."""
+    rng = random.Random(12)
+    made = {}
+
+    def counted(df, label):
+        out = staged(df, label)
+        made.setdefault(label, []).append(out.count())
+        return out
+
+    staged = ngram_join.stage
+    monkeypatch.setattr(ngram_join, "stage", counted)
+    base = prose(rng, 120, 10_000)
+    for n in (300, 1_200):
+        made.clear()
+        near_copies = [(k, near(rng, base, rng.randrange(1, 4))) for k in range(n)]
+        found = {r["doc_id"]: r["component_id"] for r in ngram_join.link_classes(table(spark, near_copies)).collect()}
+        assert sum(made["met"]) + sum(made["pairs"]) < 2 * n
+        got = defaultdict(set)
+        for d, c in found.items():
+            got[c].add(d)
+        if n == 300:
+            assert found == {d: c for d, (_, c) in brute.classes(near_copies).items()}
+
+
 def test_one_of_each_class_stays(spark, docs):
     source = table(spark, docs + docs[:6])
     kept = ngram_join.keep_one(source)
