@@ -43,8 +43,6 @@ PERCENT = 85
 #: Documents looked at for common shingles: one in so many, and in how many of them a shingle is common.
 SAMPLE, COMMON = 32, 3
 MOST_COMMON = 500_000
-#: Times that leaders are joined before those left meet each other.
-ROUNDS = 2
 #: Shingles of the sets that are compared at once; larger places are compared by pairs of parts.
 GROUP = 2_000_000
 
@@ -304,39 +302,29 @@ def _met(entries: DataFrame, blocks: DataFrame, ahead) -> DataFrame:
 def _pairs(whole: DataFrame, leaders: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
     """Links (a, b) that bring together all sets that may link but follow different leaders, and the tables staged for them.
 
-    First, `ROUNDS` times, sets meet only the weightiest other leader of each list, and leaders that
-    they so connect become one; then the few leaders that are left in a list meet one another,
+    First, sets meet only the weightiest leader of each list, and a leader whose sets so connect to a
+    weightier one takes its name; then the few names that are left in a list meet one another,
     the lighter the weightier.
     """
     weight = leaders.groupBy("leader").agg(F.count("*").alias("weight")).where("weight > 1")
     entries = whole.join(broadcast_if_small(weight), "leader", "left").select("token", "sid", "n", "pos", "leader", F.coalesce("weight", F.lit(1)).alias("weight"), _band(F.col("n")).alias("band"))
-    links, left = [], []
-    for n in range(ROUNDS + 1):
-        mixed = entries.groupBy("token").agg(F.min("leader").alias("low"), F.max("leader").alias("high")).where("low <> high").select("token")
-        entries = stage(entries.join(mixed, "token", "left_semi"), "mixed")
-        left.append(entries)
-        blocks = _blocks(entries)
-        if n == ROUNDS:
-            break
-        fields = ["weight", "leader", "least_n", "most_n", "most_pos", "most_rest"]
-        top = blocks.groupBy("token", "band").agg(F.max(F.struct(*fields)).alias("top")).select("token", "band", "top.*")
-        met = stage(_met(entries, top, F.lit(True)).select(F.col("own").alias("a"), "b").distinct(), "met")
-        left.append(met)
-        if met.isEmpty():
-            break
-        links.append(met)
-        joined = connected(met)
-        left.append(joined)
-        renamed = joined.where("node <> root").select(F.col("node").alias("leader"), "root")
-        entries = entries.join(broadcast_if_small(renamed), "leader", "left").withColumn("leader", F.coalesce("root", "leader")).drop("root")
-        # one weight for each leader, so that the order of leaders holds
-        heavy = entries.groupBy("leader").agg(F.countDistinct("sid").alias("weight"))
-        entries = entries.drop("weight").join(heavy, "leader").select("token", "sid", "n", "pos", "leader", "weight", "band")
+    entries = stage(_mixed(entries), "mixed")
+    fields = ["weight", "leader", "least_n", "most_n", "most_pos", "most_rest"]
+    top = _blocks(entries).groupBy("token", "band").agg(F.max(F.struct(*fields)).alias("top")).select("token", "band", "top.*")
     lighter = F.struct("y.weight", "y.leader") > F.struct("x.weight", "x.leader")
-    pairs = stage(_met(entries, blocks, lighter).select("a", "b"), "pairs")
-    for link in links:
-        pairs = pairs.unionByName(link)
-    return pairs, left
+    met = stage(_met(entries, top, lighter).join(broadcast_if_small(weight).withColumnRenamed("leader", "b"), "b", "left").groupBy("own").agg(F.max(F.struct(F.coalesce("weight", F.lit(1)).alias("weight"), F.col("b").alias("leader"))).alias("to")), "met")
+    # every name keeps its one weight, so that the order of leaders holds
+    renamed = broadcast_if_small(met.select(F.col("own").alias("leader"), "to"))
+    moved = entries.join(renamed, "leader", "left").select("token", "sid", "n", "pos", F.coalesce("to.leader", "leader").alias("leader"), F.coalesce("to.weight", "weight").alias("weight"), "band")
+    fewer = stage(_mixed(moved), "mixed")
+    pairs = stage(_met(fewer, _blocks(fewer), lighter).select("a", "b"), "pairs")
+    return pairs.unionByName(met.select(F.col("own").alias("a"), F.col("to.leader").alias("b"))), [entries, met, fewer, pairs]
+
+
+def _mixed(entries: DataFrame) -> DataFrame:
+    """Entries of the lists in which several leaders are left."""
+    mixed = entries.groupBy("token").agg(F.min("leader").alias("low"), F.max("leader").alias("high")).where("low <> high").select("token")
+    return entries.join(mixed, "token", "left_semi")
 
 
 def _rooted(docs: DataFrame, key: str, text: str) -> DataFrame:
