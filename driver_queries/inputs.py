@@ -274,6 +274,13 @@ class Tables:
 
         return extract_mentions(self.notes)
 
+    @cached_property
+    def mentions_once(self) -> DataFrame:
+        """Mentions whose date occurs once in their note."""
+        from argentum.plans.mentions import extract_mentions
+
+        return extract_mentions(self.notes, once=True)
+
     @cached_property
     def staged_mentions(self) -> DataFrame:
         """Mentions as the table their own job would write, for queries that read them twice."""

@@ -21,7 +21,7 @@ from argentum.operators.sampling import (
     weighted_sample,
 )
 from argentum.operators.windows import keep_one, last_non_null
-from argentum.plans.align import match_dates, mentioned_once
+from argentum.plans.align import match_dates
 from driver_queries.inputs import KNOWN, MENTIONS, NOTES
 from driver_queries.registry import query, with_
 
@@ -171,8 +171,8 @@ WHERE date_dt > TIMESTAMP '1930-01-01' AND matched_date_in_doc > 0""",
     ).replace("AS matched_date_in_doc", "::BIGINT AS matched_date_in_doc"),
 )
 def match_dates_within_days(t):
-    narrow = t.mentions.select("note_id", "person_id", "date_dt", "text_start_char")
-    aligned = match_dates(mentioned_once(narrow), t.known, tolerance_seconds=5 * 86_400)
+    narrow = t.mentions_once.select("note_id", "person_id", "date_dt", "text_start_char")
+    aligned = match_dates(narrow, t.known, tolerance_seconds=5 * 86_400)
     return aligned.select("note_id", "text_start_char", "date_dt", "known_date", "label", "matched_date_in_doc")
 
 
