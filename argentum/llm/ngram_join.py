@@ -1,6 +1,7 @@
 """Exact Jaccard self-join of word shingles up to connected components, with set relations.
 
-A document's set is its distinct 4-word shingles (one shingle if it has fewer words). Sets that
+A document's set is its distinct shingles of `width` words (one shingle if it has fewer words); two
+sets link if 100 * common >= `percent` * united. Sets that
 are equal are one. Sets are ordered by one global order of shingles, in which very common ones
 come last; two sets that link share a few shingles among the first of both (their prefixes).
 
@@ -37,9 +38,9 @@ from argentum.llm.components import connected
 from argentum.llm.words import LOWER, SPACED, Words, distinct, flat, map_blocks, mix, ranges
 from argentum.session import broadcast_if_small, stage, unstage
 
-WIDTH = 4
-#: Two sets link if 100 * common >= PERCENT * united.
-PERCENT = 85
+#: Words of a shingle and percent of similarity: of the join's contract, and of near duplicates in a corpus.
+WIDTH, PERCENT = 4, 85
+NEAR_WIDTH, NEAR_PERCENT = 5, 80
 #: Documents looked at for common shingles: one in so many, and in how many of them a shingle is common.
 SAMPLE, COMMON = 32, 3
 MOST_COMMON = 500_000
@@ -47,14 +48,14 @@ MOST_COMMON = 500_000
 GROUP = 2_000_000
 
 
-def enough(common, size_a, size_b):
+def enough(common, size_a, size_b, percent: int = PERCENT):
     """Whether sets with so many common shingles link."""
-    return 100 * common >= PERCENT * (size_a + size_b - common)
+    return 100 * common >= percent * (size_a + size_b - common)
 
 
-def needed(size_a, size_b):
+def needed(size_a, size_b, percent: int = PERCENT):
     """Common shingles that two sets need to link."""
-    return -(-PERCENT * (size_a + size_b) // (100 + PERCENT))
+    return -(-percent * (size_a + size_b) // (100 + percent))
 
 
 def shared(size):
@@ -100,12 +101,12 @@ def signatures(values: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return np.where(sizes > 0, names, 0).astype(np.int64)
 
 
-def common_shingles(docs: DataFrame, text: str) -> np.ndarray:
+def common_shingles(docs: DataFrame, text: str, width: int = WIDTH) -> np.ndarray:
     """Shingles that are common in a sample of the documents, sorted; at most MOST_COMMON."""
 
     def count(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in parts:
-            values, _ = shingles(block.column(0), np.zeros(0, np.uint64))
+            values, _ = shingles(block.column(0), np.zeros(0, np.uint64), width)
             values, n = np.unique(values, return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(values.view(np.int64)), pa.array(n)], names=["value", "n"])
 
@@ -115,13 +116,13 @@ def common_shingles(docs: DataFrame, text: str) -> np.ndarray:
     return np.sort(np.array([r["value"] for r in rows], np.int64).view(np.uint64))
 
 
-def _prefixes(last, kind: str):
+def _prefixes(last, kind: str, width: int, percent: int):
     def make(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()  # sets whose prefix this task has given already
         for block in parts:
-            values, sizes = shingles(block.column(1), last.value)
+            values, sizes = shingles(block.column(1), last.value, width)
             names = signatures(values, sizes)
-            wanted = np.minimum(sizes, sizes - needed_alone(sizes) + shared(sizes))
+            wanted = np.minimum(sizes, sizes - needed_alone(sizes, percent) + shared(sizes))
             first, back = distinct(names)
             new = np.zeros(len(names), bool)
             new[first] = [x not in seen for x in names[first].tolist()]
@@ -137,9 +138,9 @@ def _prefixes(last, kind: str):
     return make, f"doc {kind}, th long, sid long, n long, prefix array<bigint>"
 
 
-def needed_alone(size):
+def needed_alone(size, percent: int = PERCENT):
     """The least number of common shingles with which a set of this size links to any set."""
-    return -(-PERCENT * size // 100)
+    return -(-percent * size // 100)
 
 
 def _reach(n, pos, other_n, other_pos):
@@ -147,7 +148,7 @@ def _reach(n, pos, other_n, other_pos):
     return np.minimum(pos, other_pos) + np.minimum(n - pos, other_n - other_pos)
 
 
-def _lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _lists(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
     """Entries sorted by shingle and set: those of lists with two sets or more, each with its list's first set,
     or with its own if sizes and positions rule out that it links with the first.
 
@@ -177,13 +178,13 @@ def _lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last_lone = bool(lone[-1])
         open_token, open_first, last_sid = token[-1], np.array([first[-1:], first_n[-1:], first_pos[-1:]]), sid[-1]
         held = (token[-1:], sid[-1:], n[-1:], pos[-1:]) if last_lone else None
-        first = np.where(_reach(n, pos, first_n, first_pos) >= needed(n, first_n), first, sid)
+        first = np.where(_reach(n, pos, first_n, first_pos) >= needed(n, first_n, percent), first, sid)
         out = ~lone
         if out.any():
             yield pa.RecordBatch.from_arrays([pa.array(x[out]) for x in (sid, first, token, n, pos)], names=["sid", "first", "token", "n", "pos"])
 
 
-def _compare(members: list[tuple[int, np.ndarray]]) -> list[tuple[int, int]]:
+def _compare(members: list[tuple[int, np.ndarray]], percent: int = PERCENT) -> list[tuple[int, int]]:
     """Links between sets, as many as their components need."""
     if len(members) < 2:
         return []
@@ -200,7 +201,7 @@ def _compare(members: list[tuple[int, np.ndarray]]) -> list[tuple[int, int]]:
     in_centre[token[owner == centre]] = True
     has = in_centre[token]
     common = np.bincount(owner, weights=has, minlength=len(sizes)).astype(np.int64)
-    linked = enough(common, sizes, sizes[centre])
+    linked = enough(common, sizes, sizes[centre], percent)
     links = [(names[centre], names[i]) for i in np.flatnonzero(linked) if i != centre]
     if linked.all():
         return links
@@ -219,7 +220,7 @@ def _compare(members: list[tuple[int, np.ndarray]]) -> list[tuple[int, int]]:
         for i in far.tolist():
             keys = mine[at_mine[i] : at_mine[i + 1]]
             both = np.bincount(lists[ranges(at[keys], at[keys + 1] - at[keys])], minlength=len(sizes))
-            ok = enough(both, sizes[i], sizes)
+            ok = enough(both, sizes[i], sizes, percent)
             ok[i] = False
             join(i, ok)
     # near it: only differences are, shingles that the centre lacks and those of it that a set lacks
@@ -237,7 +238,7 @@ def _compare(members: list[tuple[int, np.ndarray]]) -> list[tuple[int, int]]:
         keys = mine[at_mine[i] : at_mine[i + 1]]
         shared = np.bincount(lists[ranges(at[keys], at[keys + 1] - at[keys])], minlength=len(sizes))
         # common to both: the centre without what either lacks (what both lack counts once), and what both have besides
-        ok = near & (shared > 0) & enough(sizes[centre] - lacking[i] - lacking + shared, sizes[i], sizes)
+        ok = near & (shared > 0) & enough(sizes[centre] - lacking[i] - lacking + shared, sizes[i], sizes, percent)
         ok[i] = False
         join(i, ok)
     return links
@@ -249,12 +250,12 @@ def _postings(key: np.ndarray, of: np.ndarray, n_keys: int, n_sets: int) -> tupl
     return of[by_key], np.searchsorted(key[by_key], np.arange(n_keys + 1)), key[by_set], np.searchsorted(of[by_set], np.arange(n_sets + 1))
 
 
-def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _groups(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
     """Rows sorted by (place, part, part): links inside each group."""
     key, members = None, []
 
     def links() -> pa.RecordBatch:
-        found = _compare(members)
+        found = _compare(members, percent)
         return pa.RecordBatch.from_arrays([pa.array([a for a, _ in found], pa.int64()), pa.array([b for _, b in found], pa.int64())], names=["a", "b"])
 
     for batch in batches:
@@ -269,9 +270,9 @@ def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield links()
 
 
-def _band(n):
+def _band(n, percent: int):
     """Sets that link are of one band of sizes or of two that follow one another; bands are a little wide, against rounding."""
-    return F.floor(0.999 * F.log(n.cast("double")) / F.log(F.lit(100 / PERCENT))).cast("int")
+    return F.floor(0.999 * F.log(n.cast("double")) / F.log(F.lit(100 / percent))).cast("int")
 
 
 def _blocks(entries: DataFrame) -> DataFrame:
@@ -281,7 +282,7 @@ def _blocks(entries: DataFrame) -> DataFrame:
     return spread.groupBy("token", "band", "leader").agg(F.first("weight").alias("weight"), *bounds)
 
 
-def _met(entries: DataFrame, blocks: DataFrame, ahead) -> DataFrame:
+def _met(entries: DataFrame, blocks: DataFrame, ahead, percent: int) -> DataFrame:
     """(a, leader of a, b): sets and the leaders that they share enough lists with, by the bounds of blocks.
 
     A block is skipped if no set within its bounds of size and position can reach the threshold, so
@@ -289,17 +290,17 @@ def _met(entries: DataFrame, blocks: DataFrame, ahead) -> DataFrame:
     what the set shares with any one follower of the leader.
     """
     x, y = entries.alias("x"), blocks.alias("y")
-    n, least_n = F.col("x.n"), F.greatest(F.col("y.least_n"), F.ceil(F.col("x.n") * F.lit(PERCENT) / 100).cast("int"))
-    lowest = F.ceil((n + least_n) * F.lit(PERCENT) / (100 + PERCENT)).cast("int")
+    n, least_n = F.col("x.n"), F.greatest(F.col("y.least_n"), F.ceil(F.col("x.n") * F.lit(percent) / 100).cast("int"))
+    lowest = F.ceil((n + least_n) * F.lit(percent) / (100 + percent)).cast("int")
     reach = F.least(F.col("x.pos"), F.col("y.most_pos")) + F.least(n - F.col("x.pos"), F.col("y.most_rest"))
-    fits = (least_n <= F.col("y.most_n")) & (F.col("y.least_n") * PERCENT <= n * 100) & (reach >= lowest)
+    fits = (least_n <= F.col("y.most_n")) & (F.col("y.least_n") * percent <= n * 100) & (reach >= lowest)
     least = F.least(3 + F.floor(F.least(n, least_n) / 25), lowest)
     rows = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.band") == F.col("y.band")) & (F.col("x.leader") != F.col("y.leader")) & ahead & fits)
     met = rows.select(F.col("x.sid").alias("a"), F.col("x.leader").alias("own"), F.col("y.leader").alias("b"), least.alias("least"))
     return met.groupBy("a", "own", "b").agg(F.count("*").alias("n"), F.min("least").alias("least")).where("n >= least").select("a", "own", "b")
 
 
-def _pairs(whole: DataFrame, leaders: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
+def _pairs(whole: DataFrame, leaders: DataFrame, percent: int) -> tuple[DataFrame, list[DataFrame]]:
     """Links (a, b) that bring together all sets that may link but follow different leaders, and the tables staged for them.
 
     First, sets meet only the weightiest leader of each list, and a leader whose sets so connect to a
@@ -307,17 +308,17 @@ def _pairs(whole: DataFrame, leaders: DataFrame) -> tuple[DataFrame, list[DataFr
     the lighter the weightier.
     """
     weight = leaders.groupBy("leader").agg(F.count("*").alias("weight")).where("weight > 1")
-    entries = whole.join(broadcast_if_small(weight), "leader", "left").select("token", "sid", "n", "pos", "leader", F.coalesce("weight", F.lit(1)).alias("weight"), _band(F.col("n")).alias("band"))
+    entries = whole.join(broadcast_if_small(weight), "leader", "left").select("token", "sid", "n", "pos", "leader", F.coalesce("weight", F.lit(1)).alias("weight"), _band(F.col("n"), percent).alias("band"))
     entries = stage(_mixed(entries), "mixed")
     fields = ["weight", "leader", "least_n", "most_n", "most_pos", "most_rest"]
     top = _blocks(entries).groupBy("token", "band").agg(F.max(F.struct(*fields)).alias("top")).select("token", "band", "top.*")
     lighter = F.struct("y.weight", "y.leader") > F.struct("x.weight", "x.leader")
-    met = stage(_met(entries, top, lighter).join(broadcast_if_small(weight).withColumnRenamed("leader", "b"), "b", "left").groupBy("own").agg(F.max(F.struct(F.coalesce("weight", F.lit(1)).alias("weight"), F.col("b").alias("leader"))).alias("to")), "met")
+    met = stage(_met(entries, top, lighter, percent).join(broadcast_if_small(weight).withColumnRenamed("leader", "b"), "b", "left").groupBy("own").agg(F.max(F.struct(F.coalesce("weight", F.lit(1)).alias("weight"), F.col("b").alias("leader"))).alias("to")), "met")
     # every name keeps its one weight, so that the order of leaders holds
     renamed = broadcast_if_small(met.select(F.col("own").alias("leader"), "to"))
     moved = entries.join(renamed, "leader", "left").select("token", "sid", "n", "pos", F.coalesce("to.leader", "leader").alias("leader"), F.coalesce("to.weight", "weight").alias("weight"), "band")
     fewer = stage(_mixed(moved), "mixed")
-    pairs = stage(_met(fewer, _blocks(fewer), lighter).select("a", "b"), "pairs")
+    pairs = stage(_met(fewer, _blocks(fewer), lighter, percent).select("a", "b"), "pairs")
     return pairs.unionByName(met.select(F.col("own").alias("a"), F.col("to.leader").alias("b"))), [entries, met, fewer, pairs]
 
 
@@ -327,25 +328,25 @@ def _mixed(entries: DataFrame) -> DataFrame:
     return entries.join(mixed, "token", "left_semi")
 
 
-def _rooted(docs: DataFrame, key: str, text: str) -> DataFrame:
+def _rooted(docs: DataFrame, key: str, text: str, width: int, percent: int) -> DataFrame:
     """doc (the key), th (hash of the text), n (shingles) and root (one set of its class; 0 without shingles) per document row."""
     kind = docs.schema[key].dataType.simpleString()
-    last = docs.sparkSession.sparkContext.broadcast(common_shingles(docs, text))
-    make, schema = _prefixes(last, kind)
+    last = docs.sparkSession.sparkContext.broadcast(common_shingles(docs, text, width))
+    make, schema = _prefixes(last, kind, width, percent)
     sets = stage(map_blocks(docs.select(key, text, F.xxhash64(text).alias("th")), make, schema, text), "sets")
 
     entries = sets.where("size(prefix) > 0").select("sid", "n", F.posexplode("prefix").alias("pos", "token"))
     entries = entries.select("token", "sid", F.col("n").cast("int").alias("n"), "pos").repartition("token").sortWithinPartitions("token", "sid")
-    listed = stage(entries.mapInArrow(_lists, "sid long, first long, token long, n int, pos int"), "lists")
+    listed = stage(entries.mapInArrow(lambda rows: _lists(rows, percent), "sid long, first long, token long, n int, pos int"), "lists")
 
     # every set follows the least first set that it shares enough entries with
     votes = listed.groupBy("sid", "first").agg(F.count("*").alias("votes"), F.first("n").alias("n"))
-    follows = votes.where(F.col("votes") >= F.least(3 + F.floor(F.col("n") / 25), F.ceil(F.col("n") * PERCENT / 100)))
+    follows = votes.where(F.col("votes") >= F.least(3 + F.floor(F.col("n") / 25), F.ceil(F.col("n") * percent / 100)))
     leaders = stage(follows.groupBy("sid").agg(F.min("first").alias("leader"), F.first("n").alias("n")), "leaders")
     whole = stage(listed.join(leaders.drop("n"), "sid", "left").select("token", "sid", "n", "pos", F.coalesce("leader", "sid").alias("leader")), "led")
     unstage(listed)
 
-    pairs, left = _pairs(whole, leaders)
+    pairs, left = _pairs(whole, leaders, percent)
 
     # sets that may link, directly or by a chain, are compared in one place: they get their shingles once
     follows = leaders.where("sid <> leader").select(F.col("sid").alias("a"), F.col("leader").alias("b"))
@@ -360,7 +361,7 @@ def _rooted(docs: DataFrame, key: str, text: str) -> DataFrame:
 
     def fetch(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in parts:
-            values, sizes = shingles(block.column(3), last.value)
+            values, sizes = shingles(block.column(3), last.value, width)
             right = np.flatnonzero(signatures(values, sizes) == block.column(0).to_numpy())
             ends = np.cumsum(sizes)
             raw = [values[ends[i] - sizes[i] : ends[i]].tobytes() for i in right.tolist()]
@@ -375,19 +376,19 @@ def _rooted(docs: DataFrame, key: str, text: str) -> DataFrame:
     grouped = grouped.select("place", F.least("part", "other").alias("one"), F.greatest("part", "other").alias("two"), "sid", "shingles")
     grouped = grouped.repartition("place", "one", "two").sortWithinPartitions("place", "one", "two", "sid")
 
-    roots = connected(grouped.mapInArrow(_groups, "a long, b long"))
+    roots = connected(grouped.mapInArrow(lambda rows: _groups(rows, percent), "a long, b long"))
     return sets.select("doc", "th", "sid", "n").join(roots, F.col("sid") == F.col("node"), "left").select("doc", "th", "n", F.coalesce("root", "sid").alias("root"))
 
 
-def link_classes(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+def link_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
     """Key, n_shingles and component_id (least key that links reach) per document row."""
-    rooted = _rooted(docs, key, text)
+    rooted = _rooted(docs, key, text, width, percent)
     least = rooted.where("n > 0").groupBy("root").agg(F.min("doc").alias("least"))
     component = F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("doc"))
     return rooted.join(least, "root", "left").select(F.col("doc").alias(key), F.col("n").alias("n_shingles"), component.alias("component_id"))
 
 
-def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = NEAR_WIDTH, percent: int = NEAR_PERCENT) -> DataFrame:
     """One row of each class of linked documents: one of the least key, null keys last.
 
     Documents without shingles are classes of their own; of them, rows that repeat a key and its
@@ -395,7 +396,7 @@ def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
     """
     own = F.struct(*[docs[c] for c in docs.columns])
     rows = docs.select(F.col(key).alias("doc"), F.xxhash64(text).alias("th"), own.alias("row"))
-    rooted = _rooted(docs, key, text)
+    rooted = _rooted(docs, key, text, width, percent)
     least = F.min(F.struct(F.col("doc").isNull().alias("no_doc"), "doc", "th")).alias("least")
     linked = rooted.where("n > 0").groupBy("root").agg(least).select(F.col("least.doc").alias("kept"), F.col("least.th").alias("kept_th"), F.lit(False).alias("single"))
     alone = rooted.where("n = 0").select("doc", "th", F.col("doc").isNull().alias("single")).distinct()

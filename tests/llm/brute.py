@@ -78,9 +78,9 @@ def shingles(text, width=4):
     return frozenset(tuple(words[i : i + width]) for i in range(max(1, len(words) - width + 1))) if words else frozenset()
 
 
-def classes(docs):
+def classes(docs, width=4, percent=85):
     """docs: (doc_id, text) -> {doc_id: (size, component)}; rows that repeat an id must repeat its text."""
-    sets = {d: shingles(t) for d, t in docs}
+    sets = {d: shingles(t, width) for d, t in docs}
     root = {d: d for d in sets}
 
     def find(d):
@@ -92,7 +92,7 @@ def classes(docs):
     for i, a in enumerate(known):
         for b in known[:i]:
             common = len(sets[a] & sets[b])
-            if 100 * common >= 85 * (len(sets[a]) + len(sets[b]) - common):
+            if 100 * common >= percent * (len(sets[a]) + len(sets[b]) - common):
                 x, y = find(a), find(b)
                 root[max(x, y)] = min(x, y)
     return {d: (len(s), find(d)) for d, s in sets.items()}

@@ -209,8 +209,8 @@ def test_packing_plan_has_little_padding():
     assert plan.fitted.sum() > 0.5 * len(lengths)
 
 
-@pytest.mark.parametrize("edits", [1, 4])
-def test_classes(spark, docs, edits):
+@pytest.mark.parametrize(("edits", "width", "percent"), [(1, 4, 85), (4, 4, 85), (4, 5, 80), (2, 3, 60)])
+def test_classes(spark, docs, edits, width, percent):
     rng = random.Random(edits)
     base = prose(rng, 120, 10_000)
     more = [(100 + k, near(rng, base, rng.randrange(3 * edits))) for k in range(25)]
@@ -218,8 +218,8 @@ def test_classes(spark, docs, edits):
     for _ in range(10):
         chain.append(near(rng, chain[-1], 1))
     more += [(200 + k, t) for k, t in enumerate(chain)]
-    want = brute.classes(docs + more)
-    found = ngram_join.link_classes(table(spark, docs + more + docs[:6]))
+    want = brute.classes(docs + more, width, percent)
+    found = ngram_join.link_classes(table(spark, docs + more + docs[:6]), width=width, percent=percent)
     assert rows(found, "doc_id", "n_shingles", "component_id") == sorted(((d, *want[d]) for d, _ in docs + more + docs[:6]), key=repr)
 
 
@@ -282,7 +282,7 @@ def test_one_of_each_class_stays(spark, docs):
     source = table(spark, docs + docs[:6])
     kept = ngram_join.keep_one(source)
     assert kept.columns == source.columns
-    assert sorted(r["doc_id"] for r in kept.collect()) == sorted(d for d, (_, c) in brute.classes(docs).items() if d == c)
+    assert sorted(r["doc_id"] for r in kept.collect()) == sorted(d for d, (_, c) in brute.classes(docs, 5, 80).items() if d == c)
 
 
 def test_one_of_each_class_stays_with_null_and_repeated_keys(spark):
@@ -294,7 +294,7 @@ def test_one_of_each_class_stays_with_null_and_repeated_keys(spark):
     source += [(None, None), (None, None), (None, ""), (9, None), (9, " "), (9, " ")]
     numbered = [(k, t) for k, (_, t) in enumerate(source)]
     of_class = defaultdict(set)
-    for k, (_, c) in brute.classes(numbered).items():
+    for k, (_, c) in brute.classes(numbered, 5, 80).items():
         of_class[c].add(source[k])
     kept = [(r["doc_id"], r["text"]) for r in ngram_join.keep_one(table(spark, source)).collect()]
     full = [x for x in kept if brute.spaced(x[1])]

@@ -27,7 +27,7 @@ def test_stages_follow_the_plain_versions(spark):
                 n, _, symbols, _, repeated = brute.quality(text)
                 assert (d in after) or n < 50 or 100 * repeated > 50 * n or 100 * symbols > 10 * n or text.count("!!") > 10
         elif name == "near_duplicates":
-            assert set(after) == {d for d, (_, c) in brute.classes(list(before.items())).items() if c == d}
+            assert set(after) == {d for d, (_, c) in brute.classes(list(before.items()), 5, 80).items() if c == d}
         elif name == "substring_dedup":
             for d, (n, removed, sha) in brute.repeats(list(before.items())).items():
                 assert brute.sha(" ".join(brute.spaced(after.get(d)))) == sha
