@@ -7,6 +7,9 @@ that a row fills. The fingerprint selects a declarative mapping, which turns the
 The template marks a turn as `<|turn|>role<|text|>text<|end|>`. Control strings inside roles
 and texts are escaped with a backslash after their first character, and a backslash is
 doubled, so that one pass over `\\x -> x` restores them.
+
+Columns that a step writes (`layout` and `turns`, `formatted` and `loss_spans`) replace columns
+of the same name; all others stay, whatever they are called.
 """
 
 from __future__ import annotations
@@ -18,6 +21,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from argentum.llm.names import unused
+
 TURN, TEXT, END = "<|turn|>", "<|text|>", "<|end|>"
 
 # Control strings of common chat formats, which texts may hold.
@@ -118,20 +123,19 @@ def canonical_turns(df: DataFrame, layouts: Sequence[Layout] = LAYOUTS) -> DataF
     A row of unknown fingerprint keeps null in both, so that it can be counted and mapped
     later. A null role or text becomes an empty string; an empty message array, no turns.
     """
-    columns = set(df.columns)
+    helper = unused(df.columns, "_print")
     by_paths = {path: column for path, column in field_paths(df.schema)}
     usable = [x for x in layouts if all(path in by_paths for path in x.paths)]
     name, turns = F.lit(None).cast("string"), F.lit(None).cast("array<struct<role:string,text:string>>")
     for layout in usable:
         # the literal is hashed by the same function as the row
-        same = F.col("_print") == F.xxhash64(F.lit("\n".join(sorted(layout.paths))))
+        same = F.col(helper) == F.xxhash64(F.lit("\n".join(sorted(layout.paths))))
         if layout.messages:
             made = _turns_of_messages(layout)
         else:
             made = F.array(*[_turn(F.lit(role), F.col(by_paths[path])) for role, path in layout.turns])
         name, turns = F.when(same, layout.name).otherwise(name), F.when(same, made).otherwise(turns)
-    assert "_print" not in columns
-    return df.withColumn("_print", fingerprint(df, layouts)).withColumns({"layout": name, "turns": turns}).drop("_print")
+    return df.withColumn(helper, fingerprint(df, layouts)).withColumns({"layout": name, "turns": turns}).drop(helper)
 
 
 def gather_turns(rows: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
@@ -179,13 +183,14 @@ def format_turns(df: DataFrame, trained: Sequence[str] = ("assistant",)) -> Data
         one = F.when(p["trained"], F.array(F.struct(begin.alias("start"), end.alias("end")))).otherwise(F.array().cast("array<struct<start:int,end:int>>"))
         return F.struct((end + len(END)).alias("at"), F.concat(acc["spans"], one).alias("spans"))
 
-    out = df.withColumn("_pieces", pieces)
+    helper = unused(df.columns, "_pieces")
+    out = df.withColumn(helper, pieces)
     return out.withColumns(
         {
-            "formatted": F.array_join(F.transform("_pieces", lambda p: F.concat(p["head"], p["body"], F.lit(END))), ""),
-            "loss_spans": F.aggregate("_pieces", start, walk, lambda acc: acc["spans"]),
+            "formatted": F.array_join(F.transform(helper, lambda p: F.concat(p["head"], p["body"], F.lit(END))), ""),
+            "loss_spans": F.aggregate(helper, start, walk, lambda acc: acc["spans"]),
         }
-    ).drop("_pieces")
+    ).drop(helper)
 
 
 def read_back(formatted: Column) -> Column:

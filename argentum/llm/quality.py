@@ -18,6 +18,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from argentum.llm.names import unused
 from argentum.session import let
 
 SPACE = r"[\x20\x09-\x0D]+"
@@ -116,10 +117,12 @@ def measure(docs: DataFrame, text: str = "text") -> DataFrame:
 
     of_lines = lambda x: F.struct(F.size(x).alias("n_lines"), (F.size(x) - F.size(F.array_distinct(x))).alias("n_dup_lines"))
     symbols = F.regexp_count(F.coalesce(F.col(text), F.lit("")), F.lit("[#*$%&|<>]"))
-    out = docs.withColumns({"_words": let(words, of_words), "_lines": let(lines, of_lines), "_symbols": symbols})
-    found = {name: F.col(f"{'_lines' if name in ('n_lines', 'n_dup_lines') else '_words'}.{name}") for name in MEASURES if name != "n_symbols"}
-    found["n_symbols"] = F.col("_symbols")
-    return out.withColumns({name: found[name].cast("long") for name in MEASURES}).drop("_words", "_lines", "_symbols")
+    # one helper column, whatever the table's own columns are called
+    helper = unused([*docs.columns, *MEASURES], "_measured")
+    made = F.struct(let(words, of_words).alias("words"), let(lines, of_lines).alias("lines"), symbols.alias("n_symbols"))
+    place = {"n_symbols": "n_symbols", "n_lines": "lines.n_lines", "n_dup_lines": "lines.n_dup_lines"}
+    found = {name: F.col(f"{helper}.{place.get(name, f'words.{name}')}").cast("long") for name in MEASURES}
+    return docs.withColumn(helper, made).withColumns(found).drop(helper)
 
 
 def ledger(docs: DataFrame, text: str = "text") -> DataFrame:

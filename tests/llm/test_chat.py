@@ -24,6 +24,20 @@ def test_format_and_read_back(spark):
         assert row["loss"] == "".join(t["text"] for t in row["turns"] if t["role"] == "assistant")
 
 
+def test_columns_of_any_name_stay(spark):
+    odd = spark.createDataFrame([("p", "c", 1, "x", "y")], "prompt string, completion string, _print int, _pieces string, _Print_ string")
+    found = chat.format_turns(chat.canonical_turns(odd))
+    assert found.columns == [*odd.columns, "layout", "turns", "formatted", "loss_spans"]
+    assert found.select(odd.columns).collect() == odd.collect()
+    row = found.first()
+    assert row["layout"] == "prompt_completion" and [t["text"] for t in row["turns"]] == ["p", "c"]
+
+
+def test_empty_tables(spark):
+    none = spark.createDataFrame([], "conv_id long, turn int, role string, text string")
+    assert chat.format_turns(chat.canonical_turns(chat.gather_turns(none))).count() == 0
+
+
 def test_layouts(spark):
     schema = (
         "id int, prompt string, completion string, instruction string, output string, input string, extra string, messages array<struct<role:string,content:string>>, "
