@@ -1,10 +1,12 @@
 """Licence texts in files, by matching statistics against a generalised suffix automaton.
 
 The automaton holds the words of all templates. A file's words are streamed through it: the
-state and length after each word tell the longest run of words ending there that some template
-has. Runs that no longer run contains are chained, per template and in template order, into
-spans; the score of a file is the largest share of a template that one span covers. Phrases
-that are templates of their own give the base labels.
+state and length after each word tell, by way of suffix links for every template, the longest run of
+words ending there that the template has. Runs that the next word doesn't extend are chained, per
+template and in template order: of runs that overlap, the later one counts without the overlap, and
+the chain that covers most of the template is found by dynamic programming. Chains are the spans;
+the score of a file is the largest share of a template that one span covers. Phrases that are
+templates of their own give the base labels.
 
 A file's words that are in no template pair of neighbours never enter the automaton: a numpy
 look-up of word pairs leaves only stretches that can match two words or more.
@@ -15,6 +17,7 @@ rows repeat; extra columns are ignored.
 
 from __future__ import annotations
 
+import bisect
 from collections import defaultdict
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
@@ -49,6 +52,59 @@ NOTICES = (
     ("unlicense", "This is free and unencumbered software released into the public domain."),
 )
 
+# Whole texts of public licences, as their publishers give them.
+TEXTS = (
+    (
+        "mit",
+        """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated
+        documentation files (the "Software"), to deal in the Software without restriction, including without limitation
+        the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and
+        to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above
+        copyright notice and this permission notice shall be included in all copies or substantial portions of the
+        Software. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT
+        LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT
+        SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION
+        OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER
+        DEALINGS IN THE SOFTWARE.""",
+    ),
+    (
+        "isc",
+        """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby
+        granted, provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS
+        PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED
+        WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT,
+        INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER
+        IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR
+        PERFORMANCE OF THIS SOFTWARE.""",
+    ),
+    (
+        "bsd",
+        """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the
+        following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list
+        of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright
+        notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided
+        with the distribution. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS
+        OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A
+        PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT,
+        INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF
+        SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY
+        THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN
+        ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.""",
+    ),
+    (
+        "zlib",
+        """This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held
+        liable for any damages arising from the use of this software. Permission is granted to anyone to use this software
+        for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the
+        following restrictions: 1. The origin of this software must not be misrepresented; you must not claim that you
+        wrote the original software. If you use this software in a product, an acknowledgment in the product documentation
+        would be appreciated but is not required. 2. Altered source versions must be plainly marked as such, and must not be
+        misrepresented as being the original software. 3. This notice may not be removed or altered from any source
+        distribution.""",
+    ),
+)
+TEMPLATES = NOTICES + TEXTS
+
 #: Words of a match that counts as long, or the whole template if that is shorter.
 LONG = 5
 #: Words between two matches of one span, in the file and in the template.
@@ -71,7 +127,7 @@ class State:
 
 
 class Automaton:
-    """Generalised suffix automaton of symbol sequences; of each state, where its text ends first in each sequence."""
+    """Generalised suffix automaton of symbol sequences; of each state, where its text ends in each sequence."""
 
     def __init__(self, sequences: Sequence[Sequence[int]]):
         self.states = [State(0, -1)]
@@ -79,17 +135,24 @@ class Automaton:
             last = 0
             for symbol in sequence:
                 last = self._extend(last, symbol)
-        ends: list[dict[int, int]] = [{} for _ in self.states]
+        #: by sequence, the ends of all occurrences of the state's texts
+        self.ends: list[dict[int, list[int]]] = [{} for _ in self.states]
         for n, sequence in enumerate(sequences):
             at = 0
             for i, symbol in enumerate(sequence):
-                at = self.states[at].next[symbol]
-                up = at
-                while up > 0 and n not in ends[up]:
-                    ends[up][n] = i + 1
+                at = up = self.states[at].next[symbol]
+                while up > 0:
+                    self.ends[up].setdefault(n, []).append(i + 1)
                     up = self.states[up].link
-        #: (sequence, end) of the first occurrence of the state's texts
-        self.ends = [sorted(x.items()) for x in ends]
+
+    def longest(self, at: int) -> list[tuple[int, int, list[int]]]:
+        """(sequence, most words, ends) of the longest suffix of the state's texts that each sequence has."""
+        found, up = {}, at
+        while up > 0:
+            for n, ends in self.ends[up].items():
+                found.setdefault(n, (self.states[up].length, ends))
+            up = self.states[up].link
+        return [(n, *x) for n, x in sorted(found.items())]
 
     def _extend(self, last: int, symbol: int) -> int:
         known = self.states[last].next.get(symbol)
@@ -134,7 +197,7 @@ class Automaton:
 class Scanner:
     """Finds labels in texts."""
 
-    def __init__(self, phrases: Sequence[tuple[str, str]] = PHRASES, notices: Sequence[tuple[str, str]] = NOTICES):
+    def __init__(self, phrases: Sequence[tuple[str, str]] = PHRASES, notices: Sequence[tuple[str, str]] = TEMPLATES):
         self.labels = [label for _, label in phrases] + [label for label, _ in notices]
         self.n_phrases = len(phrases)
         if any(len(x.split()) < 2 for x, _ in phrases):
@@ -159,6 +222,8 @@ class Scanner:
                 found += whole.get(up, [])
                 up = self.automaton.states[up].link
             self.phrases_at.append(found)
+        self.long = [min(LONG, len(t)) for t in self.templates]
+        self.matches_at = [[x for x in self.automaton.longest(at) if x[0] >= self.n_phrases and x[1] >= self.long[x[0]]] for at in range(len(self.automaton.states))]
 
     def symbols(self, prints: np.ndarray) -> np.ndarray:
         at = np.minimum(np.searchsorted(self.vocabulary, prints), len(self.vocabulary) - 1)
@@ -187,31 +252,68 @@ class Scanner:
                 for n in self.phrases_at[at]:
                     if length >= len(self.templates[n]):
                         out[text]["places"].append((n, base + k + 1 - len(self.templates[n])))
-                # a match that the next word extends is part of a longer one
-                if k + 1 < len(seen) and seen[k + 1][1] == length + 1:
+                if not self.matches_at[at]:
                     continue
-                for n, stop in self.automaton.ends[at]:
-                    if n >= self.n_phrases and length >= min(LONG, len(self.templates[n])):
-                        matches[text].append((n, stop, base + k + 1, length))
+                # a match that the next word extends is part of a longer one
+                after = {n: min(seen[k + 1][1], most) for n, most, _ in self.matches_at[seen[k + 1][0]]} if k + 1 < len(seen) else {}
+                for n, most, stops in self.matches_at[at]:
+                    own = min(length, most)
+                    if own >= self.long[n] and after.get(n) != own + 1:
+                        matches[text] += [(n, stop, base + k + 1, own) for stop in stops]
         for text, found in matches.items():
             out[text]["spans"] = self.chain(found)
         return out
 
     def chain(self, matches: list[tuple[int, int, int, int]]) -> list[tuple[str, int, int, float]]:
-        """Join matches of one template that follow one another in file and template."""
+        """Spans of each template: chains of matches that follow one another in file and template.
+
+        Spans of a template don't overlap in the file: the chain that covers most comes first, and
+        others end where they would meet it.
+        """
+        by_template = defaultdict(list)
+        for n, stop, end, length in matches:
+            by_template[n].append((end, stop, length))
         spans = []
-        for n in sorted({x[0] for x in matches}):
-            size, open_span = len(self.templates[n]), None
-            for _, stop, end, length in sorted((x for x in matches if x[0] == n), key=lambda x: x[2]):
-                if open_span and 0 <= end - length - open_span[1] <= GAP and 0 <= stop - length - open_span[2] <= GAP:
-                    open_span[1:4] = [end, stop, open_span[3] + length]
-                else:
-                    if open_span:
-                        spans.append((self.labels[n], open_span[0], open_span[1], open_span[3] / size))
-                    open_span = [end - length, end, stop, length]
-            if open_span:
-                spans.append((self.labels[n], open_span[0], open_span[1], open_span[3] / size))
-        return spans
+        for n, found in sorted(by_template.items()):
+            found.sort()
+            taken: list[tuple[int, int]] = []
+            covered, before, order = best_chains(found)
+            for i in order:
+                end, first, at = found[i][0], i, before[i]
+                if not _apart(taken, end - found[i][2], end):
+                    continue
+                while at >= 0 and _apart(taken, found[at][0] - found[at][2], end):
+                    first, at = at, before[at]
+                start = found[first][0] - found[first][2]
+                bisect.insort(taken, (start, end))
+                words = covered[i] - covered[first] + found[first][2]
+                spans.append((self.labels[n], start, end, words / len(self.templates[n])))
+        return sorted(spans, key=lambda s: (s[1], s[2], s[0], s[3]))
+
+
+def best_chains(found: list[tuple[int, int, int]]) -> tuple[list[int], list[int], list[int]]:
+    """Of matches (end in file, end in template, words), sorted: words covered by the best chain up to each,
+    its predecessor (or -1), and all matches, the one that ends the best chain first.
+
+    A match follows another if, without the words that overlap in the file or in the template, some of it is left and
+    at most GAP words lie between the two on either side.
+    """
+    covered, before = [x[2] for x in found], [-1] * len(found)
+    for i, (end, stop, length) in enumerate(found):
+        for j in range(i - 1, -1, -1):
+            end_j, stop_j, _ = found[j]
+            if end - length - end_j > GAP:
+                break
+            new = min(length, end - end_j, stop - stop_j)
+            if new > 0 and end - new - end_j <= GAP and stop - new - stop_j <= GAP and covered[j] + new > covered[i]:
+                covered[i], before[i] = covered[j] + new, j
+    return covered, before, sorted(range(len(found)), key=lambda i: (-covered[i], i))
+
+
+def _apart(taken: list[tuple[int, int]], start: int, end: int) -> bool:
+    """Whether a range meets none of the disjoint ranges."""
+    at = bisect.bisect_left(taken, (start, start))
+    return (at == len(taken) or taken[at][0] >= end) and (at == 0 or taken[at - 1][1] <= start)
 
 
 SCHEMA = (
@@ -220,7 +322,7 @@ SCHEMA = (
 )
 
 
-def scan_licenses(docs: DataFrame, key: str = "doc_id", text: str = "text", phrases: Sequence[tuple[str, str]] = PHRASES, notices: Sequence[tuple[str, str]] = NOTICES) -> DataFrame:
+def scan_licenses(docs: DataFrame, key: str = "doc_id", text: str = "text", phrases: Sequence[tuple[str, str]] = PHRASES, notices: Sequence[tuple[str, str]] = TEMPLATES) -> DataFrame:
     """Key, the counts and labels of the contract, and the covered template spans (words from `start` up to `end`)."""
     kind = docs.schema[key].dataType.simpleString()
 

@@ -96,3 +96,24 @@ def classes(docs, width=4, percent=85):
                 x, y = find(a), find(b)
                 root[max(x, y)] = min(x, y)
     return {d: (len(s), find(d)) for d, s in sets.items()}
+
+
+def license_shares(text, templates, least=5, gap=8):
+    """(label, largest share of the template that a chain of matches covers) of each (label, template)."""
+    words, out = lowered(text), []
+    for label, body in templates:
+        want = lowered(body)
+        longest = [max((n for n in range(k + 2) if any(want[i : i + n] == words[k + 1 - n : k + 1] for i in range(len(want) - n + 1))), default=0) for k in range(len(words))]
+        found = []
+        for k, n in enumerate(longest):
+            if n >= min(least, len(want)) and (k + 1 == len(words) or longest[k + 1] != n + 1):
+                found += [(k + 1, i + n, n) for i in range(len(want) - n + 1) if want[i : i + n] == words[k + 1 - n : k + 1]]
+        best = {}
+        for end, stop, n in sorted(found):
+            best[end, stop] = n
+            for (e, s), c in list(best.items()):
+                new = min(n, end - e, stop - s)
+                if new > 0 and end - new - e <= gap and stop - new - s <= gap:
+                    best[end, stop] = max(best[end, stop], c + new)
+        out.append((label, max(best.values(), default=0) / len(want)))
+    return out

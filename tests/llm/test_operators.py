@@ -6,6 +6,7 @@ import brute
 import duckdb
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from argentum.llm import decontaminate, html_text, licenses, ngram_join, packing, quality, sharding, substrings, token_counts
@@ -85,6 +86,13 @@ def test_licenses(spark, docs):
     assert got == sorted(((d, *brute.licenses(t)) for d, t in docs), key=repr)
 
 
+def test_ledger_leaves_columns_of_any_name(spark):
+    odd = spark.createDataFrame([("a b", 1, "m", "n", "o")], "text string, _words int, _lines string, _Symbols string, _measured string")
+    found = quality.verdicts(quality.ledger(odd))
+    assert found.select(odd.columns).collect() == odd.collect() and found.first()["n_words"] == 2
+    assert quality.keep(odd).columns == odd.columns
+
+
 def test_license_notices_chain_over_changes(spark):
     notice = licenses.NOTICES[0][1]
     changed = notice.replace("software and associated", "library with its associated")
@@ -97,6 +105,37 @@ def test_license_notices_chain_over_changes(spark):
     assert span["start"] == 2 and span["end"] == 2 + len(brute.lowered(changed))
 
 
+def test_license_keeps_its_label_over_one_changed_word(spark):
+    words = licenses.NOTICES[0][1].split()
+    texts = [f"ahead {licenses.TEXTS[0][1]} behind"]
+    for k in range(len(words)):
+        texts += [" ".join([*words[:k], *new, *words[k + 1 :]]) for new in ([], ["another"], [words[k], words[k]])]
+    for row in licenses.scan_licenses(table(spark, list(enumerate(texts)))).collect():
+        assert row["labels"] == "mit" and row["score"] >= 0.8, texts[row["doc_id"]]
+
+
+def test_license_labels_and_scores_follow_the_plain_version(spark):
+    rng = random.Random(4)
+    templates = [("a", "one two three four five six one two three four five seven eight nine"), ("b", "two three four five six one two nine nine"), ("c", "x y z"), ("a", "four five seven eight nine ten")]
+    texts = [None, "", "x y z", "x y y z"]
+    for _ in range(150):
+        words = []
+        for _ in range(rng.randrange(1, 5)):
+            own = rng.choice(templates)[1].split()
+            at = rng.randrange(len(own))
+            words += own[at : at + rng.randrange(2, 15)] + rng.choices(["x", "one", "two", "gap"], k=rng.randrange(4))
+        texts.append(" ".join(words))
+    found = licenses.scan_licenses(table(spark, list(enumerate(texts))), notices=templates).collect()
+    assert len(found) == len(texts)
+    for row in found:
+        shares = brute.license_shares(texts[row["doc_id"]], templates)
+        assert row["labels"] == ",".join(sorted({x for x, share in shares if share >= licenses.SHARE}))
+        assert row["score"] == pytest.approx(max(share for _, share in shares))
+        for label in "bc":  # one template each: spans don't overlap
+            spans = [s for s in row["spans"] if s["label"] == label]
+            assert all(a["end"] <= b["start"] for a, b in zip(spans, spans[1:], strict=False))
+
+
 def test_automaton_matching_statistics():
     rng = random.Random(1)
     templates = [[rng.randrange(4) for _ in range(rng.randrange(1, 25))] for _ in range(6)]
@@ -354,6 +393,7 @@ def test_empty_tables(spark):
     for found in (
         quality.verdicts(quality.ledger(none)),
         quality.keep(none),
+        html_text.extract(none.select("doc_id", F.lit("u").alias("url"), F.col("text").alias("html")), "doc_id"),
         licenses.scan_licenses(none),
         decontaminate.digest(decontaminate.contamination(none, items)),
         decontaminate.remove_leaks(none, items),
