@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from argentum.llm import decontaminate, ngram_join, packing, quality, substrings
-from argentum.session import pin, remove_staged, stage, staging_noted
+from argentum.session import pin, remove_staged, stage, staging_noted, unstage
 
 
 def _with_words(docs: DataFrame) -> DataFrame:
@@ -49,7 +49,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of linked documents."""
+    """One document of each class of documents that link at five words and a similarity of 0.8."""
     return ngram_join.keep_one(docs)
 
 
@@ -82,7 +82,10 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the documents table."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, function in STAGES[:-1]:
         docs = stage(function(spark, docs, sf_dir), name)
+        if before is not None:  # its successor is written
+            unstage(before)
+        before = docs
     return STAGES[-1][1](spark, docs, sf_dir)
