@@ -13,6 +13,7 @@ from driver_queries import (  # noqa: F401  (importing registers the queries)
     records,
     scans,
     splits,
+    steps,
     windows,
 )
 
