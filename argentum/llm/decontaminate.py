@@ -16,7 +16,10 @@ answered one by one. Extra columns are ignored.
 
 from __future__ import annotations
 
+from collections import defaultdict
 from collections.abc import Iterator
+from dataclasses import dataclass
+from itertools import pairwise
 
 import numpy as np
 import pandas as pd
@@ -25,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from argentum.llm.fm_index import FIRST, SEPARATOR, FMIndex
-from argentum.llm.words import ALNUM, LOWER, Words, flat, map_blocks, ranges
+from argentum.llm.words import ALNUM, BLOCK_BYTES, LOWER, Words, flat, map_blocks, ranges
 from argentum.session import broadcast_if_small, stage
 
 WINDOW = 10
@@ -34,6 +37,8 @@ SHARD_WORDS, SHARD_BYTES = 4_000_000, 32 << 20
 SHARD_SYMBOLS = 2_000_000
 #: Bytes of benchmark texts in one block.
 BLOCK = 32 << 20
+#: Phrases searched at once.
+SEARCHED = 200_000
 
 
 def words_of(texts: pa.Array) -> tuple[Words, np.ndarray]:
@@ -43,27 +48,65 @@ def words_of(texts: pa.Array) -> tuple[Words, np.ndarray]:
     return words, words.fingerprints()
 
 
+@dataclass
 class Phrases:
-    """Distinct windows of the items of a block, as symbols of the block's own vocabulary."""
-
-    def __init__(self, items: list[tuple[str, str | None]], window: int = WINDOW):
-        words, prints = words_of(pa.array([x[1] for x in items], pa.string()))
-        self.vocabulary = np.unique(prints)
-        symbols = np.searchsorted(self.vocabulary, prints) + FIRST
-        found: dict[tuple[int, ...], set[int]] = {}
-        self.names = sorted({x[0] for x in items})
-        number = {x: k for k, x in enumerate(self.names)}
-        for k, (name, _) in enumerate(items):
-            own = symbols[words.first[k] : words.first[k + 1]].tolist()
-            for i in range(max(1, len(own) - window + 1) if own else 0):
-                found.setdefault(tuple(own[i : i + window]), set()).add(number[name])
-        phrases = sorted(found, key=len)
-        self.items = [sorted(found[p]) for p in phrases]
-        #: (number of the first phrase, phrases of one length as a matrix)
-        self.by_length = []
-        for n in sorted({len(p) for p in phrases}):
-            same = [k for k, p in enumerate(phrases) if len(p) == n]
-            self.by_length.append((same[0], np.array([phrases[k] for k in same])))
+    """Distinct windows of the items of a block, as symbols of the block's own vocabulary.
+
+    Plain arrays, made once ahead of the search and broadcast: about ten times 4 bytes a word of the block.
+    """
+
+    vocabulary: np.ndarray  # fingerprints of the words, sorted
+    text: np.ndarray  # symbols of all items, one after the other
+    starts: np.ndarray  # in `text`, of each phrase; phrases are ordered by length
+    lengths: list[tuple[int, int]]  # (words, number of phrases)
+    names: list[str]  # of the items
+    items: np.ndarray  # numbers of the items of each phrase
+    first: np.ndarray  # phrase p has items[first[p] : first[p + 1]]
+
+    @classmethod
+    def of(cls, rows: list[tuple[str, str | None]], window: int = WINDOW, block: int = BLOCK_BYTES) -> Phrases:
+        """Windows of the texts of (item, text); they are looked at in blocks, and compared by fingerprint."""
+        names = sorted({name for name, _ in rows})
+        number = {name: k for k, name in enumerate(names)}
+        owners = np.array([number[name] for name, _ in rows], np.int64)
+        prints, found, total = [], defaultdict(list), 0
+        sizes = np.cumsum([len(text or "") for _, text in rows])
+        cuts = np.searchsorted(sizes, np.arange(0, sizes[-1] if len(sizes) else 0, block))
+        for a, b in pairwise([*np.unique(cuts).tolist(), len(rows)]):
+            words, own = words_of(pa.array([text for _, text in rows[a:b]], pa.string()))
+            for n in range(1, window + 1):
+                starts, values = words.windows(own, n)
+                wanted = np.ones(len(starts), bool) if n == window else words.counts[words.text[starts]] == n
+                found[n].append((starts[wanted] + total, values[wanted], owners[a:b][words.text[starts[wanted]]]))
+            prints.append(own)
+            total += len(own)
+        prints = np.concatenate([np.zeros(0, np.uint64), *prints])
+        vocabulary, text = np.unique(prints, return_inverse=True)
+        starts, lengths, pairs, before = [], [], [np.zeros(0, np.int64)], 0
+        for n, parts in sorted(found.items()):
+            at, values, item = (np.concatenate(x) for x in zip(*parts, strict=True))
+            if len(at):
+                _, once, phrase = np.unique(values, return_index=True, return_inverse=True)
+                starts.append(at[once].astype(np.int32))
+                lengths.append((n, len(once)))
+                pairs.append(np.unique((phrase + before) * len(names) + item))
+                before += len(once)
+        joint = np.concatenate(pairs)
+        first = np.searchsorted(joint, np.arange(before + 1) * max(1, len(names)))
+        every = np.concatenate([np.zeros(0, np.int32), *starts])
+        return cls(vocabulary, (text + FIRST).astype(np.int32), every, lengths, names, (joint % max(1, len(names))).astype(np.int32), first.astype(np.int32))
+
+    def __len__(self) -> int:
+        return len(self.starts)
+
+    def matrices(self) -> Iterator[tuple[int, np.ndarray]]:
+        """(number of the first phrase, phrases of one length as a matrix), a bounded number at a time."""
+        end = 0
+        for n, count in self.lengths:
+            begin, end = end, end + count
+            for at in range(begin, end, SEARCHED):
+                starts = self.starts[at : min(at + SEARCHED, end)]
+                yield at, self.text[starts[:, None] + np.arange(n)].astype(np.int64)
 
     def symbols(self, prints: np.ndarray) -> np.ndarray:
         """Symbol of each word; SEPARATOR for words in no phrase."""
@@ -105,7 +148,7 @@ class Shard:
     def occurrences(self, phrases: Phrases) -> Iterator[tuple[np.ndarray, int, np.ndarray]]:
         """(phrase of each occurrence, their length, first word of each), by length."""
         index, place = FMIndex(np.concatenate(self.text)), np.concatenate(self.place)
-        for start, patterns in phrases.by_length:
+        for start, patterns in phrases.matrices():
             left, right = index.search(patterns)
             found = np.repeat(np.arange(len(patterns)), right - left)
             if len(found):
@@ -126,13 +169,14 @@ def _answers(shard: Shard, phrases: Phrases, key: str) -> pa.RecordBatch:
     n_words = np.concatenate(shard.n_words)
     ends = np.cumsum(n_words)
     change = np.zeros(shard.words + 1, np.int64)
-    pairs = set()
+    pairs = [np.zeros(0, np.int64)]
     for found, length, starts in shard.occurrences(phrases):
         np.add.at(change, starts, 1)
         np.add.at(change, starts + length, -1)
-        joint = np.unique(np.searchsorted(ends, starts, side="right") * len(phrases.items) + found)
-        for doc, phrase in zip((joint // len(phrases.items)).tolist(), (joint % len(phrases.items)).tolist(), strict=True):
-            pairs.update((doc, item) for item in phrases.items[phrase])
+        joint = np.unique(np.searchsorted(ends, starts, side="right") * len(phrases) + found)
+        doc, phrase = joint // len(phrases), joint % len(phrases)
+        count = phrases.first[phrase + 1] - phrases.first[phrase]
+        pairs.append(np.unique(np.repeat(doc, count) * len(phrases.names) + phrases.items[ranges(phrases.first[phrase], count)]))
     begin, stop = _spans(np.cumsum(change)[:-1] > 0, ends)
     doc = np.searchsorted(ends, begin, side="right")
     base = (ends - n_words)[doc]
@@ -141,16 +185,17 @@ def _answers(shard: Shard, phrases: Phrases, key: str) -> pa.RecordBatch:
         pa.StructArray.from_arrays([pa.array(begin - base), pa.array(stop - base)], names=["start", "end"]),
     )
     items: list[list[str]] = [[] for _ in n_words]
-    for d, item in sorted(pairs):
+    for pair in np.unique(np.concatenate(pairs)).tolist():
+        d, item = divmod(pair, len(phrases.names))
         items[d].append(phrases.names[item])
     return pa.RecordBatch.from_arrays([pa.concat_arrays(shard.rows), pa.array(n_words), lists, pa.array(items, pa.list_(pa.string()))], names=[key, "n_words", "spans", "items"])
 
 
-def _search(docs: DataFrame, items, window: int, key: str, text: str, shard_symbols: int) -> DataFrame:
+def _search(docs: DataFrame, items, key: str, text: str, shard_symbols: int) -> DataFrame:
     kind = docs.schema[key].dataType.simpleString()
 
     def make(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        phrases, shard = Phrases(items.value, window), Shard()
+        phrases, shard = Phrases(**items.value), Shard()
         for block in parts:
             words, prints = words_of(block.column(1))
             shard.add(block.column(0), words, prints, phrases)
@@ -180,33 +225,34 @@ def _united(spans: pd.Series) -> pd.Series:
 
 def contamination(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", window: int = WINDOW, shard_symbols: int = SHARD_SYMBOLS, block: int = BLOCK) -> DataFrame:
     """Key, n_words, spans (array of word ranges to remove) and items (sorted item_ids with an occurring window) per document row."""
-    blocks, items = _items(docs.sparkSession, benchmark, block)
+    blocks, items = _items(docs.sparkSession, benchmark, block, window)
     if blocks == 1:
-        return _search(docs, items(0), window, key, text, shard_symbols)
+        return _search(docs, items(0), key, text, shard_symbols)
     rows = stage(docs.select(F.col(key).alias("key"), F.monotonically_increasing_id().alias("no"), F.col(text).alias("body")), "numbered")
     found = None
-    for part in _parts(rows, blocks, items, window, shard_symbols):
+    for part in _parts(rows, blocks, items, shard_symbols):
         found = part if found is None else found.unionByName(part)
     joined = found.groupBy("no").agg(F.first("n_words").alias("n_words"), F.flatten(F.collect_list("spans")).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
     unite = F.pandas_udf(_united, "array<struct<start:long,end:long>>")
     return rows.select("no", "key").join(joined.withColumn("spans", unite("spans")), "no").select(F.col("key").alias(key), "n_words", "spans", "items")
 
 
-def _parts(rows: DataFrame, blocks: int, items, window: int, shard_symbols: int) -> Iterator[DataFrame]:
+def _parts(rows: DataFrame, blocks: int, items, shard_symbols: int) -> Iterator[DataFrame]:
     """Answers by `no` about texts `body`, of one block of the benchmark after the other."""
     for n in range(blocks):
-        yield stage(_search(rows.select("no", "body"), items(n), window, "no", "body", shard_symbols), "block")
+        yield stage(_search(rows.select("no", "body"), items(n), "no", "body", shard_symbols), "block")
 
 
-def _items(spark, benchmark: DataFrame, block: int):
-    """Number of blocks of the benchmark, and a function that broadcasts the items of one."""
+def _items(spark, benchmark: DataFrame, block: int, window: int):
+    """Number of blocks of the benchmark, and a function that broadcasts the phrases of one, as the arrays of `Phrases`."""
     named = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
     size = named.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     blocks = max(1, -(-size // block))
 
     def items(n: int):
         rows = named if blocks == 1 else named.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == n)
-        return spark.sparkContext.broadcast([tuple(r) for r in rows.collect()])  # one block of the query set
+        told = Phrases.of([tuple(r) for r in rows.collect()], window)  # one block of the query set
+        return spark.sparkContext.broadcast(vars(told))
 
     return blocks, items
 
@@ -216,12 +262,12 @@ def remove_leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", wind
 
     Every block of the benchmark is searched in the original texts; they are cut once, at the united spans.
     """
-    blocks, items = _items(docs.sparkSession, benchmark, block)
+    blocks, items = _items(docs.sparkSession, benchmark, block, window)
     if blocks > 1:
         # the row's own columns stay inside a struct, whatever their names
         rows = stage(docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), F.monotonically_increasing_id().alias("no"), docs[text].alias("body")), "numbered")
         found = None
-        for part in _parts(rows, blocks, items, window, shard_symbols):
+        for part in _parts(rows, blocks, items, shard_symbols):
             hit = part.where(F.size("spans") > 0).select("no", "spans")
             found = hit if found is None else found.unionByName(hit)
         spans = broadcast_if_small(stage(found.groupBy("no").agg(F.flatten(F.collect_list("spans")).alias("cut")), "spans"))
@@ -232,7 +278,7 @@ def remove_leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", wind
 
     def cutter(told):
         def make(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            phrases, shard, waiting = Phrases(told.value, window), Shard(), []
+            phrases, shard, waiting = Phrases(**told.value), Shard(), []
 
             def answer() -> Iterator[pa.RecordBatch]:
                 spans, at = _answers(shard, phrases, "row").column(2), 0

@@ -5,6 +5,7 @@ from collections import defaultdict
 import brute
 import duckdb
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -146,6 +147,29 @@ def test_automaton_matching_statistics():
         assert length == max((n for n in range(1, min(k + 1, 25) + 1) if tuple(text[k + 1 - n : k + 1]) in parts), default=0)
 
 
+@pytest.mark.parametrize(("block", "searched"), [(1 << 20, 200_000), (40, 3)])
+def test_phrases_are_the_windows_of_the_items(monkeypatch, block, searched):
+    monkeypatch.setattr(decontaminate, "SEARCHED", searched)
+    rng = random.Random(2)
+    items = [(f"i{k % 7}", prose(rng, rng.randrange(30), 6)) for k in range(25)] + [("n", None), ("e", " . "), ("s", "one two"), ("t", "One, two")]
+    phrases = decontaminate.Phrases.of(items, block=block)
+    want = defaultdict(set)
+    for name, text in items:
+        for w in brute.windows(text):
+            want[w].add(name)
+    word = {}
+    for _, text in items:
+        words = brute.lowered(text)
+        found = phrases.symbols(decontaminate.words_of(pa.array([text], pa.string()))[1]).tolist() if words else []
+        word |= dict(zip(found, words, strict=True))
+    got = {}
+    for at, matrix in phrases.matrices():
+        for k, row in enumerate(matrix.tolist(), at):
+            got[tuple(word[x] for x in row)] = {phrases.names[i] for i in phrases.items[phrases.first[k] : phrases.first[k + 1]]}
+    assert got == want and len(phrases) == len(want)
+    assert len(decontaminate.Phrases.of([])) == len(decontaminate.Phrases.of([("a", None)])) == 0
+
+
 @pytest.mark.parametrize("limits", [{}, {"shard_symbols": 50, "block": 150}])
 def test_decontamination(spark, docs, benchmark, limits):
     items = spark.createDataFrame(benchmark, "item_id long, text string")
