@@ -4,10 +4,13 @@ A tree builder adds what HTML lets authors leave out (end tags of paragraphs, li
 and cells; stray end tags are dropped). A walk over the tree then emits all visible text:
 block elements begin new lines, paragraphs and the like stand between empty lines, list items
 have a marker and the indentation of their depth, and the cells of a table are aligned in
-columns. White space collapses outside `pre`.
+columns, those that span rows or columns included. A column is at most `ALIGN_UP_TO` wide; a
+cell that doesn't fit stands whole, and what follows it in its row begins a line further down,
+at its own column. White space collapses outside `pre`.
 
 Hidden is what a browser doesn't show: head, scripts, styles, templates, comments, elements
-with `hidden` or with display:none or visibility:hidden in their style, closed dialogs. The
+with `hidden` or display:none, closed dialogs, and text whose nearest element with a visibility
+is hidden (an element inside may be visible again). Of styles, the attribute counts. The
 content of `details` is kept, whether open or not. Formulas (`math`) show the text of their
 elements without annotations; drawings (`svg`) that of their `text` and `foreignObject`
 elements, each set apart, in the order of the page. What `defs` and `symbol` hold shows once,
@@ -23,6 +26,8 @@ import re
 import unicodedata
 from collections.abc import Iterator
 from html.parser import HTMLParser
+from itertools import accumulate
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -61,12 +66,14 @@ BREAKS_OUT = frozenset(
 #: Elements of svg and math that hold HTML.
 HOLDS_HTML = frozenset("foreignobject desc title annotation-xml mi mo mn ms mtext".split())
 SVG_HIDDEN = frozenset("desc metadata clippath mask pattern marker lineargradient radialgradient filter".split())
+VISIBILITY = {"visible": False, "initial": False, "hidden": True, "collapse": True}  # whether it hides; others are inherited
 SCOPE = frozenset("table td th caption button object html".split())  # a paragraph isn't ended from inside these
 
-#: Columns of a table are padded up to this width; longer cells stand unpadded.
+#: Columns of a table are padded up to this width; what follows a longer cell stands below it.
 ALIGN_UP_TO = 60
 
-_NOT_SHOWN = re.compile(r"(?:display\s*:\s*none|visibility\s*:\s*hidden)", re.I)
+#: Comments, strings and brackets of a style, in which a semicolon ends nothing.
+_ENCLOSED = re.compile(r"""/\*.*?\*/|"[^"]*"|'[^']*'|\([^)]*\)""", re.S)
 _SPACE = re.compile(r"[ \t\n\r\f]+")
 
 
@@ -177,13 +184,31 @@ class TreeBuilder(HTMLParser):
         self.open[-1].children.append(data)
 
 
-def visible(node: Node) -> bool:
+def styled(node: Node) -> dict[str, str]:
+    """The `display` and `visibility` that an element's own style declares: the last of each, important ones first."""
+    style = (node.attrs.get("style") or "").lower()
+    if "display" not in style and "visibility" not in style:
+        return {}
+    found: dict[str, tuple[bool, str]] = {}
+    for declaration in _ENCLOSED.sub(" ", style).split(";"):
+        name, _, value = declaration.partition(":")
+        name = name.strip()
+        if name in ("display", "visibility"):
+            value, _, mark = value.partition("!")
+            important = mark.strip() == "important"
+            if value.strip() and (important or not found.get(name, (False, ""))[0]):
+                found[name] = important, value.strip()
+    return {name: value for name, (_, value) in found.items()}
+
+
+def displayed(node: Node, display: str | None) -> bool:
+    """Whether an element has a place on the page, with the display of its style."""
     attrs = node.attrs
-    if node.tag in HIDDEN or "hidden" in attrs or (node.tag == "dialog" and "open" not in attrs):
+    if node.tag in HIDDEN or display == "none":
         return False
     if node.tag == "input" and (attrs.get("type") or "").lower() == "hidden":
         return False
-    return not _NOT_SHOWN.search(attrs.get("style") or "")
+    return display is not None or not ("hidden" in attrs or (node.tag == "dialog" and "open" not in attrs))
 
 
 class Flow:
@@ -264,35 +289,74 @@ def width(text: str) -> int:
     return sum(0 if unicodedata.combining(c) else 2 if unicodedata.east_asian_width(c) in "WF" else 1 for c in text)
 
 
-def aligned(rows: list[list[tuple[list[str], int]]], most: int = ALIGN_UP_TO) -> list[str]:
-    """Lines of a table; a cell is (its lines, columns it spans)."""
-    columns: dict[int, int] = {}
-    for row in rows:
-        at = 0
-        for lines, span in row:
-            if span == 1:
-                columns[at] = max(columns.get(at, 0), min(most, max(map(width, lines), default=0)))
-            at += span
-    out = []
-    for row in rows:
-        for k in range(max((len(lines) for lines, _ in row), default=0)):
-            line, at, place = "", 0, 0
-            for lines, span in row:
-                line += " " * max(0, place - width(line))
-                line += lines[k] if k < len(lines) else ""
-                place = max(place, 0) + sum(columns.get(c, 0) + 2 for c in range(at, at + span))
-                at += span
-                if at and line and place <= width(line):
-                    line += "  "  # a cell wider than its column still ends before the next one
-            out.append(line.rstrip())
-    return [x for x in out if x]
+class Cell(NamedTuple):
+    lines: list[str]
+    columns: int = 1  # that it spans
+    rows: int = 1  # 0: all that are left of its group
 
 
 class _Table:
     def __init__(self):
-        self.rows: list[list[tuple[list[str], int]]] = []
+        self.groups: list[list[list[Cell]]] = [[]]  # rows of head, bodies and foot
         self.captions: list[str] = []
 
+    def add_row(self) -> None:
+        self.groups[-1].append([])
+
+    def add_cell(self, cell: Cell) -> None:
+        if not self.groups[-1]:
+            self.add_row()
+        self.groups[-1][-1].append(cell)
+
+
+def placed(rows: list[list[Cell]]) -> list[list[tuple[int, Cell]]]:
+    """Cells of one group of rows with their first columns: those that a cell of a row above holds are left out."""
+    held: dict[int, float] = {}  # column: the row at which it is free again
+    out = []
+    for r, row in enumerate(rows):
+        at, line = 0, []
+        for cell in row:
+            while held.get(at, 0) > r:
+                at += 1
+            line.append((at, cell))
+            if cell.rows != 1:
+                held.update(dict.fromkeys(range(at, at + cell.columns), r + cell.rows if cell.rows else float("inf")))
+            at += cell.columns
+        out.append(line)
+    return out
+
+
+def aligned(groups: list[list[list[Cell]]], most: int = ALIGN_UP_TO) -> list[str]:
+    """Lines of a table: every cell begins at the place of its first column."""
+    rows = [row for group in groups for row in placed(group)]
+    widths = [0] * max((at + cell.columns for row in rows for at, cell in row), default=0)
+    for row in rows:
+        for at, cell in row:
+            if cell.columns == 1:
+                widths[at] = max(widths[at], min(most, max(map(width, cell.lines), default=0)))
+    places = list(accumulate((w + 2 for w in widths), initial=0))
+    out = []
+    for row in rows:
+        lines: list[str] = []
+        ends: list[int] = []
+        top = 0
+        for at, cell in row:
+            # not above the cell before, and below all lines of the row that reach into the cell's column
+            k = top
+            while k < min(len(ends), top + len(cell.lines)):
+                if ends[k] and ends[k] + 2 > places[at]:
+                    top = k + 1
+                k += 1
+            for k, text in enumerate(cell.lines, top):
+                if k == len(lines):
+                    lines.append("")
+                    ends.append(0)
+                if text:
+                    lines[k] += " " * (places[at] - ends[k]) + text
+                    ends[k] = places[at] + width(text)
+        out.extend(line.rstrip() for line in lines)
+    return out
+
 
 def _number(value: str | None, default: int) -> int:
     return int(value) if value and value.strip().isdecimal() and len(value.strip()) < 6 else default
@@ -303,7 +367,7 @@ def _of_drawing(node: Node, place: str, used: set[str] | frozenset[str]) -> bool
     attrs = node.attrs
     if place == "math":
         return node.tag not in ("annotation", "annotation-xml", "mphantom")
-    if (attrs.get("display") or "").strip() == "none" or (attrs.get("visibility") or "").strip() in ("hidden", "collapse"):
+    if (attrs.get("display") or "").strip() == "none":
         return False
     return node.tag not in SVG_HIDDEN and (node.tag != "symbol" or attrs.get("id") in used)
 
@@ -316,18 +380,24 @@ def render(root: Node, used: set[str] | frozenset[str] = frozenset()) -> str:
     lists: list[list] = []  # [ordered, next number]
     raw = 0
     drawn: list[str] = []  # open svg, math, text and foreignobject elements
+    veils: list[tuple[Node | None, bool]] = [(None, False)]  # open elements with a visibility, and whether they are hidden
     stack: list[tuple[Node | str, bool]] = [(root, False)]
     while stack:
         node, leaving = stack.pop()
         flow = flows[-1]
         if isinstance(node, str):
-            if not drawn or drawn[-1] != "svg":
+            if not veils[-1][1] and (not drawn or drawn[-1] != "svg"):
                 flow.text(node, bool(raw))
             continue
         tag = node.tag
         if not leaving:
-            if not visible(node) or (drawn and drawn[-1] != "foreignobject" and not _of_drawing(node, "math" if drawn[-1] == "math" else "svg", used)):
+            style = styled(node)
+            if not displayed(node, style.get("display")) or (drawn and drawn[-1] != "foreignobject" and not _of_drawing(node, "math" if drawn[-1] == "math" else "svg", used)):
                 continue
+            said = VISIBILITY.get(style.get("visibility") or ((node.attrs.get("visibility") or "").strip() if drawn or tag == "svg" else ""))
+            hidden = veils[-1][1] if said is None else said
+            if said is not None and tag not in VOID and tag != "defs":
+                veils.append((node, hidden))
             if tag in ("svg", "math") or (drawn and drawn[-1] == "svg" and tag in ("text", "foreignobject")):
                 drawn.append(tag)
                 if tag != "math":
@@ -339,11 +409,14 @@ def render(root: Node, used: set[str] | frozenset[str] = frozenset()) -> str:
                 stack.extend((child, False) for child in reversed(node.children) if isinstance(child, Node) and child.attrs.get("id") in used)
                 continue
             if tag == "br":
-                flow.line_break()
+                if not hidden:
+                    flow.line_break()
                 continue
             if tag in VOID:
                 if tag == "hr":
                     flow.new_line(blank=True)
+                elif hidden:
+                    pass
                 elif tag == "img" and (node.attrs.get("alt") or "").strip():
                     flow.text(node.attrs["alt"], False)
                 elif tag == "input" and (node.attrs.get("type") or "").lower() in ("submit", "button", "reset") and node.attrs.get("value"):
@@ -353,7 +426,9 @@ def render(root: Node, used: set[str] | frozenset[str] = frozenset()) -> str:
                 flow.new_line(blank=True)
                 tables.append(_Table())
             elif tag == "tr" and tables:
-                tables[-1].rows.append([])
+                tables[-1].add_row()
+            elif tag in ("thead", "tbody", "tfoot") and tables:
+                tables[-1].groups.append([])
             elif tag in ("td", "th", "caption") and tables:
                 flows.append(Flow())
             elif tag in ("ul", "ol", "menu"):
@@ -367,6 +442,8 @@ def render(root: Node, used: set[str] | frozenset[str] = frozenset()) -> str:
                 ordered, n = lists[-1]
                 lists[-1][1] = n + 1
                 flow.marker = f"{n}. " if ordered else "- "
+                if hidden:
+                    flow.marker = " " * len(flow.marker)
                 flow.prefix.append(" " * len(flow.marker))
             elif tag == "dd":
                 flow.new_line()
@@ -381,6 +458,8 @@ def render(root: Node, used: set[str] | frozenset[str] = frozenset()) -> str:
             stack.append((node, True))
             stack.extend((child, False) for child in reversed(node.children))
             continue
+        if veils[-1][0] is node:
+            veils.pop()
         if drawn and tag == drawn[-1]:
             drawn.pop()
             if tag != "math":
@@ -390,14 +469,12 @@ def render(root: Node, used: set[str] | frozenset[str] = frozenset()) -> str:
             raw -= 1
         if tag == "table":
             done = tables.pop()
-            lines = done.captions + aligned(done.rows)
+            lines = done.captions + aligned(done.groups)
             if lines:
                 flow.block(lines)
         elif tag in ("td", "th") and tables and len(flows) > 1:
             cell = flows.pop().result()
-            if not tables[-1].rows:
-                tables[-1].rows.append([])
-            tables[-1].rows[-1].append((cell, max(1, min(_number(node.attrs.get("colspan"), 1), 1000))))
+            tables[-1].add_cell(Cell(cell, max(1, min(_number(node.attrs.get("colspan"), 1), 1000)), _number(node.attrs.get("rowspan"), 1)))
         elif tag == "caption" and tables and len(flows) > 1:
             tables[-1].captions += flows.pop().result()
         elif tag in ("ul", "ol", "menu"):

@@ -494,6 +494,78 @@ def test_html_shows_formulas_drawings_and_text_behind_an_open_head(page, text):
     assert html_text.page_text(page) == text
 
 
+LONG = "A" * 73
+
+
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        ("<table><tr><td rowspan=2>a<td>b<tr><td>c</table>", "a  b\n   c"),
+        ("<table><tr><td>a<td rowspan=3>b<td>c<tr><td>d<td>e<tr><td colspan=1>f</table>", "a  b  c\nd     e\nf"),
+        ("<table><tbody><tr><td rowspan=0>a<td>b<tr><td>c<tbody><tr><td>d</table>", "a  b\n   c\nd"),
+        ("<table><tr><td colspan=2 rowspan=2>ab<td>c<tr><td>d<tr><td>e<td>f<td>g</table>", "ab    c\n      d\ne  f  g"),
+        (f"<table><tr><td>{LONG}<td>B<tr><td>x<td>C</table>", f"{LONG}\n{' ' * 62}B\nx{' ' * 61}C"),
+        ("<table><tr><td><p>a<p>b<td>c</table>", "a  c\n\nb"),
+        ("<table><tr><td><td></table>x", "x"),
+        ("<table><tr><td>\u6771\u4eac<td>b<tr><td>abcd<td>c</table>", "\u6771\u4eac  b\nabcd  c"),
+    ],
+)
+def test_html_cells_begin_at_their_columns(page, text):
+    assert html_text.page_text(page) == text
+
+
+def test_html_cells_of_any_width_and_span_are_aligned():
+    """Against the places that a plain grid gives the cells."""
+    rng = random.Random(8)
+    for _ in range(60):
+        taken, home, page, n_rows = set(), {}, ["<table>"], rng.randrange(1, 7)
+        for r in range(n_rows):
+            page.append("<tr>")
+            c = 0
+            for _ in range(rng.randrange(1, 6)):
+                while (r, c) in taken:
+                    c += 1
+                down, across = rng.choice([1, 1, 1, 2, 3]), rng.choice([1, 1, 1, 2])
+                name = f"w{len(home)}x" + "y" * rng.choice([0, 3, 20, 80])
+                home[name] = c
+                page.append(f"<td rowspan={down} colspan={across}>{name}")
+                taken |= {(r + i, c + j) for i in range(down) for j in range(across)}
+                c += across
+        place, seen = {}, []
+        for line in html_text.page_text("".join(page)).split("\n"):
+            for word in line.split():
+                seen.append(word)
+                assert place.setdefault(home[word], line.index(word)) == line.index(word)
+        assert seen == list(home)
+        assert [place[c] for c in sorted(place)] == sorted(place.values())
+
+
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        ("<div style='visibility:hidden'>no<b style='visibility: visible'>yes</b>no<br>no<img alt=no></div>end", "yes\nend"),
+        ("<ul style='visibility:collapse'><li>no<li><b style='visibility:VISIBLE !important;visibility:hidden'>yes</b></ul>", "  yes"),
+        ("<div style='visibility:hidden'><p style='visibility:inherit'>no</div>x", "x"),
+        ("<p style='--x-display:none'>yes", "yes"),
+        ("<p style='display:none;display:block'>yes", "yes"),
+        ("<p style='display:none!important;display:block'>no</p>x", "x"),
+        ("<p style='/* display:none; */background:url(a;display:none;b);content:\"; display:none\"'>yes", "yes"),
+        ("<p hidden style='display:block'>yes<p hidden>no", "yes"),
+        ("<svg visibility=hidden><text>no</text><text visibility=visible>yes</text></svg>", "yes"),
+        ("<table style='visibility:hidden'><tr><td>no<td>no</table>x", "x"),
+    ],
+)
+def test_html_shows_what_styles_show(page, text):
+    assert html_text.page_text(page) == text
+
+
+def test_html_long_pages_and_deep_tables():
+    words = " ".join(f"w{i}" for i in range(200_000))
+    assert html_text.page_text(f"<p>{words}") == words
+    assert html_text.page_text("<table><tr>" + "<td>a" * 3_000 + "</table>").split() == ["a"] * 3_000
+    assert html_text.page_text("<table><tr><td>" * 300 + "deep").strip() == "deep"
+
+
 def test_html_emits_all_visible_words():
     """Against a plain walk of well-formed pages: every visible word, in order."""
     rng = random.Random(4)
