@@ -100,14 +100,27 @@ DATE_FAMILIES = {
 }
 #: What a date of each family begins with: lets the matcher skip most words at their first letter.
 _LEADS = [
-    ("[0-9]", ["year_first", "numeric", "written", "numeric_month", "day_month", "day"]),
-    ("[jfmasond]", ["written_month"]),
-    ("[ahcdil]", ["day_word", "distance", "next_to_now"]),
-    ("[lmjvsd]", ["weekday"]),
-    ("[ed]", ["year"]),
+    ("0-9", ["year_first", "numeric", "written", "numeric_month", "day_month", "day"]),
+    ("jfmasond", ["written_month"]),
+    ("ahcdil", ["day_word", "distance", "next_to_now"]),
+    ("lmjvsd", ["weekday"]),
+    ("ed", ["year"]),
 ]
+
+
+def _lead(letters: str) -> str:
+    """Look-ahead for one of `letters` in either case, spelled out: a plain set is much cheaper than folding each character."""
+    folded = ("ſ" if "s" in letters else "") + ("İı" if "i" in letters else "")
+    return f"(?=(?-i:[{letters}{letters.upper() if letters.isalpha() else ''}{folded}]))"
+
+
 DATE_PATTERN = (
-    r"(?iu)\b(?:" + "|".join(f"(?={lead})(?:" + "|".join(DATE_FAMILIES[f] for f in names) + ")" for lead, names in _LEADS) + ")" + _END
+    r"(?iu)"
+    + _lead("jfmasondhcilve").replace("[", "[0-9")
+    + r"\b(?:"
+    + "|".join(_lead(letters) + "(?:" + "|".join(DATE_FAMILIES[f] for f in names) + ")" for letters, names in _LEADS)
+    + ")"
+    + _END
 )
 #: Whatever `DATE_PATTERN` matches has this in it.
 DATE_HINT = r"(?iu)[0-9]|hier|aujourd|demain|ce jour|il\s+y\s+a|depuis|dans\s|derni|pass[ée]|prochain"
@@ -206,9 +219,8 @@ def _parse_relative(variant: Column, note_day: Column) -> Column:
 
 def _parse(variant: Column, noted: Column) -> Column:
     """Any form; for values that are bound, as it uses them often."""
-    common = F.try_to_timestamp(F.translate(variant, ".-", "//"), F.lit("d/M/yyyy"))
     return (
-        F.when(variant.rlike(_COMMON), common)
+        F.when(variant.rlike(_COMMON), parse_common(variant))
         .when(variant.rlike(rf"(?iu)^(?:{_RELATIVE})$"), _parse_relative(variant, F.to_date(noted)))
         .otherwise(_parse_rare(variant, F.year(noted).cast("string")))
     )
@@ -235,6 +247,11 @@ def _parse_start(s: Column) -> Column:
 _COMMON = r"^\d{1,2}[/.\-]\d{1,2}[/.\-]\d{4}$"
 
 
+def parse_common(variant: Column) -> Column:
+    """A date of the common numeric form as timestamp."""
+    return F.try_to_timestamp(F.translate(variant, ".-", "//"), F.lit("d/M/yyyy"))
+
+
 def parse_date(variant: Column, note_datetime: Column | None = None, end_variant: Column | None = None) -> Column:
     """A mention as timestamp, null when it is no calendar date.
 
@@ -252,8 +269,7 @@ def parse_date(variant: Column, note_datetime: Column | None = None, end_variant
     noted = F.lit(None).cast("timestamp") if note_datetime is None else note_datetime.cast("timestamp")
     last = F.lit(None).cast("string") if end_variant is None else end_variant
     rest = let(F.struct(variant.alias("v"), noted.alias("n"), last.alias("e")), _parse_start)
-    common = F.try_to_timestamp(F.translate(variant, ".-", "//"), F.lit("d/M/yyyy"))
-    return F.when(variant.rlike(_COMMON), common).otherwise(rest)
+    return F.when(variant.rlike(_COMMON), parse_common(variant)).otherwise(rest)
 
 
 def _cut(text: Column, pattern: str, body) -> Column:

@@ -13,8 +13,8 @@ from pyspark.sql import types as T
 
 from argentum.functions.columns import localise
 from argentum.functions.normal import Normal, normalise
-from argentum.functions.snippets import Options, find_mentions
-from argentum.functions.text import ABBREVIATIONS, CODE_PARTS, CODE_PATTERN, DATE_HINT, DATE_PATTERN, find_codes, parse_date
+from argentum.functions.snippets import Options, mention_rows
+from argentum.functions.text import ABBREVIATIONS, CODE_PARTS, CODE_PATTERN, DATE_HINT, DATE_PATTERN, find_codes, parse_common, parse_date
 from argentum.session import is_small, let
 
 MENTION_FIELDS = T.StructType(
@@ -33,39 +33,72 @@ MENTION_FIELDS = T.StructType(
     ]
 )
 _ARROW_TYPES = [pa.string(), pa.int32(), pa.int32(), pa.bool_(), pa.string(), pa.int32(), pa.int32(), pa.string(), pa.string(), pa.int32(), pa.int32()]
+#: Fields that only a snippet has.
+_SNIPPET = ("span", "span_start_char", "span_end_char")
 #: What a date is parsed from.
 _DATED = ("date_text", "end_variant", "excluded")
 #: Snippet characters per output batch, so that dense texts do not build up in a worker.
 BATCH_CHARS = 16_000_000
 
 
-def _columns(found: list[tuple]) -> list[pa.Array]:
-    return [pa.array(v, t) for v, t in zip(zip(*found) if found else [()] * len(_ARROW_TYPES), _ARROW_TYPES)]
+def _fields(options: Options) -> list[str]:
+    """Fields that a mention has by its options."""
+    return [c for c in MENTION_FIELDS.names if options.snippets or c not in _SNIPPET]
+
+
+def _columns(found: list[tuple], names: Sequence[str]) -> list[pa.Array]:
+    values = list(zip(*found)) if found else [()] * len(_ARROW_TYPES)
+    return [pa.array(v, t) for v, t, c in zip(values, _ARROW_TYPES, MENTION_FIELDS.names) if c in names]
 
 
 def _nested(found: list[tuple], sizes: list[int], names: Sequence[str]) -> pa.Array:
     """One list of structs per row."""
-    columns = dict(zip(MENTION_FIELDS.names, _columns(found)))
+    kept = [c for c in MENTION_FIELDS.names if c in names]
+    columns = dict(zip(kept, _columns(found, kept)))
     offsets = pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32())
     return pa.ListArray.from_arrays(offsets, pa.StructArray.from_arrays([columns[n] for n in names], names=list(names)))
 
 
+#: The numeric form of `text.parse_date` that needs neither the note's day nor another date.
+_COMMON = re.compile(r"([0-9]{1,2})[/.\-]([0-9]{1,2})[/.\-]([0-9]{4})")
+
+
+def _alone(found: list[tuple], ignore_excluded: bool) -> list[tuple] | None:
+    """The mentions whose date occurs once, if every date of the note is of the common form; else None.
+
+    Two common dates are the same day exactly if their numbers are. Mentions that get no date don't count.
+    """
+    at = MENTION_FIELDS.names.index("date_text")
+    seen: dict[int, tuple | None] = {}
+    for m in found:
+        if ignore_excluded and m[3]:
+            continue
+        parts = _COMMON.fullmatch(m[at])
+        if parts is None:
+            return None
+        day, month, year = parts.groups()
+        key = (int(year) * 100 + int(month)) * 100 + int(day)
+        seen[key] = None if key in seen else m
+    return [m for m in seen.values() if m]
+
+
 def _mention_batches(pattern: str, carried: list[str], options: Options):
     """The Arrow job: batches of notes in, batches of mentions out."""
+    names = _fields(options)
 
     def flush(batch: pa.RecordBatch, rows: list[int], found: list[tuple]) -> pa.RecordBatch:
         columns = [batch.column(c).take(pa.array(rows, pa.int32())) for c in carried]
-        return pa.RecordBatch.from_arrays([*columns, *_columns(found)], names=[*carried, *MENTION_FIELDS.names])
+        return pa.RecordBatch.from_arrays([*columns, *_columns(found, names)], names=[*carried, *names])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         compiled = re.compile(pattern)
         for batch in batches:
             rows, found, size = [], [], 0
             for row, text in enumerate(batch.column("note_text").to_pylist()):
-                for mention in find_mentions(text, compiled, options):
+                for mention in mention_rows(text, compiled, options):
                     rows.append(row)
                     found.append(mention)
-                    size += len(mention.span)
+                    size += len(mention[4] or mention[0])
                     if size > BATCH_CHARS:
                         yield flush(batch, rows, found)
                         rows, found, size = [], [], 0
@@ -75,33 +108,40 @@ def _mention_batches(pattern: str, carried: list[str], options: Options):
     return run
 
 
-def _note_batches(pattern: str, carried: list[str], options: Options):
+def _note_batches(pattern: str, carried: list[str], options: Options, count: bool = True):
     """Batches of notes in, one row per note out: `dates`, all of its dates, and `mentions`.
 
     The mentions of a note with very long snippets come in several rows, from the position
     `first` on, each with all dates of the note, which are narrow.
+
+    With `count`, notes that have dates of the common form only come without `dates`, and `mentions`
+    are those whose date occurs once.
     """
+    names = _fields(options)
 
     def flush(batch: pa.RecordBatch, rows: list[tuple[int, int, list, list]]) -> pa.RecordBatch:
         columns = [batch.column(c).take(pa.array([r[0] for r in rows], pa.int32())) for c in carried]
-        dates = _nested([m for r in rows for m in r[2]], [len(r[2]) for r in rows], _DATED)
-        mentions = _nested([m for r in rows for m in r[3]], [len(r[3]) for r in rows], MENTION_FIELDS.names)
+        dates = _nested([m for r in rows for m in r[2] or ()], [len(r[2] or ()) for r in rows], _DATED)
+        mentions = _nested([m for r in rows for m in r[3]], [len(r[3]) for r in rows], names)
         return pa.RecordBatch.from_arrays([*columns, pa.array([r[1] for r in rows], pa.int32()), dates, mentions], names=[*carried, "first", "dates", "mentions"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        compiled, narrow = re.compile(pattern), options._replace(n_before=0, n_after=0, mode="token")
+        compiled, narrow = re.compile(pattern), options._replace(snippets=False)
         for batch in batches:
             rows, size = [], 0
             for row, text in enumerate(batch.column("note_text").to_pylist()):
                 part, first, dates, k = [], 0, None, -1
-                for k, mention in enumerate(find_mentions(text, compiled, options)):
+                for k, mention in enumerate(mention_rows(text, compiled, options)):
                     part.append(mention)
-                    size += len(mention.span)
+                    size += len(mention[4] or mention[0])
                     if size > BATCH_CHARS:
-                        dates = dates or list(find_mentions(text, compiled, narrow))
+                        dates = dates or list(mention_rows(text, compiled, narrow))
                         yield flush(batch, [*rows, (row, first, dates, part)])
                         rows, size, part, first = [], 0, [], k + 1
-                if part:
+                alone = _alone(part, options.ignore_excluded) if part and count and dates is None else None
+                if alone:
+                    rows.append((row, first, None, alone))
+                elif part and alone is None:
                     rows.append((row, first, dates or part, part))
             if rows:
                 yield flush(batch, rows)
@@ -136,23 +176,29 @@ def _found(notes: DataFrame, keep: Sequence[str], options: Options, tz: str | No
     carried = list(dict.fromkeys([*[c for c in keep if c in notes.columns], *(["note_datetime"] if dated else [])]))
     narrow = notes.filter(F.col("note_text").isNotNull()).select(*carried, "note_text")
     if pattern == DATE_PATTERN:
-        narrow = narrow.filter(F.col("note_text").rlike(DATE_HINT))  # other texts needn't leave the JVM
+        # other texts needn't leave the JVM; a digit is found sooner than a word
+        narrow = narrow.filter(F.col("note_text").rlike("[0-9]") | F.col("note_text").rlike(DATE_HINT))
     noted = F.col("note_datetime") if dated else None
     own = [narrow.schema[c] for c in carried]
+    fields = [MENTION_FIELDS[c] for c in _fields(options)]
     if not once:
-        found = narrow.mapInArrow(_mention_batches(pattern, carried, options), T.StructType(own + MENTION_FIELDS.fields))
+        found = narrow.mapInArrow(_mention_batches(pattern, carried, options), T.StructType(own + fields))
         return found.withColumn("date_dt", _parsed({c: F.col(c) for c in _DATED}, noted, tz, options.ignore_excluded))
     dates = T.ArrayType(T.StructType([MENTION_FIELDS[c] for c in _DATED]))
-    schema = T.StructType([*own, T.StructField("first", T.IntegerType()), T.StructField("dates", dates), T.StructField("mentions", T.ArrayType(MENTION_FIELDS))])
-    found = narrow.mapInArrow(_note_batches(pattern, carried, options), schema)
+    schema = T.StructType([*own, T.StructField("first", T.IntegerType()), T.StructField("dates", dates), T.StructField("mentions", T.ArrayType(T.StructType(fields)))])
+    # a zone may give two days the same instant, so with one dates are counted after that
+    found = narrow.mapInArrow(_note_batches(pattern, carried, options, tz is None), schema)
     days = F.transform("dates", lambda m: _parsed(m, noted, tz, options.ignore_excluded))
 
     def kept(days: Column) -> Column:
         rows = lambda alone: F.transform("mentions", lambda m, i: F.when(F.get(alone, F.col("first") + i), F.struct(m.alias("m"), F.get(days, F.col("first") + i).alias("date_dt"))))
         return F.filter(let(_once(days), rows), lambda x: x.isNotNull())
 
-    rows = found.select(*carried, F.explode(let(days, kept)).alias("x"))
-    return rows.select(*carried, "x.m.*", "x.date_dt")
+    counted = F.size("dates") == 0
+    single = F.transform("mentions", lambda m: F.struct(m.alias("m"), F.lit(None).cast("timestamp").alias("date_dt")))
+    rows = found.select(*carried, F.explode(F.when(counted, single).otherwise(let(days, kept))).alias("x"))
+    common = F.when(F.col("x.date_dt").isNull(), parse_common(F.col("x.m.date_text"))).otherwise(F.col("x.date_dt"))
+    return rows.select(*carried, "x.m.*", common.alias("date_dt")).filter(F.col("date_dt").isNotNull())
 
 
 def extract_mentions(
@@ -169,6 +215,7 @@ def extract_mentions(
     normal: Normal | None = None,
     abbreviations: tuple[str, ...] = ABBREVIATIONS,
     once: bool = False,
+    snippets: bool = True,
 ) -> DataFrame:
     """One row per date mention of `note_text`, with its snippet; columns `keep` are carried along.
 
@@ -181,10 +228,13 @@ def extract_mentions(
     `once` keeps the mentions whose date occurs once in their note (a row of `notes`), and adds
     `count_date`: dates are counted inside the note's own row.
 
+    Without `snippets` no window is cut, and the three columns of the snippet are left out: spans
+    are many times as wide as a note, and jobs that count or match dates don't read them.
+
     A narrow job without a shuffle: every note is read once, and only the carried columns
     and the text travel to the Arrow workers.
     """
-    options = Options(n_before, n_after, ignore_excluded, attr, mode, abbreviations, normal)
+    options = Options(n_before, n_after, ignore_excluded, attr, mode, abbreviations, normal, snippets)
     found = _found(notes, keep, options, tz, pattern, once)
     out = found.select(
         *[c for c in keep if c in notes.columns],
@@ -192,9 +242,7 @@ def extract_mentions(
         "date_dt",
         "text_start_char",
         "text_end_char",
-        "span",
-        "span_start_char",
-        "span_end_char",
+        *(_SNIPPET if snippets else ()),
         *([F.lit(1).cast("long").alias("count_date")] if once else []),
     )
     return out.dropna(subset=["date_dt"]) if drop_na else out
@@ -211,7 +259,7 @@ def extract_periods(
 
     What the first mention lacks is taken from the last, and a period doesn't end before it begins.
     """
-    found = _found(notes, keep, Options(0, 0, ignore_excluded, "TEXT", "token", normal=normal), tz, DATE_PATTERN, False)
+    found = _found(notes, keep, Options(0, 0, ignore_excluded, "TEXT", "token", normal=normal, snippets=False), tz, DATE_PATTERN, False)
     noted = F.col("note_datetime") if "note_datetime" in notes.columns else None
     return found.filter("end_variant is not null").select(
         *[c for c in keep if c in notes.columns],

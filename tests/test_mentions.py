@@ -359,3 +359,25 @@ def test_dates_counted_inside_a_note_take_no_shuffle(spark, rows, monkeypatch):
     # a note whose snippets fill several batches
     monkeypatch.setattr(job, "BATCH_CHARS", 30)
     assert rows(extract_mentions(df, once=True), *columns) == want
+
+
+PIECES = ["12/03/2020", "12.3.2020", "12 mars 2020", "du 3 au 10 mars 2019", "3", "2,5", "hier", "31/02/2020", "03/2019", "1/4/2021", "vu", "=====", "\n", "M."]
+
+
+def test_dates_without_snippets_are_the_same(spark, rows):
+    pick = random.Random(5)
+    df = notes(spark, *[" ".join(pick.choice(PIECES) for _ in range(pick.randint(0, 25))) for _ in range(300)])
+    columns = ["note_id", "person_id", "lexical_variant", "date_dt", "text_start_char", "text_end_char"]
+    for options in ({}, {"ignore_excluded": False}, {"drop_na": False}, {"once": True}, {"once": True, "tz": "Europe/Paris"}):
+        narrow = extract_mentions(df, snippets=False, **options)
+        assert [c for c in narrow.columns if c != "count_date"] == columns
+        assert rows(narrow, *columns) == rows(extract_mentions(df, **options), *columns)
+
+
+def test_dates_counted_by_their_numbers_equal_counts_of_days(spark, rows):
+    pick = random.Random(6)
+    common = ["12/03/2020", "12.3.2020", "12-03-2020", "31/02/2020", "31/2/2020", "1/4/2021", "01/04/2021", "3", "vu", "5/13/2020"]
+    df = notes(spark, *[" ".join(pick.choice(common) for _ in range(pick.randint(1, 8))) for _ in range(300)])
+    columns = ["note_id", "text_start_char", "date_dt", "span"]
+    assert rows(extract_mentions(df, once=True), *columns) == rows(mentioned_once(extract_mentions(df)), *columns)
+    assert job._alone([("a",) * 3 + (False,) + (None,) * 3 + ("12 mars 2020",)], True) is None
