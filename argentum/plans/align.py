@@ -80,6 +80,12 @@ def match_dates(
     )
 
 
+def texts_of(texts: DataFrame, found: DataFrame) -> DataFrame:
+    """Texts of the notes in `found`; a null id is an id like any other."""
+    notes = found.select(F.col("note_id").alias("_found")).distinct()
+    return texts.join(notes, F.col("note_id").eqNullSafe(F.col("_found")), "left_semi")
+
+
 def drop_repeated_spans(df: DataFrame) -> DataFrame:
     """One row per (span, person, label), the earliest mention."""
     return keep_first_by(

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from argentum.functions.columns import mask_span
-from argentum.plans.align import align, drop_repeated_spans, match_dates, place, proximity_weight
+from argentum.plans.align import align, drop_repeated_spans, match_dates, place, proximity_weight, texts_of
+from argentum.plans.mentions import extract_mentions
 from argentum.session import stage
 from driver_queries.inputs import KNOWN, MENTIONS, NOTES
 from driver_queries.registry import query, with_
@@ -44,7 +45,7 @@ matched_date_in_doc masked_span masked_span_start_char masked_span_end_char""".s
     with_(NOTES, MENTIONS, KNOWN, ALIGNED, "SELECT note_id, text_start_char, label, matched_date_in_doc FROM aligned"),
 )
 def align_labels(t):
-    aligned = match_dates(t.mentions_once, t.known)
+    aligned = match_dates(t.dates_once, t.known)
     return aligned.select("note_id", "text_start_char", "label", "matched_date_in_doc")
 
 
@@ -53,7 +54,9 @@ def align_labels(t):
     with_(NOTES, MENTIONS, KNOWN, ALIGNED, MATCHES, "SELECT note_id, text_start_char, label, span FROM matches"),
 )
 def align_positives(t):
-    aligned = match_dates(t.mentions_once, t.known)
+    # snippets are cut from the notes that survive the matching of their dates
+    found = stage(match_dates(t.dates_once, t.known).select("note_id").distinct(), "notes")
+    aligned = match_dates(extract_mentions(texts_of(t.notes, found), once=True), t.known)
     return drop_repeated_spans(aligned.filter("label <> 0")).select("note_id", "text_start_char", "label", "span")
 
 
@@ -62,7 +65,7 @@ def align_positives(t):
     with_(NOTES, MENTIONS, KNOWN, ALIGNED, WEIGHTS, "SELECT note_id, text_start_char, round(p * 1000, 9) AS p FROM weights"),
 )
 def proximity_weights(t):
-    aligned = stage(match_dates(t.mentions_once, t.known), "aligned")
+    aligned = stage(match_dates(t.dates_once, t.known), "aligned")
     return proximity_weight(place(aligned)).select("note_id", "text_start_char", F.round(F.col("p") * 1000, 9).alias("p"))
 
 

@@ -78,7 +78,7 @@ ENTITIES = """SELECT note_id, text_start_char AS offset_begin, text_end_char AS
 
 @query("annotation_entities", with_(NOTES, MENTIONS, ENTITIES))
 def annotation_entities(t):
-    entities, _ = annotation_tables(t.mentions.select("note_id", "text_start_char", "text_end_char"), t.notes)
+    entities, _ = annotation_tables(t.dates.select("note_id", "text_start_char", "text_end_char"), t.notes)
     return entities
 
 
@@ -91,7 +91,7 @@ def annotation_entities(t):
     ),
 )
 def annotation_texts(t):
-    return annotation_tables(t.mentions, t.notes)[1]
+    return annotation_tables(t.dates, t.notes)[1]
 
 
 @query("stage_round_trip", with_(NOTES, "SELECT note_id, person_id, note_text FROM notes WHERE note_class_source_value = 'RCP'"))

@@ -15,7 +15,7 @@ OFFSETS = "note_id, person_id, lexical_variant, date_dt, text_start_char, text_e
 
 @query("mentions_offsets", with_(NOTES, MENTIONS, f"SELECT {OFFSETS} FROM mentions WHERE date_dt IS NOT NULL"))
 def mentions_offsets(t):
-    return t.mentions.select(*OFFSETS.split(", "))
+    return t.dates.select(*OFFSETS.split(", "))
 
 
 @query(
@@ -23,7 +23,7 @@ def mentions_offsets(t):
     with_(NOTES, MENTIONS, "SELECT note_id, lexical_variant, text_start_char, text_end_char FROM mentions WHERE excluded"),
 )
 def mentions_excluded(t):
-    found = extract_mentions(t.notes, drop_na=False)
+    found = extract_mentions(t.notes, drop_na=False, snippets=False)
     return found.filter("date_dt is null").select("note_id", "lexical_variant", "text_start_char", "text_end_char")
 
 
@@ -178,7 +178,7 @@ FROM mentions WHERE date_dt IS NOT NULL""",
     ),
 )
 def mention_counts(t):
-    return count_mentions(t.staged_mentions).select("note_id", "text_start_char", "date_dt", "count_date")
+    return count_mentions(t.staged_dates).select("note_id", "text_start_char", "date_dt", "count_date")
 
 
 @query(

@@ -150,7 +150,7 @@ ONCE = """once AS (SELECT * FROM mentions WHERE date_dt IS NOT NULL QUALIFY coun
     ),
 )
 def asof_exact_query(t):
-    joined = asof(t.mentions, t.known, "person_id", "date_dt", "known_date", "label", tolerance_seconds=0)
+    joined = asof(t.dates, t.known, "person_id", "date_dt", "known_date", "label", tolerance_seconds=0)
     return joined.select("note_id", "text_start_char", "date_dt", "known_date", F.col("label").cast("string").alias("label"))
 
 
@@ -171,7 +171,7 @@ WHERE date_dt > TIMESTAMP '1930-01-01' AND matched_date_in_doc > 0""",
     ).replace("AS matched_date_in_doc", "::BIGINT AS matched_date_in_doc"),
 )
 def match_dates_within_days(t):
-    narrow = t.mentions_once.select("note_id", "person_id", "date_dt", "text_start_char")
+    narrow = t.dates_once.select("note_id", "person_id", "date_dt", "text_start_char")
     aligned = match_dates(narrow, t.known, tolerance_seconds=5 * 86_400)
     return aligned.select("note_id", "text_start_char", "date_dt", "known_date", "label", "matched_date_in_doc")
 
@@ -189,7 +189,7 @@ def localised_timestamps(t):
     with_(NOTES, MENTIONS, "SELECT note_id, text_start_char, (text_start_char + text_end_char) / 2.0 AS position FROM mentions WHERE date_dt IS NOT NULL"),
 )
 def mention_midpoint(t):
-    return t.mentions.select("note_id", "text_start_char", midpoint("text_start_char", "text_end_char").alias("position"))
+    return t.dates.select("note_id", "text_start_char", midpoint("text_start_char", "text_end_char").alias("position"))
 
 
 H = "md5(concat_ws(':', {keys}, '{seed}'))"

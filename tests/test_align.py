@@ -227,3 +227,12 @@ def test_zone(spark, rows):
     known = known_table(spark, ("p", D0, 1))
     out = match_dates(mentions, known, tz="Europe/Paris").select(F.col("date_dt"))
     assert rows(out) == [(D0 - timedelta(hours=1),)]
+
+
+def test_texts_of_keeps_the_notes_found(spark, rows):
+    from argentum.plans.align import texts_of
+
+    texts = spark.createDataFrame([("a", 1), ("a", 2), ("b", 3), (None, 4)], "note_id string, n int")
+    found = spark.createDataFrame([("a",), ("a",), (None,)], "note_id string")
+    assert rows(texts_of(texts, found), "n") == [(1,), (2,), (4,)]
+    assert rows(texts_of(texts, found.filter("note_id is not null")), "n") == [(1,), (2,)]
