@@ -18,6 +18,7 @@ from argentum.plans.mentions import extract_mentions
 from argentum.session import stage
 
 MENTION_KEYS = ["note_id", "text_start_char", "text_end_char"]
+SNIPPET = ["lexical_variant", "span", "span_start_char", "span_end_char"]
 #: In units of the scale: beyond this distance a normal density is exactly 0 as a double.
 ZERO_DENSITY = 39
 
@@ -183,25 +184,26 @@ def align(
     `negatives` names a rule or is a callable (distinct, aligned, n, seed, scale) -> rows.
 
     Snippets are wide and most mentions lie in notes without a match, so counting and
-    matching run on keys and dates only; snippets join the surviving rows. Two tables feed
-    several passes and are staged: all labelled mentions, and those with distinct spans.
+    matching run on keys and dates only; snippets are cut from the notes that survive (`texts` are
+    read twice) and join their rows. What several passes read is staged: the labelled mentions
+    without and with snippets, and those with distinct spans.
     """
     keys = [*MENTION_KEYS, "date_dt"]
     if mentions is None:
         if texts is None:
             raise ValueError("either texts or mentions are needed")
         # every note is one row here, in which its dates are counted
-        mentions = stage(extract_mentions(texts, once=True, **mention_options), "mentions")
-        narrow = mentions.select(*keys, "person_id", "count_date")
+        narrow = extract_mentions(texts, once=True, snippets=False, **mention_options).select(*keys, "person_id", "count_date")
     else:
         narrow = mentioned_once(mentions.select(*keys, "person_id"))
     # the raw date identifies the row again after localisation
     matched = match_dates(narrow.withColumn("_raw", F.col("date_dt")), known, date, direction, tolerance_seconds, threshold, tz)
-    wide = mentions.select(
-        *MENTION_KEYS, F.col("date_dt").alias("_raw"), "lexical_variant", "span", "span_start_char", "span_end_char"
-    )
-    aligned = matched.join(wide, [*MENTION_KEYS, "_raw"]).drop("_raw")
-    aligned = stage(aligned.withColumn("label", F.col("label").cast("int")), "aligned")
+    matched = matched.withColumn("label", F.col("label").cast("int"))
+    if mentions is None:
+        matched = stage(matched, "matched")
+        mentions = extract_mentions(texts_of(texts, matched), once=True, **mention_options)
+    wide = mentions.select(*MENTION_KEYS, F.col("date_dt").alias("_raw"), *SNIPPET)
+    aligned = stage(matched.join(wide, [*MENTION_KEYS, "_raw"]).drop("_raw"), "aligned")
 
     distinct = stage(drop_repeated_spans(aligned), "distinct")
     n = distinct.filter("label = 1").count() * false_examples_multiplier
