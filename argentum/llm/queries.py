@@ -216,7 +216,7 @@ FROM p LEFT JOIN listed USING (no) LEFT JOIN fires USING (no)
 @query("op11_url_filters", _URLS_SQL)
 def url_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages")
-    return url_rules.judge(pages, mined=url_rules.mine(url_rules.labelled_urls(pages, table(spark, sf_dir, "labels"))))
+    return url_rules.judge(pages, mined=url_rules.mined_rules(url_rules.labelled_urls(pages, table(spark, sf_dir, "labels"))))
 
 
 #: CRC-32 of a list of bytes, by a table that SQL makes itself.
