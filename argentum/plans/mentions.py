@@ -95,7 +95,7 @@ def _mention_batches(pattern: str, carried: list[str], options: Options):
         for batch in batches:
             rows, found, size = [], [], 0
             for row, text in enumerate(batch.column("note_text").to_pylist()):
-                for mention in mention_rows(text, compiled, options):
+                for mention in () if text is None else mention_rows(text, compiled, options):
                     rows.append(row)
                     found.append(mention)
                     size += len(mention[4] or mention[0])
@@ -131,7 +131,7 @@ def _note_batches(pattern: str, carried: list[str], options: Options, count: boo
             rows, size = [], 0
             for row, text in enumerate(batch.column("note_text").to_pylist()):
                 part, first, dates, k = [], 0, None, -1
-                for k, mention in enumerate(mention_rows(text, compiled, options)):
+                for k, mention in enumerate(() if text is None else mention_rows(text, compiled, options)):
                     part.append(mention)
                     size += len(mention[4] or mention[0])
                     if size > BATCH_CHARS:
@@ -174,10 +174,12 @@ def _found(notes: DataFrame, keep: Sequence[str], options: Options, tz: str | No
     options = options._replace(attr=attr)
     dated = "note_datetime" in notes.columns
     carried = list(dict.fromkeys([*[c for c in keep if c in notes.columns], *(["note_datetime"] if dated else [])]))
-    narrow = notes.filter(F.col("note_text").isNotNull()).select(*carried, "note_text")
+    text = F.col("note_text")
     if pattern == DATE_PATTERN:
-        # other texts needn't leave the JVM; a digit is found sooner than a word
-        narrow = narrow.filter(F.col("note_text").rlike("[0-9]") | F.col("note_text").rlike(DATE_HINT))
+        # other texts needn't leave the JVM; a digit is found sooner than a word. Not a filter: that would
+        # move below whatever makes the text, and make it again for each condition, ahead of its spreading
+        text = F.when(text.rlike("[0-9]") | text.rlike(DATE_HINT), text)
+    narrow = notes.select(*carried, text.alias("note_text"))
     noted = F.col("note_datetime") if dated else None
     own = [narrow.schema[c] for c in carried]
     fields = [MENTION_FIELDS[c] for c in _fields(options)]

@@ -381,3 +381,13 @@ def test_dates_counted_by_their_numbers_equal_counts_of_days(spark, rows):
     columns = ["note_id", "text_start_char", "date_dt", "span"]
     assert rows(extract_mentions(df, once=True), *columns) == rows(mentioned_once(extract_mentions(df)), *columns)
     assert job._alone([("a",) * 3 + (False,) + (None,) * 3 + ("12 mars 2020",)], True) is None
+
+
+@pytest.mark.parametrize("once", [False, True])
+def test_texts_are_made_once_and_after_spreading(spark, once):
+    notes = spark.range(6).repartition(3).select(F.col("id").alias("note_id"), F.concat(F.lit("marker du "), F.date_format(F.timestamp_seconds(F.col("id") * 86400), "dd/MM/yyyy")).alias("note_text"))
+    more = notes.unionAll(spark.createDataFrame([(6, None), (7, "sans date")], "note_id long, note_text string"))
+    found = extract_mentions(more, once=once)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("marker du ") == 1
+    assert sorted(r["note_id"] for r in found.collect()) == list(range(6))
