@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from contextlib import contextmanager
+
+from pyspark.errors import SparkRuntimeException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -59,11 +62,36 @@ def assert_unique(df: DataFrame, keys: list[str]) -> DataFrame:
     repeated = df.groupBy(*[F.col(k).alias(n) for k, n in zip(keys, names)]).agg(F.count("*").alias(f"{_CHECK}n")).filter(F.col(f"{_CHECK}n") > 1)
     same = [df[k].eqNullSafe(F.col(n)) for k, n in zip(keys, names)]
     joined = df.join(repeated, same, "left")
-    fine = F.when(F.col(f"{_CHECK}n").isNull(), True).otherwise(F.raise_error(F.lit(f"keys are not unique: {keys}")).cast("boolean"))
+    fine = F.when(F.col(f"{_CHECK}n").isNull(), True).otherwise(F.raise_error(F.lit(f"{_REPEATED}: {keys}")).cast("boolean"))
     return joined.filter(fine).select(*[df[c] for c in df.columns])
 
 
 _CHECK = "_unique_"
+_REPEATED = "keys are not unique"
+
+
+def _numbered_unique(df: DataFrame, keys: list[str]) -> DataFrame:
+    """As `assert_unique`, for rows that are joined by `keys` next, to others that are unique as well.
+
+    Rows are numbered inside their key, in the shuffle and order that the join needs anyway; the second of a
+    key raises. So no key gathers rows, and there is no skew that the adaptive join could have split.
+    """
+    if any(c.startswith(_CHECK) for c in df.columns):
+        raise ValueError(f"column names that begin with {_CHECK} are taken")
+    row = F.row_number().over(Window.partitionBy(*keys).orderBy(*keys))
+    fine = F.when(F.col(f"{_CHECK}row") == 1, True).otherwise(F.raise_error(F.lit(f"{_REPEATED}: {keys}")).cast("boolean"))
+    return df.withColumn(f"{_CHECK}row", row).filter(fine).drop(f"{_CHECK}row")
+
+
+@contextmanager
+def value_errors():
+    """Repeated keys that a job inside the block finds raise ValueError, like other wrong arguments."""
+    try:
+        yield
+    except SparkRuntimeException as error:
+        if _REPEATED not in str(error):
+            raise
+        raise ValueError(str(error)) from error
 
 
 def attach(
@@ -80,8 +108,8 @@ def attach(
     if validate not in (None, "one_to_one", "many_to_one"):
         raise ValueError(f"unknown check: {validate}")
     if validate == "one_to_one":
-        df = assert_unique(df, on)
-    if validate:
+        df, other = _numbered_unique(df, on), _numbered_unique(other, on)
+    elif validate:
         other = assert_unique(other, on)
     return df.join(other, on, how)
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator, Sequence
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -82,7 +83,15 @@ def _alone(found: list[tuple], ignore_excluded: bool) -> list[tuple] | None:
     return [m for m in seen.values() if m]
 
 
-def _mention_batches(pattern: str, carried: list[str], options: Options):
+def _offsets(spans: pa.ListArray) -> Iterator[set[tuple[int, int]]]:
+    """The pairs (start, end) of each row; pairs that lack one, and null rows, have no place."""
+    fields = spans.flatten()
+    pairs = list(zip(fields.field("start").to_pylist(), fields.field("end").to_pylist()))
+    ends = np.cumsum([n or 0 for n in spans.value_lengths().to_pylist()], dtype=np.int64).tolist()
+    return ({p for p in pairs[a:b] if None not in p} for a, b in zip([0, *ends], ends))
+
+
+def _mention_batches(pattern: str, carried: list[str], options: Options, only: str | None = None):
     """The Arrow job: batches of notes in, batches of mentions out."""
     names = _fields(options)
 
@@ -94,8 +103,10 @@ def _mention_batches(pattern: str, carried: list[str], options: Options):
         compiled = re.compile(pattern)
         for batch in batches:
             rows, found, size = [], [], 0
-            for row, text in enumerate(batch.column("note_text").to_pylist()):
-                for mention in () if text is None else mention_rows(text, compiled, options):
+            texts = batch.column("note_text").to_pylist()
+            places = repeat(None) if only is None else _offsets(batch.column(only))
+            for row, (text, at) in enumerate(zip(texts, places)):
+                for mention in () if text is None else mention_rows(text, compiled, options, at):
                     rows.append(row)
                     found.append(mention)
                     size += len(mention[4] or mention[0])
@@ -166,7 +177,7 @@ def _once(days: Column) -> Column:
     return F.transform(F.array_sort(let(sorted_days, alone)), lambda x: x["once"])
 
 
-def _found(notes: DataFrame, keep: Sequence[str], options: Options, tz: str | None, pattern: str, once: bool) -> DataFrame:
+def _found(notes: DataFrame, keep: Sequence[str], options: Options, tz: str | None, pattern: str, once: bool, only: str | None = None) -> DataFrame:
     """Mentions with all fields and `date_dt`; columns `keep` and the note's time are carried along."""
     attr = options.attr.upper()
     if options.mode not in ("token", "sentence") or attr not in ("TEXT", "NORM", "LOWER"):
@@ -179,12 +190,13 @@ def _found(notes: DataFrame, keep: Sequence[str], options: Options, tz: str | No
         # other texts needn't leave the JVM; a digit is found sooner than a word. Not a filter: that would
         # move below whatever makes the text, and make it again for each condition, ahead of its spreading
         text = F.when(text.rlike("[0-9]") | text.rlike(DATE_HINT), text)
-    narrow = notes.select(*carried, text.alias("note_text"))
+    places = [only] if only and only not in carried else []
+    narrow = notes.select(*carried, *places, text.alias("note_text"))
     noted = F.col("note_datetime") if dated else None
     own = [narrow.schema[c] for c in carried]
     fields = [MENTION_FIELDS[c] for c in _fields(options)]
     if not once:
-        found = narrow.mapInArrow(_mention_batches(pattern, carried, options), T.StructType(own + fields))
+        found = narrow.mapInArrow(_mention_batches(pattern, carried, options, only), T.StructType(own + fields))
         return found.withColumn("date_dt", _parsed({c: F.col(c) for c in _DATED}, noted, tz, options.ignore_excluded))
     dates = T.ArrayType(T.StructType([MENTION_FIELDS[c] for c in _DATED]))
     schema = T.StructType([*own, T.StructField("first", T.IntegerType()), T.StructField("dates", dates), T.StructField("mentions", T.ArrayType(T.StructType(fields)))])
@@ -218,6 +230,7 @@ def extract_mentions(
     abbreviations: tuple[str, ...] = ABBREVIATIONS,
     once: bool = False,
     snippets: bool = True,
+    only: str | None = None,
 ) -> DataFrame:
     """One row per date mention of `note_text`, with its snippet; columns `keep` are carried along.
 
@@ -233,11 +246,16 @@ def extract_mentions(
     Without `snippets` no window is cut, and the three columns of the snippet are left out: spans
     are many times as wide as a note, and jobs that count or match dates don't read them.
 
+    `only` names a column of `notes`, an array of structs (start, end): just the mentions with these
+    offsets are returned, as they would be among all. Snippets of the others are not cut.
+
     A narrow job without a shuffle: every note is read once, and only the carried columns
     and the text travel to the Arrow workers.
     """
+    if once and only:
+        raise ValueError("`only` does not go with `once`, which needs all dates of a note")
     options = Options(n_before, n_after, ignore_excluded, attr, mode, abbreviations, normal, snippets)
-    found = _found(notes, keep, options, tz, pattern, once)
+    found = _found(notes, keep, options, tz, pattern, once, only)
     out = found.select(
         *[c for c in keep if c in notes.columns],
         "lexical_variant",

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from argentum.functions.columns import mask_span
 from argentum.functions.losses import loss
 from argentum.functions.probability import binarise, to_prediction
-from argentum.operators.joins import assert_unique, attach, join_spans, keep_keys
+from argentum.operators.joins import assert_unique, attach, join_spans, keep_keys, value_errors
 from argentum.operators.metrics import binary_scores, error_counts
 from argentum.operators.ranking import dense_id
 from argentum.plans.mentions import extract_mentions
@@ -39,13 +39,24 @@ def gold_examples(
     validate: bool = True,
     **mention_options: object,
 ) -> DataFrame:
-    """Gold test examples: annotated mentions found again in the texts, numbered and masked."""
+    """Gold test examples: annotated mentions found again in the texts, numbered and masked.
+
+    Its own jobs find repeated keys, which raise ValueError.
+    """
+    with value_errors():
+        return _gold_examples(annotations, texts, note_dates, name, validate, mention_options)
+
+
+def _gold_examples(annotations: DataFrame, texts: DataFrame, note_dates: DataFrame | None, name: str, validate: bool, mention_options: dict) -> DataFrame:
     gold = gold_labels(annotations)
     texts = keep_keys(texts, gold, ["note_id"])
     if note_dates is not None:
         check = "one_to_one" if validate else None
         texts = attach(texts, note_dates, ["note_id"], validate=check)
-    # checked and joined: two passes over the mentions of the annotated notes
+    # without other mentions nothing changes: spans of checked texts are unique, and only `once` counts per note
+    if (note_dates is not None or not validate) and not {"once", "only"} & mention_options.keys():
+        texts, mention_options = texts.join(_places(gold), "note_id"), {**mention_options, "only": _PLACES}
+    # the order of the examples is sampled ahead of its sort: two passes over the mentions
     found = stage(extract_mentions(texts, **mention_options), "found")
     labelled = join_spans(
         found, gold.drop("lexical_variant"), validate="one_to_one" if validate else None
@@ -54,6 +65,16 @@ def gold_examples(
     return mask_span(numbered.select(F.lit(name).alias("set"), *numbered.columns))
 
 
+_PLACES = "_places"
+
+
+def _places(gold: DataFrame) -> DataFrame:
+    """One row per annotated note with the offsets of its annotations, as `extract_mentions` takes them."""
+    offset = lambda c: F.col(c).try_cast("int")
+    spans = gold.select("note_id", offset("text_start_char").alias("start"), offset("text_end_char").alias("end"))
+    return spans.filter("note_id is not null").groupBy("note_id").agg(F.collect_set(F.struct("start", "end")).alias(_PLACES))
+
+
 def flag_reports(examples: DataFrame, reports: DataFrame) -> DataFrame:
     """Add `has_bp_report`: the person has a pathology report."""
     persons = reports.select("person_id").distinct().withColumn("has_bp_report", F.lit(True))

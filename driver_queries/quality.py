@@ -35,7 +35,9 @@ def annotations(t):
     begin = F.instr("note_text", "Prélevé le : ") + 13
     priority = F.col("priority")
     shift = F.when(priority == "2-HIGH", 1).otherwise(0)
-    return t.notes.filter(F.instr("note_text", "Prélevé le : ") > 0).select(
+    # as a filter on the view the search would make the texts, ahead of their spreading and once per use
+    notes = t.notes.select("note_id", "priority", F.explode(F.array("note_text")).alias("note_text"))
+    return notes.filter(F.instr("note_text", "Prélevé le : ") > 0).select(
         "note_id",
         F.substring(F.col("note_text"), begin, F.lit(10)).alias("lexical_variant"),
         (begin - 1 + shift).alias("offset_begin"),

@@ -222,6 +222,18 @@ def test_mask_and_spans(spark, rows):
         attach(a, b, ["note_id"], validate="maybe")
 
 
+def test_one_to_one_check_takes_the_shuffles_of_the_join_only(spark, rows):
+    a = spark.createDataFrame([("n", 1), ("m", 2)], "k string, v int")
+    b = spark.createDataFrame([("n", 3), ("o", 4), (None, 5)], "k string, w int")
+    checked = attach(a.hint("merge"), b, ["k"], validate="one_to_one")
+    assert checked._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 2
+    assert rows(checked) == [("n", 1, 3)]
+    assert rows(attach(a, b, ["k"], "full", "one_to_one")) == rows(a.join(b, ["k"], "full"))
+    for left, right in ((a.union(a), b), (a, b.union(b)), (b.union(b), a)):
+        with pytest.raises(Exception, match="keys are not unique"):
+            attach(left, right, ["k"], "left", "one_to_one").collect()
+
+
 def test_zone(spark, rows):
     mentions = spark.createDataFrame([mention("n", "p", D0, 0)], MENTION)
     known = known_table(spark, ("p", D0, 1))

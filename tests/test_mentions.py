@@ -391,3 +391,21 @@ def test_texts_are_made_once_and_after_spreading(spark, once):
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("marker du ") == 1
     assert sorted(r["note_id"] for r in found.collect()) == list(range(6))
+
+
+def test_wanted_mentions_are_those_of_all(spark, rows):
+    pick = random.Random(7)
+    df = notes(spark, *[" ".join(pick.choice(PIECES) for _ in range(pick.randint(0, 25))) for _ in range(200)])
+    number = F.crc32(F.concat_ws("-", "note_id", "text_start_char")) % 3
+    for options in ({}, {"drop_na": False, "ignore_excluded": False}, {"snippets": False}, {"mode": "sentence", "n_before": 1, "n_after": 1}, {"normal": Normal(True, True, True, True)}):
+        every = extract_mentions(df, **options)
+        some = every.filter(number == 0).cache()
+        spans = some.select("note_id", F.struct(F.col("text_start_char").alias("start"), F.col("text_end_char").alias("end")).alias("x"))
+        # offsets where no mention is, and pairs that lack one
+        other = F.expr("array(struct(0, 3), struct(-9, 1), struct(99999, 100009), struct(cast(null as int), 10), cast(null as struct<col1: int, col2: int>))")
+        places = spans.groupBy("note_id").agg(F.concat(F.collect_list("x"), other.cast("array<struct<start: int, end: int>>")).alias("places"))
+        got = extract_mentions(df.join(places, "note_id", "left"), only="places", **options)
+        assert got.columns == every.columns
+        assert 0 < some.count() < every.count() and rows(got) == rows(some)
+    with pytest.raises(ValueError):
+        extract_mentions(df, once=True, only="places")

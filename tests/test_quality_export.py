@@ -80,6 +80,44 @@ def test_gold_examples(spark, rows):
         gold_examples(annotations, texts, dates.union(dates))
 
 
+def test_gold_examples_cut_annotated_mentions_only(spark, rows, monkeypatch):
+    import argentum.plans.quality as quality
+
+    staged = []
+
+    def noted(df, label):
+        staged.append(stage(df, label))
+        return staged[-1]
+
+    monkeypatch.setattr(quality, "stage", noted)
+    text = "vu le 01/02/2020 puis le 03/02/2020 et le 05/02/2020"
+    texts = spark.createDataFrame([(n, text) for n in "nmo"] + [("null", None), (None, text)], "note_id string, note_text string")
+    dates = spark.createDataFrame([(n, "p", datetime(2020, 5, 1)) for n in ["n", "m", "o", "null"]], "note_id string, person_id string, note_datetime timestamp")
+    annotations = spark.createDataFrame(
+        [(n, "", s, s and s + 10, True, False, "") for n, s in [("n", 25), ("n", 42), ("m", 26), ("m", None), ("null", 6), (None, 6), ("absent", 6), ("o", -30)]],
+        "note_id string, lexical_variant string, offset_begin int, offset_end int, gold_label_value boolean, added_by_user boolean, remark string",
+    )
+    want = [("n", 0, 25, "vu le 01/02/2020 puis le <mask> et le 05/02/2020"), ("n", 1, 42, "vu le 01/02/2020 puis le 03/02/2020 et le <mask>")]
+    columns = ["note_id", "text_id", "text_start_char", "masked_span"]
+    assert rows(gold_examples(annotations, texts, dates), *columns) == want
+    assert [found.count() for found in staged] == [2]
+    # repeated texts multiply the examples without the check; with it they are found by all of their mentions
+    both = texts.union(texts)
+    assert [r[3] for r in rows(gold_examples(annotations, both, validate=False), *columns)] == [w[3] for w in want for _ in "12"]
+    shifted = annotations.filter("note_id = 'm'")
+    for broken in (lambda: gold_examples(shifted, both), lambda: gold_examples(shifted, texts, dates.union(dates)), lambda: gold_examples(annotations.union(annotations), texts, dates)):
+        with pytest.raises(Exception, match="keys are not unique"):
+            broken().collect()
+
+
+def test_annotations_make_texts_after_spreading(spark):
+    from driver_queries.inputs import Tables
+    from driver_queries.quality import annotations
+
+    plan = annotations(Tables(spark, "/root/testdata/sf0.001"))._jdf.queryExecution().optimizedPlan().toString()
+    assert "Repartition" in plan and "discuté" not in plan[plan.index("Repartition") :]
+
+
 def test_report_strata(spark, rows):
     df = spark.createDataFrame([("1", "p"), ("2", "q")], "note_id string, person_id string")
     reports = spark.createDataFrame([("p",), ("p",)], "person_id string")
